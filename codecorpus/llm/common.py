@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecorpus.shipping import ship
+
 #: Rows of one Arrow batch; whole texts travel in it, so it is kept small.
 BATCH_ROWS = 256
 #: Text bytes that one vectorised step takes at a time; a longer text is its own step.
@@ -31,7 +33,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     with contextlib.suppress(Exception):
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +102,9 @@ GOLD = U(0x9E3779B97F4A7C15)
 BASE = U(0x5851F42D4C957F2D)
 
 
+SALTS = np.arange(1, 201, dtype=U) * GOLD
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them (the finaliser of SplitMix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -155,14 +160,14 @@ def shingles(doc: np.ndarray, hashes: np.ndarray, n_docs: int, k: int) -> tuple[
         n = len(hashes) - k + 1
         h = np.zeros(n, U)
         for i in range(k):
-            h = h * BASE + mix(hashes[i : i + n] + U(i + 1) * GOLD)
+            h = h * BASE + mix(hashes[i : i + n] + SALTS[i])
         whole = doc[:n] == doc[k - 1 :]
         out.append((doc[:n][whole], mix(h[whole])))
     short = np.flatnonzero((count > 0) & (count < k))
     h = np.zeros(len(short), U)
     for i in range(k - 1):
         more = count[short] > i
-        h[more] = h[more] * BASE + mix(hashes[first[short[more]] + i] + U(i + 101) * GOLD)
+        h[more] = h[more] * BASE + mix(hashes[first[short[more]] + i] + SALTS[100 + i])
     out.append((short, mix(h + count[short].astype(U))))
     d, h = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.argsort(d, kind="stable")

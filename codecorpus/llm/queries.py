@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import bpe, elias_fano, hash_tree, licences
+from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences
 from codecorpus.llm import common as c
 
 
@@ -42,5 +42,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op6_hash_tree, op7_licences, op8_bpe)}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(c.table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard)}
 ORACLE: dict[str, str] = {}
