@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences
+from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences, suffix_array
 from codecorpus.llm import common as c
 
 
@@ -29,6 +29,11 @@ def op1_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_array.remove_repeats(c.table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(c.table(spark, sf_dir, "documents"), 24)
 
@@ -46,5 +51,5 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(c.table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op3_suffix_array, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard)}
 ORACLE: dict[str, str] = {}
