@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences, suffix_array
+from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences, quality, spaced_seeds, suffix_array
 from codecorpus.llm import common as c
 
 
@@ -34,6 +34,10 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.leaks(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+
+
 def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(c.table(spark, sf_dir, "documents"), 24)
 
@@ -51,5 +55,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(c.table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op3_suffix_array, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op3_suffix_array, op5_spaced_seeds, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard, op10_quality)}
 ORACLE: dict[str, str] = {}
