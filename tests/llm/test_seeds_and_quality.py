@@ -72,11 +72,11 @@ def junk(i):
 
 
 def test_held_out_documents(spark):
-    rows = [(i, junk(i) if i % 5 == 0 else cases.prose(i, 30 + i % 90), "en", f"host{i % 3}", *[None] * 5) for i in range(600)]
-    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    rows = [(i, junk(i // 5) if i % 5 == 0 else cases.prose(i, 30 + i % 90), "en", f"host{i % 3}", *[None] * 5) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(600) if i % 3], "doc_id long, quality int, toxic int")
     got = quality.score(cases.table(spark, rows), labels).collect()
-    held = [x for x in got if x.doc_id % 2]
-    assert len(got) == 600 and sum(x.keep == (x.doc_id % 5 != 0) for x in held) >= 0.97 * len(held)
+    held = [x for x in got if x.doc_id % 3 == 0]
+    assert len(got) == 600 and len(held) == 200 and sum(x.keep == (x.doc_id % 5 != 0) for x in held) >= 0.97 * len(held)
 
 
 def test_sites_are_drawn_to_their_parents(spark):
