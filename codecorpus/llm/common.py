@@ -70,8 +70,7 @@ def clean_docs(docs: DataFrame) -> DataFrame:
 
 
 def map_blocks(df: DataFrame, step: Callable[[list, list[bytes]], dict[str, object] | None], schema: str, key: str = "doc_id", value: str = "text") -> DataFrame:
-    """Runs step(keys, UTF-8 texts) on blocks of about BLOCK_BYTES; it returns columns by name, or None for no rows."""
-    names = [x.split()[0] for x in schema.split(",")]
+    """Runs step(keys, UTF-8 texts) on blocks of about BLOCK_BYTES; it returns columns by name in the schema's order, or None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +78,7 @@ def map_blocks(df: DataFrame, step: Callable[[list, list[bytes]], dict[str, obje
             for a, b in blocks(texts):
                 out = step(keys[a:b], texts.slice(a, b - a).to_pylist())
                 if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[n]) for n in names], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], list(out))
 
     return df.select(key, value).mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences, quality, spaced_seeds, suffix_array
+from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences, pii, quality, spaced_seeds, suffix_array
 from codecorpus.llm import common as c
 
 
@@ -29,6 +29,12 @@ def op1_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(c.table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = suffix_array.remove_repeats(c.table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -59,5 +65,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op3_suffix_array, op5_spaced_seeds, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op2_pii_boosting, op3_suffix_array, op5_spaced_seeds, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard, op10_quality)}
 ORACLE: dict[str, str] = {}
