@@ -1,7 +1,7 @@
 """Token ids on disk: shards of concatenated ids whose document boundaries are Elias-Fano encoded.
 
-A shard is two files. `.ids` holds the ids of its documents, one after another, as little-endian unsigned 32-bit
-integers. `.ef` holds the ends of its documents in ids, and their doc_ids, as two Elias-Fano sequences: the low bits of
+A shard is two files. `.ids` holds the ids of its documents, one after another, as little-endian unsigned integers of
+16 bits if the vocabulary allows it, else of 32. `.ef` holds that width, the ends of its documents in ids, and their doc_ids, as two Elias-Fano sequences: the low bits of
 each number packed together, the high parts as gaps in unary, and for select the places of every 64th one of the unary
 part. n ends up to u take about n * (2 + log2(u / n)) bits, and the i-th end is read without a table of 64-bit offsets.
 """
@@ -93,21 +93,22 @@ class EliasFano:
         return cls(n, width, part(low), part(high), np.frombuffer(f.read(8 * samples), "<u8"))
 
 
-def dump_shard(doc_ids: list, sizes: list[int]) -> bytes:
+def dump_shard(doc_ids: list, sizes: list[int], width: int = 4) -> bytes:
     """Nulls come first in doc_id order; the others are stored from the least on."""
     known = [x for x in doc_ids if x is not None]
     least = known[0] if known else 0
     ids = EliasFano.of(np.array([x - least for x in known], np.uint64))
-    return MAGIC + struct.pack("<Qq", len(doc_ids) - len(known), least) + EliasFano.of(np.cumsum(sizes)).dump() + ids.dump()
+    return MAGIC + struct.pack("<QqQ", len(doc_ids) - len(known), least, width) + EliasFano.of(np.cumsum(sizes)).dump() + ids.dump()
 
 
-def load_shard(data: bytes) -> tuple[list, EliasFano]:
+def load_shard(data: bytes) -> tuple[list, EliasFano, int]:
+    """doc_ids, ends and the bytes of an id."""
     f = io.BytesIO(data)
     if f.read(8) != MAGIC:
         raise ValueError("not a boundary file")
-    nulls, least = struct.unpack("<Qq", f.read(16))
+    nulls, least, width = struct.unpack("<QqQ", f.read(24))
     ends = EliasFano.load(f)
-    return [None] * nulls + [int(x) + least for x in EliasFano.load(f).all()], ends
+    return [None] * nulls + [int(x) + least for x in EliasFano.load(f).all()], ends, width
 
 
 # -- files in any store -------------------------------------------------------------------------------------------
@@ -147,9 +148,11 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pattern = pattern
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of `width` bytes."""
         from codecorpus.llm.bpe import pre_tokens
 
         pieces = [pre_tokens(t, self.pattern) for t in texts]
@@ -158,7 +161,7 @@ class Tokens:
         memo = self.memo
         new = list({p for x in pieces for p in x}.difference(memo))
         for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
+            memo[p] = np.array(e.ids, f"<u{self.width}").tobytes()
         return [b"".join(map(memo.__getitem__, x)) for x in pieces]
 
 
@@ -178,16 +181,16 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = E
     alone. Rows of a null doc_id come first. Repeated rows are documents of their own. No rows give no files.
     """
     spark = docs.sparkSession
-    end = np.array([end_id], "<u4").tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, made = tokens(path, pattern), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], f"<u{own.width}").tobytes()
         ids, doc_ids, sizes = [], [], []
 
         def close() -> pa.RecordBatch:
             name = f"{folder}/part-{part:06d}-{made:06d}"
             _put(f"{name}.ids", b"".join(ids))
-            _put(f"{name}.ef", dump_shard(doc_ids, sizes))
+            _put(f"{name}.ef", dump_shard(doc_ids, sizes, own.width))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([made], pa.int32()), "path": [name], "n_docs": pa.array([len(sizes)], pa.int64()), "n_tokens": pa.array([sum(sizes)], pa.int64())})
 
         for batch in batches:
@@ -196,7 +199,7 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = E
                 for key, x in zip(keys[a:b], own.encode(texts.slice(a, b - a).to_pylist()), strict=True):
                     ids += (x, end)
                     doc_ids.append(key)
-                    sizes.append(len(x) // 4 + 1)
+                    sizes.append(len(x) // own.width + 1)
                 if sum(sizes) >= SHARD_IDS:
                     yield close()
                     made += 1
@@ -215,17 +218,17 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = E
 
 
 def read(shards: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids of each document, from the files of shards."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of each document, from the files of shards."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids, boundaries = load_shard(_get(f"{path}.ef"))
-                data, ends = _get(f"{path}.ids"), boundaries.all().astype(np.int64)
+                doc_ids, boundaries, width = load_shard(_get(f"{path}.ef"))
+                data, ends = np.frombuffer(_get(f"{path}.ids"), f"<u{width}"), boundaries.all().astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 for a in range(0, len(ends), c.BATCH_ROWS):
                     s, e = starts[a : a + c.BATCH_ROWS], ends[a : a + c.BATCH_ROWS]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a : a + c.BATCH_ROWS], pa.int64()), "start": pa.array(s + start), "n_tokens": pa.array(e - s), "ids": pa.array([data[4 * x : 4 * y] for x, y in zip(s, e, strict=True)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a : a + c.BATCH_ROWS], pa.int64()), "start": pa.array(s + start), "n_tokens": pa.array(e - s), "ids": pa.array([data[x:y].astype("<u4").tobytes() for x, y in zip(s, e, strict=True)], pa.binary())})
 
     spark = shards.sparkSession
     return shards.select("path", "start").repartition(4 * c.partitions(spark), "path").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")

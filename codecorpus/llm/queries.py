@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences, pii, quality, spaced_seeds, suffix_array
+from codecorpus.llm import bpe, elias_fano, hash_tree, jaccard, licences, nn_descent, pii, quality, spaced_seeds, suffix_array
 from codecorpus.llm import common as c
 
 
@@ -40,6 +40,10 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(c.table(spark, sf_dir, "embeddings"), top=20, every=20)
+
+
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.leaks(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
@@ -65,5 +69,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op2_pii_boosting, op3_suffix_array, op5_spaced_seeds, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_elias_fano, op2_pii_boosting, op3_suffix_array, op4_nn_descent, op5_spaced_seeds, op6_hash_tree, op7_licences, op8_bpe, op9_ngram_jaccard, op10_quality)}
 ORACLE: dict[str, str] = {}
