@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from codecorpus.queries import graph, inventory, jobs, plan, quality, reports, text
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in (inventory, text, graph, quality, plan, jobs, reports):
+    for _name, (_run, _sql) in _module.ALL.items():
+        QUERIES[_name] = _run
+        if _sql:
+            ORACLE[_name] = _sql
