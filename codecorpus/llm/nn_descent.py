@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from codecorpus.llm import common as c
 
-#: Neighbours of a node.
-K = 20
+#: Neighbours of a node; what a member of a list may gain from one comparison of the list.
+K, GAIN = 40, 6
 #: Rounds of joins at most; they end when fewer than this share of the lists changed.
-ROUNDS, SETTLED = 8, 0.01
+ROUNDS, SETTLED = 12, 0.01
 #: Random projections for the first lists, and the nodes that are compared along each.
-PROJECTIONS, CHUNK = 4, 128
+PROJECTIONS, CHUNK = 4, 256
 #: Nodes that a search keeps, expands in a step, and steps at most.
-BEAM, EXPAND, STEPS = 80, 8, 12
+BEAM, EXPAND, STEPS = 120, 24, 12
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -56,7 +56,7 @@ EDGES = "a long, b long, sim double"
 
 def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int, least: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each of the ids its `most` best others that are better than its least, of pairs with a fresh member."""
-    sim = x @ x.T
+    sim = (x @ x.T).astype(np.float64)
     np.fill_diagonal(sim, -np.inf)
     sim[~(fresh[:, None] | fresh[None, :])] = -np.inf
     sim[ids[:, None] == ids[None, :]] = -np.inf
@@ -84,7 +84,7 @@ def _first_lists(nodes: DataFrame, dims: int) -> DataFrame:
                 for a in range(0, max(n - CHUNK // 2, min(n, 1)), CHUNK // 2):  # chunks overlap by half
                     own = slice(a, a + CHUNK)
                     m = len(ids[own])
-                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in _best_pairs(ids[own], x[own], K // 2, np.full(m, -np.inf), np.ones(m, bool))], ["a", "b", "sim"])
+                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in _best_pairs(ids[own], x[own], K // 4, np.full(m, -np.inf), np.ones(m, bool))], ["a", "b", "sim"])
 
         size = max(1, min(4 * c.partitions(spark), 1 << 16))
         part = nodes.select("node", "x").withColumn("along", along).repartitionByRange(size, "along").sortWithinPartitions("along").select("node", "x").mapInArrow(compare, EDGES)
@@ -105,7 +105,7 @@ def _reverse(edges: DataFrame) -> DataFrame:
 
 
 def graph(nodes: DataFrame) -> DataFrame:
-    """(a, b, sim): each node's K nearest that NN-descent finds. nodes: node, x (augmented doubles)."""
+    """(a, b, sim): each node's K nearest that NN-descent finds. nodes: node, x (augmented)."""
     first = nodes.select(F.size("x").alias("n")).first()
     if first is None:
         return nodes.sparkSession.createDataFrame([], EDGES)
@@ -124,7 +124,7 @@ def graph(nodes: DataFrame) -> DataFrame:
                 ids, least, fresh = flat.field(0).to_numpy(), flat.field(2).to_numpy(), flat.field(3).to_numpy(zero_copy_only=False)
                 x = flat.field(1).flatten().to_numpy().reshape(len(ids), -1)
                 offsets = offsets - offsets[0]
-                found = [_best_pairs(ids[s:e], x[s:e], K, least[s:e], fresh[s:e]) for s, e in zip(offsets, offsets[1:], strict=False) if fresh[s:e].any()]
+                found = [_best_pairs(ids[s:e], x[s:e], GAIN, least[s:e], fresh[s:e]) for s, e in zip(offsets, offsets[1:], strict=False) if fresh[s:e].any()]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*found, strict=True)], ["a", "b", "sim"])
 
@@ -173,7 +173,7 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     ids = c.kept(members.join(nodes, "vector").select("node", "vec_id"), "ids")
     norm = F.aggregate("vector", F.lit(0.0), lambda s, u: s + u.cast("double") * u.cast("double"))
     longest = nodes.agg(F.max(norm).alias("longest"))
-    augmented = c.kept(nodes.crossJoin(F.broadcast(longest)).select("node", F.concat(F.col("vector").cast("array<double>"), F.array(F.sqrt(F.greatest(F.lit(0.0), F.col("longest") - norm)))).alias("x")), "augmented")
+    augmented = c.kept(nodes.crossJoin(F.broadcast(longest)).select("node", F.concat(F.col("vector").cast("array<double>"), F.array(F.sqrt(F.greatest(F.lit(0.0), F.col("longest") - norm)))).cast("array<float>").alias("x")), "augmented")
     edges = graph(augmented)
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = c.kept(asked.join(nodes, "vector").select("vec_id", "node"), "asked")
