@@ -28,7 +28,8 @@ SAMPLE = 64
 #: Ids of a shard: it is closed after the document that reaches this.
 SHARD_IDS = 1 << 20
 END_ID = 2
-MEMO = 400_000
+#: Pre-tokens that a Python worker remembers, about 200 bytes each.
+MEMO = 1_000_000
 
 
 # -- the sequence ------------------------------------------------------------------------------------------------
@@ -155,14 +156,26 @@ class Tokens:
         """Little-endian ids of `width` bytes."""
         from codecorpus.llm.bpe import pre_tokens
 
-        pieces = [pre_tokens(t, self.pattern) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        new = list({p for x in pieces for p in x}.difference(memo))
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, f"<u{self.width}").tobytes()
-        return [b"".join(map(memo.__getitem__, x)) for x in pieces]
+        memo, rows, new = self.memo, [], set()
+        for t in texts:
+            pieces = pre_tokens(t, self.pattern)
+            ids = list(map(memo.get, pieces))
+            if None in ids:
+                new.update(p for p, x in zip(pieces, ids, strict=True) if x is None)
+            rows.append((pieces, ids))
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(memo.__getitem__, pieces) if None in ids else ids) for pieces, ids in rows]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """One call for all of them, each as a word of its own."""
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids, word = np.array(found.ids, f"<u{self.width}"), np.array(found.word_ids)
+        cut = np.searchsorted(word, np.arange(len(pieces) + 1)) * self.width
+        data = ids.tobytes()
+        self.memo.update((p, data[a:b]) for p, a, b in zip(pieces, cut.tolist(), cut[1:].tolist(), strict=False))
 
 
 @functools.cache
