@@ -1 +1,107 @@
+"""Rewrites, warnings and facts over generated source lines."""
+
+from pyspark.sql import functions as F
+
+from codecorpus.functions import scalars as s
+from codecorpus.operators import deps, facts
+from codecorpus.operators import text as op
+from codecorpus.queries.register import adder
+
 ALL: dict = {}
+add = adder(ALL)
+
+CODE = "SELECT file_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM v_lines GROUP BY file_id"
+
+
+def code(lines):
+    """One text for each file."""
+    return lines.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
+
+
+def _duck(pattern: str) -> str:
+    return pattern.replace("(?md)", "(?m)").replace("'", "''")
+
+
+def _duck_to(r: op.Rewrite) -> str:
+    return r.replacement.replace("$1", "\\1").replace("$2", "\\2")
+
+
+for _i, _r in enumerate([*op.PYTHON_REWRITES, op.JAVASCRIPT_REWRITES[0]], 1):
+    add(
+        f"r{_i}_{_r.code.lower()}", "v_lines",
+        lambda v, r=_r: op.rewrite(code(v), (r,)).where("changed").select("file_id", F.md5("modern").alias("digest"), F.col("changes")[0].alias("change"), F.col("warnings")[0]["line"].alias("line")),
+        f"""WITH c AS ({CODE}), n AS (SELECT *, len(regexp_extract_all(text, '{_duck(_r.pattern)}')) AS n FROM c),
+        f AS (SELECT file_id, min(line_no) AS line FROM v_lines WHERE regexp_matches(line, '{_duck(_r.pattern)}') GROUP BY file_id)
+        SELECT file_id, md5(regexp_replace(text, '{_duck(_r.pattern)}', '{_duck_to(_r)}', 'g')) AS digest, concat('{_r.message} (', n, CASE WHEN n = 1 THEN ' occurrence)' ELSE ' occurrences)' END) AS change, CAST(line AS INT) AS line FROM n JOIN f USING (file_id) WHERE n > 0""",
+    )
+
+_ALL_PYTHON = "text"
+for _r in op.PYTHON_REWRITES:
+    _ALL_PYTHON = f"regexp_replace({_ALL_PYTHON}, '{_duck(_r.pattern)}', '{_duck_to(_r)}', 'g')"
+add("r13_r14_rewrite", "v_lines", lambda v: op.rewrite(code(v), op.PYTHON_REWRITES).select("file_id", F.md5("modern").alias("digest"), "changed"), f"WITH c AS ({CODE}) SELECT file_id, md5({_ALL_PYTHON}) AS digest, {_ALL_PYTHON} <> text AS changed FROM c")
+add("r11_r12_strict_equality", "v_lines", lambda v: op.rewrite(code(v), op.JAVASCRIPT_REWRITES).where("changed").select("file_id", F.array_join("changes", " ").alias("changes"), F.md5("modern").alias("digest")), None)
+add(
+    "r15_syntax_gate", "v_lines", lambda v: op.syntax_gate(op.rewrite(code(v), op.JAVASCRIPT_REWRITES[:1])).groupBy("syntax_valid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("warnings")).alias("warnings")),
+    f"WITH c AS ({CODE}) SELECT true AS syntax_valid, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(text, '(?m)^(\\s*)var\\s+') THEN 1 ELSE 0 END) AS BIGINT) AS warnings FROM c",
+)
+add(
+    "r16_line_diff", "v_lines", lambda v: op.line_diff(op.rewrite(code(v), op.PYTHON_REWRITES), ["file_id"]).select("file_id", "line_no", "op", F.col("before").alias("was"), F.col("after").alias("now")),
+    f"SELECT file_id, CAST(line_no AS INT) AS line_no, 'changed' AS op, text AS was, {_ALL_PYTHON} AS now FROM (SELECT file_id, line_no, line AS text FROM v_lines) WHERE {_ALL_PYTHON} <> text",
+)
+_BREAKING = " + ".join(f"CASE WHEN regexp_matches(text, '{_duck(r.pattern)}') THEN 1 ELSE 0 END" for r in op.PYTHON_REWRITES if r.breaking)
+_HITS = " + ".join(f"CASE WHEN regexp_matches(text, '{_duck(r.pattern)}') THEN 1 ELSE 0 END" for r in op.PYTHON_REWRITES)
+add(
+    "a12_rewrite_rollup", "v_lines", lambda v: op.rewrite_rollup(op.syntax_gate(op.rewrite(code(v).withColumn("project_id", F.col("file_id") % 50), op.PYTHON_REWRITES)), ["project_id"]),
+    f"WITH c AS ({CODE}), r AS (SELECT file_id % 50 AS project_id, {_HITS} AS hits, {_BREAKING} AS breaking FROM c) SELECT project_id, count(*) AS analyzed, count(*) FILTER (hits > 0) AS changed, CAST(sum(hits) AS BIGINT) AS rule_groups, CAST(sum(breaking) AS BIGINT) AS breaking, count(*) FILTER (hits > 0) > 0 AND sum(breaking) = 0 AS safe FROM r GROUP BY 1",
+)
+add("k5_rewrite_bundle", "v_lines", lambda v: op.rewrite_bundle(op.syntax_gate(op.rewrite(code(v), op.PYTHON_REWRITES))).select("file_id", F.md5("modern").alias("digest")), f"WITH c AS ({CODE}) SELECT file_id, md5({_ALL_PYTHON}) AS digest FROM c WHERE {_ALL_PYTHON} <> text")
+add("k5_review_lines", "v_lines", lambda v: op.review_lines(op.rewrite(code(v), op.PYTHON_REWRITES[:1]), ["file_id"]), f"WITH c AS ({CODE}), n AS (SELECT file_id, len(regexp_extract_all(text, '\\bxrange\\s*\\(')) AS n FROM c) SELECT file_id, 'change' AS kind, concat('Replaced Python 2 xrange with range. (', n, CASE WHEN n = 1 THEN ' occurrence)' ELSE ' occurrences)' END) AS line FROM n WHERE n > 0 UNION ALL SELECT file_id, 'warning', 'PY2_XRANGE: Replaced Python 2 xrange with range.' FROM n WHERE n > 0")
+add("p8_changed_files", "v_lines", lambda v: op.changed_files(op.rewrite(code(v), op.PYTHON_REWRITES)).select("file_id"), f"WITH c AS ({CODE}) SELECT file_id FROM c WHERE {_ALL_PYTHON} <> text")
+add("p11_rewritable_files", "v_files", lambda f: f.select("doc_id", s.classify_language(F.col("relative_path")).alias("language")).where(F.col("language").isin("python", "javascript", "typescript")), "SELECT doc_id, CASE WHEN relative_path LIKE '%.py' THEN 'python' WHEN relative_path LIKE '%.js' THEN 'javascript' ELSE 'typescript' END AS language FROM v_files WHERE relative_path LIKE '%.py' OR relative_path LIKE '%.js' OR relative_path LIKE '%.ts'")
+add("lines_frame", "v_files", lambda f: op.lines(f, ["doc_id"]).select("doc_id", "line_no", F.md5("line").alias("digest")), "SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS line_no, md5(unnest(l[:n])) AS digest FROM (SELECT doc_id, string_split(content, chr(10)) AS l, len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) OR content = '' THEN 1 ELSE 0 END AS n FROM v_files)")
+for _i, _w in enumerate(op.WARNINGS, 1):
+    add(
+        f"l_{_w.language[:2]}_{_w.code.lower()}", "v_lines", lambda v, w=_w: op.scan_warnings(v, ["file_id"], (w,)).withColumn("line_no", F.col("line_no").cast("long")),
+        f"SELECT file_id, line_no, '{_w.code}' AS code, '{_w.severity}' AS severity, '{_w.message}' AS message FROM v_lines WHERE regexp_matches(line, '{_duck(_w.pattern)}')" + (f" AND NOT regexp_matches(line, '{_duck(_w.unless)}')" if _w.unless else ""),
+    )
+add("l8_high_complexity", "v_symbols", lambda y: y.where("complexity > 10 and kind = 'function'").select("module_id", "name", "ord", F.lit("HIGH_COMPLEXITY").alias("code")), "SELECT module_id, name, ord, 'HIGH_COMPLEXITY' AS code FROM v_symbols WHERE complexity > 10 AND kind = 'function'")
+add("l9_syntax_error", "v_modules", lambda m: m.where("parse_status = 'partial'").select("module_id", F.lit("SYNTAX_ERROR").alias("code")), "SELECT module_id, 'SYNTAX_ERROR' AS code FROM v_modules WHERE parse_status = 'partial'")
+add("w2_dedup_warnings", "v_warnings", lambda w: op.dedup_warnings(w, ["module_id"]), "SELECT module_id, code, line, message, arg_max(severity, ord) AS severity FROM v_warnings GROUP BY ALL")
+add("x1_python_imports", "v_lines", lambda v: facts.python_imports(v, ["file_id"]).select("file_id", "module_name", F.array_join("imported_symbols", ",").alias("symbols"), "is_relative", F.col("source_line").cast("long").alias("source_line")), "SELECT file_id, CASE WHEN line = 'import imp' THEN 'imp' ELSE 'os' END AS module_name, CASE WHEN line = 'import imp' THEN 'imp' ELSE '*' END AS symbols, false AS is_relative, line_no AS source_line FROM v_lines WHERE line IN ('import imp', 'from os import *')")
+add("x2_javascript_imports", "v_lines", lambda v: facts.javascript_imports(v, ["file_id"]).withColumn("source_line", F.col("source_line").cast("long")), "SELECT file_id, regexp_extract(line, '''([^'']+)''', 1) AS module_name, 'require' AS import_kind, line_no AS source_line FROM v_lines WHERE starts_with(line, 'const m')")
+add("x4_javascript_symbols", "v_lines", lambda v: facts.javascript_symbols(v, ["file_id"]).select("file_id", "kind", "name", F.col("start_line").cast("long").alias("start_line")), "SELECT file_id, CASE WHEN starts_with(line, 'function') THEN 'function' ELSE 'variable' END AS kind, regexp_extract(line, '^(?:function|var|const) (\\w+)', 1) AS name, line_no AS start_line FROM v_lines WHERE regexp_matches(line, '^(function|var|const) ')")
+add("x3_python_symbols", "v_lines", lambda v: facts.python_symbols(v, ["file_id"]).select("file_id", "kind", "name", F.col("start_line").cast("long").alias("start_line")), "SELECT file_id, CASE WHEN starts_with(line, 'def') THEN 'function' ELSE 'variable' END AS kind, CASE WHEN starts_with(line, 'def') THEN 'g' ELSE left(line, 1) END AS name, line_no AS start_line FROM v_lines WHERE regexp_matches(line, '^[xyz] = |^def ')")
+add("x5_exports", "v_lines", lambda v: facts.javascript_exports(v, ["file_id"]).withColumn("source_line", F.col("source_line").cast("long")), "SELECT file_id, CASE WHEN starts_with(line, 'exports') THEN 'q' ELSE 'default' END AS name, CASE WHEN starts_with(line, 'exports') THEN 'named' ELSE 'default' END AS kind, line_no AS source_line FROM v_lines WHERE starts_with(line, 'module.exports') OR starts_with(line, 'exports')")
+add("x6_calls", "v_lines", lambda v: facts.calls(v, ["file_id"]).select("file_id", "target_name", F.col("source_line").cast("long").alias("source_line")), "SELECT file_id, unnest(CASE WHEN line LIKE 'for i%' THEN ['xrange'] WHEN line LIKE '%iteritems%' THEN ['d.iteritems'] WHEN line LIKE '%iterkeys%' THEN ['d.iterkeys'] WHEN line LIKE '%itervalues%' THEN ['d.itervalues'] WHEN line LIKE '%raw_input%' THEN ['raw_input'] WHEN line LIKE '%require%' THEN ['require'] WHEN line LIKE '%isinstance%' THEN ['isinstance', 'unicode'] WHEN line LIKE 'function%' THEN ['eval'] ELSE [] END) AS target_name, line_no AS source_line FROM v_lines")
+add("x7_parameters", "v_lines", lambda v: facts.signatures(v, ["file_id"]).select("file_id", "name", F.col("line_no").cast("long").alias("line_no"), F.col("parameters")[0]["name"].alias("first")), "SELECT file_id, regexp_extract(line, '^(?:function|def) (\\w+)', 1) AS name, line_no, CASE WHEN starts_with(line, 'def') THEN 'a' ELSE 'cb' END AS first FROM v_lines WHERE regexp_matches(line, '^(function|def) ')")
+add("x8_entry_points", "v_lines", lambda v: facts.entry_points(v.withColumn("relative_path", F.when(F.col("file_id") % 7 == 0, "src/Index.js").otherwise("a.py")), ["file_id"]), "SELECT file_id, file_id % 7 = 0 AS is_entry_point FROM v_lines GROUP BY file_id")
+add("x9_decision_points", "v_lines", lambda v: v.groupBy("file_id").agg(F.sum(facts.decision_points(F.col("line"))).alias("points")), "SELECT file_id, CAST(sum(CASE WHEN line LIKE 'for i%' OR line LIKE 'except V%' OR line = '    except:' OR line LIKE 'if %' THEN 1 ELSE 0 END) AS BIGINT) AS points FROM v_lines GROUP BY file_id")
+add("u1_python_facts", "v_lines", lambda v: facts.python_facts(code(v), ["file_id"]), None)
+
+# dependency resolution
+_PATHS = {"en": "py", "fr": "js", "de": "ts"}
+
+
+def _resolved(imports, language):
+    own = imports.where(F.col("lang") == language).withColumns({"project_id": F.lit("all"), "relative_path": F.concat("lang", F.lit("/doc_"), "module_id", F.lit(f".{_PATHS[language]}")), "import_kind": F.lit("import")})
+    modules = imports.where("lang in ('en', 'fr', 'de')").select(F.lit("all").alias("project_id"), "module_id", F.concat("lang", F.lit("/doc_"), "module_id", F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".js").otherwise(".ts")).alias("relative_path"))
+    resolver = deps.resolve_python_imports if language == "en" else deps.resolve_javascript_imports
+    return resolver(own, modules, ["module_id"])
+
+
+def _sql(language):
+    return f"SELECT a.module_id, a.module_name, b.module_id AS target_id FROM v_imports a LEFT JOIN v_imports b ON b.module_id = (a.module_id * 7) % 1000 AND b.lang = '{language}' WHERE a.lang = '{language}'"
+
+
+add("j1_resolve_python_imports", "v_imports", lambda i: _resolved(i, "en").select("module_id", "module_name", "target_id"), _sql("en"))
+add("j2_resolve_javascript_imports", "v_imports", lambda i: _resolved(i, "fr").unionByName(_resolved(i, "de")).select("module_id", "module_name", "target_id"), f"{_sql('fr')} UNION ALL {_sql('de')}")
+add(
+    "j3_build_edges", "v_imports",
+    lambda i: deps.build_edges(_resolved(i, "en").unionByName(i.where("lang = 'es'").select("*", F.lit("").alias("relative_path"), F.lit("import").alias("import_kind"), F.lit(None).cast("long").alias("target_id")).withColumn("project_id", F.lit("all")), allowMissingColumns=True)).select("source_module_id", "target_module_id", "resolved", "edge_id"),
+    """WITH r AS (SELECT a.module_id AS source_module_id, coalesce(CAST(b.module_id AS VARCHAR), a.module_name) AS target_module_id, b.module_id IS NOT NULL AS resolved, a.source_line FROM v_imports a LEFT JOIN v_imports b ON b.module_id = (a.module_id * 7) % 1000 AND b.lang = 'en' WHERE a.lang = 'en'
+      UNION ALL SELECT module_id, CASE WHEN module_name = '' THEN 'external' ELSE 'os' END, false, source_line FROM v_imports WHERE lang = 'es')
+    SELECT source_module_id, target_module_id, resolved, concat('edge_', left(sha256(concat(source_module_id, ':', target_module_id, ':import:', source_line)), 12)) AS edge_id FROM r""",
+)
+add("w1_dedup_edges", "v_edges", lambda e: deps.dedup_edges(e.unionByName(e)).select("source_module_id", "target_module_id", "type", "source_line"), "SELECT DISTINCT source_module_id, target_module_id, type, source_line FROM v_edges")
+add("j4_split_external", "v_all_edges v_modules", lambda e, m: deps.split_external(e.where("source_module_id % 3 = 0"), m.where("module_id % 2 = 0"))[1].select("node_id"), "SELECT DISTINCT concat('ext:', target_module_id) AS node_id FROM v_all_edges WHERE source_module_id % 3 = 0 AND target_module_id NOT IN (SELECT module_id FROM v_modules WHERE module_id % 2 = 0)")
+add("f16_brackets_balanced", "documents", lambda d: d.select("doc_id", s.brackets_balanced(F.translate("text", "abc.,", "()[]{")).alias("balanced"), s.brackets_balanced_quoted(F.concat(F.lit("(\")\" ['('] `{` )"), F.when(F.col("doc_id") % 2 == 0, "}").otherwise(""))).alias("quoted")), None)

@@ -44,10 +44,11 @@ VIEWS = {
         complexity % 4 <> 0 AS syntax_valid, complexity % 7 <> 0 AS download_eligible, complexity AS test_count, CASE complexity % 5 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE 'not_run' END AS execution_status, CAST(complexity % 3 AS INT) AS iteration,
         CASE WHEN complexity % 6 = 0 THEN NULL ELSE CAST(complexity * 2 AS DOUBLE) END AS line_coverage FROM {v_modules} WHERE module_id % 3 = 0""",
     "v_lines": """SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_no,
-        CASE CAST(l_partkey % 12 AS INT) WHEN 0 THEN 'import imp' WHEN 1 THEN 'from os import *' WHEN 2 THEN concat('for i in xrange(', CAST(l_suppkey AS STRING), '):')
+        CASE CAST(l_partkey % 17 AS INT) WHEN 0 THEN 'import imp' WHEN 1 THEN 'from os import *' WHEN 2 THEN concat('for i in xrange(', CAST(l_suppkey AS STRING), '):')
         WHEN 3 THEN concat('    print "', l_returnflag, '"') WHEN 4 THEN 'except ValueError, exc:' WHEN 5 THEN '    except:' WHEN 6 THEN 'x = d.iteritems()'
         WHEN 7 THEN concat('y = raw_input("', CAST(l_suppkey AS STRING), '")') WHEN 8 THEN concat('var a', CAST(l_suppkey AS STRING), ' = b == ', CAST(l_suppkey AS STRING), ';')
         WHEN 9 THEN concat('const m', CAST(l_suppkey AS STRING), ' = require(', chr(39), './m', CAST(l_suppkey AS STRING), chr(39), ');') WHEN 10 THEN concat('module.exports = {{ a', CAST(l_suppkey AS STRING), ' }};')
+        WHEN 11 THEN 'z = d.iterkeys()' WHEN 12 THEN 'z = d.itervalues ()' WHEN 13 THEN 'if isinstance(s, basestring): s = unicode(s)' WHEN 14 THEN 'def g(a, b=[], c=1):' WHEN 15 THEN 'exports.q = 1;'
         ELSE concat('function f', CAST(l_suppkey AS STRING), '(cb) {{ eval("', CAST(l_suppkey AS STRING), '"); }}') END AS line FROM {lineitem}""",
     "v_urls": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('https://github.com/owner', CAST(page_id % 7 AS STRING), '/repo-', CAST(page_id AS STRING), CASE WHEN page_id % 2 = 0 THEN '.git' ELSE '' END) WHEN page_id % 31 = 1 THEN concat('https://user:pw@github.com/a/b', CAST(page_id AS STRING)) ELSE url END AS url FROM {pages}""",
 }
