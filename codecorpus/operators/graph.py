@@ -96,11 +96,12 @@ def dfs_cycles(edges: DataFrame, project: str = "project_id") -> DataFrame:
     its own stack, so long chains are no problem; a project's edges go to one task."""
     kind = edges.schema["source_module_id"].dataType.simpleString()
 
-    def walk(frame):
-        import pandas as pd
+    def walk(table):
+        import pyarrow as pa
 
+        rows = table.to_pydict()
         after: dict = {}
-        for a, b in sorted(zip(frame["source_module_id"], frame["target_module_id"], strict=True)):
+        for a, b in sorted(zip(rows["source_module_id"], rows["target_module_id"], strict=True)):
             if a != b:
                 after.setdefault(a, []).append(b)
         done, found = set(), {}
@@ -123,9 +124,11 @@ def dfs_cycles(edges: DataFrame, project: str = "project_id") -> DataFrame:
                     place[nxt] = len(path)
                     path.append(nxt)
                     open_edges.append(iter(dict.fromkeys(after.get(nxt, ()))))
-        return pd.DataFrame({project: [frame[project].iloc[0]] * len(found), "path": ["\x01".join(map(str, p)) for p in sorted(found, key=lambda p: (len(p), p))]}).astype({"path": "str"})
+        rings = [list(p) for p in sorted(found, key=lambda p: (len(p), p))]
+        ids = pa.list_(table.schema.field("source_module_id").type)
+        return pa.table({project: pa.array(rows[project][:1] * len(rings), table.schema.field(project).type), "path": pa.array(rings, ids)})
 
-    return edges.select(project, "source_module_id", "target_module_id").groupBy(project).applyInPandas(walk, f"{project} {edges.schema[project].dataType.simpleString()}, path string").withColumn("path", F.split("path", "\x01").cast(f"array<{kind}>"))
+    return edges.select(project, "source_module_id", "target_module_id").groupBy(project).applyInArrow(walk, f"{project} {edges.schema[project].dataType.simpleString()}, path array<{kind}>")
 
 
 def graph_edge_filter(edges: DataFrame, types: list[str] | None = None, include_external: bool = False) -> DataFrame:

@@ -10,7 +10,8 @@ COVERAGE = "struct<files:map<string,struct<summary:struct<num_statements:int,cov
 
 
 def scan_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """project_id, relative_path, content, size_bytes of every file under root/<project>/...; the size filter is pushed to the listing."""
+    """project_id, relative_path, content, size_bytes of every file under root/<project>/...; the size filter is pushed to the listing.
+    Spark lists no files or folders whose names begin with a dot or an underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     inside = F.substring_index(F.col("path"), f"{base}/", -1)
