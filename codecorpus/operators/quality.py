@@ -53,7 +53,7 @@ def module_counts(modules: DataFrame, symbols: DataFrame, warnings: DataFrame) -
 
 
 def warning_groups(warnings: DataFrame) -> DataFrame:
-    return warnings.groupBy("module_id", "code").agg(F.count(F.lit(1)).alias("n"), F.min_by("severity", "ord").alias("severity"))
+    return warnings.groupBy("module_id", "code").agg(F.count(F.lit(1)).alias("n"), F.min_by("severity", F.struct("ord", "severity")).alias("severity"))
 
 
 def first_n(df: DataFrame, n: int, keys: list[str], order: list, value: str) -> DataFrame:

@@ -146,5 +146,5 @@ def scan_warnings(line_rows: DataFrame, keys: list[str], rules: tuple[Warn, ...]
 
 
 def dedup_warnings(warnings: DataFrame, keys: list[str], line: str = "line", order: str = "ord") -> DataFrame:
-    """One row for each code, line and message; the severity of the last."""
-    return warnings.groupBy(*keys, "code", line, "message").agg(F.max_by("severity", order).alias("severity"))
+    """One row for each code, line and message; the severity of the last (of equal order, the larger)."""
+    return warnings.groupBy(*keys, "code", line, "message").agg(F.max_by("severity", F.struct(order, "severity")).alias("severity"))

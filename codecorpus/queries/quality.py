@@ -17,7 +17,7 @@ add("a5_warning_weight", "v_warnings", lambda w: op.warning_weight(w, ["module_i
 add("a6_node_metrics", "v_modules v_symbols v_warnings", lambda m, y, w: op.node_metrics(m, y, w.where("severity = 'risk'")).select("module_id", "symbol_count", "warning_count"), "SELECT m.module_id, (SELECT count(*) FROM v_symbols s WHERE s.module_id = m.module_id) AS symbol_count, (SELECT count(*) FROM v_warnings w WHERE w.module_id = m.module_id AND severity = 'risk') AS warning_count FROM v_modules m")
 add("a14_edge_resolution_counts", "v_all_edges", op.edge_resolution_counts, "SELECT project_id, count(*) FILTER (resolved) AS resolved_edges, count(*) FILTER (NOT resolved) AS unresolved_edges FROM v_all_edges GROUP BY 1")
 add("a15_module_counts", "v_modules v_symbols v_warnings", lambda m, y, w: op.module_counts(m, y, w).withColumn("codes", F.array_join("codes", ",")), "SELECT m.module_id, coalesce(c, 0) AS classes, coalesce(f, 0) AS functions, coalesce(codes, '') AS codes FROM v_modules m LEFT JOIN (SELECT module_id, count(*) FILTER (kind = 'class') AS c, count(*) FILTER (kind = 'function') AS f FROM v_symbols GROUP BY 1) s USING (module_id) LEFT JOIN (SELECT module_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM v_warnings GROUP BY 1) w USING (module_id)")
-add("a17_warning_groups", "v_warnings", op.warning_groups, "SELECT module_id, code, count(*) AS n, arg_min(severity, ord) AS severity FROM v_warnings GROUP BY 1, 2")
+add("a17_warning_groups", "v_warnings", op.warning_groups, "SELECT module_id, code, count(*) AS n, arg_min(severity, (ord, severity)) AS severity FROM v_warnings GROUP BY 1, 2")
 add("o1_union_warnings", "v_warnings v_symbols", lambda w, y: w.select("module_id", "code", "severity").unionByName(y.where("complexity > 10").select("module_id", F.lit("HIGH_COMPLEXITY").alias("code"), F.lit("warning").alias("severity"))).groupBy("code", "severity").count(), "SELECT code, severity, count(*) AS count FROM (SELECT code, severity FROM v_warnings UNION ALL SELECT 'HIGH_COMPLEXITY', 'warning' FROM v_symbols WHERE complexity > 10) GROUP BY ALL")
 add("w6_first_n", "v_symbols", lambda y: op.first_n(y, 5, ["module_id"], ["ord"], "name").withColumn("name", F.array_join("name", ",")), "SELECT module_id, string_agg(name, ',' ORDER BY ord) AS name FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY ord) AS r FROM v_symbols) WHERE r <= 5 GROUP BY 1")
 add("w7_largest_modules", "v_modules", lambda m: op.largest_modules(m).select("project_id", "module_id", "rank"), "SELECT project_id, module_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY line_count DESC, relative_path) AS rank FROM v_modules) WHERE rank <= 3")

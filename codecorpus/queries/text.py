@@ -66,7 +66,7 @@ for _i, _w in enumerate(op.WARNINGS, 1):
     )
 add("l8_high_complexity", "v_symbols", lambda y: y.where("complexity > 10 and kind = 'function'").select("module_id", "name", "ord", F.lit("HIGH_COMPLEXITY").alias("code")), "SELECT module_id, name, ord, 'HIGH_COMPLEXITY' AS code FROM v_symbols WHERE complexity > 10 AND kind = 'function'")
 add("l9_syntax_error", "v_modules", lambda m: m.where("parse_status = 'partial'").select("module_id", F.lit("SYNTAX_ERROR").alias("code")), "SELECT module_id, 'SYNTAX_ERROR' AS code FROM v_modules WHERE parse_status = 'partial'")
-add("w2_dedup_warnings", "v_warnings", lambda w: op.dedup_warnings(w, ["module_id"]), "SELECT module_id, code, line, message, arg_max(severity, ord) AS severity FROM v_warnings GROUP BY ALL")
+add("w2_dedup_warnings", "v_warnings", lambda w: op.dedup_warnings(w, ["module_id"]), "SELECT module_id, code, line, message, arg_max(severity, (ord, severity)) AS severity FROM v_warnings GROUP BY ALL")
 add("x1_python_imports", "v_lines", lambda v: facts.python_imports(v, ["file_id"]).select("file_id", "module_name", F.array_join("imported_symbols", ",").alias("symbols"), "is_relative", F.col("source_line").cast("long").alias("source_line")), "SELECT file_id, CASE WHEN line = 'import imp' THEN 'imp' ELSE 'os' END AS module_name, CASE WHEN line = 'import imp' THEN 'imp' ELSE '*' END AS symbols, false AS is_relative, line_no AS source_line FROM v_lines WHERE line IN ('import imp', 'from os import *')")
 add("x2_javascript_imports", "v_lines", lambda v: facts.javascript_imports(v, ["file_id"]).withColumn("source_line", F.col("source_line").cast("long")), "SELECT file_id, regexp_extract(line, '''([^'']+)''', 1) AS module_name, 'require' AS import_kind, line_no AS source_line FROM v_lines WHERE starts_with(line, 'const m')")
 add("x4_javascript_symbols", "v_lines", lambda v: facts.javascript_symbols(v, ["file_id"]).select("file_id", "kind", "name", F.col("start_line").cast("long").alias("start_line")), "SELECT file_id, CASE WHEN starts_with(line, 'function') THEN 'function' ELSE 'variable' END AS kind, regexp_extract(line, '^(?:function|var|const) (\\w+)', 1) AS name, line_no AS start_line FROM v_lines WHERE regexp_matches(line, '^(function|var|const) ')")

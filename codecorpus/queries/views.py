@@ -34,7 +34,7 @@ VIEWS = {
         CAST(l_quantity AS INT) AS complexity, l_orderkey * 100 + l_linenumber AS ord, l_suppkey % 4 = 0 AS is_async FROM {lineitem}""",
     "v_jobs": """SELECT o_orderkey AS job_id, o_custkey AS project_id, o_orderpriority AS source_type, CAST(o_orderdate AS DATE) AS created_at,
         CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'analyzing' END AS state FROM {orders}""",
-    "v_archive": """SELECT l_orderkey AS archive_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
+    "v_archive": """SELECT l_orderkey AS archive_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq,
         concat(CASE l_partkey % 37 WHEN 1 THEN '../' WHEN 2 THEN '/etc/' WHEN 3 THEN 'C:/' ELSE '' END, 'f', CAST(l_partkey AS STRING), CASE WHEN l_partkey % 23 = 0 THEN '/../../../x' ELSE '.py' END) AS filename,
         CAST(CASE WHEN l_suppkey % 41 = 0 THEN 1 ELSE 0 END AS INT) AS flag_bits, CAST(floor(l_extendedprice) AS BIGINT) AS file_size, CAST(floor(l_quantity) AS BIGINT) AS compress_size,
         CAST(CASE l_partkey % 29 WHEN 4 THEN 2716663808 WHEN 5 THEN 275513344 ELSE 2175008768 END AS BIGINT) AS external_attr FROM {lineitem}""",
@@ -43,7 +43,7 @@ VIEWS = {
     "v_tests": """SELECT project_id, module_id AS test_id, relative_path AS target_relative_path, concat('tests/test_', CAST(module_id AS STRING), '.py') AS safe_test_path, CASE WHEN language = 'python' THEN 'pytest' ELSE 'jest' END AS framework,
         complexity % 4 <> 0 AS syntax_valid, complexity % 7 <> 0 AS download_eligible, complexity AS test_count, CASE complexity % 5 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE 'not_run' END AS execution_status, CAST(complexity % 3 AS INT) AS iteration,
         CASE WHEN complexity % 6 = 0 THEN NULL ELSE CAST(complexity * 2 AS DOUBLE) END AS line_coverage FROM {v_modules} WHERE module_id % 3 = 0""",
-    "v_lines": """SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_no,
+    "v_lines": """SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS line_no,
         CASE CAST(l_partkey % 17 AS INT) WHEN 0 THEN 'import imp' WHEN 1 THEN 'from os import *' WHEN 2 THEN concat('for i in xrange(', CAST(l_suppkey AS STRING), '):')
         WHEN 3 THEN concat('    print "', l_returnflag, '"') WHEN 4 THEN 'except ValueError, exc:' WHEN 5 THEN '    except:' WHEN 6 THEN 'x = d.iteritems()'
         WHEN 7 THEN concat('y = raw_input("', CAST(l_suppkey AS STRING), '")') WHEN 8 THEN concat('var a', CAST(l_suppkey AS STRING), ' = b == ', CAST(l_suppkey AS STRING), ';')
