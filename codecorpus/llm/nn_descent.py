@@ -72,6 +72,8 @@ def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int, least: np.ndarray, fr
 def _first_lists(nodes: DataFrame, dims: int) -> DataFrame:
     """Edges between nodes that are close along random directions."""
     spark, out = nodes.sparkSession, None
+    n = nodes.count()
+    size, most = max(1, min(4 * c.partitions(spark), n // (2 * CHUNK))), K if n <= CHUNK else K // 4
     for p in range(PROJECTIONS):
         direction = np.random.default_rng(p).normal(size=dims).tolist()
         along = F.aggregate(F.zip_with("x", F.array(*map(F.lit, direction)), lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
@@ -84,9 +86,8 @@ def _first_lists(nodes: DataFrame, dims: int) -> DataFrame:
                 for a in range(0, max(n - CHUNK // 2, min(n, 1)), CHUNK // 2):  # chunks overlap by half
                     own = slice(a, a + CHUNK)
                     m = len(ids[own])
-                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in _best_pairs(ids[own], x[own], K // 4, np.full(m, -np.inf), np.ones(m, bool))], ["a", "b", "sim"])
+                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in _best_pairs(ids[own], x[own], most, np.full(m, -np.inf), np.ones(m, bool))], ["a", "b", "sim"])
 
-        size = max(1, min(4 * c.partitions(spark), 1 << 16))
         part = nodes.select("node", "x").withColumn("along", along).repartitionByRange(size, "along").sortWithinPartitions("along").select("node", "x").mapInArrow(compare, EDGES)
         out = part if out is None else out.unionByName(part)
     return out
