@@ -36,20 +36,26 @@ def top_connected(with_degrees: DataFrame, k: int = 5, project: str = "project_i
     return with_degrees.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def reachable(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id", max_rounds: int = 64) -> DataFrame:
-    """(start, reached) over all paths of one edge or more. Each round joins what is known with itself, so paths double
-    in length and rounds are logarithmic in the longest one; a round's table is checkpointed."""
+def reachable(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
+    """(start, reached) over all paths of one edge or more.
+
+    Semi-naive: a round extends only the pairs that the last one found, by one edge, or by all known paths where few rows
+    would come of it (long, thin graphs then need a logarithmic number of rounds). Each round's table is checkpointed.
+    """
     known = settled(edges.select(F.col(source).alias("start"), F.col(target).alias("reached")).distinct())
-    fresh, n = known, known.count()
-    for _ in range(max_rounds):
-        step = fresh.withColumnRenamed("reached", "via").join(known.select(F.col("start").alias("via"), "reached"), "via").select("start", "reached")
-        back = known.withColumnRenamed("reached", "via").join(fresh.select(F.col("start").alias("via"), "reached"), "via").select("start", "reached")
-        fresh = settled(step.unionByName(back).distinct().join(known, ["start", "reached"], "left_anti"))
-        more = fresh.count()
+    single, fresh, n = known, known, known.count()
+    while True:
+        ends = fresh.groupBy(F.col("reached").alias("via")).agg(F.count(F.lit(1)).alias("a"))
+        more = ends.join(known.groupBy(F.col("start").alias("via")).agg(F.count(F.lit(1)).alias("b")), "via").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
         if not more:
             return known
-        known, n = settled(known.unionByName(fresh)), n + more
-    raise RuntimeError(f"paths longer than 2**{max_rounds}")
+        onward = known if more <= 4 * n else single
+        step = fresh.withColumnRenamed("reached", "via").join(onward.select(F.col("start").alias("via"), "reached"), "via").select("start", "reached")
+        fresh = settled(step.distinct().join(known, ["start", "reached"], "left_anti"))
+        found = fresh.count()
+        if not found:
+            return known
+        known, n = settled(known.unionByName(fresh)), n + found
 
 
 def transitive_dependents(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
@@ -62,11 +68,46 @@ def blast_radius(modules: DataFrame, dependents: DataFrame, node: str = "module_
     return modules.join(counts, node, "left").fillna(0, ["blast_radius"])
 
 
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, l): the least label that reaches each node along edges (a, b), its own included. One narrow join a round."""
+    while True:
+        near = edges.join(labels.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("l").alias("m"))
+        new = settled(labels.join(near, "v", "left").select("v", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved")))
+        labels = new.select("v", "l")
+        if new.where("moved").isEmpty():
+            return labels
+
+
 def cyclic_components(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
-    """(module_id, component) of the modules on a cycle; a component's id is its least member."""
-    reach = reachable(edges.where(F.col(source) != F.col(target)), source, target)
-    mutual = reach.join(reach.select(F.col("start").alias("reached"), F.col("reached").alias("start")), ["start", "reached"])
-    return mutual.groupBy(F.col("start").alias("module_id")).agg(F.min("reached").alias("component"))
+    """(module_id, component) of the modules on a cycle; a component's id is its least member.
+
+    By colours: nodes without a way in or out are trimmed, the least id that reaches a node is its colour, and what
+    reaches that id back within the colour is its component; these nodes leave and the rest goes on. No pairs of nodes
+    are ever made.
+    """
+    left = settled(edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("a"), F.col(target).alias("b")).distinct())
+    kind = left.schema["a"].dataType.simpleString()
+    found = left.sparkSession.createDataFrame([], f"module_id {kind}, component {kind}")
+    n = left.count()
+    while n:
+        while True:
+            kept = settled(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            left, n, before = kept, kept.count(), n
+            if n == before:
+                break
+        if not n:
+            break
+        colours = _spread(left.select(F.col("a").alias("v")).distinct().withColumn("l", F.col("v")), left)
+        inside = settled(left.join(colours.select(F.col("v").alias("a"), F.col("l").alias("ca")), "a").join(colours.select(F.col("v").alias("b"), F.col("l").alias("cb")), "b").where("ca = cb").select("a", "b"))
+        # backwards from each colour's own node: 0 spreads to what reaches it
+        marks = _spread(colours.select("v", F.when(F.col("v") == F.col("l"), 0).otherwise(1).alias("l")), inside.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        members = settled(marks.where("l = 0").select("v").join(colours, "v"))
+        found = settled(found.unionByName(members.select(F.col("v").alias("module_id"), F.col("l").alias("component"))))
+        gone = members.select("v")
+        left = settled(left.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti").select("a", "b"))
+        n = left.count()
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(sizes, "component", "left_semi").select("module_id", "component")
 
 
 def cycles(edges: DataFrame, max_length: int = 4, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
