@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = (
     "s10_project_rollup", "s12_audit_archive", "lines_frame", "r13_r14_rewrite", "r16_line_diff", "x1_python_imports", "x6_calls", "j1_resolve_python_imports",
-    "a1_module_complexity", "a7_degrees", "g1_transitive_dependents", "g4_cyclic_components", "g7_module_graph", "w4_top_priorities", "g9_change_impact", "w5_phase_files", "a9_readiness", "x11_test_plan", "a11_coverage_rollup", "k3_mermaid_report",
+    "a1_module_complexity", "a7_degrees", "g1_transitive_dependents", "g7_module_graph", "w4_top_priorities", "g9_change_impact", "w5_phase_files", "a9_readiness", "x11_test_plan", "a11_coverage_rollup", "k3_mermaid_report",
 )
 
 
