@@ -29,7 +29,7 @@ from codecorpus.llm import common as c
 
 U = np.uint64
 #: Share of the records with a segment of at most one n-gram that are taken to share it by chance, in the cost model.
-COMMON = 0.01
+COMMON = 1e-4
 #: Members of one block of a residual key; two blocks are compared in one task.
 BLOCK = 256
 #: Buckets whose counts bound two sets' difference from below.
@@ -262,11 +262,14 @@ SMALL = 32
 
 def links(docs: DataFrame, classes: DataFrame, k: int, t: Threshold, schemes: Schemes) -> DataFrame:
     """Enough links (a, b) between representatives of different sets to connect all that similar pairs connect."""
-    known = c.kept(index(docs, k, schemes).groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("key"), "keys")
-    # the members of shared keys; the keys are the small side
-    members = c.kept(index(docs, k, schemes).join(known.hint("shuffle_hash"), "key").distinct(), "members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    degree = members.join(sizes, "key").groupBy("sig").agg(F.sum("size").alias("degree"))
+    # keys that come once go here, in partial sums of one small number each
+    known = c.kept(index(docs, k, schemes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    # the rows of the others; the keys are the small side, and equal sets count once
+    rows = c.kept(index(docs, k, schemes).join(known.hint("shuffle_hash"), "key").distinct(), "rows")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = c.kept(rows.join(sizes, "key"), "members")
+    degree = members.groupBy("sig").agg(F.sum("size").alias("degree"))
+    members = members.select("key", "sig")
     # a key's pivot is its member with the most company: of near copies, mostly their original
     pivots = c.kept(members.join(degree, "sig").groupBy("key").agg(F.max(F.struct("degree", "sig")).alias("p"), F.count(F.lit(1)).alias("size")).select("key", F.col("p.sig").alias("x"), "size"), "pivots")
     shared = members.withColumnRenamed("sig", "y").join(pivots, "key").where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
