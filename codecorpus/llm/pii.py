@@ -93,11 +93,15 @@ GENERATORS = {
 _hints = (("mail", "email", "contact"), ("ip", "host", "server", "addr"), ("card", "visa", "credit", "pay"), ("phone", "call", "tel", "fax", "mobile"), ("password", "token", "secret", "key", "passwd", "pwd"))
 
 
+#: What an email's generator can't match without.
+_at = re.compile(r"@|\(at\)|\[at\]|\sat\s")
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Overlapping spans of all generators; none where a text has neither digits nor an @."""
-    if not (_digit.search(text) or "@" in text):
-        return []
-    return [(kind, *m.span()) for kind, pattern in GENERATORS.items() for m in pattern.finditer(text) if kind == "email" or _digit.search(m[0])]
+    """Overlapping spans of all generators. Each is left out only of texts without what its own pattern needs: an at sign or word, or a digit."""
+    digit = _digit.search(text) is not None
+    own = lambda kind: kind == "secret" or (digit if kind != "email" else _at.search(text) is not None)
+    return [(kind, *m.span()) for kind, pattern in GENERATORS.items() if own(kind) for m in pattern.finditer(text)]
 
 
 def describe(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -218,18 +222,28 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: fl
     return Boosted(prior, tuple(trees), rate, tuple(thresholds))
 
 
-def spans(text: str, model: Boosted) -> list[tuple[str, int, int]]:
-    """All spans of a text, by kind and start: those of the fixed patterns, and selected others that overlap none of them."""
-    base = base_spans(text)
-    proposed = [x for x in candidates(text) if x not in base]
-    if not proposed or not model.trees:
-        return base
-    p = model.scores(np.array([describe(text, *x) for x in proposed], float))
+def spans(texts: list[str], model: Boosted) -> list[list[tuple[str, int, int]]]:
+    """All spans of each text, by kind and start: those of the fixed patterns, and selected others that overlap none of them. The texts' candidates are scored at once."""
+    bases = [base_spans(t) for t in texts]
+    if not model.trees:
+        return bases
+    proposed = [[x for x in candidates(t) if x not in base] for t, base in zip(texts, map(set, bases), strict=True)]
+    rows = [describe(t, *x) for t, own in zip(texts, proposed, strict=True) for x in own]
+    if not rows:
+        return bases
+    scores = model.scores(np.array(rows, float))
+    cut = np.cumsum([len(own) for own in proposed])[:-1]
+    return [selected(base, own, p, model) if own else base for base, own, p in zip(bases, proposed, np.split(scores, cut), strict=True)]
+
+
+def selected(base: list[tuple[str, int, int]], proposed: list[tuple[str, int, int]], p: np.ndarray, model: Boosted) -> list[tuple[str, int, int]]:
+    """The fixed spans and those of the proposed ones that their scores select, likeliest first."""
+    least = np.array([model.thresholds[KINDS.index(kind)] for kind, _, _ in proposed])
     taken = [(a, b) for _, a, b in base]
     extra = []
     for i in np.argsort(-p, kind="stable").tolist():
         kind, a, b = proposed[i]
-        if p[i] >= model.thresholds[KINDS.index(kind)] and all(b <= x or y <= a for x, y in taken):
+        if p[i] >= least[i] and all(b <= x or y <= a for x, y in taken):
             taken.append((a, b))
             extra.append(proposed[i])
     return sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -264,7 +278,7 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
 
     def step(ids: list, texts: list[bytes]) -> dict:
         texts = [t.decode() for t in texts]
-        return {"doc_id": pa.array(ids, pa.int64()), "base": pa.array([named(base_spans(t)) for t in texts], _span), "spans": pa.array([named(spans(t, model)) for t in texts], _span)}
+        return {"doc_id": pa.array(ids, pa.int64()), "base": pa.array([named(base_spans(t)) for t in texts], _span), "spans": pa.array([named(s) for s in spans(texts, model)], _span)}
 
     return c.map_blocks(c.clean_docs(docs), step, SCHEMA)
 
@@ -275,14 +289,16 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for t in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                parts, at = [], 0
-                for k, a, b in sorted(spans(t, model), key=lambda s: (s[1], s[2])) if t else ():
-                    if a >= at:
-                        parts += [t[at:a], f"[{k.upper()}]"]
-                    at = max(at, b)
-                out.append(None if t is None else "".join([*parts, t[at:]]))
+            out, column = [], batch.column(batch.schema.get_field_index("text"))
+            for first, end in c.blocks(column.cast(pa.binary())):
+                texts = column.slice(first, end - first).to_pylist()
+                for t, found in zip(texts, spans([t or "" for t in texts], model), strict=True):
+                    parts, at = [], 0
+                    for k, a, b in sorted(found, key=lambda s: (s[1], s[2])):
+                        if a >= at:
+                            parts += [t[at:a], f"[{k.upper()}]"]
+                        at = max(at, b)
+                    out.append(None if t is None else "".join([*parts, t[at:]]))
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
     done = docs.mapInArrow(run, docs.schema)

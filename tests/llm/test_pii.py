@@ -75,3 +75,22 @@ def test_redaction_and_awkward_rows(spark):
     assert one.text == "write [EMAIL] or [PHONE] now" and one.n_chars == len(one.text)
     assert done.where("text is null").count() == docs.where("text is null").count()
     assert pii.find(docs.limit(0)).count() == 0 == pii.redact(docs.limit(0)).count()
+
+
+def test_each_generator_has_its_own_gate():
+    for text, span in (("write to jane.doe [at] example [dot] com", "jane.doe [at] example [dot] com"), ("jane.doe(at)example.com", "jane.doe(at)example.com"), ("ask jane at example dot com", "jane at example dot com")):
+        assert ("email", text.index(span), text.index(span) + len(span)) in pii.candidates(text)
+        assert [x for x in pii.candidates(text + " 7 @") if x[0] == "email"] == [x for x in pii.candidates(text) if x[0] == "email"]
+    assert pii.candidates("password=correcthorsebatterystaple") == [("secret", 9, 34)]
+    assert pii.candidates("no such thing here") == []
+
+
+def test_spans_without_digits_are_found(spark):
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, f"{cases.prose(i, 12)} {[f'{letters(6)} [at] {letters(5)} [dot] com', f'password={letters(24)}', letters(20), f'{letters(4)} at home. {letters(5)}'][i % 4]} {cases.prose(i + 5000, 5)}", *[None] * 7) for i in range(900)]
+    found = {x.doc_id: {s.kind for s in x.spans} for x in pii.find(cases.table(spark, rows)).collect()}
+    for want, kind in enumerate(("email", "secret")):
+        own = [kind in found[i] for i in range(900) if i % 4 == want]
+        assert sum(own) > 0.9 * len(own)
+    assert sum(bool(found[i]) for i in range(900) if i % 4 > 1) < 0.05 * 450
