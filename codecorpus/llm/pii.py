@@ -5,14 +5,16 @@ each from its format and the words around it; a threshold per kind, set on held-
 precision holds, selects. Overlapping selected spans give way to the likelier one. Spans of the fixed patterns always
 stay.
 
-The trees are fitted to the candidates of a bounded number of texts, labelled by the strict validators that the
-features don't contain; everything else is done where the texts are, without a shuffle.
+The trees are fitted to a bounded number of candidates of each kind, drawn by least hash from all texts and labelled by
+the strict validators that the features don't contain; the thresholds come from histograms of the scores of all other
+candidates. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 from codecorpus.llm import common as c
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Texts that the trees are fitted to, at most.
-FIT_TEXTS = 4000
+#: Candidates of each kind that are drawn to fit the trees, at most. A third of them is held out.
+FIT_CANDIDATES = 8000
+#: Bins of a histogram of scores, which lie in 0 to 1.
+BINS = 1 << 14
+#: Partitions that the drawn candidates pass through on their way to the driver.
+FEWER = 16
 PRECISION = 0.97
 
 # -- fixed patterns ------------------------------------------------------------------------------------------------
@@ -193,16 +199,18 @@ class Boosted:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, ridge: float = 1.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, ridge: float = 1.0, held: np.ndarray | None = None) -> Boosted:
     """Boosted trees on two thirds of the candidates; on the others the lowest threshold of each kind that keeps PRECISION.
 
-    Kinds without held-out positives get a threshold that nothing reaches.
+    Kinds without held-out positives get a threshold that nothing reaches. `held` marks the candidates to hold out.
     """
     never = (2.0,) * len(KINDS)
     if len(y) < 30 or y.all() or not y.any():
         return Boosted(0.0, (), rate, never)
-    held = np.arange(len(y)) % 3 == 0
+    held = np.arange(len(y)) % 3 == 0 if held is None else held
     own, z = x[~held], y[~held].astype(float)
+    if not len(z) or z.all() or not z.any():
+        return Boosted(0.0, (), rate, never)
     edges = [np.unique(np.quantile(own[:, f], np.linspace(0, 1, 33)[1:-1], method="lower")) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, own[:, f], "left") for f, e in enumerate(edges)], 1)
     prior = float(np.log(z.mean() / (1 - z.mean())))
@@ -252,16 +260,118 @@ def selected(base: list[tuple[str, int, int]], proposed: list[tuple[str, int, in
 # -- over tables ---------------------------------------------------------------------------------------------------
 
 
-def fitted(docs: DataFrame, most: int = FIT_TEXTS) -> Boosted:
-    """The model of the candidates of at most `most` texts."""
-    def step(ids: list, texts: list[bytes]) -> dict | None:
-        found = [[*describe(t, *x), float(label(t, *x))] for t in map(bytes.decode, texts) for x in candidates(t)[:200]]
-        return {"x": found} if found else None
+def place(doc_id: int | None, text: str, kind: str, a: int, b: int) -> int:
+    """A candidate's 63-bit hash by its row, place and surroundings: it orders candidates alike however the table is dealt out."""
+    near = text[max(0, a - 24) : b + 8].encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(f"{doc_id} {kind} {a} {b} ".encode() + near, digest_size=8).digest(), "little") >> 1
+
+
+DRAWN = "kind int, hash long, x array<double>, y boolean"
+
+
+def _least(found: dict[int, list], most: int) -> None:
+    for k, rows in found.items():
+        rows.sort(key=lambda r: (r[0], r[1]))
+        del rows[most:]
+
+
+def _drawn_batches(found: dict[int, list]):
+    rows = [(k, *r) for k, own in found.items() for r in own]
+    for i in range(0, len(rows), 4096):
+        k, h, x, y = zip(*rows[i : i + 4096], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(h, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], ["kind", "hash", "x", "y"])
+
+
+def drawn(docs: DataFrame, most: int) -> DataFrame:
+    """kind, hash, features and label of the `most` candidates of least hash of each kind, over all texts: each partition keeps its own least, then the least of several are merged."""
+
+    def draw(batches):
+        found: dict[int, list] = {k: [] for k in range(len(KINDS))}
+        bound = [1 << 63] * len(KINDS)
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for x in candidates(t):
+                    k = KINDS.index(x[0])
+                    if (h := place(i, t, *x)) <= bound[k]:
+                        found[k].append((h, describe(t, *x), label(t, *x)))
+                        if len(found[k]) >= 2 * most:
+                            _least({k: found[k]}, most)
+                            bound[k] = found[k][-1][0]
+        _least(found, most)
+        yield from _drawn_batches(found)
+
+    def merge(batches):
+        found: dict[int, list] = {k: [] for k in range(len(KINDS))}
+        for batch in batches:
+            for k, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                found[k].append(tuple(row))
+                if len(found[k]) >= 2 * most:
+                    _least({k: found[k]}, most)
+        _least(found, most)
+        yield from _drawn_batches(found)
+
+    own = c.clean_docs(docs).mapInArrow(draw, DRAWN)
+    return own.repartition(FEWER, "hash").mapInArrow(merge, DRAWN).repartition(1).mapInArrow(merge, DRAWN)
+
+
+HISTOGRAM = "kind int, bin int, n long, hits long"
+
+
+def histogram(docs: DataFrame, model: Boosted, bounds: list[int]) -> DataFrame:
+    """kind, bin, n, hits: scores of all candidates that the trees weren't fitted to, and how many of them the rules affirm.
 
-    sample = c.clean_docs(docs).limit(most)
-    rows = c.map_blocks(sample, step, "x array<double>").limit(50 * most).toPandas()["x"].tolist()
-    x = np.array(rows, float) if len(rows) else np.zeros((0, 2))
-    return fit(x[:, :-1], x[:, -1] > 0.5)
+    bounds has for each kind the greatest hash of those drawn; a third of the drawn ones (by hash) is held out.
+    """
+
+    def count(batches):
+        n, hits = np.zeros((2, len(KINDS) * BINS), np.int64)
+        for batch in batches:
+            texts = batch.column(1)
+            for first, end in c.blocks(texts.cast(pa.binary())):
+                rows, at, good = [], [], []
+                for i, t in zip(batch.column(0).slice(first, end - first).to_pylist(), texts.slice(first, end - first).to_pylist(), strict=True):
+                    for x in candidates(t):
+                        k = KINDS.index(x[0])
+                        h = place(i, t, *x)
+                        if h > bounds[k] or h % 3 == 0:
+                            rows.append(describe(t, *x))
+                            at.append(k)
+                            good.append(label(t, *x))
+                if rows:
+                    bins = np.array(at) * BINS + np.minimum((model.scores(np.array(rows, float)) * BINS).astype(np.int64), BINS - 1)
+                    n += np.bincount(bins, minlength=len(n))
+                    hits += np.bincount(bins[np.array(good)], minlength=len(n))
+        used = np.flatnonzero(n)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used // BINS, pa.int32()), pa.array(used % BINS, pa.int32()), pa.array(n[used]), pa.array(hits[used])], ["kind", "bin", "n", "hits"])
+
+    return c.clean_docs(docs).mapInArrow(count, HISTOGRAM).groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
+def calibrated(model: Boosted, rows: list) -> Boosted:
+    """The model with the lowest threshold of each kind that keeps PRECISION over a histogram's rows."""
+    thresholds = []
+    for k in range(len(KINDS)):
+        own = sorted((r for r in rows if r["kind"] == k), key=lambda r: -r["bin"])
+        n, hits = (np.cumsum([r[name] for r in own], dtype=np.int64) for name in ("n", "hits"))
+        good = np.flatnonzero((hits >= PRECISION * n) & (hits >= 5))
+        thresholds.append(max(0.5, own[good[-1]]["bin"] / BINS) if len(good) else 2.0)
+    return replace(model, thresholds=tuple(thresholds))
+
+
+def fitted(docs: DataFrame, most: int = FIT_CANDIDATES) -> Boosted:
+    """The model of at most `most` candidates of each kind, drawn from all texts, with thresholds over all the others.
+
+    Kinds with fewer than 5 other candidates that the rules affirm, in the whole table, get a threshold that nothing reaches.
+    """
+    found = drawn(docs, most).toPandas().sort_values(["hash", "kind"], kind="stable")
+    x = np.array(found["x"].tolist(), float) if len(found) else np.zeros((0, 1))
+    hashes, kinds = found["hash"].to_numpy(np.int64), found["kind"].to_numpy()
+    model = fit(x, found["y"].to_numpy(bool), held=hashes % 3 == 0)
+    if not model.trees:
+        return model
+    bounds = [int(hashes[kinds == k].max(initial=-1)) for k in range(len(KINDS))]
+    return calibrated(model, histogram(docs, model, bounds).collect())
 
 
 SCHEMA = "doc_id long, base array<struct<kind:string,start:long,end:long>>, spans array<struct<kind:string,start:long,end:long>>"

@@ -94,3 +94,25 @@ def test_spans_without_digits_are_found(spark):
         own = [kind in found[i] for i in range(900) if i % 4 == want]
         assert sum(own) > 0.9 * len(own)
     assert sum(bool(found[i]) for i in range(900) if i % 4 > 1) < 0.05 * 450
+
+
+def test_the_model_sees_all_rows(spark):
+    """Secrets that only late rows hold, and only behind 300 other candidates of their text; the draw doesn't depend on partitions."""
+    r = random.Random(6)
+    numbers = " ".join(str(r.randrange(10**12, 10**15)) for _ in range(300))
+    rows = [(i, f"host 10.0.{i % 256}.{i % 97} {cases.prose(i, 8)}", *[None] * 7) for i in range(4200)]
+    rows += [(i, f"{numbers if i % 10 == 0 else ''} {cases.prose(i, 6)} password={hashlib.md5(str(i).encode()).hexdigest()[:18]} {cases.prose(i + 1, 3)}", *[None] * 7) for i in range(4200, 4320)]
+    docs = cases.table(spark, rows)
+    model = pii.fitted(docs)
+    assert model.thresholds[pii.KINDS.index("secret")] <= 1
+    late = pii.find(docs.where("doc_id >= 4200"), model).collect()
+    assert sum(any(s.kind == "secret" for s in x.spans) for x in late) > 0.9 * len(late) == 108
+    draw = lambda df: sorted((x.kind, x.hash, x.y) for x in pii.drawn(df, 50).collect())
+    everything = sorted((pii.KINDS.index(x[0]), pii.place(i, t, *x), pii.label(t, *x)) for i, t, *_ in rows for x in pii.candidates(t))
+    assert draw(docs.repartition(7)) == draw(docs.coalesce(1)) == [x for k in range(5) for x in [x for x in everything if x[0] == k][:50]]
+
+
+def test_thresholds_come_from_all_other_candidates():
+    model = pii.Boosted(0.0, (), 0.3, (2.0,) * 5)
+    rows = [{"kind": 4, "bin": pii.BINS - 1, "n": 97, "hits": 97}, {"kind": 4, "bin": 9000, "n": 3, "hits": 0}, {"kind": 4, "bin": 8999, "n": 1, "hits": 0}, {"kind": 0, "bin": 16000, "n": 4, "hits": 4}]
+    assert pii.calibrated(model, rows).thresholds == (2.0, 2.0, 2.0, 2.0, 9000 / pii.BINS)
