@@ -33,67 +33,101 @@ TAG = "spdx license identifier"
 #: Families of identifiers in expressions, by their beginning.
 FAMILIES = {"mit": "mit", "apache": "apache", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "cc-by": "cc-by", "cc0": "cc0", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib"}
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib"}
-PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+PRECEDENCE = {"or": 1, "and": 2}
+#: SPDX identifiers that have neither a digit nor a hyphen, so that only their names tell them from prose.
+BARE = frozenset("aal abstyles adsl afmparse aladdin aml ampas apafml barr beerware blessing caldera catharon clartistic clips crossword crystalstacker cube curl diffmark dotseqn dsdp dtoa dvipdfm entessa epics etalab eurosym fsfap fsful ftl furuseth fwlw giftware glide glulxe gnuplot gtkbook haskellreport hdparm hpnd htmltidy icu ijg imagemagick imatix intel ipa jam jpnic jplicense json kastrup leptonica libpng libtiff lsof magaz mailprio maketindex miros motosoto mtll mup naist naumen ncsa netcdf newsletr ngpl nlpl nokia noweb nrl ntp oclc ogtsl oldap openpbs openssl padl php pixar plexus postgresql psfrag psutils python qhull radvd rdisc ruby saxpath scea schemereport sendmail sissl sleepycat smppl snia snprintf softsurfer soundex spl swl swrule symlinks tcl tgppl threeparttable tmate tosl ttwl ucar ulem unixcrypt upl vim vostrom wsuipa wtfpl xerox xfig xinetd xlock xnet xpp xskat xzoom zed zeeff".split())
+_identifier = re.compile(r"(?=[^-0-9]*[-0-9])(?=[^a-z]*[a-z])[a-z0-9][a-z0-9._+:-]*")
+_token = re.compile(r"[()]|[^\s()]+")
 
 _to_space = bytes(0x20 if c.NOT_ALNUM[b] else b for b in c.LOWER)
 
 
-def expression(text: str) -> tuple[set[str], bool] | None:
-    """The licences that an expression names, and whether it can be met by permissive ones alone; None if it isn't one.
+def licence(token: str) -> str | None:
+    """The family of an identifier, an unknown identifier's own name, None for what isn't one."""
+    family = next((v for k, v in FAMILIES.items() if token.startswith(k)), None)
+    return family or (token if token in BARE or _identifier.fullmatch(token) else None)
+
+
+def parse(text: str) -> tuple[tuple[set[str], bool] | None, bool]:
+    """The longest beginning of a text that is an expression (None if there is none), and whether it is the whole text. One pass.
 
     Operands and operators go through a shunting yard: `with` binds closest, then `and`, then `or`; parentheses group.
+    Unknown identifiers are operands too, and not permissive.
     """
-    tokens = text.lower().replace("(", " ( ").replace(")", " ) ").split()
-    values: list[tuple[set[str], bool]] = []
+    names: list[str] = []  # of all operands so far
+    values: list[bool] = []
     pending: list[str] = []
-
-    def apply(op: str) -> bool:
-        if len(values) < 2:
-            return False
-        right, left = values.pop(), values.pop()
-        # an exception only loosens the licence that it stands with
-        free = left[1] if op == "with" else left[1] and right[1] if op == "and" else left[1] or right[1]
-        values.append((left[0] if op == "with" else left[0] | right[0], free))
-        return True
-
-    operand = True
-    for token in tokens:
-        if operand and token == "(":
+    opened = 0
+    best: tuple[int, bool] | None = None  # operands of the longest expression so far, and whether it is permissive
+    whole = False
+
+    def both(op: str, left: bool, right: bool) -> bool:
+        return left and right if op == "and" else left or right
+
+    def reduce(least: int) -> None:
+        while pending and PRECEDENCE.get(pending[-1], 0) >= least:
+            right = values.pop()
+            values[-1] = both(pending.pop(), values[-1], right)
+
+    def complete() -> None:
+        nonlocal best, whole
+        if not opened:  # at most an `or` and an `and` are pending
+            free = values[-1]
+            for op, left in zip(reversed(pending), reversed(values[:-1]), strict=True):
+                free = both(op, left, free)
+            best, whole = (len(names), free), True
+
+    operand, exception = True, False
+    for m in _token.finditer(text.lower()):
+        token, whole = m[0], False
+        bare = token.rstrip(".,;:*/->\"'")
+        if exception:  # only loosens the licence that it stands with
+            if token in "()" or token in PRECEDENCE or token == "with" or not bare:
+                break
+            exception = False
+            complete()
+        elif operand and token == "(":
             pending.append(token)
-        elif operand and token not in PRECEDENCE and token != ")":
-            family = next((v for k, v in FAMILIES.items() if token.startswith(k)), "")
-            if not family and not (pending and pending[-1] == "with"):
-                return None
-            values.append(({family} if family else set(), family in PERMISSIVE))
+            opened += 1
+            continue
+        elif operand and token not in PRECEDENCE and token not in (")", "with"):
+            if not bare or not (name := licence(bare)):
+                break
+            names.append(name)
+            values.append(name in PERMISSIVE)
             operand = False
+            complete()
+        elif not operand and token == "with":
+            exception = True
+            continue
         elif not operand and token in PRECEDENCE:
-            while pending and pending[-1] != "(" and PRECEDENCE[pending[-1]] >= PRECEDENCE[token]:
-                if not apply(pending.pop()):
-                    return None
+            reduce(PRECEDENCE[token])
             pending.append(token)
             operand = True
-        elif not operand and token == ")":
-            while pending and pending[-1] != "(":
-                if not apply(pending.pop()):
-                    return None
-            if not pending:
-                return None
+            continue
+        elif not operand and token == ")" and opened:
+            reduce(1)
             pending.pop()
+            opened -= 1
+            complete()
+            continue
         else:
-            return None
-    while pending:
-        if pending[-1] == "(" or not apply(pending.pop()):
-            return None
-    return values[0] if len(values) == 1 and not operand else None
+            break
+        if bare != token and token != ")":  # punctuation ends the expression
+            whole = whole and not text[m.end() :].strip()
+            break
+    return (None if best is None else (set(names[: best[0]]), best[1])), whole
+
+
+def expression(text: str) -> tuple[set[str], bool] | None:
+    """The licences that an expression names, and whether it can be met by permissive ones alone; None if it isn't one."""
+    found, whole = parse(text)
+    return found if whole else None
 
 
 def leading_expression(line: str) -> tuple[set[str], bool] | None:
-    """The longest beginning of a line that is an expression: prose may follow a tag. Linear in the words tried."""
-    tokens = line.replace("(", " ( ").replace(")", " ) ").split()
-    for n in range(min(len(tokens), 64), 0, -1):
-        if found := expression(" ".join(tokens[:n]).rstrip(".,;*/-")):
-            return found
-    return None
+    """The longest beginning of a line that is an expression: prose may follow a tag."""
+    return parse(line)[0]
 
 
 @functools.cache

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -68,3 +69,33 @@ def test_expressions():
     assert licences.leading_expression("MIT OR Apache-2.0 and some prose")[0] == {"mit", "apache"}
     got = licences.scan("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause".encode())
     assert got["labels"] == "apache,bsd,mit" and got["permissive"] is True and got["n_expressions"] == 1
+
+
+def test_long_expressions_and_unknown_identifiers():
+    got = licences.leading_expression(" AND ".join(["MIT"] * 200 + ["GPL-3.0"]) + " and so on")
+    assert got == ({"mit", "gpl"}, False)
+    assert licences.leading_expression("MIT" + " OR GPL-2.0" * 40 + " OR Zlib")[0] == {"mit", "gpl", "zlib"}
+    assert licences.expression("Artistic-2.0 OR MIT") == ({"artistic-2.0", "mit"}, True)
+    assert licences.leading_expression("MIT AND CDDL-1.0 */") == ({"mit", "cddl-1.0"}, False)
+    assert licences.leading_expression("(LicenseRef-Own AND (PSF-2.0 OR MIT)) OR BSL-1.0.")[0] == {"licenseref-own", "psf-2.0", "mit", "bsl-1.0"}
+    assert licences.leading_expression("Ruby") == ({"ruby"}, False) and licences.leading_expression("see below") is None
+    assert licences.leading_expression("MIT OR see below") == ({"mit"}, True) and licences.leading_expression("MIT, GPL-2.0")[0] == {"mit"}
+    assert licences.leading_expression("MIT OR (GPL-2.0 AND") == ({"mit"}, True) and licences.leading_expression("(MIT OR GPL-2.0") is None
+    got = licences.scan(b"SPDX-License-Identifier: MIT AND CDDL-1.0")
+    assert got["labels"] == "cddl-1.0,mit" and got["permissive"] is False
+
+
+def test_expressions_as_a_plain_evaluation():
+    r = random.Random(7)
+
+    def grow(depth):
+        if not depth or r.random() < 0.3:
+            n = r.choice(["MIT", "GPL-2.0", "Zlib", "CDDL-1.0"])
+            return n + r.choice(["", "", " WITH Some-exception"]), str(n in ("MIT", "Zlib"))
+        op = r.choice(["and", "or"])
+        (a, x), (b, y) = grow(depth - 1), grow(depth - 1)
+        return r.choice([(f"{a} {op.upper()} {b}", f"{x} {op} {y}"), (f"({a} {op} {b})", f"({x} {op} {y})")])
+
+    for _ in range(500):
+        text, plain = grow(5)
+        assert licences.expression(text)[1] == eval(plain), text
