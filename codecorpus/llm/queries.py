@@ -45,7 +45,7 @@ def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spaced_seeds.leaks(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+    return spaced_seeds.leaks(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"), light=True)
 
 
 def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,32 @@ def test_quality_of_awkward_rows(spark):
     labels = spark.createDataFrame([(0, 1, 0), (0, None, None), (None, 1, 1), (3, 0, 1), (5, 1, 0), (12345, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.score(docs, labels).count() == len(cases.ROWS)
     assert quality.score(cases.table(spark, []), labels).count() == 0
+
+
+def test_substituted_words_as_by_the_rule_alone(spark):
+    """Items of 8 to 17 words with any words substituted, against all diagonals without seeds; longer ones with regular substitutions."""
+    r = random.Random(8)
+    items = [(i, " ".join(f"w{r.randrange(60)}" for _ in range(8 + i % 10))) for i in range(60)]
+    texts = []
+    for d in range(300):
+        w = r.choice(items)[1].split()
+        for j in r.sample(range(len(w)), r.randint(0, 5)):
+            w[j] = "changed"
+        texts.append((d, " ".join([*cases.prose(d, r.randint(0, 9)).split(), *w[r.choice([0, 0, 0, 1, 2]) :], *cases.prose(d + 99, r.randint(0, 9)).split()])))
+    want = set()
+    for d, t in texts:
+        a = words(t)
+        for i, x in items:
+            b = words(x)
+            if any(sum(0 <= s + j < len(a) and a[s + j] == y for j, y in enumerate(b)) >= min(13, -(-4 * len(b) // 5)) for s in range(-len(b) + 1, len(a))):
+                want.add((d, i))
+    long = [f"l{j}" for j in range(40)]
+    shapes = [[1, 11], [4], [5, 6, 16, 17], *[list(range(k - 1, 40, k)) for k in (2, 3, 4, 5)]]
+    for k, (size, changed) in enumerate(zip((15, 9, 25, 40, 40, 40, 40), shapes, strict=True)):
+        own = [f"{x}x{k}" for x in long[:size]]
+        items.append((1000 + k, " ".join(own)))
+        texts.append((1000 + k, "before " + " ".join("changed" if j in changed else x for j, x in enumerate(own))))
+        want.add((1000 + k, 1000 + k))
+    docs = cases.table(spark, [(d, t, *[None] * 7) for d, t in texts])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in spaced_seeds.leaks(docs, bench, light=True).collect()} == want and len(want) > 150
