@@ -177,7 +177,7 @@ def _python_facts(text: str) -> list[tuple]:
         elif isinstance(x, ast.ImportFrom):
             out.append(("import", "." * x.level + (x.module or ""), x.lineno, None, None, ",".join(a.name for a in x.names)))
         elif isinstance(x, ast.Call):
-            out.append(("call", ast.unparse(x.func)[:200], x.lineno, None, None, ""))
+            out.append(("call", ast.unparse(x.func), x.lineno, None, None, ""))
         elif isinstance(x, ast.ExceptHandler) and x.type is None:
             out.append(("warning", "BARE_EXCEPT", x.lineno, None, None, ""))
     return out

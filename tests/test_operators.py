@@ -228,3 +228,9 @@ def test_imports_without_the_training_data_part():
     for path in (root / "codecorpus").rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"codecorpus\.llm|corpus_pipeline", path.read_text()), path
+
+
+def test_names_of_long_call_chains_are_whole():
+    chain = "q" + "".join(f".filter(column_{i}=value_{i})" for i in range(20))
+    names = [x[1] for x in facts._python_facts(f"a = {chain}.first()\nb = {chain}.last()\n") if x[0] == "call"]
+    assert f"{chain}.first" in names and f"{chain}.last" in names and len(set(names)) == 22
