@@ -1,4 +1,4 @@
-"""Makes the package importable in Python workers."""
+"""What driver and executors share: the package itself, and a folder for tables."""
 
 from __future__ import annotations
 
@@ -20,3 +20,14 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(shutil.make_archive(f"{base}/codecorpus", "zip", ROOT.parent, "codecorpus"))
         context._codecorpus = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset a temporary folder, but in local mode alone: on a cluster executors don't share one."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or (spark.sparkContext.getCheckpointDir() or "")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
