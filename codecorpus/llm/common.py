@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.shipping import ship
+from codecorpus.shipping import shared_folder, ship
 
-#: Rows of one Arrow batch; whole texts travel in it, so it is kept small.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch at most; whole texts travel in it, so its bytes are kept few.
+BATCH_ROWS, BATCH_BYTES = 16_384, 4 << 20
 #: Text bytes that one vectorised step takes at a time; a longer text is its own step.
 BLOCK_BYTES = 1 << 20
 
@@ -29,9 +28,13 @@ NOT_ALNUM[0x30:0x3A] = NOT_ALNUM[0x61:0x7B] = NOT_ALNUM[0x80:] = False
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and shuffle files that go as soon as their query has ended."""
+    """Arrow batches of bounded bytes, and shuffle files that go as soon as their query has ended.
+
+    Set for the session's whole life, as Spark reads them when a query runs, which may be long after this call.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    with contextlib.suppress(Exception):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    with contextlib.suppress(Exception):  # releases without it keep them until their plan is collected
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return ship(spark)
 
@@ -41,12 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or (spark.sparkContext.getCheckpointDir() or "")
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, but in local mode alone."""
+    return shared_folder(spark)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -54,10 +53,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once."""
+    """df written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once. See `release`."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables from `kept` once nothing that is still to run reads them."""
+    for df in tables:
+        spark, path = df.sparkSession, df._folder
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,8 +78,15 @@ def clean_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def map_blocks(df: DataFrame, step: Callable[[list, list[bytes]], dict[str, object] | None], schema: str, key: str = "doc_id", value: str = "text") -> DataFrame:
-    """Runs step(keys, UTF-8 texts) on blocks of about BLOCK_BYTES; it returns columns by name in the schema's order, or None for no rows."""
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of doc_id and text: tells rows apart whose doc_ids are null or equal."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def map_blocks(df: DataFrame, step: Callable[[list, list[bytes]], dict[str, object] | None], schema: str, key: str = "doc_id", value: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Runs step(keys, UTF-8 texts) on blocks of about BLOCK_BYTES; it returns columns by name in the schema's order, or None for no rows.
+
+    Columns to carry come first in the schema; step then returns a row for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +94,10 @@ def map_blocks(df: DataFrame, step: Callable[[list, list[bytes]], dict[str, obje
             for a, b in blocks(texts):
                 out = step(keys[a:b], texts.slice(a, b - a).to_pylist())
                 if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], list(out))
+                    along = [batch.column(2 + i).slice(a, b - a) for i in range(len(carry))]
+                    yield pa.RecordBatch.from_arrays([*along, *[pa.array(x) for x in out.values()]], [*carry, *out])
 
-    return df.select(key, value).mapInArrow(run, schema)
+    return df.select(key, value, *carry).mapInArrow(run, schema)
 
 
 def blocks(texts: pa.BinaryArray) -> Iterator[tuple[int, int]]:
@@ -177,14 +194,18 @@ def shingles(doc: np.ndarray, hashes: np.ndarray, n_docs: int, k: int) -> tuple[
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links to (node, component): the least node that links reach. Min-label steps with pointer jumping; a round's table is written to the shared folder."""
+    """(a, b) links to (node, component): the least node that links reach. Min-label steps with pointer jumping; a round's table is written to the shared folder, and the one before goes."""
     both = kept(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "links")
-    label = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("node"), "l"), "label")
+    last = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("node"), "l"), "label")
     while True:
+        label = last.select("node", "l")
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
         step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = step.join(label.select(F.col("node").alias("l"), F.col("l").alias("j")), "l", "left").select("node", "old", F.least("l", F.coalesce("j", "l")).alias("l"))
-        new = kept(jump, "label")
-        label = new.select("node", "l")
-        if new.where("old <> l").isEmpty():
-            return label.select("node", F.col("l").alias("component"))
+        seen = Observation()
+        new = kept(jump.observe(seen, F.count_if(F.col("old") != F.col("l")).alias("moved")), "label")
+        release(last)
+        last = new
+        if not seen.get["moved"]:
+            release(both)
+            return new.select("node", F.col("l").alias("component"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codecorpus.llm import common as c
 
@@ -150,6 +151,7 @@ def _blocks(benchmark: DataFrame):
 
 
 LEAKS = "doc_id long, item_id long, item_word long, n_words long, n_equal long"
+FOUND = f"rid long, {LEAKS}"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, light: bool = False) -> DataFrame:
@@ -158,26 +160,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, light: bool = False) -> DataFra
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Null texts, null item_ids and items
     under LEAST_WORDS words overlap with nothing; an empty benchmark gives no rows; a repeated row of docs gives its
     rows again. With `light`, items of up to LIGHT words have light seeds too and none of their leaks is left out; the
-    query and `clean` set it.
+    query and `clean` set it. Very long texts are read like others, their hits verified in parts of bounded size. Columns
+    other than doc_id and text are ignored, whatever their names.
     """
+    return _found(docs, benchmark, light).drop("rid")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, light: bool) -> DataFrame:
     spark, out = docs.sparkSession, None
     for items in _blocks(benchmark):
         held = spark.sparkContext.broadcast(Block(items, light))
 
-        def step(ids: list, texts: list[bytes], held=held) -> dict | None:
+        def step(rows: list, texts: list[bytes], held=held) -> dict | None:
             doc, _, _, words = c.words(texts, c.NOT_ALNUM)
             found = held.value.leaks(doc, words)
             if not found:
                 return None
             d, i, first, n, equal = zip(*found, strict=True)
-            return {"doc_id": pa.array([ids[x] for x in d], pa.int64()), "item_id": [held.value.ids[x] for x in i], "item_word": first, "n_words": n, "n_equal": equal}
+            return {"rid": pa.array([rows[x]["rid"] for x in d], pa.int64()), "doc_id": pa.array([rows[x]["doc_id"] for x in d], pa.int64()), "item_id": [held.value.ids[x] for x in i], "item_word": first, "n_words": n, "n_equal": equal}
 
-        part = c.map_blocks(c.clean_docs(docs), step, LEAKS)
+        rows = docs.select(F.struct(c.row_hash(docs).alias("rid"), docs["doc_id"].cast("long").alias("doc_id")).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+        part = c.map_blocks(rows, step, FOUND, key="row")
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], LEAKS) if out is None else out
+    return spark.createDataFrame([], FOUND) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that overlap the benchmark."""
-    found = leaks(docs, benchmark, light=True).select("doc_id").distinct().withColumnRenamed("doc_id", "_leak")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+    """docs without the rows that overlap the benchmark, each by its own text whatever its doc_id. See `leaks` for odd rows and tables."""
+    found = _found(docs, benchmark, light=True).select(F.col("rid").alias("_leak")).distinct()
+    return docs.join(found, c.row_hash(docs) == found["_leak"], "left_anti")

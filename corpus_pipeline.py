@@ -1,4 +1,10 @@
-"""A training corpus from `documents`, in five stages; each one's rows are written as Parquet and read again by the next."""
+"""A training corpus from `documents`, in five stages; each one's rows are written as Parquet and read again by the next.
+
+Every stage but the last gives the columns of its input. Rows are judged one by one: null and repeated doc_ids, null,
+empty and very long texts and extra columns of any name pass like others (a null text counts as the empty one), and an
+empty table gives an empty one. A stage's own tables lie in the shared folder and go as soon as nothing reads them; the
+few that its result reads stay until the folder is cleared.
+"""
 
 from __future__ import annotations
 
@@ -11,32 +17,30 @@ from codecorpus.llm import common as c
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
+    c.tuned(spark)
     return quality.kept_documents(docs, c.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that similar 5-word shingle sets (0.8) connect, the one of the least doc_id; of repeated rows, one."""
+    """Of each group of documents that similar 5-word shingle sets (0.8) connect, the one of the least doc_id; of repeated rows, one. Documents without words stay."""
     c.tuned(spark)
-    groups = c.kept(jaccard.join(docs, 5, 80, 100), "groups")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    left = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return left if repeated.isEmpty() else left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return jaccard.firsts(docs, 5, 80, 100)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold passages of the benchmark."""
+    c.tuned(spark)
     return spaced_seeds.clean(docs, c.table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows."""
+    """Personal data replaced by its kind; n_chars follows. Null texts stay null."""
     c.tuned(spark)
     return pii.redact(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and a digest of the decoded text."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and a digest of the decoded text; a null text has no ids."""
     import public_tokenizers
 
     c.tuned(spark)
@@ -54,9 +58,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = c.table(spark, sf_dir, "documents")
+    docs, last = c.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = c.kept(stage(spark, docs, sf_dir), name.split()[0])
+        c.release(*last)
+        last = [docs]
     return docs
 
 

@@ -61,10 +61,38 @@ def test_same_components_as_brute_force(spark, monkeypatch, k, num, block, small
 
 
 def test_awkward_rows(spark):
-    rows = [r for r in cases.ROWS if r[0] is not None]
+    rows = [*cases.ROWS, (None, cases.TEXTS[12] + " more", *[None] * 7), (None, "alone without an id", *[None] * 7)]
     assert Counter(tuple(r) for r in jaccard.join(cases.table(spark, rows), 4, 85, 100).collect()) == brute(rows, 4, 85, 100)
-    assert jaccard.join(cases.table(spark), 4, 85, 100).count() == len(cases.ROWS)
     assert jaccard.join(cases.table(spark, []), 4, 85, 100).count() == 0
+    left = jaccard.firsts(cases.table(spark, rows), 4, 85, 100)
+    groups = {c for d, n, c in brute(rows, 4, 85, 100) if n}
+    assert left.columns == cases.table(spark).columns
+    # rows without words stay; one row of each group, be its id null or not, and one of repeated rows
+    wordless = sum(not (r[1] or "").split() for r in rows)
+    assert left.count() == wordless + len(groups - {None}) + 2
+    assert jaccard.firsts(cases.table(spark, []), 4, 85, 100).count() == 0
+
+
+@pytest.mark.parametrize("common,salts", [(2, 3), (3, 64)])
+def test_common_keys_are_salted(spark, monkeypatch, common, salts):
+    monkeypatch.setattr(jaccard, "COMMON_ROWS", common)
+    monkeypatch.setattr(jaccard, "SALTS", salts)
+    rows = near_copies(5, 250)
+    base = cases.prose(4242, 60).split()
+    rows += [(1000 + i, " ".join([*base[:i % 60], f"x{i}", *base[i % 60 + 1 :]]), *[None] * 7) for i in range(150)]
+    got = Counter(tuple(r) for r in jaccard.join(cases.table(spark, rows), 5, 80, 100).collect())
+    assert got == brute(rows, 5, 80, 100)
+
+
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(3)
+    for size in (1, 40, 70, 300, 1000):
+        a = r.integers(0, 2**63, size).astype(np.uint64)
+        b = np.concatenate([a[size // 9 :], r.integers(0, 2**63, size // 7).astype(np.uint64)])
+        x, y = jaccard.parities(a).view(np.uint64), jaccard.parities(b).view(np.uint64)
+        x, y = (z[: len(z) // 2] ^ z[len(z) // 2 :] if len(z) > min(len(x), len(y)) else z for z in (x, y))
+        apart = len(np.setxor1d(a, b))
+        assert apart // 3 <= int(np.bitwise_count(x ^ y).sum()) <= apart
 
 
 @pytest.mark.parametrize("num", [80, 85])
