@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
+import operator
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -28,6 +31,8 @@ SAMPLE = 64
 #: Ids of a shard: it is closed after the document that reaches this.
 SHARD_IDS = 1 << 20
 END_ID = 2
+#: Documents whose ids are read at a time.
+READ_ROWS = 256
 #: Pre-tokens that a Python worker remembers, about 200 bytes each.
 MEMO = 1_000_000
 
@@ -76,14 +81,28 @@ class EliasFano:
             value |= (int(self.low[j >> 3]) >> (j & 7) & 1) << b
         return value
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
-        if self.width and self.n:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width)
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """The a-th to the b-1-th number, as `select` finds each: from the sample before the a-th on, up to the one after the last."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError(a, b)
+        if a == b:
+            return np.zeros(0, np.uint64)
+        first, last = a // SAMPLE, -(-b // SAMPLE)
+        at = int(self.samples[first])
+        stop = int(self.samples[last]) // 8 + 1 if last < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at >> 3 : stop], bitorder="little")) + (at >> 3 << 3)
+        skip = int(np.searchsorted(ones, at)) + a - first * SAMPLE
+        own = np.arange(a, b)
+        out = (ones[skip : skip + b - a] - own).astype(np.uint64) << np.uint64(self.width)
+        if self.width:
+            bit = a * self.width
+            bits = np.unpackbits(self.low[bit >> 3 : (b * self.width + 7) >> 3], bitorder="little")[bit & 7 :][: (b - a) * self.width].reshape(b - a, self.width)
             out |= (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return out
 
+    def all(self) -> np.ndarray:
+        return self.select_range(0, self.n)
+
     def dump(self) -> bytes:
         return struct.pack("<5Q", self.n, self.width, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u8").tobytes()
 
@@ -122,7 +141,7 @@ def _store(path: str):
 
 
 def _put(path: str, data: bytes) -> None:
-    """Written beside its place and then moved there: another attempt at the same shard writes the same bytes."""
+    """Written beside its place and then moved there: another attempt at the same shard writes the same bytes, as its documents' order is total but for equal ones."""
     fs, at = _store(path)
     with fs.open_output_stream(part := f"{at}.{uuid.uuid4().hex}") as f:
         f.write(data)
@@ -139,17 +158,21 @@ def _get(path: str) -> bytes:
 
 
 class Tokens:
-    """Ids by the tokenizers library. It cuts a text into pre-tokens that it encodes independently; as most of them
-    come again, each is given to it once, and its ids are remembered (up to MEMO pre-tokens)."""
+    """Ids by the tokenizers library, as it gives them without adding special tokens. It cuts a text into pre-tokens that it
+    encodes independently; as most of them come again, each is given to it once, and its ids are remembered (up to MEMO
+    pre-tokens). Texts that hold one of the vocabulary's added tokens, which the library cuts out first, go to it whole."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("texts are cut before any normalizer: the tokenizer must have none")
         self.pattern = pattern
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -158,16 +181,24 @@ class Tokens:
 
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, rows, new = self.memo, [], set()
+        memo, out, open_rows, new = self.memo, [], [], set()
         for t in texts:
+            if self.added is not None and self.added.search(t):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, f"<u{self.width}").tobytes())
+                continue
             pieces = pre_tokens(t, self.pattern)
             ids = list(map(memo.get, pieces))
             if None in ids:
-                new.update(p for p, x in zip(pieces, ids, strict=True) if x is None)
-            rows.append((pieces, ids))
+                new.update(itertools.compress(pieces, map(operator.is_, ids, itertools.repeat(None))))
+                open_rows.append((len(out), pieces))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
         if new:
             self._learn(list(new))
-        return [b"".join(map(memo.__getitem__, pieces) if None in ids else ids) for pieces, ids in rows]
+            for i, pieces in open_rows:
+                out[i] = b"".join(map(memo.__getitem__, pieces))
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
         """One call for all of them, each as a word of its own."""
@@ -190,8 +221,10 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = E
     """Writes the shards of docs into folder, in ascending doc_id order; returns their table (part, shard, path, n_docs,
     n_tokens, start).
 
-    path is a file of the tokenizers library whose pre-tokens are the matches of pattern. A null text is the empty one: its document has the end id
-    alone. Rows of a null doc_id come first. Repeated rows are documents of their own. No rows give no files.
+    path is a file of the tokenizers library whose pre-tokens are the matches of pattern. A null or empty text's document
+    has the end id alone. Rows of a null doc_id come first; those of equal doc_id follow by a hash of their text, then the
+    text. Repeated rows are documents of their own. A very long text makes a shard of its own size. Columns of docs other
+    than doc_id and text are ignored, whatever their names. No rows give no files.
     """
     spark = docs.sparkSession
 
@@ -222,7 +255,8 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = E
 
     fs, at = _store(folder)
     fs.create_dir(at, recursive=True)
-    ordered = c.clean_docs(docs).repartitionByRange(n or c.partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # a hot doc_id is cut by its texts' hashes
+    ordered = c.clean_docs(docs).repartitionByRange(n or c.partitions(spark), *order).sortWithinPartitions(*order, "text")
     files = c.kept(ordered.mapInArrow(shards, "part int, shard int, path string, n_docs long, n_tokens long"), "shards")
     # first the few totals of parts are added up, then the shards of each part
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
@@ -231,17 +265,20 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = E
 
 
 def read(shards: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of each document, from the files of shards."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of each document, from the files of shards.
+
+    Documents' places come from the boundaries' select structures, a few hundred at a time."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc_ids, boundaries, width = load_shard(_get(f"{path}.ef"))
-                data, ends = np.frombuffer(_get(f"{path}.ids"), f"<u{width}"), boundaries.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                for a in range(0, len(ends), c.BATCH_ROWS):
-                    s, e = starts[a : a + c.BATCH_ROWS], ends[a : a + c.BATCH_ROWS]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a : a + c.BATCH_ROWS], pa.int64()), "start": pa.array(s + start), "n_tokens": pa.array(e - s), "ids": pa.array([data[x:y].astype("<u4").tobytes() for x, y in zip(s, e, strict=True)], pa.binary())})
+                data, last = np.frombuffer(_get(f"{path}.ids"), f"<u{width}"), 0
+                for a in range(0, boundaries.n, READ_ROWS):
+                    e = boundaries.select_range(a, min(a + READ_ROWS, boundaries.n)).astype(np.int64)
+                    s = np.append(last, e[:-1])
+                    last = e[-1]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a : a + READ_ROWS], pa.int64()), "start": pa.array(s + start), "n_tokens": pa.array(e - s), "ids": pa.array([data[x:y].astype("<u4").tobytes() for x, y in zip(s, e, strict=True)], pa.binary())})
 
     spark = shards.sparkSession
     return shards.select("path", "start").repartition(4 * c.partitions(spark), "path").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")

@@ -32,6 +32,10 @@ def test_elias_fano_holds_any_sequence(n, top):
     found = elias_fano.EliasFano.load(io.BytesIO(elias_fano.EliasFano.of(np.array(values, np.uint64)).dump()))
     assert found.all().tolist() == values
     assert [found.select(i) for i in range(n)] == values
+    for _ in range(20):
+        a = r.randint(0, n)
+        b = r.randint(a, n)
+        assert found.select_range(a, b).tolist() == values[a:b]
     with pytest.raises(IndexError):
         found.select(n)
 
@@ -46,8 +50,8 @@ def test_files_hold_what_the_tokenizer_gives(spark, monkeypatch):
 
     monkeypatch.setattr(elias_fano, "SHARD_IDS", 2000)
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = [r for r in cases.ROWS if r[0] is not None]
+    rows += [(900 + i, t, *[None] * 7) for i, t in enumerate(["aa <|endoftext|> bb", "<|endoftext|><|endoftext|>", "x<|endoftext", "<|endoftext|>  y  <|endoftext|>"])]
     shards = elias_fano.write(cases.table(spark, rows), c.new_folder(spark, "ids"), P.path("byte_bpe_50k.json"), P.PATTERN, n=3)
     got = elias_fano.read(shards).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
