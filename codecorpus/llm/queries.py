@@ -37,7 +37,7 @@ def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = suffix_array.remove_repeats(c.table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Removal of repeated byte strings with suffix arrays built by induced sorting.
 
-A byte goes if a string of LENGTH bytes covers it that also starts anywhere else in the corpus. Equal strings must meet
-in one suffix array, and a corpus has no single one; so strings are dealt to shards by what they contain. Each string
-of LENGTH bytes has an anchor, the least (then leftmost) hash of its GRAM-byte grams: equal strings have it at the same
-place. The starts with one anchor are neighbours; cut in two by where the anchor stands, they all hold the same CORE
-bytes around it, whose hash is their key. A run of starts with its bytes is a context. Keys that occur once go in the
-first aggregation, contexts that are equal as a whole are repeated as a whole, and one of each is kept for the others.
+A byte goes if a string of LENGTH bytes covers it that also starts anywhere else in the corpus; repeats of SHORT bytes
+are counted as well. Equal strings must meet in one suffix array, and a corpus has no single one; so strings are dealt to
+shards by what they contain. Each string of SHORT bytes has an anchor, the least (then leftmost) hash of its GRAM-byte
+grams: equal strings have it at the same place. The starts with one anchor are neighbours; cut in two by where the
+anchor stands, they all hold the same CORE bytes around it, whose hash is their key. A run of starts with the bytes of
+their LENGTH-byte strings is a context. Keys that occur once go in the first aggregation, contexts that are equal as a
+whole are repeated as a whole, and one of each is kept for the others.
 
 The contexts of a key go to one shard, many keys to a shard. There suffixes are classified, leftmost-smaller substrings
-sorted and named (recursively, by pairs of names), the array induced in linear passes over its buckets, and the
-permuted common prefixes computed from the irreducible ones: neighbours with a common prefix of LENGTH are repeated
-strings. Keys with more contexts than one shard takes are resolved exactly by aggregating their strings' hashes.
+sorted and named, the string of names sorted recursively in the same way, the array induced from it in two linear
+passes, and the permuted common prefixes computed from the irreducible ones: neighbours with a common prefix of LENGTH
+are repeated strings. Keys with more contexts than one shard takes are resolved exactly by aggregating their strings'
+hashes.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ from pyspark.sql import functions as F
 from codecorpus.llm import common as c
 
 U = np.uint64
-LENGTH = 400
+#: Bytes of the strings that are removed, and of the shorter ones that are counted only.
+LENGTH, SHORT = 400, 256
 GRAM = 32
 #: Bytes of context that make one suffix array.
 SHARD_BYTES = 1 << 20
 #: Contexts of one key that may meet in one array: about 5 MB.
 HOT = 8192
-#: A longer text is scanned in pieces that overlap by LENGTH - 1.
+#: Slots of an array that are looked through at once for the next open one.
+AHEAD = 4096
+#: A longer text is scanned in pieces that overlap by SHORT - 1.
 PIECE = 1 << 24
 
 # -- the suffix array ----------------------------------------------------------------------------------------------
@@ -47,89 +52,80 @@ def _types(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(p: np.ndarray, symbols: np.ndarray, to: list[list[np.ndarray]]) -> None:
-    """Appends positions to their symbols' buckets, in order."""
-    if not len(p):
-        return
-    order = np.argsort(symbols, kind="stable")
-    p, symbols = p[order], symbols[order]
-    cut = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-    for s, part in zip(symbols[np.concatenate([[0], cut])].tolist(), np.split(p, cut), strict=True):
-        to[s].append(part)
-
-
-def _induce(t: np.ndarray, small: np.ndarray, seeds: list[np.ndarray], top: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """From sorted leftmost-smaller suffixes by bucket: all larger-type suffixes in one pass up, all smaller-type in one pass down."""
-    none = np.zeros(0, np.int64)
-    coming: list[list[np.ndarray]] = [[] for _ in range(top)]
-    larger = []
-    for s in range(top):
-        done, now = [], np.concatenate(coming[s]) if coming[s] else none
-        while len(now):
-            done.append(now)
-            p = now[now > 0] - 1
-            p = p[~small[p]]
-            here = t[p] == s
-            _deal(p[~here], t[p[~here]], coming)
-            now = p[here]
-        larger.append(np.concatenate(done) if done else none)
-        p = seeds[s][seeds[s] > 0] - 1
-        _deal(p, t[p], coming)
-    coming = [[] for _ in range(top)]
-    smaller: list[np.ndarray] = [none] * top
-    for s in range(top - 1, -1, -1):
-        done, now = [], np.concatenate(coming[s]) if coming[s] else none
-        while len(now):
-            done.append(now)
-            p = now[now > 0] - 1
-            p = p[small[p]]
-            here = t[p] == s
-            _deal(p[~here], t[p[~here]], coming)
-            now = p[here]
-        smaller[s] = np.concatenate(done)[::-1] if done else none
-        back = larger[s][::-1]
-        p = back[back > 0] - 1
+def _grouped(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted symbols: each one's number within its group, the groups' symbols and their sizes."""
+    first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+    size = np.diff(np.append(first, len(symbols)))
+    return np.arange(len(symbols)) - np.repeat(first, size), symbols[first], size
+
+
+def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The array of all suffixes from the sorted leftmost-smaller ones: the larger-type ones in a pass up, the smaller-type ones in a pass down.
+
+    A pass takes as many slots at once as are filled, up to the next open one, which one of these fills.
+    """
+    n = len(t)
+    size, larger = np.bincount(t), np.bincount(t[~small], minlength=int(t.max()) + 1)
+    end = np.cumsum(size)
+    head = end - size
+    out = np.full(n, -1, np.int64)
+    nth, symbols, count = _grouped(t[seeds])
+    out[np.repeat(end[symbols] - count, count) + nth] = seeds
+    kind = np.repeat(np.tile([False, True], len(size)), np.stack([larger, size - larger], 1).ravel())  # of each slot
+    is_open = ~kind
+    at, free = 0, head.copy()
+    while at < n:
+        window = is_open[at : at + AHEAD]
+        to = at + int(window.argmax())
+        to = to if to > at else at + len(window)
+        p = out[at:to]
+        at = to
+        p = p[p > 0] - 1
+        p = p[~small[p]]
+        if len(p):
+            symbols = t[p]
+            order = np.argsort(symbols, kind="stable")
+            nth, symbols, count = _grouped(symbols[order])
+            slot = np.repeat(free[symbols], count) + nth
+            out[slot] = p[order]
+            is_open[slot] = False
+            free[symbols] += count
+    out[kind] = -1
+    out[0] = n - 1
+    is_open = kind
+    is_open[0] = False
+    at, free = n, end - 1
+    while at > 0:
+        window = is_open[max(0, at - AHEAD) : at][::-1]
+        to = at - int(window.argmax())
+        to = to if to < at else at - len(window)
+        p = out[to:at][::-1]
+        at = to
+        p = p[p > 0] - 1
         p = p[small[p]]
-        _deal(p, t[p], coming)
-    smaller[0] = np.array([len(t) - 1])
-    return larger, smaller
-
-
-def _reduced_order(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the reduced string's suffixes by their first `depth` names: pairs of names get names, again and again."""
-    rank, k = names.astype(np.int64), 1
-    n = len(rank)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        pair = rank * (n + 2) + second
-        order = np.argsort(pair, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(pair[order[1:]] != pair[order[:-1]])
-        rank, k = new, 2 * k
-        if k >= depth or k >= n or rank[order[-1]] == n - 1:
-            return order
-
-
-def suffix_array(t: np.ndarray, depth: int = 1 << 60) -> np.ndarray:
-    """The suffix array of t, whose last symbol is 0 and the only 0. Suffixes that agree in `depth` symbols may stay in any order."""
-    t = np.asarray(t, np.int64)
-    n, top = len(t), int(t.max()) + 1
+        if len(p):
+            symbols = t[p]
+            order = np.argsort(symbols, kind="stable")
+            nth, symbols, count = _grouped(symbols[order])
+            slot = np.repeat(free[symbols], count) - nth
+            out[slot] = p[order]
+            is_open[slot] = False
+            free[symbols] -= count
+    return out
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The suffix array of t, whose last symbol is 0 and the only 0."""
+    n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
+    t = np.asarray(t, np.int16 if int(t.max()) < 1 << 15 else np.int64)
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-
-    def buckets(positions: np.ndarray) -> list[np.ndarray]:
-        out: list[list[np.ndarray]] = [[] for _ in range(top)]
-        _deal(positions, t[positions], out)
-        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-
     if len(lms) > 1:
-        larger, smaller = _induce(t, small, buckets(lms), top)
+        order = _induce(t, small, lms[np.argsort(t[lms], kind="stable")])
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
-        order = np.concatenate(smaller)
         order = order[is_lms[order]]
         # names: equal substrings, up to and with the next leftmost-smaller position, have equal hashes and lengths
         after = np.append(lms[1:], n - 1)
@@ -143,11 +139,8 @@ def suffix_array(t: np.ndarray, depth: int = 1 << 60) -> np.ndarray:
         name = np.zeros(n, np.int64)
         name[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
         names = name[lms]
-        if names.max() < len(lms) - 1:
-            order = lms[_reduced_order(names, depth)]
-        lms = order
-    larger, smaller = _induce(t, small, buckets(lms), top)
-    return np.concatenate([x for pair in zip(larger, smaller, strict=True) for x in pair])
+        lms = order if names.max() == len(lms) - 1 else lms[suffix_array(names)]
+    return _induce(t, small, lms)
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, most: int, stop: int = -1) -> np.ndarray:
@@ -179,29 +172,32 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, most: int, stop: int = -1)
     return np.maximum(0, value[last] + last - own)
 
 
-def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """Of each context, the starts of strings of `length` bytes that start elsewhere in the contexts as well."""
+def repeated_starts(contexts: list[bytes], lengths: tuple[int, ...] = (LENGTH,), owned: list[int] | None = None) -> list[list[np.ndarray]]:
+    """For each length and context: the starts of its strings of that many bytes that start elsewhere in the contexts as well.
+    owned: the starts of each context that count, from its first on; all, if not given."""
     size = np.array([len(x) for x in contexts])
     t = np.frombuffer(b"".join(x + b"\0" for x in contexts) + b"\0", np.uint8).astype(np.int16) + 2
     first = np.cumsum(size + 1) - size - 1
     t[first + size] = 1
     t[-1] = 0
-    starts = np.zeros(len(t), bool)
-    for f, n in zip(first.tolist(), size.tolist(), strict=True):
-        starts[f : f + max(0, n - length + 1)] = True
-    order = suffix_array(t, length)
-    shared = common_prefixes(t, order, int(size.max()) + 1, stop=1)[order] >= length
-    group = np.cumsum(~shared)
-    counts = np.bincount(group, weights=starts[order])
-    found = np.zeros(len(t), bool)
-    found[order] = counts[group] >= 2
-    found &= starts
-    return [np.flatnonzero(found[f : f + n]) for f, n in zip(first.tolist(), size.tolist(), strict=True)]
+    order = suffix_array(t)
+    prefixes = common_prefixes(t, order, int(size.max()) + 1, stop=1)[order]
+    nth = np.arange(len(t)) - np.repeat(np.append(first, len(t) - 1), np.append(size + 1, 1))
+    whole, mine = (np.append(np.repeat(x, size + 1), 0) for x in (size, size if owned is None else np.array(owned)))
+    out = []
+    for length in lengths:
+        starts = (nth + length <= whole) & (nth < mine)
+        group = np.cumsum(prefixes < length)
+        found = np.zeros(len(t), bool)
+        found[order] = np.bincount(group, weights=starts[order])[group] >= 2
+        found &= starts
+        out.append([np.flatnonzero(found[f : f + n]) for f, n in zip(first.tolist(), size.tolist(), strict=True)])
+    return out
 
 
 # -- anchors --------------------------------------------------------------------------------------------------------
 
-SIDE = (LENGTH - GRAM) // 2
+SIDE = (SHORT - GRAM) // 2
 #: Bytes around an anchor that all strings of one key hold.
 CORE = GRAM + SIDE
 _symbol = c.mix(np.arange(1, 257, dtype=np.uint64))
@@ -210,12 +206,12 @@ _symbol = c.mix(np.arange(1, 257, dtype=np.uint64))
 def contexts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts with one anchor on one side: key, first and last start."""
     n = len(text)
-    if n < LENGTH:
+    if n < SHORT:
         none = np.zeros(0, np.int64)
         return none.view(U), none, none
     parts = []
-    for at in range(0, n - LENGTH + 1, PIECE):
-        piece = np.frombuffer(text, np.uint8)[at : at + PIECE + LENGTH - 1]
+    for at in range(0, n - SHORT + 1, PIECE):
+        piece = np.frombuffer(text, np.uint8)[at : at + PIECE + SHORT - 1]
         h = _symbol[piece]
         width = 1
         while width < GRAM:
@@ -223,7 +219,7 @@ def contexts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             width *= 2
         mask = U((1 << 25) - 1)
         least = (c.mix(h) & ~mask) | np.arange(len(h), dtype=np.uint64)
-        width, grams = 1, LENGTH - GRAM + 1
+        width, grams = 1, SHORT - GRAM + 1
         while 2 * width <= grams:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
@@ -265,56 +261,49 @@ def _rows(docs: DataFrame, schema: str, step) -> DataFrame:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """(key, whole, doc_id, rid, lo, hi) of each context; whole: a digest of all its bytes."""
+    """(key, whole, doc_id, rid, lo, hi, size) of each context; whole: a digest of its starts and bytes, of which there are size."""
 
     def step(ids: list, rids: list, texts: list[bytes]) -> dict | None:
-        keys, whole, row, los, his = [], [], [], [], []
+        keys, whole, row, los, his, sizes = [], [], [], [], [], []
         for i, text in enumerate(texts):
             key, lo, hi = contexts(text)
             if len(key):
                 keys.append(key)
                 los.append(lo)
                 his.append(hi)
+                sizes.append(np.minimum(hi + LENGTH, len(text)) - lo)
                 row.append(np.full(len(key), i))
-                whole += [_digest(text[a : b + LENGTH]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                whole += [_digest(text[a : b + LENGTH] + (b - a).to_bytes(4, "little")) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
         if not keys:
             return None
         row = np.concatenate(row)
-        return {"key": np.concatenate(keys).view(np.int64), "whole": np.array(whole, np.int64), "doc_id": pa.array(ids, pa.int64()).take(pa.array(row)), "rid": np.array(rids, np.int64)[row], "lo": np.concatenate(los), "hi": np.concatenate(his)}
-
-    return _rows(docs, "key long, whole long, doc_id long, rid long, lo long, hi long", step)
-
-
-def _keys(docs: DataFrame) -> DataFrame:
-    def step(ids: list, rids: list, texts: list[bytes]) -> dict | None:
-        found = [contexts(t)[0] for t in texts]
-        return {"key": np.concatenate(found).view(np.int64)} if sum(map(len, found)) else None
+        return {"key": np.concatenate(keys).view(np.int64), "whole": np.array(whole, np.int64), "doc_id": pa.array(ids, pa.int64()).take(pa.array(row)), "rid": np.array(rids, np.int64)[row], "lo": np.concatenate(los), "hi": np.concatenate(his), "size": np.concatenate(sizes)}
 
-    return _rows(docs, "key long", step)
+    return _rows(docs, "key long, whole long, doc_id long, rid long, lo long, hi long, size long", step)
 
 
 def _cut(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The bytes of chosen contexts (key, doc_id, rid, lo, hi)."""
+    """The bytes of chosen contexts (key, doc_id, rid, lo, hi, hot)."""
     wanted = chosen.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("key", "lo", "hi", "hot")).alias("wanted"))
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["rid"] == wanted["rid"])
 
     joined = docs.join(wanted, same).select(docs["doc_id"], docs["rid"], "text", "wanted")
 
     def step(ids: list, rids: list, texts: list[bytes], wanted: list) -> dict:
-        out = [(w["key"], i, r, w["lo"], t[w["lo"] : w["hi"] + LENGTH], w["hot"]) for i, r, t, ws in zip(ids, rids, texts, wanted, strict=True) for w in ws]
-        key, i, r, lo, data, hot = (list(x) for x in zip(*out, strict=True))
-        return {"key": key, "doc_id": pa.array(i, pa.int64()), "rid": pa.array(r, pa.int64()), "lo": lo, "bytes": pa.array(data, pa.binary()), "hot": hot}
+        out = [(w["key"], i, r, w["lo"], w["hi"] - w["lo"] + 1, t[w["lo"] : w["hi"] + LENGTH], w["hot"]) for i, r, t, ws in zip(ids, rids, texts, wanted, strict=True) for w in ws]
+        key, i, r, lo, starts, data, hot = (list(x) for x in zip(*out, strict=True))
+        return {"key": key, "doc_id": pa.array(i, pa.int64()), "rid": pa.array(r, pa.int64()), "lo": lo, "starts": starts, "bytes": pa.array(data, pa.binary()), "hot": hot}
 
-    return _rows(joined, "key long, doc_id long, rid long, lo long, bytes binary, hot boolean", step)
+    return _rows(joined, "key long, doc_id long, rid long, lo long, starts long, bytes binary, hot boolean", step)
 
 
-SPANS = "doc_id long, rid long, lo long, end long"
+SPANS = "doc_id long, rid long, lo long, end long, length int"
 
 
-def _spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs of starts, as first byte and end of what they cover."""
     cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    return starts[np.concatenate([[0], cut])], starts[np.append(cut, len(starts)) - 1] + LENGTH
+    return starts[np.concatenate([[0], cut])], starts[np.append(cut, len(starts)) - 1] + length
 
 
 def _in_shards(cut: DataFrame) -> DataFrame:
@@ -327,30 +316,29 @@ def _in_shards(cut: DataFrame) -> DataFrame:
 
         def solve() -> Iterator[pa.RecordBatch]:
             # a row of docs that comes twice gives a context twice: one will do
-            unique = list({(i, r, lo): x for i, r, lo, x in rows}.items())
-            ids, rids, los, ends = [], [], [], []
-            for ((i, r, lo), _), starts in zip(unique, repeated_starts([x for _, x in unique]), strict=True):
-                if len(starts):
-                    a, b = _spans(starts)
-                    ids += [i] * len(a)
-                    rids += [r] * len(a)
-                    los += (a + lo).tolist()
-                    ends += (b + lo).tolist()
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, rids, los, ends)], ["doc_id", "rid", "lo", "end"])
+            unique = list({(i, r, lo): (x, n) for i, r, lo, n, x in rows}.items())
+            out = []
+            lengths = (LENGTH, SHORT)
+            for length, found in zip(lengths, repeated_starts([x for _, (x, _) in unique], lengths, [n for _, (_, n) in unique]), strict=True):
+                for ((i, r, lo), _), starts in zip(unique, found, strict=True):
+                    if len(starts):
+                        out += [(i, r, a + lo, b + lo, length) for a, b in zip(*(x.tolist() for x in _spans(starts, length)), strict=True)]
+            if out:
+                *columns, lengths = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], pa.array(lengths, pa.int32())], ["doc_id", "rid", "lo", "end", "length"])
 
         for batch in batches:
-            for key, i, r, lo, data in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            for key, i, r, lo, n, data in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if key != last and size >= SHARD_BYTES:
                     yield from solve()
                     rows, size = [], 0
-                rows.append((i, r, lo, data))
+                rows.append((i, r, lo, n, data))
                 size += len(data)
                 last = key
         if rows:
             yield from solve()
 
-    dealt = cut.select("key", "doc_id", "rid", "lo", "bytes").repartition(4 * c.partitions(spark), "key").sortWithinPartitions("key")
+    dealt = cut.select("key", "doc_id", "rid", "lo", "starts", "bytes").repartition(4 * c.partitions(spark), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, SPANS)
 
 
@@ -359,55 +347,70 @@ def _by_hashes(cut: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, r, lo, data in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                n = len(data) - LENGTH + 1
-                two = [hashlib.blake2b(data[s : s + LENGTH], digest_size=16).digest() for s in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(two, pa.binary()), pa.array([i] * n, pa.int64()), pa.array([r] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64())], ["h", "doc_id", "rid", "lo"])
-
-    rows = c.kept(cut.select("doc_id", "rid", "lo", "bytes").mapInArrow(run, "h binary, doc_id long, rid long, lo long").distinct(), "strings")
+            for i, r, lo, starts, data in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                for length in (LENGTH, SHORT):
+                    n = min(starts, len(data) - length + 1)
+                    if n > 0:
+                        two = [hashlib.blake2b(data[s : s + length], digest_size=16).digest() for s in range(n)]
+                        yield pa.RecordBatch.from_arrays([pa.array(two, pa.binary()), pa.array([i] * n, pa.int64()), pa.array([r] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64()), pa.array([length] * n, pa.int32())], ["h", "doc_id", "rid", "lo", "length"])
+
+    rows = c.kept(cut.select("doc_id", "rid", "lo", "starts", "bytes").mapInArrow(run, "h binary, doc_id long, rid long, lo long, length int").distinct(), "strings")
     twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return rows.join(twice, "h").select("doc_id", "rid", "lo", (F.col("lo") + LENGTH).alias("end"))
+    return rows.join(twice, "h").select("doc_id", "rid", "lo", (F.col("lo") + F.col("length")).alias("end"), "length")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, lo, end of spans that repeated strings cover; spans may touch and overlap. docs: doc_id, rid, text."""
-    keys = c.kept(_keys(docs).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    rows = c.kept(_scan(docs).join(keys.hint("shuffle_hash"), "key"), "contexts")
+    """doc_id, rid, lo, end, length of spans that repeated strings of that length (LENGTH or SHORT) cover; spans may touch and overlap. docs: doc_id, rid, text."""
+    every = c.kept(_scan(docs), "contexts")
+    keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rows = c.kept(every.join(keys.hint("shuffle_hash"), "key"), "rows")
+    c.release(every)
     classes = c.kept(rows.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "lo", "hi")).alias("one")), "classes")
-    copies = rows.join(classes.where("n > 1").select("key", "whole"), ["key", "whole"]).select("doc_id", "rid", "lo", (F.col("hi") + LENGTH).alias("end"))
+    twice = rows.join(classes.where("n > 1").select("key", "whole"), ["key", "whole"])
+    long = F.struct(F.col("lo"), (F.col("lo") + F.col("size")).alias("end"), F.lit(LENGTH).alias("length"))
+    short = F.struct(F.col("lo"), (F.col("hi") + SHORT).alias("end"), F.lit(SHORT).alias("length"))
+    copies = twice.select("doc_id", "rid", F.explode(F.when(F.col("size") >= LENGTH, F.array(long, short)).otherwise(F.array(short))).alias("s")).select("doc_id", "rid", "s.*")
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
     chosen = classes.join(several, "key").select("key", "one.*", (F.col("contexts") > HOT).alias("hot"))
     cut = c.kept(_cut(docs, chosen), "cut")
-    return copies.unionByName(_in_shards(cut.where("not hot"))).unionByName(_by_hashes(cut.where("hot")))
+    out = c.kept(copies.unionByName(_in_shards(cut.where("not hot"))).unionByName(_by_hashes(cut.where("hot"))), "spans")
+    c.release(rows, classes, cut)
+    return out
+
+
+def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans joined where they touch or overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the other bytes) of each row of docs.
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), n_repeated (bytes that repeated strings of SHORT bytes
+    cover; they stay) and kept (the bytes that aren't removed) of each row of docs.
 
-    A null text is the empty one. Texts under LENGTH bytes lose nothing. A row that is repeated is a copy: all of its
-    LENGTH-byte strings start elsewhere. Null doc_ids are ids like others.
+    A null text is the empty one. Texts under SHORT bytes have no repeats, those under LENGTH lose nothing. A row that is
+    repeated is a copy: all of its strings start elsewhere. Null doc_ids are ids like others. Very long texts are scanned
+    in pieces and give as many contexts as they need. Columns other than doc_id and text are ignored, whatever their
+    names. No rows give no rows.
     """
     docs = c.clean_docs(docs).withColumn("rid", F.xxhash64("doc_id", "text")).select("doc_id", "rid", "text")
-    spans = c.kept(repeated_spans(docs), "spans").groupBy("doc_id", "rid").agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("spans")).select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "spans")
+    spans = repeated_spans(docs).groupBy("doc_id", "rid").agg(F.array_sort(F.collect_list(F.struct("lo", "end", "length"))).alias("spans")).select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "spans")
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["d"]) & (docs["rid"] == spans["r"]), "left").select("doc_id", "rid", "text", "spans")
 
     def step(ids: list, rids: list, texts: list[bytes], spans: list) -> dict:
-        removed, runs, kept = [], [], []
+        removed, runs, repeated, kept = [], [], [], []
         for text, own in zip(texts, spans, strict=True):
-            at, gone, n, parts = 0, 0, 0, []
-            end = -1
-            for s in own or ():
-                if s["lo"] > end:
-                    n += 1
-                    parts.append(text[at : s["lo"]])
-                    end = at = s["lo"]
-                if s["end"] > end:
-                    gone += s["end"] - end
-                    at = end = s["end"]
-            parts.append(text[at:])
-            removed.append(gone)
-            runs.append(n)
-            kept.append(b"".join(parts))
-        return {"doc_id": pa.array(ids, pa.int64()), "n_bytes": [len(t) for t in texts], "n_removed": removed, "n_spans": runs, "kept": pa.array(kept, pa.binary())}
-
-    return _rows(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", step)
+            gone, short = (_covered([(s["lo"], s["end"]) for s in own or () if s["length"] == length]) for length in (LENGTH, SHORT))
+            edges = [0, *(x for span in gone for x in span), len(text)]
+            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            removed.append(sum(b - a for a, b in gone))
+            runs.append(len(gone))
+            repeated.append(sum(b - a for a, b in short))
+        return {"doc_id": pa.array(ids, pa.int64()), "n_bytes": [len(t) for t in texts], "n_removed": removed, "n_spans": runs, "n_repeated": repeated, "kept": pa.array(kept, pa.binary())}
+
+    return _rows(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary", step)
