@@ -1,12 +1,14 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A shard is found by descending region, rack and shard. At each level a row goes to the child with the least draw;
-a leaf's draw is -ln(u) / weight, u a hash of (key, leaf) in (0, 1], and an inner node's draw is the least of its
-children's. The least of independent exponential draws is exponential with the summed weight, so each level chooses
-in proportion to the children's weights, and since a leaf's draw depends on the key and that leaf alone, a changed or
-new leaf moves rows only into or out of itself: movement stays in the subtrees whose weights change.
+A shard is found by descending region, rack and shard. Each node has a draw of its own at each key: -ln(u) / weight, u a
+hash of the key and the node in (0, 1], weight that of its whole subtree. At each level a row goes to the child of the
+least draw: children are chosen in proportion to their weights, and only the draws of nodes whose weight changes change.
+So where a subtree's weight grows, rows come into it from outside, those inside stay, and no row moves between others.
 
-Everything is DataFrame expressions; the only shuffle numbers the rows of a shard.
+A shard that is added after a tree was built stands in a region of its own. Then no other draw changes, and whatever
+moves, moves into the new shard: that is the law `key`. Added inside a region, its neighbours would take rows as well.
+
+Everything is DataFrame expressions; the only shuffles number the rows of a shard.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Equal rows that one task numbers at most.
+PIECE = 1 << 20
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -25,65 +30,78 @@ class Leaf:
     weight: float = 1.0
 
 
-def tree(n_shards: int, racks: int = 3, regions: int = 2, weight: float = 1.0) -> list[Leaf]:
-    """Shards dealt in turn to the racks of the regions; one shard more changes no other leaf."""
-    return [Leaf(i % regions, i // regions % racks, i, weight) for i in range(n_shards)]
+def tree(n_shards: int, built: int | None = None, racks: int = 3, regions: int = 2, weight: float = 1.0) -> list[Leaf]:
+    """The first `built` shards (all, if not given) dealt in turn to the racks of the regions, each later one in a region of its own."""
+    built = n_shards if built is None else built
+    return [Leaf(i % regions, i // regions % racks, i, weight) if i < built else Leaf(regions + i - built, 0, i, weight) for i in range(n_shards)]
 
 
-def draw(key: Column, leaf: Leaf) -> Column:
-    """An exponential draw with the leaf's weight as its rate, from 52 bits of a hash of key and leaf."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard)), 12) + F.lit(1)) / F.lit(float(1 << 52))
-    return -F.log(u) / F.lit(float(leaf.weight))
+def draw(key: Column, node: list[Column], weight: Column) -> Column:
+    """An exponential draw with the weight as its rate, from 52 bits of a hash of key and node. Without weight: none."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, *node), 12) + F.lit(1)) / F.lit(float(1 << 52))
+    return F.when(weight > 0, -F.log(u) / weight)
 
 
-def shard_of(key: Column, leaves: list[Leaf]) -> Column:
-    """The shard that the descent ends in. A null key is a key like any other; leaves of weight 0 get nothing."""
+def assign(rows: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> DataFrame:
+    """rows with the shard that the descent from the root ends in. A null key is a key like any other; leaves of weight 0 get nothing."""
     live = [x for x in leaves if x.weight > 0]
     if not live:
         raise ValueError("no shard has a weight")
-
-    def least(nodes: list[Column]) -> Column:
-        return F.least(*nodes) if len(nodes) > 1 else nodes[0]
-
-    # each node is struct(draw, choice): the least struct is the child to descend into
-    racks: dict[tuple[int, int], list[Column]] = {}
-    for x in live:
-        racks.setdefault((x.region, x.rack), []).append(F.struct(draw(key, x).alias("draw"), F.lit(x.shard).alias("shard")))
-    regions: dict[int, list[Column]] = {}
-    for (region, _), shards in racks.items():
-        regions.setdefault(region, []).append(least(shards))
-    return least([least(x) for x in regions.values()]).getField("shard")
-
-
-def assign(rows: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> DataFrame:
-    return rows.withColumn(out, shard_of(F.col(key), leaves))
-
-
-def number(rows: DataFrame, shard: str, order: list[str], rows_per_bucket: int = 50_000, out: str = "slot") -> DataFrame:
-    """Gapless numbers from 0 in each shard. A shard is cut into buckets by a hash of the order columns, so that no task
-    holds a whole shard; a bucket's offset comes from the small table of bucket counts."""
-    n = rows.count()
-    shards = max(1, rows.select(shard).distinct().count())
-    buckets = max(1, -(-n // (shards * rows_per_bucket)))
-    cut = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = cut.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    paths = [(x.region, x.rack, x.shard) for x in live]
+    taken, at = rows, []  # columns of the nodes on the way down
+    for level in range(3):
+        # children of each node by its place among those of its level: names and weights of their subtrees
+        parents = sorted({p[:level] for p in paths})
+        children = [sorted({p[level] for p in paths if p[:level] == parent}) for parent in parents]
+        weight = {p[: level + 1]: sum(x.weight for x, q in zip(live, paths, strict=True) if q[: level + 1] == p[: level + 1]) for p in paths}
+        most = max(map(len, children))
+        names = [[*own, *[-1] * (most - len(own))] for own in children]
+        weights = [[weight.get((*parent, n), 0.0) for n in own] for parent, own in zip(parents, names, strict=True)]
+        parent = F.col(f"_{out}_parent") if level else F.lit(0)
+        pick = lambda table, j: F.element_at(F.array(*[F.lit(own[j]) for own in table]), parent + 1)  # noqa: B023, E731
+        draws = [F.struct(F.coalesce(draw(F.col(key), [F.lit(level), *map(F.col, at), pick(names, j)], pick(weights, j)), F.lit(float("inf"))).alias("draw"), pick(names, j).alias("name"), F.lit(j).alias("child")) for j in range(most)]
+        taken = taken.withColumn(f"_{out}_least", F.least(*draws) if most > 1 else draws[0]).withColumn(f"_{out}_{level}", F.col(f"_{out}_least.name"))
+        at.append(f"_{out}_{level}")
+        if level < 2:
+            below = sorted({p[: level + 1] for p in paths})
+            place = [[below.index((*parent, n)) if n >= 0 else 0 for n in own] for parent, own in zip(parents, names, strict=True)]
+            flat = F.array(*[F.lit(x) for own in place for x in own])
+            taken = taken.withColumn(f"_{out}_parent", F.element_at(flat, parent * most + F.col(f"_{out}_least.child") + 1))
+    return taken.withColumn(out, F.col(f"_{out}_2")).drop(f"_{out}_least", f"_{out}_parent", *at)
+
+
+def number(rows: DataFrame, shard: str, rows_per_bucket: int = 50_000, out: str = "slot") -> DataFrame:
+    """Gapless numbers from 0 in each shard, in the order of the rows' hashes and then columns.
+
+    Equal rows are counted first and numbered together, however many there are. A shard is cut into buckets of hashes, so
+    that no task holds a whole shard; a bucket's offset comes from the small table of bucket counts."""
+    columns = rows.columns
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(shard).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("most")).first()["most"]
+    buckets = max(1, -(-(sizes or 0) // rows_per_bucket))
+    cut = counted.withColumn("_hash", F.xxhash64(*columns)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    counts = cut.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = cut.withColumn("_row", F.row_number().over(inside) - 1)
-    joined = numbered.join(offsets, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn(out, F.col("_first") + F.col("_row")).drop("_bucket", "_shard", "_b", "_first", "_row")
+    inside = Window.partitionBy(shard, "_bucket").orderBy("_hash", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = cut.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    joined = numbered.join(offsets, F.col(shard).eqNullSafe(F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
+    # pieces of equal rows, dealt out where one row stands for very many
+    pieces = joined.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / PIECE))))
+    last = F.least(F.col("_n"), (F.col("_piece") + 1) * PIECE) - 1
+    return pieces.withColumn("_row", F.explode(F.sequence(F.col("_piece") * PIECE, last))).select(*columns, (F.col("_first") + F.col("_in") + F.col("_row")).alias(out))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 24, built: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of docs.
 
-    The law is `key`: doc_id and the number of shards decide. A null text has size 8 and the CRC of no bytes; a
-    repeated row is numbered like any other; a null doc_id is a key of its own; no rows give no rows.
+    The law is `key`: doc_id and the number of shards decide, for a tree that was built with `built` of them (all, if not
+    given), and a shard more takes rows only into itself. A null text has size 8 and the CRC of no bytes, as an empty
+    one; very long texts are only measured; a repeated row is numbered like any other; a null doc_id is a key of its own.
+    Columns other than doc_id and text are ignored, whatever their names. No rows give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    leaves, grown = tree(n_shards), tree(n_shards + 1)
+    built = n_shards if built is None else built
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sized.withColumn("shard", shard_of(F.col("doc_id"), leaves)).withColumn("grown_shard", shard_of(F.col("doc_id"), grown))
-    slots = number(placed, "shard", ["doc_id", "size", "text_crc32"])
-    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    placed = assign(assign(sized, "doc_id", tree(n_shards, built)), "doc_id", tree(n_shards + 1, built), "grown_shard")
+    return number(placed, "shard").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

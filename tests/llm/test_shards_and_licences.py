@@ -1,8 +1,11 @@
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import xxhash
+
 from codecorpus.llm import hash_tree, licences
 
 from . import cases
@@ -26,10 +29,51 @@ def test_weights_confine_moves(spark):
     leaves = hash_tree.tree(12)
     heavier = [hash_tree.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in leaves]
     rows = hash_tree.assign(hash_tree.assign(spark.range(3000), "id", leaves, "a"), "id", heavier, "b").collect()
-    assert all(r.b in (r.a, 5) for r in rows)
+    at = {x.shard: (x.region, x.rack) for x in leaves}
+    for r in rows:
+        if r.a != r.b:  # into the subtree whose weight grew, and inside it further down
+            assert at[r.b][0] == at[5][0]
+            assert at[r.a][0] != at[5][0] or at[r.b] == at[5]
+            assert at[r.a] != at[5] or r.b == 5
     assert sum(r.b == 5 for r in rows) > 2 * sum(r.a == 5 for r in rows)
 
 
+def hash64(value, size, seed):
+    return xxhash.xxh64_intdigest((value % (1 << 8 * size)).to_bytes(size, "little"), seed)
+
+
+def descend(key, leaves):
+    """Level by level, each node with a draw of its own."""
+    path, inside = [], list(leaves)
+    for level, name in enumerate(("region", "rack", "shard")):
+        best = []
+        for child in {getattr(x, name) for x in inside}:
+            h = 42 if key is None else hash64(key, 8, 42)
+            for part in (level, *path, child):
+                h = hash64(part, 4, h)
+            weight = sum(x.weight for x in inside if getattr(x, name) == child)
+            best.append((-math.log(((h >> 12) + 1) / (1 << 52)) / weight, child))
+        path.append(min(best)[1])
+        inside = [x for x in inside if getattr(x, name) == path[-1]]
+    return path[-1]
+
+
+def test_shards_as_by_brute_force(spark):
+    r = random.Random(4)
+    uneven = [hash_tree.Leaf(r.randint(0, 3), r.randint(2, 5), i, r.choice([0.5, 1.0, 4.0])) for i in range(17)]
+    keys = [None, -1, 0, *(r.randrange(-(2**62), 2**62) for _ in range(300))]
+    frame = spark.createDataFrame([(k,) for k in keys], "k long")
+    for leaves in (hash_tree.tree(24), hash_tree.tree(25, 24), hash_tree.tree(1), uneven):
+        got = hash_tree.assign(frame, "k", [*leaves, hash_tree.Leaf(9, 9, 99, 0.0)]).collect()
+        assert {x.k: x.shard for x in got} == {k: descend(k, leaves) for k in keys}
+
+
+def test_a_count_of_shards_decides(spark):
+    docs = spark.range(800).selectExpr("id as doc_id", "'x' as text")
+    before, after = ({r.doc_id: r for r in hash_tree.shard_documents(docs, n, 24).collect()} for n in (25, 26))
+    assert all(after[d].shard == before[d].grown_shard and before[d].grown_shard in (before[d].shard, 25) for d in before)
+
+
 def test_awkward_rows_are_sharded(spark):
     rows = hash_tree.shard_documents(cases.table(spark), 3).collect()
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((r[0], len((r[1] or "").encode()) + 8) for r in cases.ROWS)
@@ -39,10 +83,17 @@ def test_awkward_rows_are_sharded(spark):
 
 
 def test_buckets_number_gaplessly(spark):
-    rows = hash_tree.number(spark.range(1000).selectExpr("id", "0 as shard"), "shard", ["id"], rows_per_bucket=37).collect()
+    rows = hash_tree.number(spark.range(1000).selectExpr("id", "0 as shard"), "shard", rows_per_bucket=37).collect()
     assert sorted(r.slot for r in rows) == list(range(1000))
 
 
+def test_equal_rows_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(hash_tree, "PIECE", 70)
+    rows = hash_tree.number(spark.range(900).selectExpr("if(id < 500, null, id) as id", "cast(id % 2 as int) as shard"), "shard", rows_per_bucket=37).collect()
+    for s in (0, 1):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(450))
+
+
 def brute(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in text or ""))
     found = [(i, licences.BASE[p]) for p in licences.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
