@@ -12,6 +12,7 @@ candidates. Texts are never shuffled.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass, replace
@@ -35,7 +36,8 @@ PRECISION = 0.97
 # -- fixed patterns ------------------------------------------------------------------------------------------------
 
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match takes whole runs of digits, so it can begin where a run does only: one look at each run, however long.
+_ip = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile("[0-9]")
@@ -230,9 +232,9 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: fl
     return Boosted(prior, tuple(trees), rate, tuple(thresholds))
 
 
-def spans(texts: list[str], model: Boosted) -> list[list[tuple[str, int, int]]]:
-    """All spans of each text, by kind and start: those of the fixed patterns, and selected others that overlap none of them. The texts' candidates are scored at once."""
-    bases = [base_spans(t) for t in texts]
+def spans(texts: list[str], model: Boosted, bases: list | None = None) -> list[list[tuple[str, int, int]]]:
+    """All spans of each text, by kind and start: those of the fixed patterns (bases, if known), and selected others that overlap none of them. The texts' candidates are scored at once."""
+    bases = [base_spans(t) for t in texts] if bases is None else bases
     if not model.trees:
         return bases
     proposed = [[x for x in candidates(t) if x not in base] for t, base in zip(texts, map(set, bases), strict=True)]
@@ -247,12 +249,20 @@ def spans(texts: list[str], model: Boosted) -> list[list[tuple[str, int, int]]]:
 def selected(base: list[tuple[str, int, int]], proposed: list[tuple[str, int, int]], p: np.ndarray, model: Boosted) -> list[tuple[str, int, int]]:
     """The fixed spans and those of the proposed ones that their scores select, likeliest first."""
     least = np.array([model.thresholds[KINDS.index(kind)] for kind, _, _ in proposed])
-    taken = [(a, b) for _, a, b in base]
+    starts, ends = [], []  # disjoint, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     extra = []
     for i in np.argsort(-p, kind="stable").tolist():
-        kind, a, b = proposed[i]
-        if p[i] >= least[i] and all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
+        _, a, b = proposed[i]
+        at = bisect.bisect_left(ends, a + 1)  # the first that ends behind a
+        if p[i] >= least[i] and (at == len(starts) or b <= starts[at]):
+            starts.insert(at, a)
+            ends.insert(at, b)
             extra.append(proposed[i])
     return sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -381,14 +391,16 @@ _span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """doc_id, base (spans of the fixed patterns) and spans (all) of each row of docs: kind, start, end in characters.
 
-    A null or empty text has none. Repeated rows give repeated rows. Without a model one is fitted to docs.
+    A null or empty text has none. Repeated rows give repeated rows. A very long text takes time in proportion. Columns other
+    than doc_id and text are ignored, whatever their names. No rows give no rows. Without a model one is fitted to docs.
     """
     model = model or fitted(docs)
     named = lambda s: [{"kind": k, "start": a, "end": b} for k, a, b in s]
 
     def step(ids: list, texts: list[bytes]) -> dict:
         texts = [t.decode() for t in texts]
-        return {"doc_id": pa.array(ids, pa.int64()), "base": pa.array([named(base_spans(t)) for t in texts], _span), "spans": pa.array([named(s) for s in spans(texts, model)], _span)}
+        bases = [base_spans(t) for t in texts]
+        return {"doc_id": pa.array(ids, pa.int64()), "base": pa.array([named(s) for s in bases], _span), "spans": pa.array([named(s) for s in spans(texts, model, bases)], _span)}
 
     return c.map_blocks(c.clean_docs(docs), step, SCHEMA)
 

@@ -116,3 +116,35 @@ def test_thresholds_come_from_all_other_candidates():
     model = pii.Boosted(0.0, (), 0.3, (2.0,) * 5)
     rows = [{"kind": 4, "bin": pii.BINS - 1, "n": 97, "hits": 97}, {"kind": 4, "bin": 9000, "n": 3, "hits": 0}, {"kind": 4, "bin": 8999, "n": 1, "hits": 0}, {"kind": 0, "bin": 16000, "n": 4, "hits": 4}]
     assert pii.calibrated(model, rows).thresholds == (2.0, 2.0, 2.0, 2.0, 9000 / pii.BINS)
+
+
+def test_scans_of_long_runs_take_time_in_proportion():
+    import time
+
+    for text in ("9" * 400_000, "1." * 200_000, "1234.5678." * 40_000, "+1" + "(" * 200_000, "a" * 400_000 + "@b"):
+        before = time.process_time()
+        pii.base_spans(text)
+        assert time.process_time() - before < 3
+
+
+def test_addresses_as_by_the_plain_pattern():
+    r, plain = random.Random(5), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(20_000):
+        t = "".join(r.choice("0123459..x ") for _ in range(r.randint(0, 30)))
+        assert [m.span() for m in pii._ip.finditer(t)] == [m.span() for m in plain.finditer(t)], t
+
+
+def test_likelier_spans_come_first_and_none_overlap():
+    r = random.Random(6)
+    model = pii.Boosted(0.0, (), 0.3, (0.5,) * len(pii.KINDS))
+    for _ in range(300):
+        some = lambda n: [(r.choice(pii.KINDS), a, a + r.randint(1, 9)) for a in (r.randrange(60) for _ in range(n))]
+        base, proposed = some(r.randint(0, 4)), some(r.randint(1, 12))
+        p = np.array([r.random() for _ in proposed])
+        taken, want = [(a, b) for _, a, b in base], list(base)
+        for i in sorted(range(len(p)), key=lambda i: -p[i]):
+            _, a, b = proposed[i]
+            if p[i] >= 0.5 and all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+                want.append(proposed[i])
+        assert sorted(pii.selected(base, proposed, p, model)) == sorted(want)
