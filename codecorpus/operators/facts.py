@@ -29,32 +29,79 @@ def python_imports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     return one.unionByName(two)
 
 
+def _statements(line_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _line, _text of each import or export that names its source, its lines joined: from the line that begins it
+    to the first one with a quoted name."""
+    own = line_rows.select(*keys, F.col("line_no").alias("_line"), F.col("line").alias("_text"))
+    begins = F.rlike("_text", F.lit(r"^\s*(?:import\b(?!\s*[(.])|export\s*(?:type\s*)?[{*])"))
+    in_order = Window.partitionBy(*keys).orderBy("_line")
+    marked = own.withColumn("_nth", F.sum(begins.cast("int")).over(in_order)).where("_nth > 0")
+    ends = F.min(F.when(F.rlike("_text", F.lit(r"""['"][^'"]+['"]""")), F.col("_line"))).over(Window.partitionBy(*keys, "_nth"))
+    inside = marked.withColumn("_end", ends).where("_line <= _end")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_text"))), lambda x: x["_text"]), " ")
+    return inside.groupBy(*keys, "_nth").agg(F.min("_line").alias("_line"), joined.alias("_text")).drop("_nth")
+
+
 def javascript_imports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """module_name, import_kind (import or require), source_line."""
-    es = F.regexp_extract("line", r"""^\s*(?:import|export)\b[^'"]*\bfrom\s*['"]([^'"]+)['"]|^\s*import\s*['"]([^'"]+)['"]""", 1)
-    bare = F.regexp_extract("line", r"""^\s*import\s*['"]([^'"]+)['"]""", 1)
-    cjs = F.regexp_extract("line", r"""^\s*(?:export\s+)?(?:const|let|var)\s+[^=]+=\s*require\(\s*['"]([^'"]+)['"]""", 1)
-    found = line_rows.withColumn("m", F.coalesce(F.nullif(es, F.lit("")), F.nullif(bare, F.lit("")))).withColumn("r", F.nullif(cjs, F.lit("")))
-    return found.where("m is not null or r is not null").select(*keys, F.coalesce("m", "r").alias("module_name"), F.when(F.col("m").isNotNull(), "import").otherwise("require").alias("import_kind"), F.col("line_no").alias("source_line"))
+    """module_name, import_kind (import or require), imported_symbols, is_relative, source_line.
+
+    An import's symbols are its clause as it stands; a require's is the variable. Statements may run over lines; of
+    exports, those that name a source count. Columns other than the keys, line_no and line are ignored.
+    """
+    found = _statements(line_rows, keys)
+    head = r"""^\s*(?:import|export)\s*(?:type\s+)?([^'";]*?)\s*\bfrom\s*['"]([^'"]+)['"]"""
+    bare = F.regexp_extract("_text", r"""^\s*import\s*['"]([^'"]+)['"]""", 1)
+    named = F.regexp_extract("_text", head, 2)
+    clause = F.regexp_replace(F.regexp_extract("_text", head, 1), r"\s+", " ")
+    none = F.array().cast("array<string>")
+    es = found.select(*keys, F.coalesce(F.nullif(named, F.lit("")), F.nullif(bare, F.lit(""))).alias("module_name"), F.lit("import").alias("import_kind"), F.when(clause != "", F.array(clause)).otherwise(none).alias("imported_symbols"), F.col("_line").alias("source_line")).where("module_name is not null")
+    call = r"""^\s*(?:export\s+)?(?:const|let|var)\s+([^=]+?)\s*=\s*require\(\s*['"]([^'"]+)['"]"""
+    cjs = line_rows.where(F.rlike("line", F.lit(call))).select(*keys, F.regexp_extract("line", call, 2).alias("module_name"), F.lit("require").alias("import_kind"), F.array(F.regexp_extract("line", call, 1)).alias("imported_symbols"), F.col("line_no").alias("source_line"))
+    return es.unionByName(cjs).withColumn("is_relative", F.startswith("module_name", F.lit(".")))
 
 
 def python_symbols(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     """kind, name, is_async, indent, start_line, end_line of defs, classes and module-level names. A body ends before
-    the next line that is indented no deeper; blank lines and comments don't count."""
-    code = line_rows.where(~F.rlike("line", F.lit(r"^\s*(#.*)?$"))).withColumn("indent", F.length(F.regexp_extract("line", r"^(\s*)", 1)))
-    last = F.max("line_no").over(Window.partitionBy(*keys))
+    the next line that is indented no deeper; blank lines and comments don't count. One sorted pass over a file's lines.
+    Columns other than the keys, line_no and line are ignored."""
     head = r"^\s*(async\s+)?(def|class)\s+(\w+)"
     name = r"^([A-Za-z_]\w*)\s*(?::[^=]+)?=[^=]"
-    marked = code.withColumn("last", last).withColumn("head", F.regexp_extract("line", head, 2)).withColumn("own", F.regexp_extract("line", name, 1))
-    symbols = marked.where("head <> '' or own <> ''").select(*keys, F.when(F.col("head") == "def", "function").when(F.col("head") == "class", "class").otherwise("variable").alias("kind"), F.when(F.col("head") != "", F.regexp_extract("line", head, 3)).otherwise(F.col("own")).alias("name"), (F.regexp_extract("line", head, 1) != "").alias("is_async"), "indent", F.col("line_no").alias("start_line"), "last")
-    ends = code.select(*keys, F.col("line_no").alias("next_line"), F.col("indent").alias("next_indent"))
-    own = [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
-    on = own[0]
-    for x in own[1:]:
-        on = on & x
-    joined = symbols.alias("s").join(ends.alias("e"), on & (F.col("next_line") > F.col("start_line")) & (F.col("next_indent") <= F.col("indent")), "left")
-    grouped = joined.groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], "kind", "name", "is_async", "indent", "start_line", "last").agg(F.min("next_line").alias("n"))
-    return grouped.withColumn("end_line", F.when(F.col("kind") == "variable", F.col("start_line")).otherwise(F.coalesce(F.col("n") - 1, F.col("last")))).drop("n", "last")
+    code = line_rows.where(~F.rlike("line", F.lit(r"^\s*(#.*)?$"))).select(*keys, "line_no", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("indent"), F.regexp_extract("line", head, 2).alias("_head"), F.regexp_extract("line", name, 1).alias("_own"), F.regexp_extract("line", head, 3).alias("_name"), (F.regexp_extract("line", head, 1) != "").alias("is_async"))
+    kinds = [code.schema[k].dataType.simpleString() for k in keys]
+    types = f"{', '.join(f'`{k}` {t}' for k, t in zip(keys, kinds, strict=True))}, line_no {code.schema['line_no'].dataType.simpleString()}, kind string, name string, is_async boolean, indent int, end_line {code.schema['line_no'].dataType.simpleString()}"
+
+    def run(batches):
+        # a stack of open bodies: a line closes those that are indented as deep or deeper
+        import pyarrow as pa
+
+        file, last, open_now = None, None, []
+        n = len(keys)
+
+        def closed(bodies: list, end: int) -> list:
+            return [(*file, start, kind, name, is_async, indent, end) for start, kind, name, is_async, indent in bodies]
+
+        for batch in batches:
+            out = []
+            for *own, line_no, indent, head, variable, name, is_async in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if own != file:
+                    out += closed(open_now, last)
+                    file, open_now = own, []
+                while open_now and open_now[-1][-1] >= indent:
+                    out += closed([open_now.pop()], line_no - 1)
+                if head:
+                    open_now.append((line_no, "function" if head == "def" else "class", name, is_async, indent))
+                elif variable:
+                    out.append((*file, line_no, "variable", variable, False, indent, line_no))
+                last = line_no
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [*(batch.schema.field(i).type for i in range(n + 1)), pa.string(), pa.string(), pa.bool_(), pa.int32(), batch.schema.field(n).type], strict=True)], [*keys, "line_no", "kind", "name", "is_async", "indent", "end_line"])
+        if open_now:
+            rest = list(zip(*closed(open_now, last), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rest, [*(batch.schema.field(i).type for i in range(n + 1)), pa.string(), pa.string(), pa.bool_(), pa.int32(), batch.schema.field(n).type], strict=True)], [*keys, "line_no", "kind", "name", "is_async", "indent", "end_line"])
+
+    found = code.repartition(*keys).sortWithinPartitions(*keys, "line_no").mapInArrow(run, types)
+    return found.select(*keys, "kind", "name", "is_async", "indent", F.col("line_no").alias("start_line"), "end_line")
 
 
 def javascript_symbols(line_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,12 +118,37 @@ def javascript_symbols(line_rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def javascript_exports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """name, kind (default or named), source_line."""
-    es = F.regexp_extract("line", r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+(\w+)", 1)
-    dotted = F.regexp_extract("line", r"^\s*(?:module\.)?exports\.(\w+)\s*=", 1)
-    whole = F.rlike("line", F.lit(r"^\s*(?:module\.exports\s*=|export\s+default\b)"))
-    name = F.coalesce(F.nullif(es, F.lit("")), F.nullif(dotted, F.lit("")), F.when(whole, "default"))
-    return line_rows.withColumn("name", name).where("name is not null").select(*keys, "name", F.when(F.contains("line", F.lit("default")) | whole, "default").otherwise("named").alias("kind"), F.col("line_no").alias("source_line"))
+    """name, kind, source_line of what a file exports.
+
+    Kinds: function, class, variable, default; `export { a as b }` gives variables by their new names, `export * from`
+    one of kind all. Plain declarations of classes at the top level count as exports too. Clauses of one line.
+    """
+    line = F.col("line")
+    default = F.rlike(line, F.lit(r"^\s*export\s+default\b"))
+    function = F.regexp_extract(line, r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", 1)
+    nameless = F.rlike(line, F.lit(r"^\s*export\s+default\s+(?:async\s+)?function\s*\*?\s*\("))
+    arrow = F.regexp_extract(line, r"^\s*export\s+(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)", 1)
+    variable = F.regexp_extract(line, r"^\s*export\s+(?:const|let|var)\s+(\w+)", 1)
+    own_class = F.regexp_extract(line, r"^(?:export\s+(?:default\s+)?)?class\s+(\w+)", 1)
+    value = F.regexp_extract(line, r"^\s*export\s+default\s+(\w+)\s*;?\s*$", 1)
+    dotted = F.regexp_extract(line, r"^\s*(?:module\.)?exports\.(\w+)\s*=", 1)
+    clause = F.regexp_extract(line, r"^\s*export\s*(?:type\s*)?\{([^}]*)\}", 1)
+    listed = F.transform(F.filter(F.transform(F.split(clause, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(F.regexp_extract(x, r"(\w+)$", 1).alias("name"), F.lit("variable").alias("kind")))
+    one = lambda name, kind: F.array(F.struct(name.alias("name"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind")))
+    found = (
+        F.when(function != "", one(function, F.when(default, "default").otherwise("function")))
+        .when(nameless, one(F.lit("default"), "default"))
+        .when(arrow != "", one(arrow, "function"))
+        .when(variable != "", one(variable, "variable"))
+        .when(own_class != "", one(own_class, "class"))
+        .when(value != "", one(value, "default"))
+        .when(default, one(F.lit("default"), "default"))
+        .when(dotted != "", one(dotted, "variable"))
+        .when(F.rlike(line, F.lit(r"^\s*module\.exports\s*=")), one(F.lit("default"), "default"))
+        .when(F.rlike(line, F.lit(r"^\s*export\s*\*")), one(F.lit("*"), "all"))
+        .otherwise(listed)
+    )
+    return line_rows.select(*keys, F.col("line_no").alias("source_line"), F.explode(found).alias("_export")).select(*keys, "_export.name", "_export.kind", "source_line")
 
 
 def calls(line_rows: DataFrame, keys: list[str], comment: str = "#") -> DataFrame:
@@ -87,12 +159,19 @@ def calls(line_rows: DataFrame, keys: list[str], comment: str = "#") -> DataFram
 
 
 def enclosing(call_rows: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds caller: the innermost symbol whose lines hold the call, or ''. The symbols of one file meet its calls by window, not by a range join."""
-    starts = symbols.where("kind <> 'variable'").select(*keys, F.col("start_line").alias("at"), F.lit(0).alias("o"), F.struct("end_line", "name").alias("sym"), F.lit(None).cast("string").alias("target_name"))
-    events = starts.unionByName(call_rows.select(*keys, F.col("source_line").alias("at"), F.lit(1).alias("o"), F.lit(None).cast(starts.schema["sym"].dataType).alias("sym"), "target_name"))
-    seen = F.collect_list("sym").over(Window.partitionBy(*keys).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    open_now = F.filter(seen, lambda x: x["end_line"] >= F.col("at"))
-    return events.withColumn("caller", F.coalesce(F.try_element_at(open_now, F.lit(-1))["name"], F.lit(""))).where("o = 1").select(*keys, "caller", "target_name", F.col("at").alias("source_line"))
+    """keys, caller, target_name, source_line: caller is the innermost symbol whose lines hold the call, or ''.
+
+    Two passes over a file's sorted starts, calls and ends: how many symbols are open at each, then the last that began at
+    that depth. Columns other than the named ones are ignored."""
+    own = symbols.where("kind <> 'variable'")
+    nothing = F.lit(None).cast("string")
+    event = lambda rows, at, order, step, name, target: rows.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(order).alias("_order"), F.lit(step).alias("_step"), name.alias("_name"), target.alias("target_name"))
+    events = event(own, "start_line", 0, 1, F.col("name"), nothing).unionByName(event(call_rows, "source_line", 1, 0, nothing, F.col("target_name"))).unionByName(event(own, "end_line", 2, -1, nothing, nothing))
+    before = Window.partitionBy(*keys).orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    deep = events.withColumn("_depth", F.sum("_step").over(before)).where("_order < 2")
+    begun = Window.partitionBy(*keys, "_depth").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    caller = F.when(F.col("_depth") > 0, F.last("_name", ignorenulls=True).over(begun))
+    return deep.withColumn("caller", F.coalesce(caller, F.lit(""))).where("_order = 1").select(*keys, "caller", "target_name", F.col("_at").cast(call_rows.schema["source_line"].dataType).alias("source_line"))
 
 
 def parameters(signature: Column) -> Column:
@@ -124,12 +203,15 @@ def decision_points(line: Column, language: str = "python") -> Column:
 
 
 def complexity(line_rows: DataFrame, symbols: DataFrame, keys: list[str], language: str = "python") -> DataFrame:
-    """keys, name, start_line, complexity: 1 and the branch points of a function's lines."""
-    points = line_rows.withColumn("p", decision_points(F.col("line"), language)).where("p > 0").select(*keys, "line_no", "p")
-    own = symbols.where("kind = 'function'").select(*keys, "name", "start_line", "end_line")
-    inside = own.join(points, keys).where("line_no between start_line and end_line")
-    sums = inside.groupBy(*keys, "name", "start_line").agg(F.sum("p").alias("p"))
-    return own.join(sums, [*keys, "name", "start_line"], "left").select(*keys, "name", "start_line", (F.lit(1) + F.coalesce("p", F.lit(0))).cast("int").alias("complexity"))
+    """keys, name, start_line, complexity: 1 and the branch points of a function's lines. A running sum over a file's lines is
+    read at each function's start and end. Columns other than the named ones are ignored."""
+    own = symbols.where("kind = 'function'")
+    none = F.lit(None)
+    points = line_rows.select(*keys, F.col("line_no").cast("long").alias("_at"), F.lit(1).alias("_order"), decision_points(F.col("line"), language).cast("long").alias("_points"), none.cast("string").alias("name"), none.cast("long").alias("start_line"))
+    edge = lambda at, order: own.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(order).alias("_order"), F.lit(0).cast("long").alias("_points"), "name", F.col("start_line").cast("long").alias("start_line"))
+    before = Window.partitionBy(*keys).orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = points.unionByName(edge("start_line", 0)).unionByName(edge("end_line", 2)).withColumn("_sum", F.sum("_points").over(before)).where("_order <> 1")
+    return summed.groupBy(*keys, "name", "start_line").agg((F.max("_sum") - F.min("_sum") + 1).cast("int").alias("complexity")).withColumn("start_line", F.col("start_line").cast(own.schema["start_line"].dataType))
 
 
 def docstrings(line_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,18 +225,51 @@ def docstrings(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     return marked.where("name <> ''").join(marks, [*keys, "group"], "left").select(*keys, "line_no", "name", "docstring", F.coalesce("decorators", F.array().cast("array<string>")).alias("decorators"))
 
 
+def complexity_warnings(symbols: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
+    """keys, code, message, line, severity of the functions whose complexity is above `most`. symbols: keys, kind, name, complexity, start_line."""
+    message = F.concat(F.lit("Function '"), "name", F.lit("' has high cyclomatic complexity ("), F.col("complexity").cast("string"), F.lit(")."))
+    return symbols.where((F.col("complexity") > most) & F.col("kind").isin("function", "method", "constructor")).select(*keys, F.lit("HIGH_COMPLEXITY").alias("code"), message.alias("message"), F.col("start_line").alias("line"), F.lit("warning").alias("severity"))
+
+
+def syntax_warnings(fact_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, code, message, line, severity of the files that `python_facts` couldn't parse."""
+    return fact_rows.where("kind = 'error'").select(*keys, F.lit("SYNTAX_ERROR").alias("code"), F.lit("Python parser could not fully parse this file.").alias("message"), "line", F.lit("risk").alias("severity"))
+
+
 FACTS = "kind string, name string, line int, end_line int, complexity int, detail string"
+LEGACY_NAMES = ("xrange", "raw_input", "iteritems", "iterkeys", "itervalues")
+
+
+def _dotted(node) -> str:
+    """The dotted name of an expression, '' if it has none."""
+    import ast
+
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        return f"{_dotted(node.value)}.{node.attr}".lstrip(".")
+    return _dotted(node.func) if isinstance(node, ast.Call) else ""
 
 
 def _python_facts(text: str) -> list[tuple]:
-    """Facts of one text by its syntax tree; a text that isn't Python gives one `error`."""
+    """Facts of one text by its syntax tree; of a text that isn't Python an `error` and what its tokens show.
+
+    detail: of functions a parameter list (name, annotation and default as they stand) with `async` in front, of classes
+    their bases, of imports their symbols, of docstrings and decorators the symbol they belong to, of warnings the subject.
+    """
     import ast
+    import warnings
 
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [("error", type(e).__name__, getattr(e, "lineno", None) or 1, None, None, None)]
+    from codecorpus.operators.text import DEPRECATED_MODULES
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            return [("error", type(e).__name__, getattr(e, "lineno", None) or 1, None, None, None), *_token_facts(text)]
     branches = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith)
+    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
 
     def points(node: ast.AST) -> int:
         n = 1
@@ -166,25 +281,99 @@ def _python_facts(text: str) -> list[tuple]:
         return n
 
     out: list[tuple] = []
-    for x in ast.walk(tree):
-        if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            out.append(("function", x.name, x.lineno, x.end_lineno, points(x), "async" if isinstance(x, ast.AsyncFunctionDef) else ""))
-            out += [("warning", "MUTABLE_DEFAULT_ARG", x.lineno, None, None, x.name) for d in [*x.args.defaults, *x.args.kw_defaults] if isinstance(d, (ast.List, ast.Dict, ast.Set))]
-        elif isinstance(x, ast.ClassDef):
-            out.append(("class", x.name, x.lineno, x.end_lineno, None, ""))
-        elif isinstance(x, ast.Import):
-            out += [("import", a.name, x.lineno, None, None, a.asname or a.name) for a in x.names]
-        elif isinstance(x, ast.ImportFrom):
-            out.append(("import", "." * x.level + (x.module or ""), x.lineno, None, None, ",".join(a.name for a in x.names)))
-        elif isinstance(x, ast.Call):
-            out.append(("call", ast.unparse(x.func), x.lineno, None, None, ""))
-        elif isinstance(x, ast.ExceptHandler) and x.type is None:
-            out.append(("warning", "BARE_EXCEPT", x.lineno, None, None, ""))
+
+    def warn(code: str, line: int, subject: str) -> None:
+        out.append(("warning", code, line, None, None, subject))
+
+    def symbol(x: ast.AST, name: str) -> None:
+        if (doc := ast.get_docstring(x)) is not None:
+            out.append(("docstring", doc, x.lineno, None, None, name))
+        out.extend(("decorator", _dotted(d), d.lineno, None, None, name) for d in x.decorator_list)
+
+    def visit(node: ast.AST, prefix: str) -> None:
+        for x in ast.iter_child_nodes(node):
+            inner = prefix
+            if isinstance(x, functions):
+                inner = f"{prefix}{x.name}."
+                kind = "function" if not isinstance(node, ast.ClassDef) else "constructor" if x.name == "__init__" else "method"
+                score = points(x)
+                out.append((kind, prefix + x.name, x.lineno, x.end_lineno, score, ("async " if isinstance(x, ast.AsyncFunctionDef) else "") + f"({ast.unparse(x.args)})"))
+                symbol(x, prefix + x.name)
+                if score > 10:
+                    warn("HIGH_COMPLEXITY", x.lineno, prefix + x.name)
+                for d in [*x.args.defaults, *x.args.kw_defaults]:
+                    if isinstance(d, (ast.List, ast.Dict, ast.Set)):
+                        warn("MUTABLE_DEFAULT_ARG", x.lineno, prefix + x.name)
+            elif isinstance(x, ast.ClassDef):
+                inner = f"{prefix}{x.name}."
+                out.append(("class", prefix + x.name, x.lineno, x.end_lineno, None, ",".join(filter(None, map(_dotted, x.bases)))))
+                symbol(x, prefix + x.name)
+            elif isinstance(x, ast.Import):
+                for a in x.names:
+                    out.append(("import", a.name, x.lineno, None, None, a.asname or a.name))
+                    if a.name.split(".")[0] in DEPRECATED_MODULES:
+                        warn("DEPRECATED_MODULE", x.lineno, a.name.split(".")[0])
+            elif isinstance(x, ast.ImportFrom):
+                out.append(("import", "." * x.level + (x.module or ""), x.lineno, None, None, ",".join("*" if a.name == "*" else a.asname or a.name for a in x.names)))
+                if any(a.name == "*" for a in x.names):
+                    warn("WILDCARD_IMPORT", x.lineno, x.module or "")
+                if (x.module or "").split(".")[0] in DEPRECATED_MODULES:
+                    warn("DEPRECATED_MODULE", x.lineno, x.module.split(".")[0])
+            elif isinstance(x, ast.Call):
+                out.append(("call", ast.unparse(x.func), x.lineno, None, None, prefix.rstrip(".")))
+                if isinstance(x.func, ast.Name) and x.func.id in ("eval", "exec"):
+                    warn("EVAL_EXEC_USAGE", x.lineno, x.func.id)
+                if _dotted(x.func).rpartition(".")[2] in LEGACY_NAMES:
+                    warn("LEGACY_PYTHON2_CONSTRUCT", x.lineno, _dotted(x.func).rpartition(".")[2])
+            elif isinstance(x, ast.ExceptHandler) and x.type is None:
+                warn("BARE_EXCEPT", x.lineno, "")
+            elif isinstance(x, (ast.Assign, ast.AnnAssign)) and isinstance(node, ast.Module):
+                names = [t.id for t in (x.targets if isinstance(x, ast.Assign) else [x.target]) if isinstance(t, ast.Name)]
+                out.extend(("variable", n, x.lineno, x.end_lineno, None, "") for n in names)
+                out.extend(("export", n, x.lineno, None, None, "variable") for n in names)
+            elif isinstance(x, ast.If) and isinstance(x.test, ast.Compare) and _dotted(x.test.left) == "__name__" and any(isinstance(v, ast.Constant) and v.value == "__main__" for v in x.test.comparators):
+                out.append(("entry_point", "__main__", x.lineno, None, None, ""))
+            if isinstance(node, ast.Module) and isinstance(x, (*functions, ast.ClassDef)):
+                out.append(("export", x.name, x.lineno, None, None, "class" if isinstance(x, ast.ClassDef) else "function"))
+            visit(x, inner)
+
+    try:
+        visit(tree, "")
+    except RecursionError:  # nested deeper than the walk can go
+        return [("error", "RecursionError", 1, None, None, None), *_token_facts(text)]
+    return out
+
+
+def _token_facts(text: str) -> list[tuple]:
+    """What the tokens of a text show that doesn't parse: imports, classes, functions, marks of Python 2. As far as its tokens can be read."""
+    import io
+    import tokenize
+
+    tokens, out = [], []
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            tokens.append(t)
+    except (tokenize.TokenError, SyntaxError, ValueError):  # the rest can't be read
+        pass
+    kinds = {"import": "import", "from": "import", "class": "class", "def": "function"}
+    for t, after in zip(tokens, [*tokens[1:], None], strict=True):
+        line = t.start[0]
+        if t.string in kinds and after is not None and after.type == tokenize.NAME:
+            kind = kinds[t.string]
+            out.append((kind, after.string, line, line if kind != "import" else None, 1 if kind == "function" else None, after.string if t.string == "import" else ""))
+        elif t.string == "print" and after is not None and after.type == tokenize.STRING:
+            out.append(("warning", "LEGACY_PYTHON2_PRINT", line, None, None, "print"))
+        elif t.string in LEGACY_NAMES:
+            out.append(("warning", "LEGACY_PYTHON2_CONSTRUCT", line, None, None, t.string))
     return out
 
 
 def python_facts(files: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
-    """keys, kind, name, line, end_line, complexity, detail: exact facts of Python texts, in parallel over the files."""
+    """keys, kind, name, line, end_line, complexity, detail: exact facts of Python texts, in parallel over the files.
+
+    Kinds: import, export, class, function, method, constructor, variable, call, docstring, decorator, entry_point,
+    warning, error. A text that doesn't parse has an error and what its tokens show. A null text is the empty one.
+    """
     import pyarrow as pa
 
     from codecorpus.shipping import ship

@@ -18,6 +18,8 @@ class Rewrite:
     replacement: str
     message: str
     breaking: bool = False
+    #: Statement forms have a warning text of their own, count in the plural and give the line of the original text.
+    warning: str = ""
 
 
 @dataclass(frozen=True)
@@ -39,8 +41,8 @@ PYTHON_REWRITES = (
     Rewrite("PY2_RAW_INPUT", r"\braw_input\s*\(", "input(", "Replaced raw_input with input.", True),
     Rewrite("PY2_BASESTRING", r"\bbasestring\b", "str", "Replaced basestring with str.", True),
     Rewrite("PY2_UNICODE", r"\bunicode\s*\(", "str(", "Replaced unicode constructor with str.", True),
-    Rewrite("PY2_PRINT", r"(?md)^(\s*)print\s+([^>\n][^\n]*?)[ \t\r]*$", "$1print($2)", "Converted Python 2 print statements to print calls."),
-    Rewrite("PY2_EXCEPT", r"(?md)^(\s*except\s+[^:\n,]+),\s*([A-Za-z_]\w*)\s*:", "$1 as $2:", "Converted legacy exception binding syntax."),
+    Rewrite("PY2_PRINT", r"(?md)^(\s*)print\s+([^>\n][^\n]*?)[ \t\r]*$", "$1print($2)", "Converted Python 2 print statements to print calls.", warning="Converted print statement syntax."),
+    Rewrite("PY2_EXCEPT", r"(?md)^(\s*except\s+[^:\n,]+),\s*([A-Za-z_]\w*)\s*:", "$1 as $2:", "Converted legacy exception binding syntax.", warning="Converted exception binding to 'as' syntax."),
 )
 JAVASCRIPT_REWRITES = (
     Rewrite("JS_VAR_DECLARATION", r"(?md)^(\s*)var\s+", "$1let ", "Replaced function-scoped var with block-scoped let.", True),
@@ -48,6 +50,7 @@ JAVASCRIPT_REWRITES = (
     Rewrite("JS_STRICT_INEQUALITY", r"(?<![=!])!=(?!=)", "!==", "Replaced loose inequality with strict inequality.", True),
 )
 REVIEW = " Review behavior before merging."
+SYNTAX_REVIEW = "The proposal did not pass static syntax validation; do not apply it automatically."
 DEPRECATED_MODULES = ("imp", "optparse", "cgi", "asyncore", "smtpd", "nntplib", "telnetlib", "pipes", "audioop", "formatter", "spwd", "aifc", "sunau")
 WARNINGS = (
     Warn("DEPRECATED_MODULE", "warning", r"^\s*(?:import|from)\s+(?:" + "|".join(DEPRECATED_MODULES) + r")\b", "Deprecated standard-library module.", "python"),
@@ -75,29 +78,70 @@ def lines(files: DataFrame, keys: list[str], text: str = "content") -> DataFrame
 
 
 def rewrite(files: DataFrame, rules: tuple[Rewrite, ...], text: str = "content") -> DataFrame:
-    """Adds modern, changes (array of text), warnings (code, severity, message, line, breaking) and changed.
+    """Adds modern, changes (array of text), warnings (code, severity, message, line, breaking) and changed; columns of
+    these names are replaced.
 
     Each rule works on what the one before it left; a warning's line is that of the rule's first match at that step.
     """
-    out = files.withColumn("modern", F.col(text))
+    out = files.drop("changes", "warnings", "changed").withColumn("modern", F.col(text))
     steps = []
     for i, r in enumerate(rules):
         hits, at = F.regexp_count("modern", F.lit(r.pattern)), F.regexp_instr("modern", F.lit(r.pattern))
-        line = F.length(F.left("modern", at - 1)) - F.length(F.replace(F.left("modern", at - 1), F.lit("\n"), F.lit(""))) + 1
+        before = F.left(text if r.warning else "modern", at - 1)
+        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
         out = out.withColumns({f"_hits{i}": hits, f"_line{i}": line, "modern": F.regexp_replace("modern", r.pattern, r.replacement)})
         n = F.col(f"_hits{i}")
-        change = F.concat(F.lit(f"{r.message} ("), n.cast("string"), F.when(n == 1, " occurrence)").otherwise(" occurrences)"))
-        warning = F.struct(F.lit(r.code).alias("code"), F.lit("risk" if r.breaking else "info").alias("severity"), F.lit(r.message + (REVIEW if r.breaking else "")).alias("message"), F.col(f"_line{i}").alias("line"), F.lit(r.breaking).alias("breaking"))
+        plural = F.lit(" occurrences)")
+        change = F.concat(F.lit(f"{r.message} ("), n.cast("string"), plural if r.warning else F.when(n == 1, " occurrence)").otherwise(plural))
+        message = r.warning or r.message + (REVIEW if r.breaking else "")
+        warning = F.struct(F.lit(r.code).alias("code"), F.lit("risk" if r.breaking else "info").alias("severity"), F.lit(message).alias("message"), F.col(f"_line{i}").alias("line"), F.lit(r.breaking).alias("breaking"))
         steps.append((F.when(n > 0, change), F.when(n > 0, warning)))
     some = lambda columns: F.filter(F.array(*columns), lambda x: x.isNotNull())
     done = out.withColumns({"changes": some([a for a, _ in steps]), "warnings": some([b for _, b in steps]), "changed": ~F.col("modern").eqNullSafe(F.col(text))})
     return done.drop(*[f"_{k}{i}" for i in range(len(rules)) for k in ("hits", "line")])
 
 
-def syntax_gate(rewrites: DataFrame) -> DataFrame:
-    """Adds syntax_valid by bracket balance, and a warning where it fails."""
-    bad = F.struct(F.lit("SYNTAX_REVIEW_REQUIRED").alias("code"), F.lit("risk").alias("severity"), F.lit("Unbalanced brackets.").alias("message"), F.lit(1).alias("line"), F.lit(True).alias("breaking"))
-    gated = rewrites.withColumn("syntax_valid", s.brackets_balanced(F.col("modern")))
+def parses(text: str | None) -> bool:
+    """Whether a text is Python that its own parser takes. A null text is the empty one."""
+    import ast
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return False
+    return True
+
+
+def python_valid(rows: DataFrame, text: str, language: Column, out: str) -> DataFrame:
+    """Adds out: whether the text parses, for rows in Python; null for others. Rows stay in their partitions."""
+    from codecorpus.shipping import ship
+
+    ship(rows.sparkSession)
+    asked = rows.withColumn(out, F.when(language == "python", F.coalesce(text, F.lit(""))))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != out)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index(out)
+            found = [None if t is None else parses(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], pa.array(found, pa.bool_())], [*[n for n in batch.schema.names if n != out], out])
+
+    return asked.select(*[c for c in asked.columns if c != out], out).mapInArrow(run, f"{fields}, `{out}` boolean")
+
+
+def syntax_gate(rewrites: DataFrame, language: Column | str = "python") -> DataFrame:
+    """Adds syntax_valid, and a warning where it is false: Python by its parser, other languages by bracket balance.
+
+    language: a column, or one language for all rows."""
+    language = F.lit(language) if isinstance(language, str) else language
+    judged = python_valid(rewrites.drop("syntax_valid").withColumn("_language", language), "modern", F.col("_language"), "syntax_valid").drop("_language")
+    gated = judged.withColumn("syntax_valid", F.coalesce("syntax_valid", s.brackets_balanced(F.coalesce("modern", F.lit("")))))
+    bad = F.struct(F.lit("SYNTAX_REVIEW_REQUIRED").alias("code"), F.lit("risk").alias("severity"), F.lit(SYNTAX_REVIEW).alias("message"), F.lit(None).cast("int").alias("line"), F.lit(True).alias("breaking"))
     return gated.withColumn("warnings", F.when(F.col("syntax_valid"), F.col("warnings")).otherwise(F.array_append("warnings", bad)))
 
 

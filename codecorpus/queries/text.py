@@ -26,36 +26,85 @@ def _duck_to(r: op.Rewrite) -> str:
     return r.replacement.replace("$1", "\\1").replace("$2", "\\2")
 
 
-for _i, _r in enumerate([*op.PYTHON_REWRITES, op.JAVASCRIPT_REWRITES[0]], 1):
+#: What the oracle expects of each rule: pattern, replacement, change, whether it has a singular, warning. Written out, so that a wrong rule shows.
+EXPECTED = (
+    ("r1_py2_xrange", "\\bxrange\\s*\\(", "range(", "Replaced Python 2 xrange with range.", True, "Replaced Python 2 xrange with range."),
+    ("r2_py2_iteritems", "\\.iteritems\\s*\\(", ".items(", "Replaced iteritems with items.", True, "Replaced iteritems with items. Review behavior before merging."),
+    ("r3_py2_iterkeys", "\\.iterkeys\\s*\\(", ".keys(", "Replaced iterkeys with keys.", True, "Replaced iterkeys with keys. Review behavior before merging."),
+    ("r4_py2_itervalues", "\\.itervalues\\s*\\(", ".values(", "Replaced itervalues with values.", True, "Replaced itervalues with values. Review behavior before merging."),
+    ("r5_py2_raw_input", "\\braw_input\\s*\\(", "input(", "Replaced raw_input with input.", True, "Replaced raw_input with input. Review behavior before merging."),
+    ("r6_py2_basestring", "\\bbasestring\\b", "str", "Replaced basestring with str.", True, "Replaced basestring with str. Review behavior before merging."),
+    ("r7_py2_unicode", "\\bunicode\\s*\\(", "str(", "Replaced unicode constructor with str.", True, "Replaced unicode constructor with str. Review behavior before merging."),
+    ("r8_py2_print", '(?m)^( *)print +("[^\\n]*)$', "\\1print(\\2)", "Converted Python 2 print statements to print calls.", False, "Converted print statement syntax."),
+    ("r9_py2_except", "(?m)^( *except [^:\\n,]+), *([A-Za-z_]\\w*):", "\\1 as \\2:", "Converted legacy exception binding syntax.", False, "Converted exception binding to ''as'' syntax."),
+    ("r10_js_var_declaration", "(?m)^( *)var +", "\\1let ", "Replaced function-scoped var with block-scoped let.", True, "Replaced function-scoped var with block-scoped let. Review behavior before merging."),
+)
+for (_name, _pattern, _to, _change, _singular, _warning), _r in zip(EXPECTED, [*op.PYTHON_REWRITES, op.JAVASCRIPT_REWRITES[0]], strict=True):
     add(
-        f"r{_i}_{_r.code.lower()}", "v_lines",
-        lambda v, r=_r: op.rewrite(code(v), (r,)).where("changed").select("file_id", F.md5("modern").alias("digest"), F.col("changes")[0].alias("change"), F.col("warnings")[0]["line"].alias("line")),
-        f"""WITH c AS ({CODE}), n AS (SELECT *, len(regexp_extract_all(text, '{_duck(_r.pattern)}')) AS n FROM c),
-        f AS (SELECT file_id, min(line_no) AS line FROM v_lines WHERE regexp_matches(line, '{_duck(_r.pattern)}') GROUP BY file_id)
-        SELECT file_id, md5(regexp_replace(text, '{_duck(_r.pattern)}', '{_duck_to(_r)}', 'g')) AS digest, concat('{_r.message} (', n, CASE WHEN n = 1 THEN ' occurrence)' ELSE ' occurrences)' END) AS change, CAST(line AS INT) AS line FROM n JOIN f USING (file_id) WHERE n > 0""",
+        _name, "v_lines",
+        lambda v, r=_r: op.rewrite(code(v), (r,)).where("changed").select("file_id", F.md5("modern").alias("digest"), F.col("changes")[0].alias("change"), F.col("warnings")[0]["line"].alias("line"), F.col("warnings")[0]["message"].alias("warning")),
+        f"""WITH c AS ({CODE}), n AS (SELECT *, len(regexp_extract_all(text, '{_pattern}')) AS n FROM c),
+        f AS (SELECT file_id, min(line_no) AS line FROM v_lines WHERE regexp_matches(line, '{_pattern}') GROUP BY file_id)
+        SELECT file_id, md5(regexp_replace(text, '{_pattern}', '{_to}', 'g')) AS digest, concat('{_change} (', n, CASE WHEN n = 1 AND {_singular} THEN ' occurrence)' ELSE ' occurrences)' END) AS change, CAST(line AS INT) AS line, '{_warning}' AS warning FROM n JOIN f USING (file_id) WHERE n > 0""",
     )
 
 _ALL_PYTHON = "text"
-for _r in op.PYTHON_REWRITES:
-    _ALL_PYTHON = f"regexp_replace({_ALL_PYTHON}, '{_duck(_r.pattern)}', '{_duck_to(_r)}', 'g')"
+for _, _pattern, _to, *_ in EXPECTED[:-1]:
+    _ALL_PYTHON = f"regexp_replace({_ALL_PYTHON}, '{_pattern}', '{_to}', 'g')"
 add("r13_r14_rewrite", "v_lines", lambda v: op.rewrite(code(v), op.PYTHON_REWRITES).select("file_id", F.md5("modern").alias("digest"), "changed"), f"WITH c AS ({CODE}) SELECT file_id, md5({_ALL_PYTHON}) AS digest, {_ALL_PYTHON} <> text AS changed FROM c")
 add("r11_r12_strict_equality", "v_lines", lambda v: op.rewrite(code(v), op.JAVASCRIPT_REWRITES).where("changed").select("file_id", F.array_join("changes", " ").alias("changes"), F.md5("modern").alias("digest")), None)
+#: Which of v_lines are Python by themselves once they are rewritten; written out for the oracle.
+VALID = "NOT (starts_with(line, 'for ') OR starts_with(line, ' ') OR starts_with(line, 'except') OR starts_with(line, 'var ') OR starts_with(line, 'const ') OR starts_with(line, 'def ') OR starts_with(line, 'function '))"
+
+
+def by_line(lines):
+    """Each line as a text of its own."""
+    return lines.withColumnRenamed("line", "content")
+
+
+def _open(lines):
+    """JavaScript of which some texts have an open bracket."""
+    return code(lines).withColumn("content", F.replace("content", F.lit("exports.q = 1;"), F.lit("exports.q = (1;")))
+
+
+def _gated(v):
+    python = op.syntax_gate(op.rewrite(by_line(v), op.PYTHON_REWRITES)).select(F.lit("python").alias("language"), "syntax_valid", "warnings")
+    script = op.syntax_gate(op.rewrite(_open(v), op.JAVASCRIPT_REWRITES[:1]), "javascript").select(F.lit("javascript").alias("language"), "syntax_valid", "warnings")
+    return python.unionByName(script).groupBy("language", "syntax_valid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("warnings")).alias("warnings"))
+
+
+def _sum(*conditions):
+    return "(" + " + ".join(f"CASE WHEN {x} THEN 1 ELSE 0 END" for x in conditions) + ")"
+
+
+_BREAK = ("contains(line, 'iteritems')", "contains(line, 'iterkeys')", "contains(line, 'itervalues')", "contains(line, 'raw_input')", "contains(line, 'basestring')", "contains(line, 'unicode(')")
+_HITS = _sum("contains(line, 'xrange')", *_BREAK, "contains(line, 'print ')", "contains(line, ', exc:')")
 add(
-    "r15_syntax_gate", "v_lines", lambda v: op.syntax_gate(op.rewrite(code(v), op.JAVASCRIPT_REWRITES[:1])).groupBy("syntax_valid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("warnings")).alias("warnings")),
-    f"WITH c AS ({CODE}) SELECT true AS syntax_valid, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(text, '(?m)^(\\s*)var\\s+') THEN 1 ELSE 0 END) AS BIGINT) AS warnings FROM c",
+    "r15_syntax_gate", "v_lines", _gated,
+    f"""WITH c AS ({CODE}), p AS (SELECT 'python' AS language, {VALID} AS syntax_valid, {_HITS} + {_sum(f'NOT ({VALID})')} AS warnings FROM v_lines),
+    j AS (SELECT 'javascript' AS language, NOT contains(text, 'exports.q') AS syntax_valid, {_sum("regexp_matches(text, '(?m)^var ')", "contains(text, 'exports.q')")} AS warnings FROM c)
+    SELECT language, syntax_valid, count(*) AS n, CAST(sum(warnings) AS BIGINT) AS warnings FROM (SELECT * FROM p UNION ALL SELECT * FROM j) GROUP BY 1, 2""",
 )
 add(
     "r16_line_diff", "v_lines", lambda v: op.line_diff(op.rewrite(code(v), op.PYTHON_REWRITES), ["file_id"]).select("file_id", "line_no", "op", F.col("before").alias("was"), F.col("after").alias("now")),
     f"SELECT file_id, CAST(line_no AS INT) AS line_no, 'changed' AS op, text AS was, {_ALL_PYTHON} AS now FROM (SELECT file_id, line_no, line AS text FROM v_lines) WHERE {_ALL_PYTHON} <> text",
 )
-_BREAKING = " + ".join(f"CASE WHEN regexp_matches(text, '{_duck(r.pattern)}') THEN 1 ELSE 0 END" for r in op.PYTHON_REWRITES if r.breaking)
-_HITS = " + ".join(f"CASE WHEN regexp_matches(text, '{_duck(r.pattern)}') THEN 1 ELSE 0 END" for r in op.PYTHON_REWRITES)
 add(
-    "a12_rewrite_rollup", "v_lines", lambda v: op.rewrite_rollup(op.syntax_gate(op.rewrite(code(v).withColumn("project_id", F.col("file_id") % 50), op.PYTHON_REWRITES)), ["project_id"]),
-    f"WITH c AS ({CODE}), r AS (SELECT file_id % 50 AS project_id, {_HITS} AS hits, {_BREAKING} AS breaking FROM c) SELECT project_id, count(*) AS analyzed, count(*) FILTER (hits > 0) AS changed, CAST(sum(hits) AS BIGINT) AS rule_groups, CAST(sum(breaking) AS BIGINT) AS breaking, count(*) FILTER (hits > 0) > 0 AND sum(breaking) = 0 AS safe FROM r GROUP BY 1",
+    "a12_rewrite_rollup", "v_lines", lambda v: op.rewrite_rollup(op.syntax_gate(op.rewrite(by_line(v), op.PYTHON_REWRITES)), ["file_id"]),
+    f"WITH r AS (SELECT file_id, {_HITS} AS hits, {_sum(*_BREAK, f'NOT ({VALID})')} AS breaking FROM v_lines) SELECT file_id, count(*) AS analyzed, count(*) FILTER (hits > 0) AS changed, CAST(sum(hits) AS BIGINT) AS rule_groups, CAST(sum(breaking) AS BIGINT) AS breaking, count(*) FILTER (hits > 0) > 0 AND sum(breaking) = 0 AS safe FROM r GROUP BY 1",
 )
-add("k5_rewrite_bundle", "v_lines", lambda v: op.rewrite_bundle(op.syntax_gate(op.rewrite(code(v), op.PYTHON_REWRITES))).select("file_id", F.md5("modern").alias("digest")), f"WITH c AS ({CODE}) SELECT file_id, md5({_ALL_PYTHON}) AS digest FROM c WHERE {_ALL_PYTHON} <> text")
-add("k5_review_lines", "v_lines", lambda v: op.review_lines(op.rewrite(code(v), op.PYTHON_REWRITES[:1]), ["file_id"]), f"WITH c AS ({CODE}), n AS (SELECT file_id, len(regexp_extract_all(text, '\\bxrange\\s*\\(')) AS n FROM c) SELECT file_id, 'change' AS kind, concat('Replaced Python 2 xrange with range. (', n, CASE WHEN n = 1 THEN ' occurrence)' ELSE ' occurrences)' END) AS line FROM n WHERE n > 0 UNION ALL SELECT file_id, 'warning', 'PY2_XRANGE: Replaced Python 2 xrange with range.' FROM n WHERE n > 0")
+add("k5_rewrite_bundle", "v_lines", lambda v: op.rewrite_bundle(op.syntax_gate(op.rewrite(by_line(v), op.PYTHON_REWRITES))).select("file_id", "line_no", "modern"), f"SELECT file_id, line_no, {_ALL_PYTHON} AS modern FROM (SELECT *, line AS text FROM v_lines) WHERE {_HITS} > 0 AND {VALID}")
+
+
+def _review():
+    """Rows of both kinds of each rule, and of the gate."""
+    for name, pattern, _, change, singular, warning in EXPECTED[:-1]:
+        yield f"SELECT file_id, line_no, 'change' AS kind, '{change} (1 {'occurrence' if singular else 'occurrences'})' AS line FROM v_lines WHERE regexp_matches(line, '{pattern}')"
+        yield f"SELECT file_id, line_no, 'warning', '{name.split('_', 1)[1].upper()}: {warning}' FROM v_lines WHERE regexp_matches(line, '{pattern}')"
+    yield f"SELECT file_id, line_no, 'warning', 'SYNTAX_REVIEW_REQUIRED: The proposal did not pass static syntax validation; do not apply it automatically.' FROM v_lines WHERE {_HITS} > 0 AND NOT ({VALID})"
+
+
+add("k5_review_lines", "v_lines", lambda v: op.review_lines(op.syntax_gate(op.rewrite(by_line(v), op.PYTHON_REWRITES)), ["file_id", "line_no"]), " UNION ALL ".join(_review()))
 add("p8_changed_files", "v_lines", lambda v: op.changed_files(op.rewrite(code(v), op.PYTHON_REWRITES)).select("file_id"), f"WITH c AS ({CODE}) SELECT file_id FROM c WHERE {_ALL_PYTHON} <> text")
 add("p11_rewritable_files", "v_files", lambda f: f.select("doc_id", s.classify_language(F.col("relative_path")).alias("language")).where(F.col("language").isin("python", "javascript", "typescript")), "SELECT doc_id, CASE WHEN relative_path LIKE '%.py' THEN 'python' WHEN relative_path LIKE '%.js' THEN 'javascript' ELSE 'typescript' END AS language FROM v_files WHERE relative_path LIKE '%.py' OR relative_path LIKE '%.js' OR relative_path LIKE '%.ts'")
 add("lines_frame", "v_files", lambda f: op.lines(f, ["doc_id"]).select("doc_id", "line_no", F.md5("line").alias("digest")), "SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS line_no, md5(unnest(l[:n])) AS digest FROM (SELECT doc_id, string_split(content, chr(10)) AS l, len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) OR content = '' THEN 1 ELSE 0 END AS n FROM v_files)")
@@ -64,19 +113,62 @@ for _i, _w in enumerate(op.WARNINGS, 1):
         f"l_{_w.language[:2]}_{_w.code.lower()}", "v_lines", lambda v, w=_w: op.scan_warnings(v, ["file_id"], (w,)).withColumn("line_no", F.col("line_no").cast("long")),
         f"SELECT file_id, line_no, '{_w.code}' AS code, '{_w.severity}' AS severity, '{_w.message}' AS message FROM v_lines WHERE regexp_matches(line, '{_duck(_w.pattern)}')" + (f" AND NOT regexp_matches(line, '{_duck(_w.unless)}')" if _w.unless else ""),
     )
-add("l8_high_complexity", "v_symbols", lambda y: y.where("complexity > 10 and kind = 'function'").select("module_id", "name", "ord", F.lit("HIGH_COMPLEXITY").alias("code")), "SELECT module_id, name, ord, 'HIGH_COMPLEXITY' AS code FROM v_symbols WHERE complexity > 10 AND kind = 'function'")
-add("l9_syntax_error", "v_modules", lambda m: m.where("parse_status = 'partial'").select("module_id", F.lit("SYNTAX_ERROR").alias("code")), "SELECT module_id, 'SYNTAX_ERROR' AS code FROM v_modules WHERE parse_status = 'partial'")
+add("l8_high_complexity", "v_symbols", lambda y: facts.complexity_warnings(y.withColumn("start_line", (F.col("ord") % 90).cast("int")), ["module_id", "ord"]), "SELECT module_id, ord, 'HIGH_COMPLEXITY' AS code, concat('Function ', chr(39), name, chr(39), ' has high cyclomatic complexity (', complexity, ').') AS message, CAST(ord % 90 AS INT) AS line, 'warning' AS severity FROM v_symbols WHERE complexity > 10 AND kind = 'function'")
+add("l9_syntax_error", "v_lines", lambda v: facts.syntax_warnings(facts.python_facts(by_line(v), ["file_id", "line_no"]), ["file_id", "line_no"]), f"SELECT file_id, line_no, 'SYNTAX_ERROR' AS code, 'Python parser could not fully parse this file.' AS message, CAST(1 AS INT) AS line, 'risk' AS severity FROM v_lines WHERE NOT ({VALID})")
 add("w2_dedup_warnings", "v_warnings", lambda w: op.dedup_warnings(w, ["module_id"]), "SELECT module_id, code, line, message, arg_max(severity, (ord, severity)) AS severity FROM v_warnings GROUP BY ALL")
 add("x1_python_imports", "v_lines", lambda v: facts.python_imports(v, ["file_id"]).select("file_id", "module_name", F.array_join("imported_symbols", ",").alias("symbols"), "is_relative", F.col("source_line").cast("long").alias("source_line")), "SELECT file_id, CASE WHEN line = 'import imp' THEN 'imp' ELSE 'os' END AS module_name, CASE WHEN line = 'import imp' THEN 'imp' ELSE '*' END AS symbols, false AS is_relative, line_no AS source_line FROM v_lines WHERE line IN ('import imp', 'from os import *')")
-add("x2_javascript_imports", "v_lines", lambda v: facts.javascript_imports(v, ["file_id"]).withColumn("source_line", F.col("source_line").cast("long")), "SELECT file_id, regexp_extract(line, '''([^'']+)''', 1) AS module_name, 'require' AS import_kind, line_no AS source_line FROM v_lines WHERE starts_with(line, 'const m')")
+def _modules(v):
+    """Requires as they stand; each wildcard import as an import of two lines, each print as one of a default and names."""
+    two = v.where("line = 'from os import *'").select("file_id", F.explode(F.array(F.struct((F.col("line_no") * 10).alias("line_no"), F.lit("import {a,").alias("line")), F.struct((F.col("line_no") * 10 + 1).alias("line_no"), F.lit("  b} from '../os.js';").alias("line")))).alias("x")).select("file_id", "x.*")
+    one = v.select("file_id", (F.col("line_no") * 10).alias("line_no"), F.when(F.col("line").startswith("    print"), "import D, { e as f } from \"pkg\";").otherwise(F.col("line")).alias("line")).where("line <> 'from os import *'")
+    return one.unionByName(two)
+
+
+add(
+    "x2_javascript_imports", "v_lines", lambda v: facts.javascript_imports(_modules(v), ["file_id"]).withColumn("imported_symbols", F.array_join("imported_symbols", "|")),
+    """SELECT file_id, regexp_extract(line, '\\./m[0-9]+') AS module_name, 'require' AS import_kind, regexp_extract(line, '^const (\\w+)', 1) AS imported_symbols, line_no * 10 AS source_line, true AS is_relative FROM v_lines WHERE starts_with(line, 'const m')
+    UNION ALL SELECT file_id, '../os.js', 'import', '{a, b}', line_no * 10, true FROM v_lines WHERE line = 'from os import *'
+    UNION ALL SELECT file_id, 'pkg', 'import', 'D, { e as f }', line_no * 10, false FROM v_lines WHERE starts_with(line, '    print')""",
+)
 add("x4_javascript_symbols", "v_lines", lambda v: facts.javascript_symbols(v, ["file_id"]).select("file_id", "kind", "name", F.col("start_line").cast("long").alias("start_line")), "SELECT file_id, CASE WHEN starts_with(line, 'function') THEN 'function' ELSE 'variable' END AS kind, regexp_extract(line, '^(?:function|var|const) (\\w+)', 1) AS name, line_no AS start_line FROM v_lines WHERE regexp_matches(line, '^(function|var|const) ')")
 add("x3_python_symbols", "v_lines", lambda v: facts.python_symbols(v, ["file_id"]).select("file_id", "kind", "name", F.col("start_line").cast("long").alias("start_line")), "SELECT file_id, CASE WHEN starts_with(line, 'def') THEN 'function' ELSE 'variable' END AS kind, CASE WHEN starts_with(line, 'def') THEN 'g' ELSE left(line, 1) END AS name, line_no AS start_line FROM v_lines WHERE regexp_matches(line, '^[xyz] = |^def ')")
-add("x5_exports", "v_lines", lambda v: facts.javascript_exports(v, ["file_id"]).withColumn("source_line", F.col("source_line").cast("long")), "SELECT file_id, CASE WHEN starts_with(line, 'exports') THEN 'q' ELSE 'default' END AS name, CASE WHEN starts_with(line, 'exports') THEN 'named' ELSE 'default' END AS kind, line_no AS source_line FROM v_lines WHERE starts_with(line, 'module.exports') OR starts_with(line, 'exports')")
+def _exporting(v):
+    """Definitions as exported classes, imports as a clause of names, jumps as a re-export."""
+    line = F.col("line")
+    return v.withColumn("line", F.when(line.startswith("def "), "export default class G {}").when(line == "import imp", "export { a, b as c };").when(line == "    except:", "export * from './x';").when(line.startswith("function "), F.concat(F.lit("export async "), "line")).otherwise(line))
+
+
+add(
+    "x5_exports", "v_lines", lambda v: facts.javascript_exports(_exporting(v), ["file_id"]).withColumn("source_line", F.col("source_line").cast("long")),
+    """SELECT file_id, 'q' AS name, 'variable' AS kind, line_no AS source_line FROM v_lines WHERE starts_with(line, 'exports')
+    UNION ALL SELECT file_id, 'default', 'default', line_no FROM v_lines WHERE starts_with(line, 'module.exports')
+    UNION ALL SELECT file_id, 'G', 'class', line_no FROM v_lines WHERE starts_with(line, 'def ')
+    UNION ALL SELECT file_id, unnest(['a', 'c']), 'variable', line_no FROM v_lines WHERE line = 'import imp'
+    UNION ALL SELECT file_id, '*', 'all', line_no FROM v_lines WHERE line = '    except:'
+    UNION ALL SELECT file_id, regexp_extract(line, '^function (\\w+)', 1), 'function', line_no FROM v_lines WHERE starts_with(line, 'function ')""",
+)
 add("x6_calls", "v_lines", lambda v: facts.calls(v, ["file_id"]).select("file_id", "target_name", F.col("source_line").cast("long").alias("source_line")), "SELECT file_id, unnest(CASE WHEN line LIKE 'for i%' THEN ['xrange'] WHEN line LIKE '%iteritems%' THEN ['d.iteritems'] WHEN line LIKE '%iterkeys%' THEN ['d.iterkeys'] WHEN line LIKE '%itervalues%' THEN ['d.itervalues'] WHEN line LIKE '%raw_input%' THEN ['raw_input'] WHEN line LIKE '%require%' THEN ['require'] WHEN line LIKE '%isinstance%' THEN ['isinstance', 'unicode'] WHEN line LIKE 'function%' THEN ['eval'] ELSE [] END) AS target_name, line_no AS source_line FROM v_lines")
 add("x7_parameters", "v_lines", lambda v: facts.signatures(v, ["file_id"]).select("file_id", "name", F.col("line_no").cast("long").alias("line_no"), F.col("parameters")[0]["name"].alias("first")), "SELECT file_id, regexp_extract(line, '^(?:function|def) (\\w+)', 1) AS name, line_no, CASE WHEN starts_with(line, 'def') THEN 'a' ELSE 'cb' END AS first FROM v_lines WHERE regexp_matches(line, '^(function|def) ')")
 add("x8_entry_points", "v_lines", lambda v: facts.entry_points(v.withColumn("relative_path", F.when(F.col("file_id") % 7 == 0, "src/Index.js").otherwise("a.py")), ["file_id"]), "SELECT file_id, file_id % 7 = 0 AS is_entry_point FROM v_lines GROUP BY file_id")
 add("x9_decision_points", "v_lines", lambda v: v.groupBy("file_id").agg(F.sum(facts.decision_points(F.col("line"))).alias("points")), "SELECT file_id, CAST(sum(CASE WHEN line LIKE 'for i%' OR line LIKE 'except V%' OR line = '    except:' OR line LIKE 'if %' THEN 1 ELSE 0 END) AS BIGINT) AS points FROM v_lines GROUP BY file_id")
-add("u1_python_facts", "v_lines", lambda v: facts.python_facts(code(v), ["file_id"]), None)
+#: What each kind of line holds by itself: by the syntax tree if it parses, else by its tokens. Written out for the oracle.
+_FACTS = (
+    ("line = 'import imp'", "('import', 'imp', 'imp'), ('warning', 'DEPRECATED_MODULE', 'imp')"),
+    ("line = 'from os import *'", "('import', 'os', '*'), ('warning', 'WILDCARD_IMPORT', 'os')"),
+    ("contains(line, 'iteritems')", "('call', 'd.iteritems', ''), ('warning', 'LEGACY_PYTHON2_CONSTRUCT', 'iteritems'), ('variable', 'x', ''), ('export', 'x', 'variable')"),
+    ("contains(line, 'iterkeys')", "('call', 'd.iterkeys', ''), ('warning', 'LEGACY_PYTHON2_CONSTRUCT', 'iterkeys'), ('variable', 'z', ''), ('export', 'z', 'variable')"),
+    ("contains(line, 'itervalues')", "('call', 'd.itervalues', ''), ('warning', 'LEGACY_PYTHON2_CONSTRUCT', 'itervalues'), ('variable', 'z', ''), ('export', 'z', 'variable')"),
+    ("contains(line, 'raw_input')", "('call', 'raw_input', ''), ('warning', 'LEGACY_PYTHON2_CONSTRUCT', 'raw_input'), ('variable', 'y', ''), ('export', 'y', 'variable')"),
+    ("contains(line, 'basestring')", "('call', 'isinstance', ''), ('call', 'unicode', '')"),
+    ("starts_with(line, 'def ')", "('error', '', ''), ('function', 'g', '')"),
+    ("contains(line, 'xrange')", "('error', '', ''), ('warning', 'LEGACY_PYTHON2_CONSTRUCT', 'xrange')"),
+    ("starts_with(line, '    print')", "('error', '', ''), ('warning', 'LEGACY_PYTHON2_PRINT', 'print')"),
+    ("starts_with(line, 'except') OR line = '    except:' OR starts_with(line, 'var ') OR starts_with(line, 'const ') OR starts_with(line, 'function ')", "('error', '', '')"),
+)
+add(
+    "u1_python_facts", "v_lines", lambda v: facts.python_facts(by_line(v), ["file_id", "line_no"]).select("file_id", "line_no", "kind", F.when(F.col("kind") == "error", "").otherwise(F.col("name")).alias("name"), F.coalesce("detail", F.lit("")).alias("detail")),
+    " UNION ALL ".join(f"SELECT file_id, line_no, f.kind, f.name, f.detail FROM v_lines, (VALUES {rows}) AS f(kind, name, detail) WHERE {where}" for where, rows in _FACTS),
+)
 
 # dependency resolution
 _PATHS = {"en": "py", "fr": "js", "de": "ts"}

@@ -78,7 +78,7 @@ def rewritten(spark, source, rules):
 def test_python_rewrites(spark):
     r = rewritten(spark, "for item in xrange(3):\n    print item\nvalue = raw_input('Name: ')\n", text.PYTHON_REWRITES)
     assert r.modern == "for item in range(3):\n    print(item)\nvalue = input('Name: ')\n"
-    assert [w.code for w in r.warnings] == ["PY2_XRANGE", "PY2_RAW_INPUT", "PY2_PRINT"] and [w.line for w in r.warnings] == [1, 3, 2] and len(r.changes) == 3
+    assert [w.code for w in r.warnings] == ["PY2_XRANGE", "PY2_RAW_INPUT", "PY2_PRINT"] and [w.line for w in r.warnings] == [1, 3, 1] and len(r.changes) == 3
     assert rewritten(spark, "try:\n    run()\nexcept ValueError, exc:\n    print exc\n", text.PYTHON_REWRITES).modern == "try:\n    run()\nexcept ValueError as exc:\n    print(exc)\n"
     assert rewritten(spark, "values = data.iteritems()\n", text.PYTHON_REWRITES).warnings[0].breaking
     same = rewritten(spark, "x = 1\n", text.PYTHON_REWRITES)
@@ -145,17 +145,38 @@ def test_python_facts_by_line(spark):
 def test_exact_python_facts(spark):
     rows = facts.python_facts(spark.createDataFrame([("a", SOURCE), ("b", "def broken(:\n"), ("c", None)], "f string, content string"), ["f"]).collect()
     tree = [x for x in ast.walk(ast.parse(SOURCE)) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    assert {(r.name, r.line, r.end_line) for r in rows if r.kind == "function"} == {(x.name, x.lineno, x.end_lineno) for x in tree}
-    assert {r.name: r.complexity for r in rows if r.kind == "function"} == {"load": 4, "put": 2}
-    assert [(r.name, r.line) for r in rows if r.f == "b"] == [("SyntaxError", 1)] and not [r for r in rows if r.f == "c"]
-    assert {r.name for r in rows if r.kind == "warning"} == {"MUTABLE_DEFAULT_ARG", "BARE_EXCEPT"}
+    own = [(r.name.rpartition(".")[2], r) for r in rows if r.f == "a" and r.kind in ("function", "method")]
+    assert {(n, r.line, r.end_line) for n, r in own} == {(x.name, x.lineno, x.end_lineno) for x in tree}
+    assert {n: (r.kind, r.complexity) for n, r in own} == {"load": ("function", 4), "put": ("method", 2)}
+    assert [(r.kind, r.name, r.line) for r in rows if r.f == "b"] == [("error", "SyntaxError", 1), ("function", "broken", 1)] and not [r for r in rows if r.f == "c"]
+    assert {r.name for r in rows if r.kind == "warning"} == {"MUTABLE_DEFAULT_ARG", "BARE_EXCEPT", "EVAL_EXEC_USAGE"}
+    assert {(r.name, r.detail) for r in rows if r.kind == "decorator"} == {("cached", "load")} and {r.detail for r in rows if r.kind == "docstring"} >= {"load"}
+    assert {r.kind for r in rows if r.name == "__main__"} == {"entry_point"} and ("export", "LIMIT") in {(r.kind, r.name) for r in rows}
+
+
+def test_files_that_do_not_parse_give_what_their_tokens_show(spark):
+    old = "import os\nfrom sys import path\nclass A:\n  def f(self):\n    print \"x\"\n    return xrange(3)\n"
+    rows = facts.python_facts(spark.createDataFrame([("a", old)], "f string, content string"), ["f"]).collect()
+    assert {(r.kind, r.name, r.line) for r in rows} == {("error", "SyntaxError", 5), ("import", "os", 1), ("import", "sys", 2), ("import", "path", 2), ("class", "A", 3), ("function", "f", 4), ("warning", "LEGACY_PYTHON2_PRINT", 5), ("warning", "LEGACY_PYTHON2_CONSTRUCT", 6)}
+    assert [r.code for r in facts.syntax_warnings(spark.createDataFrame(rows), ["f"]).collect()] == ["SYNTAX_ERROR"]
+
+
+def test_proposals_are_judged_by_a_parser(spark):
+    files = spark.createDataFrame([(1, "python", "for i in xrange(3):\n  print i\n"), (2, "python", "if x:\nprint (1)\n"), (3, "javascript", "var a = [1;"), (4, "javascript", "if (a == b) {}"), (5, "python", None)], "id int, language string, content string")
+    gated = {r.id: r for r in text.syntax_gate(text.rewrite(files, text.PYTHON_REWRITES), F.col("language")).collect()}
+    assert {k: r.syntax_valid for k, r in gated.items()} == {1: True, 2: False, 3: False, 4: True, 5: True}
+    assert gated[2].warnings[-1].code == "SYNTAX_REVIEW_REQUIRED" and gated[2].warnings[-1].line is None
+    assert [w.message for w in gated[1].warnings] == ["Replaced Python 2 xrange with range.", "Converted print statement syntax."]
 
 
 def test_javascript_facts(spark):
     rows, keys = source_lines(spark, "import x from './utils.js';\nimport './side';\nconst express = require('express');\nexport default function start(cb) {\n  if (a == b && c) { app.listen(3); }\n}\nexports.go = start;\n", "src/server.js"), ["relative_path"]
     assert {(r.module_name, r.import_kind) for r in facts.javascript_imports(rows, keys).collect()} == {("./utils.js", "import"), ("./side", "import"), ("express", "require")}
+    more = source_lines(spark, "import D, {\n  a,\n  b as c,\n} from 'pkg';\nexport { x } from './y';\nconst { q, r } = require('z');\nimport('later');\nexport { u as v };\nexport * from './w';\n", "a.ts")
+    assert {(r.module_name, r.import_kind, tuple(r.imported_symbols), r.is_relative, r.source_line) for r in facts.javascript_imports(more, keys).collect()} == {("pkg", "import", ("D, { a, b as c, }",), False, 1), ("./y", "import", ("{ x }",), True, 5), ("z", "require", ("{ q, r }",), False, 6), ("./w", "import", ("*",), True, 9)}
+    assert {(r.name, r.kind) for r in facts.javascript_exports(more, keys).collect()} == {("x", "variable"), ("v", "variable"), ("*", "all")}
     assert {(r.kind, r.name, r.depth) for r in facts.javascript_symbols(rows, keys).collect()} == {("variable", "express", 0), ("function", "start", 0)}
-    assert {(r.name, r.kind) for r in facts.javascript_exports(rows, keys).collect()} == {("start", "default"), ("go", "named")}
+    assert {(r.name, r.kind) for r in facts.javascript_exports(rows, keys).collect()} == {("start", "default"), ("go", "variable")}
     assert facts.entry_points(rows, keys).first().is_entry_point
     assert {r.code for r in text.scan_warnings(rows, keys).collect()} >= {"COMMONJS_USAGE", "COMMONJS_EXPORTS", "CALLBACK_HEAVY", "LOOSE_EQUALITY"}
 
