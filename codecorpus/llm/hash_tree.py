@@ -37,37 +37,41 @@ def tree(n_shards: int, built: int | None = None, racks: int = 3, regions: int =
 
 
 def draw(key: Column, node: list[Column], weight: Column) -> Column:
-    """An exponential draw with the weight as its rate, from 52 bits of a hash of key and node. Without weight: none."""
+    """An exponential draw with the weight as its rate, from 52 bits of a hash of key and node."""
     u = (F.shiftrightunsigned(F.xxhash64(key, *node), 12) + F.lit(1)) / F.lit(float(1 << 52))
-    return F.when(weight > 0, -F.log(u) / weight)
+    return -F.log(u) / weight
 
 
-def assign(rows: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> DataFrame:
-    """rows with the shard that the descent from the root ends in. A null key is a key like any other; leaves of weight 0 get nothing."""
+def _children(leaves: list[Leaf], level: int) -> list[list[tuple[int, float, int]]]:
+    """Of each node above a level, in order: its children's names, weights of their subtrees, and places among those of their level."""
+    paths = {x: (x.region, x.rack, x.shard) for x in leaves}
+    own = sorted({p[: level + 1] for p in paths.values()})
+    weight = {node: sum(x.weight for x, p in paths.items() if p[: level + 1] == node) for node in own}
+    return [[(n[level], weight[n], own.index(n)) for n in own if n[:level] == parent] for parent in sorted({n[:level] for n in own})]
+
+
+def shard_of(key: Column, leaves: list[Leaf]) -> Column:
+    """The shard that the descent from the root ends in. A null key is a key like any other; leaves of weight 0 get nothing."""
     live = [x for x in leaves if x.weight > 0]
     if not live:
         raise ValueError("no shard has a weight")
-    paths = [(x.region, x.rack, x.shard) for x in live]
-    taken, at = rows, []  # columns of the nodes on the way down
-    for level in range(3):
-        # children of each node by its place among those of its level: names and weights of their subtrees
-        parents = sorted({p[:level] for p in paths})
-        children = [sorted({p[level] for p in paths if p[:level] == parent}) for parent in parents]
-        weight = {p[: level + 1]: sum(x.weight for x, q in zip(live, paths, strict=True) if q[: level + 1] == p[: level + 1]) for p in paths}
-        most = max(map(len, children))
-        names = [[*own, *[-1] * (most - len(own))] for own in children]
-        weights = [[weight.get((*parent, n), 0.0) for n in own] for parent, own in zip(parents, names, strict=True)]
-        parent = F.col(f"_{out}_parent") if level else F.lit(0)
-        pick = lambda table, j: F.element_at(F.array(*[F.lit(own[j]) for own in table]), parent + 1)  # noqa: B023, E731
-        draws = [F.struct(F.coalesce(draw(F.col(key), [F.lit(level), *map(F.col, at), pick(names, j)], pick(weights, j)), F.lit(float("inf"))).alias("draw"), pick(names, j).alias("name"), F.lit(j).alias("child")) for j in range(most)]
-        taken = taken.withColumn(f"_{out}_least", F.least(*draws) if most > 1 else draws[0]).withColumn(f"_{out}_{level}", F.col(f"_{out}_least.name"))
-        at.append(f"_{out}_{level}")
-        if level < 2:
-            below = sorted({p[: level + 1] for p in paths})
-            place = [[below.index((*parent, n)) if n >= 0 else 0 for n in own] for parent, own in zip(parents, names, strict=True)]
-            flat = F.array(*[F.lit(x) for own in place for x in own])
-            taken = taken.withColumn(f"_{out}_parent", F.element_at(flat, parent * most + F.col(f"_{out}_least.child") + 1))
-    return taken.withColumn(out, F.col(f"_{out}_2")).drop(f"_{out}_least", f"_{out}_parent", *at)
+    node = lambda n, w, p: F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("weight"), F.lit(p).alias("place"))
+    tables = [F.array(*[F.array(*[node(*x) for x in own]) for own in _children(live, level)]) for level in range(3)]
+
+    def least(level: int, parent: Column, path: dict[str, Column]) -> Column:
+        """The child of the least draw, with the names on the way to it."""
+        names = [c.alias(n) for n, c in path.items()]
+        drawn = F.transform(F.element_at(tables[level], parent + 1), lambda x: F.struct(draw(key, [F.lit(level), *path.values(), x["name"]], x["weight"]).alias("draw"), *names, x["name"].alias("name"), x["place"].alias("place")))
+        return F.array_min(drawn)
+
+    # each level's choice is bound to a variable, so it is made once
+    region = least(0, F.lit(0), {})
+    rack = F.transform(F.array(region), lambda r: least(1, r["place"], {"region": r["name"]}))[0]
+    return F.transform(F.array(rack), lambda r: least(2, r["place"], {"region": r["region"], "rack": r["name"]}))[0]["name"]
+
+
+def assign(rows: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> DataFrame:
+    return rows.withColumn(out, shard_of(F.col(key), leaves))
 
 
 def number(rows: DataFrame, shard: str, rows_per_bucket: int = 50_000, out: str = "slot") -> DataFrame:

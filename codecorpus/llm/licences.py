@@ -28,15 +28,33 @@ NOTICES = {
     "bsd license": "bsd",
     "isc license": "isc",
     "all rights reserved": "proprietary",
+    "cc by nc": "cc-by-nc",
+    "cc by nd": "cc-by-nd",
+    "cc by sa": "cc-by-sa",
+    "cc by 4 0": "cc-by",
+    "cc by 3 0": "cc-by",
+    "cc0 1 0": "cc0",
+    "attribution noncommercial": "cc-by-nc",
+    "attribution sharealike": "cc-by-sa",
+    "dedicated to the public domain": "public-domain",
+    "this is free and unencumbered software": "unlicense",
+    "boost software license": "bsl",
+    "python software foundation license": "psf",
+    "do what the fuck you want to public license": "wtfpl",
+    "server side public license": "sspl",
+    "business source license": "busl",
 }
 TAG = "spdx license identifier"
-#: Families of identifiers in expressions, by their beginning.
-FAMILIES = {"mit": "mit", "apache": "apache", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "cc-by": "cc-by", "cc0": "cc0", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib"}
+#: Families of identifiers in expressions: the name alone, or followed by a version or variant (`-2.0-only`, `+`, `v3`, `-3-clause`).
+FAMILIES = ("mit", "apache", "agpl", "lgpl", "gpl", "bsd", "mpl", "epl", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by", "cc0", "isc", "unlicense", "zlib")
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib"}
 PRECEDENCE = {"or": 1, "and": 2}
 #: SPDX identifiers that have neither a digit nor a hyphen, so that only their names tell them from prose.
 BARE = frozenset("aal abstyles adsl afmparse aladdin aml ampas apafml barr beerware blessing caldera catharon clartistic clips crossword crystalstacker cube curl diffmark dotseqn dsdp dtoa dvipdfm entessa epics etalab eurosym fsfap fsful ftl furuseth fwlw giftware glide glulxe gnuplot gtkbook haskellreport hdparm hpnd htmltidy icu ijg imagemagick imatix intel ipa jam jpnic jplicense json kastrup leptonica libpng libtiff lsof magaz mailprio maketindex miros motosoto mtll mup naist naumen ncsa netcdf newsletr ngpl nlpl nokia noweb nrl ntp oclc ogtsl oldap openpbs openssl padl php pixar plexus postgresql psfrag psutils python qhull radvd rdisc ruby saxpath scea schemereport sendmail sissl sleepycat smppl snia snprintf softsurfer soundex spl swl swrule symlinks tcl tgppl threeparttable tmate tosl ttwl ucar ulem unixcrypt upl vim vostrom wsuipa wtfpl xerox xfig xinetd xlock xnet xpp xskat xzoom zed zeeff".split())
 _identifier = re.compile(r"(?=[^-0-9]*[-0-9])(?=[^a-z]*[a-z])[a-z0-9][a-z0-9._+:-]*")
+_family = re.compile(f"({'|'.join(sorted(map(re.escape, FAMILIES), key=len, reverse=True))})(?=$|[-+.0-9]|v[0-9])")
+_word = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_rest = re.compile(rb"[ \t]*:?[ \t]*([^\r\n]*)")
 _token = re.compile(r"[()]|[^\s()]+")
 
 _to_space = bytes(0x20 if c.NOT_ALNUM[b] else b for b in c.LOWER)
@@ -44,8 +62,8 @@ _to_space = bytes(0x20 if c.NOT_ALNUM[b] else b for b in c.LOWER)
 
 def licence(token: str) -> str | None:
     """The family of an identifier, an unknown identifier's own name, None for what isn't one."""
-    family = next((v for k, v in FAMILIES.items() if token.startswith(k)), None)
-    return family or (token if token in BARE or _identifier.fullmatch(token) else None)
+    family = _family.match(token)
+    return family[1] if family else (token if token in BARE or _identifier.fullmatch(token) else None)
 
 
 def parse(text: str) -> tuple[tuple[set[str], bool] | None, bool]:
@@ -158,9 +176,11 @@ def scan(text: bytes) -> dict:
     base_labels = {BASE[p] for p in base}
     expressions, free = 0, None
     if TAG in hits:
-        low = text.decode("utf-8", "replace").lower()
-        for m in re.finditer(r"spdx[^a-z0-9]+license[^a-z0-9]+identifier[ \t]*:?[ \t]*([^\r\n]*)", low):
-            if found := leading_expression(m[1]):
+        # what stands behind each tag that the automaton found, to the end of its line
+        ends = [m.end() for m in _word.finditer(text)]
+        for first in hits[TAG]:
+            line = _rest.match(text, ends[first + TAG.count(" ")])[1].decode("utf-8", "replace")
+            if found := leading_expression(line.lower()):
                 expressions += 1
                 labels |= found[0] - {""}
                 free = found[1] if free is None else free and found[1]
@@ -176,8 +196,9 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan_licences(docs: DataFrame) -> DataFrame:
     """Per row of docs: words, places of the base phrases, labels and a score in 0 to 1.
 
-    A null or empty text has no words and no labels (empty strings), null places and score 0. Repeated rows give
-    repeated rows; other columns of docs are ignored.
+    A null or empty text has no words and no labels (empty strings), null places and score 0. Repeated rows give repeated
+    rows, very long texts one row like others. Columns other than doc_id and text are ignored, whatever their names. No
+    rows give no rows.
     """
     types = {"first_word": pa.int64(), "last_word": pa.int64(), "permissive": pa.bool_()}
 

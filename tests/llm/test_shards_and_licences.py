@@ -150,3 +150,36 @@ def test_expressions_as_a_plain_evaluation():
     for _ in range(500):
         text, plain = grow(5)
         assert licences.expression(text)[1] == eval(plain), text
+
+
+def test_labels_of_notices_and_tags():
+    one = lambda t: licences.scan(t.encode())["labels"]
+    assert one("Licensed under CC BY-NC 4.0.") == "cc-by-nc" and one("Released under the MIT License.") == "mit"
+    assert one("SPDX-License-Identifier: mitre OR MIT-0") == ""  # prose is no expression
+    assert one("// spdx license identifier : (Artistic-2.0 OR GPL-3.0-or-later WITH Classpath-exception-2.0) */") == "artistic-2.0,gpl"
+    assert one("SPDX-License-Identifier: CC-BY-NC-4.0 AND LicenseRef-Own-1\nSPDX-License-Identifier: BSD-3-Clause") == "bsd,cc-by-nc,licenseref-own-1"
+    assert licences.scan(b"spdx-license-identifier:\nMIT")["n_expressions"] == 0
+    many = " OR ".join(f"MIT-{i}" for i in range(200)) + " OR GPL-3.0"
+    found = licences.scan(f"é SPDX-License-Identifier: {many}\r\nnext".encode())
+    assert found["labels"] == "gpl,mit" and found["permissive"] is True and found["n_expressions"] == 1
+    assert [licences.licence(x) for x in ("mitre", "mit", "gplv3", "apache2", "lgpl-2.1+", "gplus")] == [None, "mit", "gpl", "apache", "lgpl", None]
+
+
+def test_expressions_against_their_truth_tables():
+    """Random expressions: permissive says whether they hold with the permissive licences alone."""
+    r = random.Random(12)
+    names = {"mit": True, "gpl-2.0-only": False, "bsd-2-clause": True, "mpl-2.0": False}
+
+    def grow(depth):
+        if depth == 0 or r.random() < 0.3:
+            n = r.choice(sorted(names))
+            return n, str(names[n])
+        op, (a, x), (b, y) = r.choice(["and", "or"]), grow(depth - 1), grow(depth - 1)
+        text, truth = f"{a} {op} {b}", f"{x} {op} {y}"
+        return (f"({text})", f"({truth})") if r.random() < 0.5 else (text, truth)
+
+    for _ in range(400):
+        text, truth = grow(4)
+        labels, free = licences.expression(text)
+        assert free == eval(truth), text
+        assert labels == {licences.licence(n) for n in re.findall(r"[a-z0-9.-]+", text) if n not in ("and", "or")}
