@@ -22,7 +22,9 @@ from codecorpus.llm import common as c
 MEMO = 400_000
 #: Characters of which re and regex hold the same to be letters, digits and spaces.
 _plain = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ʯ‐-‧‰-⁞]*")
-_quick = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_letters = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ʯ"
+#: The same matches as public_tokenizers.PATTERN gives of such characters: only contractions must come before other marks.
+_quick = re.compile(rf" ?[{_letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{_letters}]+|\s+(?!\S)|\s+")
 
 
 @functools.cache
@@ -155,7 +157,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the decoded bytes of each row of docs.
 
     path names a file of ranks that every worker can open. A null text is encoded as the empty one: no ids. Repeated
-    rows give repeated rows. No shuffle.
+    rows give repeated rows, very long texts one row like others. Columns other than doc_id and text are ignored, whatever
+    their names. No rows give no rows. No shuffle.
     """
 
     def step(keys: list, texts: list[bytes]) -> dict:

@@ -189,15 +189,17 @@ class Tokens:
             pieces = pre_tokens(t, self.pattern)
             ids = list(map(memo.get, pieces))
             if None in ids:
-                new.update(itertools.compress(pieces, map(operator.is_, ids, itertools.repeat(None))))
-                open_rows.append((len(out), pieces))
+                missing = list(itertools.compress(pieces, map(operator.is_, ids, itertools.repeat(None))))
+                new.update(missing)
+                open_rows.append((len(out), ids, missing))
                 out.append(b"")
             else:
                 out.append(b"".join(ids))
         if new:
             self._learn(list(new))
-            for i, pieces in open_rows:
-                out[i] = b"".join(map(memo.__getitem__, pieces))
+            for i, ids, missing in open_rows:
+                found = map(memo.__getitem__, missing)
+                out[i] = b"".join([next(found) if x is None else x for x in ids])
         return out
 
     def _learn(self, pieces: list[str]) -> None:
