@@ -34,7 +34,7 @@ U = np.uint64
 #: Share of the records with a segment of at most one n-gram that are taken to share it by chance, in the cost model.
 COMMON = 1e-4
 #: Members of one block of a residual key; two blocks, of sets' bitmaps alone, are compared in one task.
-BLOCK = 256
+BLOCK = 2048
 #: Residual keys of up to so many sets give their pairs of different components; larger ones are compared in blocks.
 SMALL = 32
 #: Bits of a set's parity bitmap per element, and at least.

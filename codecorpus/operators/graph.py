@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codecorpus.functions import scalars as s
 from codecorpus.shipping import shared_folder
 
 
@@ -110,31 +111,49 @@ def cyclic_components(edges: DataFrame, source: str = "source_module_id", target
     return found.join(sizes, "component", "left_semi").select("module_id", "component")
 
 
-def cycles(edges: DataFrame, max_length: int = 4, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
-    """length, path: all elementary cycles up to max_length, each once, from its least member and closed with it. Only
-    edges inside a cyclic component are walked."""
-    plain = edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("a"), F.col(target).alias("b")).distinct()
-    comps = cyclic_components(edges, source, target)
-    inner = settled(plain.join(comps.select(F.col("module_id").alias("a"), F.col("component").alias("ca")), "a").join(comps.select(F.col("module_id").alias("b"), F.col("component").alias("cb")), "b").where("ca = cb").select("a", "b"))
-    paths = inner.where("b > a").select(F.array("a", "b").alias("path"), F.col("a").alias("first"), F.col("b").alias("last"))
-    found = None
-    for length in range(2, max_length + 1):
-        closed = paths.join(inner.select(F.col("a").alias("last"), F.col("b").alias("first")), ["last", "first"]).select(F.lit(length).alias("length"), F.concat("path", F.array("first")).alias("path"))
-        found = closed if found is None else found.unionByName(closed)
-        grown = paths.join(inner.select(F.col("a").alias("last"), "b"), "last").where(F.expr("b > first and not array_contains(path, b)"))
-        paths = grown.select(F.concat("path", F.array("b")).alias("path"), "first", F.col("b").alias("last"))
+def _peeled(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Edges (a, b) without those that a few rounds show to lie on no cycle: of nodes that nothing leads to or that lead to nothing."""
+    for _ in range(rounds):
+        edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    return edges
+
+
+def cycles(edges: DataFrame, max_length: int | None = None, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
+    """length, path: all elementary cycles (of any length, or up to max_length), each once, from its least member and closed
+    with it. Paths grow by one edge a round, through larger ids than their first; each round's table is checkpointed.
+
+    The number of elementary cycles can be exponential in a dense component; `dfs_cycles` gives one for each back edge."""
+    kind = edges.schema[source].dataType.simpleString()
+    inner = settled(_peeled(edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("a"), F.col(target).alias("b")).distinct()))
+    found = edges.sparkSession.createDataFrame([], f"length int, path array<{kind}>")
+    paths, length = inner.where("b > a").select(F.array("a", "b").alias("path"), F.col("a").alias("first"), F.col("b").alias("last")), 2
+    while max_length is None or length <= max_length:
+        paths = settled(paths)
+        if paths.isEmpty():
+            break
+        found = found.unionByName(paths.join(inner.select(F.col("a").alias("last"), F.col("b").alias("first")), ["last", "first"]).select(F.lit(length).alias("length"), F.concat("path", F.array("first")).alias("path")))
+        onward = paths.join(inner.select(F.col("a").alias("last"), "b"), "last").where(F.expr("b > first and not array_contains(path, b)"))
+        paths = onward.select(F.concat("path", F.array("b")).alias("path"), "first", F.col("b").alias("last"))
+        length += 1
     return found
 
 
-def cycle_edges(edges: DataFrame, cycle_rows: DataFrame, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
-    """Edges with both ends in any cycle."""
-    members = cycle_rows.select(F.explode("path").alias("m")).distinct()
-    return edges.join(members.withColumnRenamed("m", source), source, "left_semi").join(members.withColumnRenamed("m", target), target, "left_semi")
+def cycle_counts(modules: DataFrame, edges: DataFrame, max_length: int | None = None, project: str = "project_id") -> DataFrame:
+    """project, cycle_count: elementary cycles by the project of their least member."""
+    firsts = cycles(edges, max_length).select(F.element_at("path", 1).alias("module_id"))
+    return firsts.join(modules.select("module_id", project), "module_id").groupBy(project).agg(F.count(F.lit(1)).alias("cycle_count"))
+
+
+def cycle_edges(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
+    """Edges whose both ends are on cycles, of any length."""
+    members = settled(cyclic_components(edges, source, target).select("module_id"))
+    return edges.join(members.withColumnRenamed("module_id", source), source, "left_semi").join(members.withColumnRenamed("module_id", target), target, "left_semi")
 
 
 def dfs_cycles(edges: DataFrame, project: str = "project_id") -> DataFrame:
-    """project, path: one cycle for each back edge of a depth-first walk in id order, project by project. The walk keeps
-    its own stack, so long chains are no problem; a project's edges go to one task."""
+    """project, path: one cycle for each back edge of a depth-first walk in id order, component by component: only edges inside
+    one are walked, so a task holds the largest component's edges at most. The walk keeps its own stack, so long chains are
+    no problem."""
     kind = edges.schema["source_module_id"].dataType.simpleString()
 
     def walk(table):
@@ -169,7 +188,11 @@ def dfs_cycles(edges: DataFrame, project: str = "project_id") -> DataFrame:
         ids = pa.list_(table.schema.field("source_module_id").type)
         return pa.table({project: pa.array(rows[project][:1] * len(rings), table.schema.field(project).type), "path": pa.array(rings, ids)})
 
-    return edges.select(project, "source_module_id", "target_module_id").groupBy(project).applyInArrow(walk, f"{project} {edges.schema[project].dataType.simpleString()}, path array<{kind}>")
+    own = settled(cyclic_components(edges))
+    ends = [own.select(F.col("module_id").alias(f"{end}_module_id"), F.col("component").alias(f"_{end}")) for end in ("source", "target")]
+    inner = edges.select(project, "source_module_id", "target_module_id").join(ends[0], "source_module_id").join(ends[1], "target_module_id").where("_source = _target")
+    walked = inner.select(project, "source_module_id", "target_module_id", F.col("_source").alias("_component"))
+    return walked.groupBy(project, "_component").applyInArrow(walk, f"{project} {edges.schema[project].dataType.simpleString()}, path array<{kind}>")
 
 
 def graph_edge_filter(edges: DataFrame, types: list[str] | None = None, include_external: bool = False) -> DataFrame:
@@ -208,14 +231,42 @@ def direct_neighbours(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, none) for c in ("direct_dependents", "direct_dependencies")})
 
 
-def affected_entry_points(modules: DataFrame, dependents: DataFrame) -> DataFrame:
-    """module_id, affected_entry_points: sorted paths of the entry points among its dependents and itself."""
-    reach = dependents.select("module_id", "dependent").unionByName(modules.select("module_id", F.col("module_id").alias("dependent")))
-    entries = modules.where("is_entry_point").select(F.col("module_id").alias("dependent"), "relative_path")
-    found = reach.join(entries, "dependent").groupBy("module_id").agg(F.array_sort(F.collect_set("relative_path")).alias("affected_entry_points"))
+def closure_and_self(modules: DataFrame, dependents: DataFrame) -> DataFrame:
+    """(module_id, dependent): who reaches a module, and the module itself."""
+    return dependents.select("module_id", "dependent").unionByName(modules.select("module_id", F.col("module_id").alias("dependent")))
+
+
+def affected_entry_points(modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """module_id, affected_entry_points: sorted paths of the entry points among its dependents and itself. Only entry points
+    spread along the edges, so no pair of other modules is made."""
+    entries = modules.where("is_entry_point").select("module_id", "relative_path")
+    links = settled(edges.select(F.col("source_module_id").alias("via"), F.col("target_module_id").alias("module_id")).distinct())
+    known = fresh = settled(entries.select(F.col("module_id").alias("entry"), "module_id"))
+    while not fresh.isEmpty():
+        step = fresh.withColumnRenamed("module_id", "via").join(links, "via").select("entry", "module_id").distinct()
+        fresh = settled(step.join(known, ["entry", "module_id"], "left_anti"))
+        known = settled(known.unionByName(fresh))
+    found = known.join(entries.withColumnRenamed("module_id", "entry"), "entry").groupBy("module_id").agg(F.array_sort(F.collect_set("relative_path")).alias("affected_entry_points"))
     return modules.select("module_id").join(found, "module_id", "left").withColumn("affected_entry_points", F.coalesce("affected_entry_points", F.array().cast("array<string>")))
 
 
+def module_graph(modules: DataFrame, edges: DataFrame, types: list[str] | None = None, include_external: bool = False, top: int = 5) -> dict[str, DataFrame]:
+    """The graph of each project: nodes (with degrees, complexity rating and whether they are external), edges, top
+    connected modules, orphans, entry points, elementary cycles and the summary of counts.
+
+    modules: project_id, module_id, relative_path, complexity, is_entry_point; edges: project_id, ends, type, resolved."""
+    shown = graph_edge_filter(edges, types, include_external)
+    inside = graph_edge_filter(edges, types)
+    rated = degrees(modules, inside).withColumn("complexity_rating", s.complexity_rating(F.col("complexity")))
+    outside = shown.where("not resolved").groupBy("project_id", "target_module_id").agg(F.count(F.lit(1)).alias("in_degree"))
+    text = lambda name: F.col(name).cast("string")
+    nodes = rated.select("project_id", text("module_id").alias("node_id"), F.col("relative_path").alias("label"), "in_degree", "out_degree", "complexity_rating", F.lit(False).alias("is_external")).unionByName(outside.select("project_id", F.concat(F.lit("ext:"), text("target_module_id")).alias("node_id"), text("target_module_id").alias("label"), "in_degree", F.lit(0).cast("long").alias("out_degree"), F.lit(None).cast("string").alias("complexity_rating"), F.lit(True).alias("is_external")))
+    drawn = shown.withColumn("target", F.when(F.col("resolved"), text("target_module_id")).otherwise(F.concat(F.lit("ext:"), text("target_module_id")))).select("project_id", text("source_module_id").alias("source"), "target", "type", "resolved")
+    rings = settled(cycles(inside))
+    counts = rings.select(F.element_at("path", 1).alias("module_id")).join(modules.select("module_id", "project_id"), "module_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("cycle_count"))
+    return {"nodes": nodes, "edges": drawn, "top_connected": top_connected(rated, top), "orphans": orphans(rated), "entry_points": entry_points(modules), "cycles": rings, "summary": graph_summary(rated, edges, counts)}
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame, cycle_count: DataFrame, project: str = "project_id") -> DataFrame:
     """Counts of one graph for each project. nodes: with degrees, complexity_rating and is_entry_point; edges: with resolved."""
     n = nodes.groupBy(project).agg(F.count(F.lit(1)).alias("internal_nodes"), F.count_if(F.expr("in_degree = 0 and out_degree = 0")).alias("orphan_count"), F.count_if("is_entry_point").alias("entry_point_count"), F.count_if(F.col("complexity_rating").isin("high", "critical")).alias("high_complexity_count"))

@@ -84,3 +84,8 @@ def search_modules(modules: DataFrame, symbols: DataFrame, query: str, language:
     named = symbols.where(F.col("kind").isin("function", "class") & F.contains(F.lower("name"), q)).select("module_id", F.lit(True).alias("_named")).distinct()
     found = modules.join(named, "module_id", "left").where(F.contains(F.lower("relative_path"), q) | F.col("_named")).drop("_named")
     return found if language == "all" else found.where(F.col("language") == language)
+
+
+def project_metadata(projects: DataFrame, project_id, hidden: tuple[str, ...] = ("workspace_id",), project: str = "project_id") -> DataFrame:
+    """The rows of one project, without the columns that stay inside."""
+    return projects.where(F.col(project) == project_id).drop(*hidden)

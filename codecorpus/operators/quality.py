@@ -94,3 +94,11 @@ def risk_lines(modules: DataFrame, warnings: DataFrame, n: int = 10) -> DataFram
 def parse_limit_lines(modules: DataFrame, n: int = 5) -> DataFrame:
     line = F.concat(F.lit("Module '"), "relative_path", F.lit("' parsed with status '"), "parse_status", F.lit("'."))
     return first_n(modules.where("parse_status <> 'complete'").withColumn("line", line), n, ["project_id"], ["relative_path"], "line")
+
+
+def union_warnings(*sources: DataFrame) -> DataFrame:
+    """Warnings of modules, symbols and the parser as one table; what a source lacks is null."""
+    out = sources[0]
+    for more in sources[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

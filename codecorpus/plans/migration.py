@@ -54,7 +54,7 @@ def change_impact(modules: DataFrame, edges: DataFrame, warnings: DataFrame, tes
     dependents = graph.settled(graph.transitive_dependents(edges))
     scored = scored_modules(modules, edges, warnings, dependents)
     out = scored.withColumn("reasons", impact_reasons(F.col("blast_radius"), F.col("warning_count"), F.col("rating"), F.col("is_entry_point")))
-    for more in (graph.direct_neighbours(modules, edges), graph.affected_entry_points(modules, dependents), tests_by_target(modules, test_files)):
+    for more in (graph.direct_neighbours(modules, edges), graph.affected_entry_points(modules, edges), tests_by_target(modules, test_files)):
         out = out.join(more, "module_id")
     return out
 

@@ -11,11 +11,9 @@ add = adder(ALL)
 
 #: Reachability over resolved edges, for the oracle.
 CLOSURE = "r AS (SELECT source_module_id AS a, target_module_id AS b FROM v_edges UNION SELECT r.a, e.target_module_id FROM r JOIN v_edges e ON r.b = e.source_module_id)"
-DENSE = "d AS (SELECT source_module_id AS a, target_module_id AS b FROM v_dense WHERE source_module_id % 2 = 0 OR target_module_id % 3 = 0), r AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM r JOIN d ON r.b = d.a)"
-
-
-def _dense(e):
-    return e.where("source_module_id % 2 = 0 or target_module_id % 3 = 0")
+DENSE = "d AS (SELECT source_module_id AS a, target_module_id AS b FROM v_dense), r AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM r JOIN d ON r.b = d.a)"
+#: Elementary cycles of any length over d, from their least member; w has the paths so far.
+RINGS = "w AS (SELECT a, b, [a, b] AS path FROM d WHERE b > a UNION ALL SELECT w.a, d.b, list_append(path, d.b) FROM w JOIN d ON d.a = w.b WHERE d.b > w.a AND NOT list_contains(path, d.b)), k AS (SELECT w.a, w.path FROM w JOIN d ON d.a = w.b AND d.b = w.a)"
 
 
 add("a7_degrees", "v_modules v_edges", lambda m, e: op.degrees(m, e).select("module_id", "in_degree", "out_degree"), "SELECT module_id, (SELECT count(*) FROM v_edges WHERE target_module_id = module_id) AS in_degree, (SELECT count(*) FROM v_edges WHERE source_module_id = module_id) AS out_degree FROM v_modules")
@@ -24,23 +22,62 @@ add("g6_entry_points", "v_modules", lambda m: op.entry_points(m).select("project
 add("w3_top_connected", "v_modules v_all_edges", lambda m, e: op.top_connected(op.degrees(m, e)).select("project_id", "module_id", "rank"), "SELECT project_id, module_id, CAST(rank AS INT) AS rank FROM (SELECT m.*, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(n, 0) DESC, relative_path) AS rank FROM v_modules m LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT source_module_id AS id FROM v_all_edges UNION ALL SELECT target_module_id FROM v_all_edges) GROUP BY 1) d ON d.id = m.module_id) WHERE rank <= 5")
 add("g1_transitive_dependents", "v_edges", op.transitive_dependents, f"WITH RECURSIVE {CLOSURE} SELECT b AS module_id, a AS dependent FROM r WHERE a <> b")
 add("g2_blast_radius", "v_modules v_edges", lambda m, e: op.blast_radius(m.select("module_id"), op.transitive_dependents(e)), f"WITH RECURSIVE {CLOSURE} SELECT module_id, count(a) AS blast_radius FROM v_modules LEFT JOIN r ON r.b = module_id AND r.a <> r.b GROUP BY 1")
-add("g3_dependency_cycles", "v_dense", lambda e: op.cycles(_dense(e), 3).select("length", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path")), f"WITH RECURSIVE {DENSE} SELECT 2 AS length, concat(x.a, '-', x.b, '-', x.a) AS path FROM d x JOIN d y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT 3, concat(x.a, '-', y.a, '-', z.a, '-', x.a) FROM d x JOIN d y ON x.b = y.a JOIN d z ON y.b = z.a AND z.b = x.a WHERE x.a < y.a AND x.a < z.a")
-add("g4_cyclic_components", "v_dense", lambda e: op.cyclic_components(_dense(e)), f"WITH RECURSIVE {DENSE} SELECT p.a AS module_id, min(p.b) AS component FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY 1")
-add("u2_dfs_cycles", "v_dense", lambda e: op.dfs_cycles(_dense(e)), None)
-add("g7_module_graph", "v_modules v_all_edges", lambda m, e: op.graph_summary(op.degrees(m, op.graph_edge_filter(e)).withColumn("complexity_rating", s.complexity_rating(F.col("complexity"))), e, op.cycles(op.graph_edge_filter(e), 3).select(F.element_at("path", 1).alias("module_id")).join(m.select("module_id", "project_id"), "module_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("cycle_count"))),
-    """WITH d AS (SELECT DISTINCT source_module_id AS a, target_module_id AS b FROM v_edges), c AS (SELECT x.a FROM d x JOIN d y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT x.a FROM d x JOIN d y ON x.b = y.a JOIN d z ON y.b = z.a AND z.b = x.a WHERE x.a < y.a AND x.a < z.a),
+add("g3_dependency_cycles", "v_edges", lambda e: op.cycles(e).select("length", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path")), f"WITH RECURSIVE d AS (SELECT DISTINCT source_module_id AS a, target_module_id AS b FROM v_edges), {RINGS} SELECT CAST(len(path) AS INT) AS length, concat(array_to_string(path, '-'), '-', a) AS path FROM k")
+add("g3_short_cycles", "v_dense", lambda e: op.cycles(e, 3).select("length", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path")), f"WITH RECURSIVE {DENSE} SELECT 2 AS length, concat(x.a, '-', x.b, '-', x.a) AS path FROM d x JOIN d y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT 3, concat(x.a, '-', y.a, '-', z.a, '-', x.a) FROM d x JOIN d y ON x.b = y.a JOIN d z ON y.b = z.a AND z.b = x.a WHERE x.a < y.a AND x.a < z.a")
+add("g4_cyclic_components", "v_dense", op.cyclic_components, f"WITH RECURSIVE {DENSE} SELECT p.a AS module_id, min(p.b) AS component FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY 1")
+add("u2_dfs_cycles", "v_dense", op.dfs_cycles, None)
+_SUMMARY = f"""d AS (SELECT DISTINCT source_module_id AS a, target_module_id AS b FROM v_edges), {RINGS},
     n AS (SELECT project_id, count(*) AS internal_nodes, count(*) FILTER (module_id NOT IN (SELECT a FROM d UNION SELECT b FROM d)) AS orphan_count, count(*) FILTER (is_entry_point) AS entry_point_count, count(*) FILTER (complexity > 10) AS high_complexity_count FROM v_modules GROUP BY 1),
-    e AS (SELECT project_id, count(*) FILTER (resolved) AS internal_edges, count(*) FILTER (NOT resolved) AS external_edges, count(DISTINCT CASE WHEN NOT resolved THEN target_module_id END) AS external_nodes FROM v_all_edges GROUP BY 1), k AS (SELECT project_id, count(*) AS cycle_count FROM c JOIN v_modules ON a = module_id GROUP BY 1)
-    SELECT n.*, coalesce(internal_edges, 0) AS internal_edges, coalesce(external_edges, 0) AS external_edges, coalesce(external_nodes, 0) AS external_nodes, coalesce(cycle_count, 0) AS cycle_count FROM n LEFT JOIN e USING (project_id) LEFT JOIN k USING (project_id)""")
-ALL["a8_graph_summary"] = ALL["g7_module_graph"]
+    e AS (SELECT project_id, count(*) FILTER (resolved) AS internal_edges, count(*) FILTER (NOT resolved) AS external_edges, count(DISTINCT CASE WHEN NOT resolved THEN target_module_id END) AS external_nodes FROM v_all_edges GROUP BY 1), c AS (SELECT project_id, count(*) AS cycle_count FROM k JOIN v_modules ON a = module_id GROUP BY 1)"""
+
+
+def _summary(m, e):
+    inside = op.graph_edge_filter(e)
+    rated = op.degrees(m, inside).withColumn("complexity_rating", s.complexity_rating(F.col("complexity")))
+    return op.graph_summary(rated, e, op.cycle_counts(m, inside))
+
+
+add("a8_graph_summary", "v_modules v_all_edges", _summary, f"WITH RECURSIVE {_SUMMARY} SELECT n.*, coalesce(internal_edges, 0) AS internal_edges, coalesce(external_edges, 0) AS external_edges, coalesce(external_nodes, 0) AS external_nodes, coalesce(cycle_count, 0) AS cycle_count FROM n LEFT JOIN e USING (project_id) LEFT JOIN c USING (project_id)")
+
+
+def _graph(m, e):
+    """All parts of the graph as rows of one shape."""
+    g = op.module_graph(m, e, include_external=True)
+    row = lambda name, item, n: g[name].select(F.lit(name).alias("part"), "project_id", item.alias("item"), n.cast("long").alias("n"))
+    parts = [
+        row("nodes", F.concat_ws(" ", "node_id", "label", "complexity_rating"), F.col("in_degree") + F.col("out_degree")),
+        row("edges", F.concat_ws(" ", "source", "target", "type"), F.col("resolved").cast("int")),
+        row("top_connected", F.col("relative_path"), F.col("rank")),
+        row("orphans", F.col("relative_path"), F.lit(0)),
+        row("entry_points", F.col("relative_path"), F.lit(0)),
+        row("summary", F.lit("cycles"), F.col("cycle_count")),
+        g["cycles"].select(F.lit("cycles").alias("part"), F.lit(None).cast("string").alias("project_id"), F.concat_ws("-", F.col("path").cast("array<string>")).alias("item"), F.col("length").cast("long").alias("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_RATED = "CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'medium' WHEN complexity <= 20 THEN 'high' ELSE 'critical' END"
+add(
+    "g7_module_graph", "v_modules v_all_edges", _graph,
+    f"""WITH RECURSIVE {_SUMMARY}, g AS (SELECT id, count(*) AS n FROM (SELECT source_module_id AS id FROM v_edges UNION ALL SELECT target_module_id FROM v_edges) GROUP BY 1), m AS (SELECT v.*, coalesce(g.n, 0) AS n FROM v_modules v LEFT JOIN g ON g.id = v.module_id)
+    SELECT 'nodes' AS part, project_id, concat(module_id, ' ', relative_path, ' ', {_RATED}) AS item, n FROM m
+    UNION ALL SELECT 'nodes', project_id, concat('ext:', target_module_id, ' ', target_module_id), count(*) FROM v_all_edges WHERE NOT resolved GROUP BY project_id, target_module_id
+    UNION ALL SELECT 'edges', project_id, concat(source_module_id, ' ', CASE WHEN resolved THEN '' ELSE 'ext:' END, target_module_id, ' ', type), CAST(resolved AS BIGINT) FROM v_all_edges
+    UNION ALL SELECT 'top_connected', project_id, relative_path, r FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, relative_path) AS r FROM m) WHERE r <= 5
+    UNION ALL SELECT 'orphans', project_id, relative_path, 0 FROM m WHERE n = 0 UNION ALL SELECT 'entry_points', project_id, relative_path, 0 FROM m WHERE is_entry_point
+    UNION ALL SELECT 'summary', n.project_id, 'cycles', coalesce(cycle_count, 0) FROM n LEFT JOIN c USING (project_id) UNION ALL SELECT 'cycles', NULL, concat(array_to_string(path, '-'), '-', a), len(path) FROM k""",
+)
 add("p3_graph_edge_filter", "v_all_edges", lambda e: op.graph_edge_filter(e, ["require"], False), "SELECT * FROM v_all_edges WHERE type = 'require' AND resolved")
 add("p7_graph_view", "v_modules v_edges", lambda m, e: op.graph_view(m, e, " A ", "import")[1].select("source_module_id", "target_module_id"), "SELECT source_module_id, target_module_id FROM v_edges JOIN v_modules x ON x.module_id = source_module_id JOIN v_modules y ON y.module_id = target_module_id WHERE type = 'import' AND contains(lower(x.relative_path), 'a') AND contains(lower(y.relative_path), 'a')")
 add("o2_node_set", "v_modules v_all_edges", op.node_set, "SELECT CAST(module_id AS VARCHAR) AS node_id, false AS is_external FROM v_modules UNION SELECT concat('ext:', target_module_id), true FROM v_all_edges WHERE NOT resolved")
 add("w12_order_graph", "v_modules v_all_edges", lambda m, e: op.order_graph(op.node_set(m, e).withColumn("label", F.col("node_id")), e)[0].select("node_id"), "SELECT CAST(module_id AS VARCHAR) AS node_id FROM v_modules UNION SELECT concat('ext:', target_module_id) FROM v_all_edges WHERE NOT resolved")
 add("j11_direct_neighbours", "v_modules v_edges", lambda m, e: op.direct_neighbours(m, e).select("module_id", F.array_join("direct_dependents", ",").alias("users"), F.array_join("direct_dependencies", ",").alias("used")), "SELECT module_id, coalesce((SELECT string_agg(DISTINCT x.relative_path, ',' ORDER BY x.relative_path) FROM v_edges e JOIN v_modules x ON x.module_id = e.source_module_id WHERE e.target_module_id = m.module_id), '') AS users, coalesce((SELECT string_agg(DISTINCT x.relative_path, ',' ORDER BY x.relative_path) FROM v_edges e JOIN v_modules x ON x.module_id = e.target_module_id WHERE e.source_module_id = m.module_id), '') AS used FROM v_modules m")
-add("j12_affected_entry_points", "v_modules v_edges", lambda m, e: op.affected_entry_points(m, op.transitive_dependents(e)).withColumn("affected_entry_points", F.array_join("affected_entry_points", ",")), f"WITH RECURSIVE {CLOSURE}, o AS (SELECT a, b FROM r UNION SELECT module_id, module_id FROM v_modules) SELECT m.module_id, coalesce(string_agg(DISTINCT x.relative_path, ',' ORDER BY x.relative_path), '') AS affected_entry_points FROM v_modules m LEFT JOIN o ON o.b = m.module_id LEFT JOIN v_modules x ON x.module_id = o.a AND x.is_entry_point GROUP BY 1")
-ALL["o3_closure_and_self"] = ALL["j12_affected_entry_points"]
-add("j13_cycle_edges", "v_dense", lambda e: op.cycle_edges(_dense(e), op.cycles(_dense(e), 2)).select("source_module_id", "target_module_id"), f"WITH RECURSIVE {DENSE}, c AS (SELECT x.a FROM d x JOIN d y ON x.b = y.a AND y.b = x.a WHERE x.a <> x.b) SELECT a AS source_module_id, b AS target_module_id FROM d WHERE a IN (SELECT a FROM c) AND b IN (SELECT a FROM c)")
+add("j12_affected_entry_points", "v_modules v_edges", lambda m, e: op.affected_entry_points(m, e).withColumn("affected_entry_points", F.array_join("affected_entry_points", ",")), f"WITH RECURSIVE {CLOSURE}, o AS (SELECT a, b FROM r UNION SELECT module_id, module_id FROM v_modules) SELECT m.module_id, coalesce(string_agg(DISTINCT x.relative_path, ',' ORDER BY x.relative_path), '') AS affected_entry_points FROM v_modules m LEFT JOIN o ON o.b = m.module_id LEFT JOIN v_modules x ON x.module_id = o.a AND x.is_entry_point GROUP BY 1")
+add("o3_closure_and_self", "v_modules v_edges", lambda m, e: op.closure_and_self(m, op.transitive_dependents(e)), f"WITH RECURSIVE {CLOSURE} SELECT b AS module_id, a AS dependent FROM r WHERE a <> b UNION ALL SELECT module_id, module_id FROM v_modules")
+add("j13_cycle_edges", "v_dense", lambda e: op.cycle_edges(e).select("source_module_id", "target_module_id"), f"WITH RECURSIVE {DENSE}, c AS (SELECT a FROM r WHERE a = b) SELECT a AS source_module_id, b AS target_module_id FROM d WHERE a IN (SELECT a FROM c) AND b IN (SELECT a FROM c)")
 
 
 def _symbols(y):

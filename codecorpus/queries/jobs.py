@@ -27,7 +27,7 @@ add("w9_recent_projects", "v_jobs", lambda j: op.recent(j, 12).select("job_id",
 add("o4_recover_interrupted", "v_jobs", lambda j: op.recover_interrupted(j).select("job_id", "state", "error_code"), "SELECT job_id, CASE WHEN state IN ('queued', 'analyzing') THEN 'failed' ELSE state END AS state, CASE WHEN state IN ('queued', 'analyzing') THEN 'INTERRUPTED' END AS error_code FROM v_jobs")
 add("f22_job_error", "v_jobs", lambda j: op.recover_interrupted(j).select("job_id", op.job_error(F.col("error_code")).alias("error")), "SELECT job_id, CASE WHEN state IN ('queued', 'analyzing') THEN 'The job failed with INTERRUPTED.' END AS error FROM v_jobs")
 add("o5_job_progress", "v_jobs", lambda j: op.job_progress(j).select("job_id", "stage", "progress"), "SELECT job_id, CASE state WHEN 'completed' THEN 'Completed' WHEN 'queued' THEN 'Queued' ELSE 'Analyzing' END AS stage, CAST(CASE state WHEN 'completed' THEN 100 WHEN 'queued' THEN 25 ELSE 75 END AS INT) AS progress FROM v_jobs")
-add("p1_project_metadata", "v_jobs", lambda j: j.where("project_id = 37").select("job_id", "source_type", "state"), "SELECT job_id, source_type, state FROM v_jobs WHERE project_id = 37")
+add("p1_project_metadata", "v_jobs", lambda j: op.project_metadata(j.withColumn("workspace_id", F.lit("w")), 37), "SELECT * FROM v_jobs WHERE project_id = 37")
 add("p2_file_inventory", "v_files", lambda f: op.file_inventory(f).select("doc_id", "project_id", "file_count"), "SELECT doc_id, project_id, count(*) OVER (PARTITION BY project_id) AS file_count FROM v_files")
 add("p4_search_modules", "v_modules v_symbols", lambda m, y: op.search_modules(m, y, "FN_1", "python").select("module_id"), "SELECT module_id FROM v_modules WHERE language = 'python' AND (contains(lower(relative_path), 'fn_1') OR module_id IN (SELECT module_id FROM v_symbols WHERE kind IN ('function', 'class') AND contains(name, 'fn_1')))")
 add("p5_search_impacts", "v_modules", lambda m: op.search(m, " Bl ", "relative_path").select("module_id"), "SELECT module_id FROM v_modules WHERE contains(lower(relative_path), 'bl')")

@@ -2,17 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from codecorpus.operators import graph
+from codecorpus.functions import scalars as s
+from codecorpus.operators import graph, quality
 from codecorpus.plans import migration as op
 from codecorpus.plans import testplan as tests
-from codecorpus.queries.graph import CLOSURE
+from codecorpus.queries.graph import CLOSURE, RINGS
 from codecorpus.queries.register import adder
 
 ALL: dict = {}
 add = adder(ALL)
 
 #: Modules with their risk, for the oracle; goes behind CLOSURE.
-SCORED = """b AS (SELECT b AS module_id, count(*) AS blast FROM r WHERE a <> b GROUP BY 1), w AS (SELECT module_id, CAST(sum(CASE severity WHEN 'risk' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS BIGINT) AS weight, count(*) AS n FROM v_warnings WHERE module_id % 2 = 0 AND line = 1 GROUP BY 1),
+SCORED = """b AS (SELECT b AS module_id, count(*) AS blast FROM r WHERE a <> b GROUP BY 1), w AS (SELECT module_id, CAST(sum(CASE severity WHEN 'risk' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS BIGINT) AS weight, count(*) AS n FROM v_warnings GROUP BY 1),
     c AS (SELECT m.*, coalesce(blast, 0) AS blast_radius, coalesce(weight, 0) AS warning_weight, coalesce(n, 0) AS warning_count, CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'medium' WHEN complexity <= 20 THEN 'high' ELSE 'critical' END AS rating FROM v_modules m LEFT JOIN b USING (module_id) LEFT JOIN w USING (module_id)),
     x AS (SELECT *, warning_weight + CASE rating WHEN 'critical' THEN 8 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 0 END + least(blast_radius, 10) + CASE WHEN is_entry_point THEN 5 ELSE 0 END AS raw_risk FROM c),
     i AS (SELECT *, CASE WHEN raw_risk >= 18 THEN 'critical' WHEN raw_risk >= 10 THEN 'high' WHEN raw_risk >= 4 THEN 'medium' ELSE 'low' END AS risk_level, CASE WHEN raw_risk >= 18 THEN 4 WHEN raw_risk >= 10 THEN 3 WHEN raw_risk >= 4 THEN 2 ELSE 1 END AS k FROM x),
@@ -20,29 +21,33 @@ SCORED = """b AS (SELECT b AS module_id, count(*) AS blast FROM r WHERE a <> b G
 HEAD = f"WITH RECURSIVE {CLOSURE}, {SCORED}"
 
 
-def _few(w):
-    return w.where("module_id % 2 = 0 and line = 1")
-
-
 def _scored(m, e, w):
-    return op.scored_modules(m, e, _few(w))
+    return op.scored_modules(m, e, w)
 
 
 add("w4_top_priorities", "v_modules v_edges v_warnings", lambda m, e, w: op.top_priorities(_scored(m, e, w)).select("project_id", "rank", "relative_path", "risk_level", "raw_risk", "blast_radius"), f"{HEAD} SELECT project_id, rank, relative_path, risk_level, raw_risk, blast_radius FROM t WHERE rank <= 6")
 add("w4_rank_impacts", "v_modules v_edges v_warnings", lambda m, e, w: op.rank_impacts(_scored(m, e, w)).select("module_id", "rank"), f"{HEAD} SELECT module_id, rank FROM t")
 add(
-    "g9_change_impact", "v_modules v_edges v_warnings v_tests", lambda m, e, w, t: op.change_impact(m, e, _few(w), t).select("module_id", "risk_level", "blast_radius", F.array_join("reasons", " ").alias("reasons"), F.size("direct_dependents").alias("users"), F.size("affected_entry_points").alias("entries"), F.array_join("suggested_tests", ",").alias("tests")),
+    "g9_change_impact", "v_modules v_edges v_warnings v_tests", lambda m, e, w, t: op.change_impact(m, e, w, t).select("module_id", "risk_level", "blast_radius", F.array_join("reasons", " ").alias("reasons"), F.size("direct_dependents").alias("users"), F.size("affected_entry_points").alias("entries"), F.array_join("suggested_tests", ",").alias("tests")),
     f"""{HEAD}, o AS (SELECT a, b FROM r UNION SELECT module_id, module_id FROM v_modules), en AS (SELECT o.b, count(DISTINCT relative_path) AS n FROM o JOIN v_modules m ON m.module_id = o.a AND m.is_entry_point GROUP BY 1), u AS (SELECT target_module_id AS id, count(DISTINCT source_module_id) AS n FROM v_edges GROUP BY 1)
     SELECT t.module_id, risk_level, blast_radius, CASE WHEN blast_radius = 0 AND warning_count = 0 AND rating IN ('low', 'medium') AND NOT is_entry_point THEN 'No major static-analysis risk indicators were found.' ELSE
       concat_ws(' ', CASE WHEN blast_radius > 0 THEN concat('Changes can affect ', blast_radius, ' downstream file(s).') END, CASE WHEN warning_count > 0 THEN concat('Contains ', warning_count, ' modernization suggestion(s).') END, CASE WHEN rating IN ('high', 'critical') THEN concat('Complexity is rated ', rating, '.') END, CASE WHEN is_entry_point THEN 'This is an application entry point.' END) END AS reasons,
       CAST(coalesce(u.n, 0) AS INT) AS users, CAST(coalesce(en.n, 0) AS INT) AS entries, CASE WHEN t.module_id % 3 = 0 THEN concat('tests/test_', t.module_id, '.py') ELSE concat('Generate tests for ', relative_path) END AS tests FROM t LEFT JOIN u ON u.id = t.module_id LEFT JOIN en ON en.b = t.module_id""",
 )
-ALL["f8_impact_reasons"] = ALL["g9_change_impact"]
+add(
+    "f8_impact_reasons", "v_modules v_warnings", lambda m, w: m.join(quality.warning_weight(w, ["module_id"]), "module_id", "left").select("module_id", F.posexplode(op.impact_reasons(F.col("complexity") % 3, F.coalesce("warning_count", F.lit(0)), s.complexity_rating(F.col("complexity")), F.col("is_entry_point"))).alias("pos", "reason")),
+    """WITH w AS (SELECT module_id, count(*) AS n FROM v_warnings GROUP BY 1), c AS (SELECT m.module_id, list_filter([CASE WHEN complexity % 3 > 0 THEN concat('Changes can affect ', complexity % 3, ' downstream file(s).') END, CASE WHEN n > 0 THEN concat('Contains ', n, ' modernization suggestion(s).') END, CASE WHEN complexity > 20 THEN 'Complexity is rated critical.' WHEN complexity > 10 THEN 'Complexity is rated high.' END, CASE WHEN is_entry_point THEN 'This is an application entry point.' END], lambda x: x IS NOT NULL) AS r FROM v_modules m LEFT JOIN w USING (module_id)),
+    d AS (SELECT module_id, CASE WHEN len(r) > 0 THEN r ELSE ['No major static-analysis risk indicators were found.'] END AS r FROM c) SELECT module_id, CAST(unnest(range(len(r))) AS INT) AS pos, unnest(r) AS reason FROM d""",
+)
 add("j7_tests_by_target", "v_modules v_tests", lambda m, t: op.tests_by_target(m, t).withColumn("suggested_tests", F.array_join("suggested_tests", ",")), "SELECT module_id, CASE WHEN module_id % 3 = 0 THEN concat('tests/test_', module_id, '.py') ELSE concat('Generate tests for ', relative_path) END AS suggested_tests FROM v_modules")
+def _with_entries(m, e, scored):
+    return scored.join(graph.affected_entry_points(m, e).select("module_id", (F.size("affected_entry_points") > 0).alias("entries")), "module_id")
+
+
 add(
     "w5_phase_files", "v_modules v_edges v_warnings",
-    lambda m, e, w: op.phase_files(_scored(m, e, w).withColumn("entries", F.lit(False))).select("project_id", "phase", F.array_join("files", ",").alias("files")),
-    f"""{HEAD}, p AS (SELECT *, 1 AS phase, 5 AS most FROM t UNION ALL SELECT *, 2, 8 FROM t WHERE risk_level IN ('low', 'medium') AND warning_count > 0 UNION ALL SELECT *, 3, 8 FROM t WHERE blast_radius > 0 OR risk_level IN ('high', 'critical') UNION ALL SELECT *, 4, 8 FROM t WHERE is_entry_point),
+    lambda m, e, w: op.phase_files(_with_entries(m, e, _scored(m, e, w))).select("project_id", "phase", F.array_join("files", ",").alias("files")),
+    f"""{HEAD}, p AS (SELECT *, 1 AS phase, 5 AS most FROM t UNION ALL SELECT *, 2, 8 FROM t WHERE risk_level IN ('low', 'medium') AND warning_count > 0 UNION ALL SELECT *, 3, 8 FROM t WHERE blast_radius > 0 OR risk_level IN ('high', 'critical') UNION ALL SELECT *, 4, 8 FROM t WHERE is_entry_point OR module_id IN (SELECT r.b FROM r JOIN v_modules m ON m.module_id = r.a AND m.is_entry_point)),
     q AS (SELECT *, row_number() OVER (PARTITION BY project_id, phase ORDER BY rank) AS n FROM p) SELECT project_id, phase, string_agg(relative_path, ',' ORDER BY n) AS files FROM q WHERE n <= most GROUP BY 1, 2""",
 )
 
@@ -52,21 +57,21 @@ def _tests(t):
 
 
 def _cycle_counts(m, e):
-    return graph.cycles(e, 2).select(F.element_at("path", 1).alias("module_id")).join(m.select("module_id", "project_id"), "module_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("cycle_count"))
+    return graph.cycle_counts(m, e)
 
 
-READY = """d AS (SELECT DISTINCT source_module_id AS a, target_module_id AS b FROM v_edges), k AS (SELECT project_id, count(*) AS cycles FROM d x JOIN d y ON x.b = y.a AND y.b = x.a JOIN v_modules ON module_id = x.a WHERE x.a < x.b GROUP BY 1),
+READY = f"""d AS (SELECT DISTINCT source_module_id AS a, target_module_id AS b FROM v_edges), {RINGS}, kk AS (SELECT project_id, count(*) AS cycles FROM k JOIN v_modules ON module_id = a GROUP BY 1),
     m AS (SELECT project_id, count(*) AS n, count(*) FILTER (parse_status = 'complete') AS c, count(*) FILTER (parse_status = 'partial') AS p, count(*) FILTER (complexity > 10) AS h FROM v_modules GROUP BY 1),
-    w AS (SELECT project_id, CAST(sum(CASE severity WHEN 'risk' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM v_warnings JOIN v_modules USING (module_id) WHERE module_id % 2 = 0 AND line = 1 GROUP BY 1), e AS (SELECT project_id, count(*) AS edges FROM v_edges GROUP BY 1),
+    wt AS (SELECT project_id, CAST(sum(CASE severity WHEN 'risk' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM v_warnings JOIN v_modules USING (module_id) GROUP BY 1), e AS (SELECT project_id, count(*) AS edges FROM v_edges GROUP BY 1),
     t AS (SELECT project_id, count(*) AS g, count(*) FILTER (syntax_valid) AS v FROM v_tests GROUP BY 1),
     s AS (SELECT m.project_id, CAST(greatest(0, least(100, round_even(100 * (c + p * 0.5::DOUBLE) / n, 0))) AS INT) AS analysis, CAST(greatest(0, least(100, round_even(100 - h / n * 100, 0))) AS INT) AS complexity, CAST(greatest(0, least(100, round_even(100 - least(85.0::DOUBLE, coalesce(edges, 0) / n * 18 + coalesce(cycles, 0) * 12), 0))) AS INT) AS coupling,
       CAST(greatest(0, least(100, round_even(100 - least(85.0::DOUBLE, coalesce(weight, 0) * 3 / n), 0))) AS INT) AS maintainability,
-      CASE WHEN g IS NULL OR g % 5 = 0 THEN 35 ELSE CAST(greatest(0, least(100, round_even(CASE WHEN g % 2 = 0 THEN 80 ELSE 60 END * 0.6::DOUBLE + v / g * 40, 0))) AS INT) END AS testability, g FROM m LEFT JOIN w USING (project_id) LEFT JOIN e USING (project_id) LEFT JOIN k USING (project_id) LEFT JOIN t USING (project_id)),
+      CASE WHEN g IS NULL OR g % 5 = 0 THEN 35 ELSE CAST(greatest(0, least(100, round_even(CASE WHEN g % 2 = 0 THEN 80 ELSE 60 END * 0.6::DOUBLE + v / g * 40, 0))) AS INT) END AS testability, g FROM m LEFT JOIN wt USING (project_id) LEFT JOIN e USING (project_id) LEFT JOIN kk USING (project_id) LEFT JOIN t USING (project_id)),
     o AS (SELECT *, CAST(round_even((analysis + complexity + coupling + maintainability + testability) * 2 / 10, 0) AS INT) AS overall FROM s)"""
 _STATUS = "CASE WHEN {0} >= 80 THEN 'Strong' WHEN {0} >= 60 THEN 'Ready with care' WHEN {0} >= 40 THEN 'Needs preparation' ELSE 'High risk' END"
 add(
-    "a9_readiness", "v_modules v_warnings v_edges v_tests", lambda m, w, e, t: op.readiness(m, _few(w), e, _cycle_counts(m, e), _tests(t)),
-    f"WITH {READY} SELECT project_id, analysis, complexity, coupling, maintainability, testability, CASE WHEN g % 5 = 0 THEN 'Generation failed' WHEN g IS NULL THEN 'Not calculated' ELSE {_STATUS.format('testability')} END AS testability_status, overall, {_STATUS.format('overall')} AS status FROM o",
+    "a9_readiness", "v_modules v_warnings v_edges v_tests", lambda m, w, e, t: op.readiness(m, w, e, _cycle_counts(m, e), _tests(t)),
+    f"WITH RECURSIVE {READY} SELECT project_id, analysis, complexity, coupling, maintainability, testability, CASE WHEN g % 5 = 0 THEN 'Generation failed' WHEN g IS NULL THEN 'Not calculated' ELSE {_STATUS.format('testability')} END AS testability_status, overall, {_STATUS.format('overall')} AS status FROM o",
 )
 
 # tests and coverage
@@ -91,13 +96,13 @@ add("k6_test_bundle", "v_tests", lambda t: tests.test_bundle(t).select("test_id"
 
 
 def _targets(c):
-    return c.select("project_id", F.substring_index("path", "/", -1).alias("target")).distinct().where("target < 'm3'").withColumn("ord", F.col("target"))
+    return c.select("project_id", F.substring_index("path", "/", -1).alias("target")).distinct().withColumn("ord", F.col("target"))
 
 
 def _matched(c):
     return tests.match_coverage_paths(c, _targets(c))
 
 
-_MATCH = "m AS (SELECT *, string_split(path, '/')[-1] AS target FROM v_coverage WHERE string_split(path, '/')[-1] < 'm3')"
+_MATCH = "m AS (SELECT *, string_split(path, '/')[-1] AS target FROM v_coverage)"
 add("j8_match_coverage_paths", "v_coverage", lambda c: _matched(c).groupBy("project_id", "path", "target").count(), f"WITH {_MATCH} SELECT project_id, path, target, count(*) AS count FROM m GROUP BY 1, 2, 3")
 add("a11_coverage_rollup", "v_coverage", lambda c: tests.coverage_rollup(_matched(c), ["project_id", "target"]), f"WITH {_MATCH} SELECT project_id, target, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(statements) AS BIGINT) AS statements, round_even(sum(covered) / sum(statements) * 100, 1) AS coverage FROM m GROUP BY 1, 2")

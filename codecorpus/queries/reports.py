@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codecorpus.operators import graph, quality
 from codecorpus.plans import migration
 from codecorpus.plans import reports as op
-from codecorpus.queries.plan import _cycle_counts, _few, _scored, _tests
+from codecorpus.queries.plan import _cycle_counts, _scored, _tests, _with_entries
 from codecorpus.queries.register import adder
 from codecorpus.sources import scan
 
@@ -32,9 +32,9 @@ def _explained(m, y, w):
 
 
 add(
-    "f20_module_explanation", "v_modules v_symbols v_warnings", lambda m, y, w: _explained(m, y.where("module_id % 2 = 0"), w.where("module_id % 3 = 0")).select("module_id", "responsibility", "classes_functions_summary", "dependencies_summary", "entry_point_indicator", "warnings_summary"),
-    """WITH s AS (SELECT module_id, count(*) FILTER (kind = 'class') AS c, count(*) FILTER (kind = 'function') AS f FROM v_symbols WHERE module_id % 2 = 0 GROUP BY 1), n AS (SELECT module_id, string_agg(name, ', ' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY CASE kind WHEN 'class' THEN 0 ELSE 1 END, ord, name) AS r FROM v_symbols WHERE kind <> 'variable' AND module_id % 2 = 0) WHERE r <= 4 GROUP BY 1),
-    w AS (SELECT module_id, count(DISTINCT code) AS k, string_agg(DISTINCT code, ', ' ORDER BY code) AS codes FROM v_warnings WHERE module_id % 3 = 0 GROUP BY 1)
+    "f20_module_explanation", "v_modules v_symbols v_warnings", lambda m, y, w: _explained(m, y.where(F.col("kind") != "class"), w.where("severity <> 'info'")).select("module_id", "responsibility", "classes_functions_summary", "dependencies_summary", "entry_point_indicator", "warnings_summary"),
+    """WITH s AS (SELECT module_id, count(*) FILTER (kind = 'class') AS c, count(*) FILTER (kind = 'function') AS f FROM v_symbols WHERE kind <> 'class' GROUP BY 1), n AS (SELECT module_id, string_agg(name, ', ' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY CASE kind WHEN 'class' THEN 0 ELSE 1 END, ord, name) AS r FROM v_symbols WHERE kind = 'function') WHERE r <= 4 GROUP BY 1),
+    w AS (SELECT module_id, count(DISTINCT code) AS k, string_agg(DISTINCT code, ', ' ORDER BY code) AS codes FROM v_warnings WHERE severity <> 'info' GROUP BY 1)
     SELECT module_id, CASE WHEN is_entry_point THEN concat('`', relative_path, '` is where this part of the program starts.') WHEN contains(relative_path, 'test') THEN concat('`', relative_path, '` contains tests or testing helpers.') WHEN contains(relative_path, 'util') OR contains(relative_path, 'helper') THEN concat('`', relative_path, '` provides reusable helper functions.') WHEN contains(relative_path, 'model') OR contains(relative_path, 'schema') THEN concat('`', relative_path, '` defines the project''s data structures.')
       WHEN contains(relative_path, 'api') OR contains(relative_path, 'route') OR contains(relative_path, 'controller') THEN concat('`', relative_path, '` handles API requests and routes.') WHEN names IS NOT NULL THEN concat('`', relative_path, '` contains the main logic for ', names, '.') ELSE concat('`', relative_path, '` contains ', upper(left(language, 1)), substr(language, 2), ' project logic.') END AS responsibility,
       concat('It contains ', coalesce(c, 0), ' classes and ', coalesce(f, 0), ' functions or methods.') AS classes_functions_summary, concat('It uses ', complexity, ' dependencies and exposes ', complexity + 1, ' items.') AS dependencies_summary,
@@ -62,5 +62,5 @@ add(
       UNION ALL SELECT project_id, 3, 0, concat('%% ', count(*), ' nodes, ', (SELECT count(*) FROM a WHERE a.project_id = n.project_id), ' edges') FROM n GROUP BY 1)
     SELECT project_id, string_agg(line, chr(10) ORDER BY s, o) AS report FROM l GROUP BY 1""",
 )
-add("k4_plan_report", "v_modules v_edges v_warnings v_tests", lambda m, e, w, t: op.plan_report(migration.readiness(m, _few(w), e, _cycle_counts(m, e), _tests(t)), migration.top_priorities(scored := graph.settled(_scored(m, e, w))), migration.phase_files(scored.withColumn("entries", F.lit(False)))), None)
+add("k4_plan_report", "v_modules v_edges v_warnings v_tests", lambda m, e, w, t: op.plan_report(migration.readiness(m, w, e, _cycle_counts(m, e), _tests(t)), migration.top_priorities(scored := graph.settled(_scored(m, e, w))), migration.phase_files(_with_entries(m, e, scored))), None)
 add("k7_to_api_json", "v_modules", lambda m: scan.to_api_json(m.select("module_id", "language", "complexity"), ["module_id"]), "SELECT module_id, concat('{\"module_id\":', module_id, ',\"language\":\"', language, '\",\"complexity\":', complexity, '}') AS payload FROM v_modules")

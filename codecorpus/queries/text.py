@@ -195,5 +195,5 @@ add(
     SELECT source_module_id, target_module_id, resolved, concat('edge_', left(sha256(concat(source_module_id, ':', target_module_id, ':import:', source_line)), 12)) AS edge_id FROM r""",
 )
 add("w1_dedup_edges", "v_edges", lambda e: deps.dedup_edges(e.unionByName(e)).select("source_module_id", "target_module_id", "type", "source_line"), "SELECT DISTINCT source_module_id, target_module_id, type, source_line FROM v_edges")
-add("j4_split_external", "v_all_edges v_modules", lambda e, m: deps.split_external(e.where("source_module_id % 3 = 0"), m.where("module_id % 2 = 0"))[1].select("node_id"), "SELECT DISTINCT concat('ext:', target_module_id) AS node_id FROM v_all_edges WHERE source_module_id % 3 = 0 AND target_module_id NOT IN (SELECT module_id FROM v_modules WHERE module_id % 2 = 0)")
+add("j4_split_external", "v_all_edges v_modules", lambda e, m: deps.split_external(e.withColumn("target_module_id", F.when(F.col("resolved"), F.col("target_module_id")).otherwise(-1 - F.col("target_module_id"))), m)[1].select("node_id"), "SELECT DISTINCT concat('ext:', -1 - target_module_id) AS node_id FROM v_all_edges WHERE NOT resolved")
 add("f16_brackets_balanced", "documents", lambda d: d.select("doc_id", s.brackets_balanced(F.translate("text", "abc.,", "()[]{")).alias("balanced"), s.brackets_balanced_quoted(F.concat(F.lit("(\")\" ['('] `{` )"), F.when(F.col("doc_id") % 2 == 0, "}").otherwise(""))).alias("quoted")), None)
