@@ -15,6 +15,14 @@ PHASES = (
     (3, "Untangle shared modules", 8),
     (4, "Modernize entry points", 8),
 )
+# what impact_reasons says of a module, in this order
+AFFECTS, SUGGESTS, RATED, ENTRY, NOTHING = (
+    ("Changes can affect ", " downstream file(s)."),
+    ("Contains ", " modernization suggestion(s)."),
+    ("Complexity is rated ", "."),
+    "This is an application entry point.",
+    "No major static-analysis risk indicators were found.",
+)
 CATEGORIES = ("analysis", "complexity", "coupling", "maintainability", "testability")
 # ------------------------------------------------------------------------------------------------------------------
 
@@ -27,16 +35,10 @@ def tests_by_target(modules: DataFrame, test_files: DataFrame, project: str = "p
 
 
 def impact_reasons(blast: Column, warnings: Column, rating: Column, is_entry: Column) -> Column:
-    found = F.filter(
-        F.array(
-            F.when(blast > 0, F.concat(F.lit("Changes can affect "), blast.cast("string"), F.lit(" downstream file(s)."))),
-            F.when(warnings > 0, F.concat(F.lit("Contains "), warnings.cast("string"), F.lit(" modernization suggestion(s)."))),
-            F.when(rating.isin("high", "critical"), F.concat(F.lit("Complexity is rated "), rating, F.lit("."))),
-            F.when(is_entry, F.lit("This is an application entry point.")),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("No major static-analysis risk indicators were found.")))
+    """Up to four sentences, or one that nothing was found."""
+    said = lambda parts, x: F.concat(F.lit(parts[0]), x.cast("string"), F.lit(parts[1]))
+    found = F.filter(F.array(F.when(blast > 0, said(AFFECTS, blast)), F.when(warnings > 0, said(SUGGESTS, warnings)), F.when(rating.isin("high", "critical"), said(RATED, rating)), F.when(is_entry, F.lit(ENTRY))), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NOTHING)))
 
 
 def scored_modules(modules: DataFrame, edges: DataFrame, warnings: DataFrame, dependents: DataFrame | None = None) -> DataFrame:

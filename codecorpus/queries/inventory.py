@@ -1,10 +1,14 @@
 """Inventory, hashes, limits and audits."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codecorpus.functions import scalars as s
 from codecorpus.operators import inventory as op
 from codecorpus.queries.register import adder
+from codecorpus.shipping import shared_folder
+from codecorpus.sources import scan
 
 ALL: dict = {}
 add = adder(ALL)
@@ -90,5 +94,42 @@ add(
 add("f13_redact", "documents", lambda d: d.select("doc_id", F.md5(s.redact(F.col("text"), "/srv/x", 500)).alias("digest")), "SELECT doc_id, md5(left(regexp_replace(regexp_replace(text, 'https?://[^:\\s]+:[^@\\s]+@', 'https://[REDACTED_CREDENTIALS]@', 'g'), '(token|secret|password|bearer|auth)[=:]\\s*[\\w.-]+', '\\1=[REDACTED]', 'gi'), 500)) AS digest FROM documents")
 add("f14_download_name", "v_urls", lambda u: u.select("page_id", s.download_name(F.col("url")).alias("name")), "SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^\\p{L}\\p{N}_-]', '-', 'g'), '-'), ''), 'project') AS name FROM v_urls")
 add("f15_labels", "v_warnings", lambda w: w.select("ord", s.severity_label(F.col("severity")).alias("severity"), s.warning_title(F.col("code")).alias("title"), s.complexity_label(F.lit(None).cast("string"), F.col("line") * 4).alias("complexity"), s.clean_text(F.concat(F.lit(" `a`  "), "message")).alias("text")).distinct(), "SELECT DISTINCT ord, CASE severity WHEN 'risk' THEN 'Important' WHEN 'warning' THEN 'Review' ELSE 'Note' END AS severity, replace(code, '_', ' ') AS title, CASE WHEN line * 4 <= 5 THEN 'Low' WHEN line * 4 <= 10 THEN 'Moderate' WHEN line * 4 <= 20 THEN 'High' ELSE 'Critical' END AS complexity, concat('a ', message) AS text FROM v_warnings")
-add("f18_forbidden_pattern", "v_urls", lambda u: u.select("page_id", s.forbidden_pattern(F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit(" child_process execSync("))).otherwise(F.col("url"))).alias("found")), "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'child_process' END AS found FROM v_urls")
+add(
+    "f18_forbidden_pattern", "v_urls", lambda u: u.select("page_id", s.forbidden_pattern(F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit(" execSync( child_process"))).when(F.col("page_id") % 5 == 1, F.concat("url", F.lit(" execSync( fs.rmdirSync"))).when(F.col("page_id") % 5 == 2, F.concat("url", F.lit(" fs.rmdirSync"))).when(F.col("page_id") % 5 == 3, "  ").otherwise(F.col("url"))).alias("found")),
+    "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'child_process' WHEN 1 THEN 'execSync(' WHEN 2 THEN 'fs.rmdirSync' WHEN 3 THEN 'empty' END AS found FROM v_urls",
+)
+
+
+def _tree(files):
+    """The files' texts as a tree of one folder for each project, in the shared folder, scanned again."""
+    root = f"{shared_folder(files.sparkSession)}/tree-{uuid.uuid4().hex}"
+    files.select("project_id", "content").write.partitionBy("project_id").text(root)
+    return scan.scan_tree(files.sparkSession, root).groupBy("project_id").agg(F.sum("size_bytes").alias("bytes"))
+
+
+add("s1_scan_tree", "v_files", _tree, "SELECT concat('project_id=', project_id) AS project_id, CAST(sum(octet_length(encode(content)) + 1) AS BIGINT) AS bytes FROM v_files GROUP BY 1")
+
+
+def _reports(c):
+    """A report for each row; every tenth is malformed, some files lack a summary."""
+    whole = F.concat(F.lit('{"files":{"'), "path", F.lit('":{"summary":{"num_statements":'), F.col("statements").cast("string"), F.lit(',"covered_lines":'), F.col("covered").cast("string"), F.lit('},"executed_lines":[1,2],"missing_lines":[]}}}'))
+    return c.select("project_id", F.when(F.col("covered") % 10 == 0, "{no report").when(F.col("covered") % 10 == 1, F.concat(F.lit('{"files":{"'), "path", F.lit('":{}}}'))).otherwise(whole).alias("body"))
+
+
+add(
+    "s17_read_coverage_json", "v_coverage", lambda c: scan.read_coverage_json(_reports(c)).groupBy("project_id", "path", "covered", "statements").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("covered_lines"), F.lit(0))).alias("lines")),
+    "SELECT project_id, path, CASE WHEN covered % 10 = 1 THEN 0 ELSE covered END AS covered, CASE WHEN covered % 10 = 1 THEN 0 ELSE statements END AS statements, count(*) AS n, CAST(sum(CASE WHEN covered % 10 = 1 THEN 0 ELSE 2 END) AS BIGINT) AS lines FROM v_coverage WHERE covered % 10 <> 0 GROUP BY 1, 2, 3, 4",
+)
+
+
+def _written_twice(m):
+    """All projects' records, then those of some projects again by a later version."""
+    path = f"{shared_folder(m.sparkSession)}/analyses-{uuid.uuid4().hex}"
+    record = m.select("module_id", "complexity", "project_id")
+    scan.write_by_project(record.withColumn("analyzer_version", F.lit(1)), path)
+    scan.write_by_project(record.where("project_id like '%1'").withColumn("analyzer_version", F.lit(2)), path)
+    return m.sparkSession.read.parquet(path).select("project_id", "module_id", "complexity", "analyzer_version")
+
+
+add("k1_write_analysis", "v_modules", _written_twice, "SELECT project_id, module_id, complexity, CASE WHEN project_id LIKE '%1' THEN 2 ELSE 1 END AS analyzer_version FROM v_modules")
 add("f23_human_bytes", "v_archive", lambda a: a.select("archive_id", "seq", s.human_bytes(F.col("file_size") * F.when(F.col("seq") % 2 == 0, 1).otherwise(3000)).alias("size")), "SELECT archive_id, seq, CASE WHEN n >= 1073741824 THEN concat(regexp_replace(printf('%.1f', round(n / 1073741824, 1)), '\\.0$', ''), ' GB') WHEN n >= 1048576 THEN concat(regexp_replace(printf('%.1f', round(n / 1048576, 1)), '\\.0$', ''), ' MB') WHEN n >= 1024 THEN concat(regexp_replace(printf('%.1f', round(n / 1024, 1)), '\\.0$', ''), ' KB') ELSE concat(n, ' B') END AS size FROM (SELECT archive_id, seq, file_size * CASE WHEN seq % 2 = 0 THEN 1 ELSE 3000 END AS n FROM v_archive)")

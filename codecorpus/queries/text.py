@@ -52,7 +52,17 @@ _ALL_PYTHON = "text"
 for _, _pattern, _to, *_ in EXPECTED[:-1]:
     _ALL_PYTHON = f"regexp_replace({_ALL_PYTHON}, '{_pattern}', '{_to}', 'g')"
 add("r13_r14_rewrite", "v_lines", lambda v: op.rewrite(code(v), op.PYTHON_REWRITES).select("file_id", F.md5("modern").alias("digest"), "changed"), f"WITH c AS ({CODE}) SELECT file_id, md5({_ALL_PYTHON}) AS digest, {_ALL_PYTHON} <> text AS changed FROM c")
-add("r11_r12_strict_equality", "v_lines", lambda v: op.rewrite(code(v), op.JAVASCRIPT_REWRITES).where("changed").select("file_id", F.array_join("changes", " ").alias("changes"), F.md5("modern").alias("digest")), None)
+def _unequal(v):
+    """Every second line with != for its ==, and one strict comparison that stays."""
+    line = F.when(F.col("line_no") % 2 == 0, F.replace("line", F.lit(" == "), F.lit(" != "))).otherwise(F.col("line"))
+    return v.select("file_id", "line_no", F.concat(line, F.lit(" a === b !== c")).alias("content"))
+
+
+add(
+    "r11_r12_strict_equality", "v_lines", lambda v: op.rewrite(_unequal(v), op.JAVASCRIPT_REWRITES).where("changed").select("file_id", "line_no", F.array_join("changes", " ").alias("changes"), "modern"),
+    """SELECT file_id, line_no, concat('Replaced function-scoped var with block-scoped let. (1 occurrence) Replaced loose ', CASE WHEN line_no % 2 = 0 THEN 'inequality with strict inequality' ELSE 'equality with strict equality' END, '. (1 occurrence)') AS changes,
+    concat('let ', replace(substr(line, 5), ' == ', CASE WHEN line_no % 2 = 0 THEN ' !== ' ELSE ' === ' END), ' a === b !== c') AS modern FROM v_lines WHERE starts_with(line, 'var ')""",
+)
 #: Which of v_lines are Python by themselves once they are rewritten; written out for the oracle.
 VALID = "NOT (starts_with(line, 'for ') OR starts_with(line, ' ') OR starts_with(line, 'except') OR starts_with(line, 'var ') OR starts_with(line, 'const ') OR starts_with(line, 'def ') OR starts_with(line, 'function '))"
 
@@ -196,4 +206,19 @@ add(
 )
 add("w1_dedup_edges", "v_edges", lambda e: deps.dedup_edges(e.unionByName(e)).select("source_module_id", "target_module_id", "type", "source_line"), "SELECT DISTINCT source_module_id, target_module_id, type, source_line FROM v_edges")
 add("j4_split_external", "v_all_edges v_modules", lambda e, m: deps.split_external(e.withColumn("target_module_id", F.when(F.col("resolved"), F.col("target_module_id")).otherwise(-1 - F.col("target_module_id"))), m)[1].select("node_id"), "SELECT DISTINCT concat('ext:', -1 - target_module_id) AS node_id FROM v_all_edges WHERE NOT resolved")
-add("f16_brackets_balanced", "documents", lambda d: d.select("doc_id", s.brackets_balanced(F.translate("text", "abc.,", "()[]{")).alias("balanced"), s.brackets_balanced_quoted(F.concat(F.lit("(\")\" ['('] `{` )"), F.when(F.col("doc_id") % 2 == 0, "}").otherwise(""))).alias("quoted")), None)
+add(
+    "f16_brackets_balanced", "v_lines", lambda v: v.select("file_id", "line_no", s.brackets_balanced(F.replace("line", F.lit("exports.q = 1;"), F.lit("]exports.q = [1;"))).alias("balanced"), s.brackets_balanced_quoted(F.concat(F.replace("line", F.lit("('"), F.lit("(')', '")), F.lit(" \"((\" `]` '}'"), F.when(F.col("line").startswith("z "), "{").otherwise(""))).alias("quoted")),
+    "SELECT file_id, line_no, NOT starts_with(line, 'exports') AS balanced, NOT starts_with(line, 'z ') AS quoted FROM v_lines",
+)
+
+
+def _documented(v):
+    """Marks for imports, docstrings for jumps."""
+    return v.withColumn("line", F.when(F.col("line") == "import imp", "@cached").when(F.col("line") == "    except:", '    """Does it."""').otherwise(F.col("line")))
+
+
+add(
+    "x10_docstrings", "v_lines", lambda v: facts.docstrings(_documented(v), ["file_id"]).select("file_id", F.col("line_no").cast("long").alias("line_no"), "name", "docstring", F.array_join("decorators", ",").alias("decorators")),
+    """WITH n AS (SELECT *, lead(line) OVER w AS after, sum(CASE WHEN line = 'import imp' THEN 0 ELSE 1 END) OVER w AS run FROM v_lines WINDOW w AS (PARTITION BY file_id ORDER BY line_no)), m AS (SELECT file_id, run, string_agg('cached', ',') AS marks FROM n WHERE line = 'import imp' GROUP BY 1, 2)
+    SELECT n.file_id, line_no, 'g' AS name, CASE WHEN after = '    except:' THEN 'Does it.' END AS docstring, coalesce(marks, '') AS decorators FROM n LEFT JOIN m ON m.file_id = n.file_id AND m.run = n.run - 1 WHERE starts_with(line, 'def ')""",
+)

@@ -251,6 +251,30 @@ def test_imports_without_the_training_data_part():
             assert not re.search(r"codecorpus\.llm|corpus_pipeline", path.read_text()), path
 
 
+def test_the_rest_imports_and_lists_its_queries_without_it():
+    """With the subpackage and the pipeline hidden from the import system, in an interpreter of its own."""
+    import pathlib
+    import subprocess
+    import sys
+
+    hide = """
+import sys
+
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name.split(".")[:2] == ["codecorpus", "llm"] or name == "corpus_pipeline":
+            raise ImportError(name)
+
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as e
+names = set(e.queries())
+assert len(names) > 150 and not any(n.startswith("op") or n == "pipeline" for n in names), names
+assert set(e.oracle_sql()) <= names
+"""
+    done = subprocess.run([sys.executable, "-c", hide], cwd=pathlib.Path(__file__).resolve().parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_names_of_long_call_chains_are_whole():
     chain = "q" + "".join(f".filter(column_{i}=value_{i})" for i in range(20))
     names = [x[1] for x in facts._python_facts(f"a = {chain}.first()\nb = {chain}.last()\n") if x[0] == "call"]
