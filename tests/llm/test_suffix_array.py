@@ -46,8 +46,14 @@ def covered(texts, length):
 def brute(rows):
     texts = [(r[1] or "").encode() for r in rows]
     out = Counter()
-    for r, t, gone, short in zip(rows, texts, covered(texts, s.LENGTH), covered(texts, s.SHORT), strict=True):
+    cores = [[(int(a), t[a : a + s.GRAM + s.side(s.SHORT)], int(k)) for k, _, _, a in zip(*s.contexts(t, s.SHORT)[0], strict=True)] for t in texts]
+    often = Counter((x, k) for own in cores for _, x, k in own)
+    for r, t, gone, own in zip(rows, texts, covered(texts, s.LENGTH), cores, strict=True):
         kept = bytes(np.frombuffer(t, np.uint8)[~gone[:-1]]) if t else b""
+        short = np.zeros(len(t), bool)
+        for a, x, k in own:
+            if often[x, k] > 1:
+                short[a : a + len(x)] = True
         out[r[0], len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), int(short.sum()), kept] += 1
     return out
 
@@ -81,13 +87,27 @@ def test_same_bytes_go_as_by_brute_force(spark, monkeypatch, seed, hot, shard, p
     assert removed(cases.table(spark, rows)) == brute(rows)
 
 
-def test_long_texts_are_scanned_in_pieces(monkeypatch):
+@pytest.mark.parametrize("length", [s.LENGTH, s.SHORT])
+def test_long_texts_are_scanned_in_pieces(monkeypatch, length):
     text = cases.prose(8, 700).encode()
-    whole = s.contexts(text)
+    whole = s.contexts(text, s.LENGTH, s.SHORT)[length == s.SHORT]
     monkeypatch.setattr(s, "PIECE", 700)
-    cut = s.contexts(text)
-    every = lambda x: [(int(k), p) for k, a, b in zip(*x, strict=True) for p in range(a, b + 1)]
-    assert every(whole) == every(cut) and [p for _, p in every(whole)] == list(range(len(text) - s.SHORT + 1))
+    cut = s.contexts(text, s.LENGTH, s.SHORT)[length == s.SHORT]
+    every = lambda x: [(int(k), p, int(core)) for k, a, b, core in zip(*x, strict=True) for p in range(a, b + 1)]
+    assert every(whole) == every(cut) and [p for _, p, _ in every(whole)] == list(range(len(text) - length + 1))
+
+
+def test_repeated_passages_show(spark):
+    """A passage of SHORT bytes or more in two documents has a repeated core in both, whatever stands around it."""
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        passage = cases.prose(900 + i, 200).encode()[:300].decode(errors="ignore")[: 300 - i % 40]
+        passage = passage if len(passage.encode()) >= s.SHORT else passage + "x" * (s.SHORT - len(passage.encode()))
+        rows += [(2 * i + j, f"{cases.prose(2000 + 2 * i + j, r.randint(0, 60))} #{j} {passage} {j}# {cases.prose(4000 + 2 * i + j, r.randint(0, 60))}", *[None] * 7) for j in (0, 1)]
+    rows += [(500 + i, cases.prose(7000 + i, 120), *[None] * 7) for i in range(40)]
+    got = {x.doc_id: x.n_repeated for x in s.remove_repeats(cases.table(spark, rows)).collect()}
+    assert all(got[i] > 0 for i in range(120)) and not any(got[500 + i] for i in range(40))
 
 
 def test_awkward_rows(spark):
