@@ -18,21 +18,32 @@ def testable_modules(modules: DataFrame) -> DataFrame:
     return modules.where((F.col("parse_status") != "failed") & F.col("language").isin("python", "javascript", "typescript"))
 
 
+# -- fixed values --------------------------------------------------------------------------------------------------
+STRATEGIES = ("import_smoke", "callable_existence", "export_existence", "simple_execution", "boundary_value", "class_instantiation")
+#: What JavaScript functions are called with, whatever their parameters.
+SCRIPT_ARGUMENTS = "10, 'test'"
+# ------------------------------------------------------------------------------------------------------------------
+
+
 def plan_tests(modules: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
     """module_id, strategy, target, arguments: a smoke test of the import for each module; for each function that it
-    exists and runs, and its bounds where one to three parameters are more than the receiver; one for each class.
+    exists and runs, and in Python its bounds where one to three parameters are more than the receiver; that each class
+    can be instantiated.
 
-    functions: module_id, name, parameters (array of names).
+    modules: module_id, relative_path, language; functions: module_id, name, parameters (array of names).
     """
+    smoke_name, callable_name, export_name, run_name, bound_name, class_name = (F.lit(x).alias("strategy") for x in STRATEGIES)
     empty = F.lit("").alias("arguments")
-    smoke = modules.select("module_id", F.lit("import_smoke").alias("strategy"), F.col("relative_path").alias("target"), empty)
+    smoke = modules.select("module_id", smoke_name, F.col("relative_path").alias("target"), empty)
+    script = modules.select("module_id", F.col("language").isin("javascript", "typescript").alias("_script"))
+    called = functions.select("module_id", "name", "parameters").join(script, "module_id")
     own = F.filter("parameters", lambda p: ~s.is_receiver(p))
-    values = F.array_join(F.transform(own, s.infer_argument), ", ")
+    values = F.when(F.col("_script"), SCRIPT_ARGUMENTS).otherwise(F.array_join(F.transform(own, s.infer_argument), ", "))
     bounds = F.array_join(F.transform(own, s.boundary_argument), ", ")
-    exists = functions.select("module_id", F.lit("existence").alias("strategy"), F.col("name").alias("target"), empty)
-    runs = functions.select("module_id", F.lit("simple_execution").alias("strategy"), F.col("name").alias("target"), values.alias("arguments"))
-    limits = functions.where((F.size("parameters") <= 3) & (F.size(own) > 0)).select("module_id", F.lit("boundary").alias("strategy"), F.col("name").alias("target"), bounds.alias("arguments"))
-    made = classes.select("module_id", F.lit("class_existence").alias("strategy"), F.col("name").alias("target"), empty)
+    exists = called.select("module_id", F.when(F.col("_script"), export_name).otherwise(callable_name).alias("strategy"), F.col("name").alias("target"), empty)
+    runs = called.select("module_id", run_name, F.col("name").alias("target"), values.alias("arguments"))
+    limits = called.where(~F.col("_script") & (F.size("parameters") <= 3) & (F.size(own) > 0)).select("module_id", bound_name, F.col("name").alias("target"), bounds.alias("arguments"))
+    made = classes.select("module_id", class_name, F.col("name").alias("target"), empty)
     return smoke.unionByName(exists).unionByName(runs).unionByName(limits).unionByName(made)
 
 

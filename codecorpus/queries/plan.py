@@ -84,10 +84,10 @@ def _functions(m):
 
 
 _ARG = "CASE WHEN contains(p, 'num') OR contains(p, 'count') OR contains(p, 'total') THEN '10' WHEN contains(p, 'str') OR contains(p, 'name') OR contains(p, 'text') OR contains(p, 'msg') OR contains(p, 'url') OR contains(p, 'path') THEN '''test_value''' WHEN contains(p, 'flag') THEN 'True' WHEN contains(p, 'list') OR contains(p, 'items') OR contains(p, 'data') THEN '[1, 2, 3]' ELSE '0' END"
-_PLAN = f"""f AS (SELECT module_id, concat('f_', module_id) AS name, string_split(string_split(relative_path, '_')[1], '/')[:CAST(module_id % 5 AS INT)] AS ps FROM v_modules),
-    a AS (SELECT module_id, 'import_smoke' AS strategy, relative_path AS target, '' AS arguments FROM v_modules UNION ALL SELECT module_id, 'existence', name, '' FROM f UNION ALL SELECT module_id, 'simple_execution', name, array_to_string(list_transform(ps, lambda p: {_ARG}), ', ') FROM f
-      UNION ALL SELECT module_id, 'boundary', name, array_to_string(list_transform(ps, lambda p: CASE WHEN regexp_matches(p, '[abxyn]|num|count|val') THEN '0' ELSE '''''' END), ', ') FROM f WHERE len(ps) BETWEEN 1 AND 3
-      UNION ALL SELECT module_id, 'class_existence', name, '' FROM v_symbols WHERE kind = 'class')"""
+_PLAN = f"""f AS (SELECT module_id, language = 'javascript' AS js, concat('f_', module_id) AS name, string_split(string_split(relative_path, '_')[1], '/')[:CAST(module_id % 5 AS INT)] AS ps FROM v_modules),
+    a AS (SELECT module_id, 'import_smoke' AS strategy, relative_path AS target, '' AS arguments FROM v_modules UNION ALL SELECT module_id, CASE WHEN js THEN 'export_existence' ELSE 'callable_existence' END, name, '' FROM f UNION ALL SELECT module_id, 'simple_execution', name, CASE WHEN js THEN '10, ''test''' ELSE array_to_string(list_transform(ps, lambda p: {_ARG}), ', ') END FROM f
+      UNION ALL SELECT module_id, 'boundary_value', name, array_to_string(list_transform(ps, lambda p: CASE WHEN regexp_matches(p, '[abxyn]|num|count|val') THEN '0' ELSE '''''' END), ', ') FROM f WHERE NOT js AND len(ps) BETWEEN 1 AND 3
+      UNION ALL SELECT module_id, 'class_instantiation', name, '' FROM v_symbols WHERE kind = 'class')"""
 add("x11_test_plan", "v_modules v_symbols", lambda m, y: tests.plan_tests(m, _functions(m), y.where("kind = 'class'")), f"WITH {_PLAN} SELECT * FROM a")
 add("x11_test_plan_rollup", "v_modules v_symbols", lambda m, y: tests.plan_rollup(tests.plan_tests(m, _functions(m), y.where("kind = 'class'"))).withColumn("strategies", F.array_join("strategies", ",")), f"WITH {_PLAN} SELECT module_id, count(*) AS test_count, string_agg(DISTINCT strategy, ',' ORDER BY strategy) AS strategies FROM a GROUP BY 1")
 add("a10_test_rollup", "v_tests", lambda t: tests.test_rollup(t).withColumn("frameworks", F.array_join("frameworks", ",")), "SELECT project_id, CAST(sum(test_count) AS BIGINT) AS tests, count(*) FILTER (syntax_valid) AS syntax_valid, count(*) FILTER (execution_status IN ('passed', 'failed')) AS executed, count(*) FILTER (execution_status = 'passed') AS passed, count(*) FILTER (execution_status = 'failed') AS failed, string_agg(DISTINCT framework, ',' ORDER BY framework) AS frameworks FROM v_tests GROUP BY 1")
