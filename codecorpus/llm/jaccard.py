@@ -409,7 +409,8 @@ def firsts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     rows = grouped(docs, k, num, den)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     chosen = c.kept(rows.where("n > 0").groupBy("component").agg(least).select(F.col("first.rid").alias("_first")).unionByName(rows.where("n = 0").select(F.col("rid").alias("_first"))), "chosen")
-    left = docs.join(chosen.select("_first").distinct(), c.row_hash(docs) == F.col("_first"), "left_semi")
+    wanted = chosen.select("_first").distinct()
+    left = docs.join(wanted, c.row_hash(docs) == wanted["_first"], "left_semi")
     repeated = rows.where("n > 0").groupBy("rid").agg(F.count(F.lit(1)).alias("times")).where("times > 1").join(chosen, F.col("rid") == F.col("_first"), "left_semi")
     # a repeated row is its own near copy
     return left if repeated.isEmpty() else _once(left, repeated.select("rid"))
