@@ -115,8 +115,9 @@ def graph(nodes: DataFrame) -> DataFrame:
         least = edges.groupBy("a").agg(F.when(F.count(F.lit(1)) >= K, F.min("sim")).otherwise(F.lit(float("-inf"))).alias("least"))
         known = nodes.join(least.withColumnRenamed("a", "node"), "node", "left").select(F.col("node").alias("b"), "x", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
         around = edges.select("a", "b", "fresh").unionByName(_reverse(edges).select("a", "b", "fresh")).groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
-        # each node's bounded list, with its members' vectors
-        lists = around.join(known, "b").groupBy("a").agg(F.collect_list(F.struct("b", "x", "least", "fresh")).alias("near")).select("near")
+        # each node's bounded list, with its members' vectors; those without a fresh member have been compared before
+        active = around.where("fresh").select("a").distinct()
+        lists = around.join(active, "a", "left_semi").join(known, "b").groupBy("a").agg(F.collect_list(F.struct("b", "x", "least", "fresh")).alias("near")).select("near")
 
         def compare(batches):
             for batch in batches:

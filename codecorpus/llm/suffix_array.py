@@ -365,9 +365,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     strings of SHORT bytes; spans may touch and overlap. docs: doc_id, rid, text."""
     every = c.kept(_scan(docs), "contexts")
     # keys of either length are hashes of different strings; one that both have is as rare as any collision
-    keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # written, so that the join's hot keys can be split: it shares no stage with the aggregation
+    keys = c.kept(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     both = c.kept(every.join(keys.hint("shuffle_hash"), "key"), "rows")
-    c.release(every)
+    c.release(every, keys)
     cores = both.where("whole is null").select("doc_id", "rid", "lo", (F.col("hi") + 1).alias("end"))
     rows = both.where("whole is not null")
     classes = c.kept(rows.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "lo", "hi")).alias("one")), "classes")
