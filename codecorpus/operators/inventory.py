@@ -85,7 +85,9 @@ def escapes(path: Column) -> Column:
 
 
 def audit_archive_manifest(entries: DataFrame, archive: str = "archive_id", max_entries: int = MAX_ENTRIES, max_total: int = MAX_UNCOMPRESSED, max_file: int = MAX_FILE) -> DataFrame:
-    """The first violated rule of each archive in entry order, or OK; too many entries count before all entries."""
+    """The first violated rule of each archive in entry order, or OK; too many entries count before all entries, so only
+    archives of at most max_entries are put in order."""
+    counts = entries.groupBy(archive).agg(F.count(F.lit(1)).alias("entries"))
     running = F.sum("file_size").over(Window.partitionBy(archive).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     name, mode = F.col("filename"), F.col("external_attr").bitwiseAND(F.lit(0o170000 << 16))
     folder = F.endswith(name, F.lit("/"))
@@ -95,13 +97,14 @@ def audit_archive_manifest(entries: DataFrame, archive: str = "archive_id", max_
         .when(~folder & (F.col("file_size") > max_file), "FILE_TOO_LARGE")
         .when(mode == 0o120000 << 16, "SYMLINK_NOT_ALLOWED")
         .when((mode != 0) & ~mode.isin(*kinds), "UNSUPPORTED_ENTRY_TYPE")
-        .when(F.col("running") > max_total, "EXCESSIVE_UNCOMPRESSED_SIZE")
+        .when(F.col("_running") > max_total, "EXCESSIVE_UNCOMPRESSED_SIZE")
         .when((F.col("compress_size") > 0) & (F.col("file_size") / F.col("compress_size") > MAX_RATIO) & (F.col("file_size") > 1 << 20), "EXCESSIVE_COMPRESSION_RATIO")
         .when(F.contains(name, F.lit("\0")) | F.contains(name, F.lit(":")) | F.startswith(name, F.lit("/")) | F.startswith(name, F.lit("\\")) | escapes(F.translate(name, "\\", "/")), "PATH_TRAVERSAL")
     )
-    found = entries.withColumn("running", running).withColumn("code", code)
-    first = found.groupBy(archive).agg(F.count(F.lit(1)).alias("entries"), F.min_by("code", F.when(F.col("code").isNotNull(), F.col("seq"))).alias("first_code"))
-    return first.select(archive, "entries", F.when(F.col("entries") > max_entries, "EXCESSIVE_ENTRIES").otherwise(F.coalesce("first_code", F.lit("OK"))).alias("code"))
+    own = entries.join(counts.where(F.col("entries") <= max_entries).select(archive), archive, "left_semi")
+    found = own.withColumn("_running", running).select(archive, "seq", code.alias("_code"))
+    first = found.groupBy(archive).agg(F.min_by("_code", F.when(F.col("_code").isNotNull(), F.col("seq"))).alias("_first"))
+    return counts.join(first, archive, "left").select(archive, "entries", F.when(F.col("entries") > max_entries, "EXCESSIVE_ENTRIES").otherwise(F.coalesce("_first", F.lit("OK"))).alias("code"))
 
 
 def validate_repo_url(url: Column) -> Column:

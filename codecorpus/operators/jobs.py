@@ -63,7 +63,10 @@ def job_error(code) -> object:
 
 
 def file_inventory(files: DataFrame, project: str = "project_id") -> DataFrame:
-    return files.withColumn("file_count", F.count(F.lit(1)).over(Window.partitionBy(project)))
+    """files with file_count, the files of their project: small counts meet the rows, which are never gathered by project."""
+    counts = files.groupBy(F.col(project).alias("_project")).agg(F.count(F.lit(1)).alias("file_count"))
+    own = files.drop("file_count")
+    return own.join(counts, own[project].eqNullSafe(counts["_project"])).drop("_project")
 
 
 def search(rows: DataFrame, query: str, *columns: str) -> DataFrame:
