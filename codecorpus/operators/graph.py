@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.functions import scalars as s
+from codecorpus.operators import quality, walks
 from codecorpus.shipping import shared_folder
 
 
@@ -59,9 +60,48 @@ def reachable(edges: DataFrame, source: str = "source_module_id", target: str =
         known, n = settled(known.unionByName(fresh)), n + found
 
 
-def transitive_dependents(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
-    """(module_id, dependent): who reaches a module over resolved edges; never itself."""
-    return reachable(edges, source, target).where("start <> reached").select(F.col("reached").alias("module_id"), F.col("start").alias("dependent"))
+def grouped(edges: DataFrame, project: str, source: str, target: str) -> DataFrame:
+    """Different edges with their project; without such a column all are of one."""
+    name = F.col(project) if project in edges.columns else F.lit("")
+    return edges.select(name.alias("project_id"), source, target).distinct()
+
+
+def transitive_dependents(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id", project: str = "project_id") -> DataFrame:
+    """(module_id, dependent): who reaches a module over resolved edges; never itself. Edges stay within a project.
+
+    Each project is walked in a task of its own; those of more than `walks.LIMIT` edges by rounds of joins."""
+    small, large = walks.split_by_size(grouped(edges, project, source, target), "project_id")
+    pairs = walks.dependent_pairs(small, "project_id", source, target).select("module_id", "dependent")
+    if large is None:
+        return pairs
+    return pairs.unionByName(reachable(large, source, target).where("start <> reached").select(F.col("reached").alias("module_id"), F.col("start").alias("dependent")))
+
+
+def dependent_facts(modules: DataFrame, edges: DataFrame, project: str = "project_id") -> DataFrame:
+    """module_id, blast_radius (how many others reach it), affected_entry_points (sorted paths of the entry points among its
+    dependents and itself) of each module.
+
+    modules: project, module_id, relative_path, is_entry_point. Edges stay within a project. Counts come from bit sets over
+    the components of a project in a task of its own, no pairs are made; only in projects of more than `walks.LIMIT` edges
+    are they counted from all pairs and spread from the entry points by joins."""
+    source, target = "source_module_id", "target_module_id"
+    entries = modules.where("is_entry_point").select(project, "module_id", "relative_path")
+    small, large = walks.split_by_size(edges.select(project, source, target).distinct(), project)
+    own = entries if large is None else entries.join(large.select(project).distinct(), project, "left_anti")
+    facts = walks.dependent_facts(small, own, project, source, target).select("module_id", F.col("dependents").alias("blast_radius"), "entries")
+    if large is not None:
+        nodes = settled(modules.join(large.select(project).distinct(), project, "left_semi"))
+        reached = settled(reachable(large).where("start <> reached").groupBy(F.col("reached").alias("module_id")).agg(F.count(F.lit(1)).alias("blast_radius")))
+        facts = facts.unionByName(nodes.select("module_id").join(reached, "module_id", "left").join(_spread_entries(nodes, large), "module_id").select("module_id", F.coalesce("blast_radius", F.lit(0)).alias("blast_radius"), "entries"))
+    shown = modules.select("module_id").join(facts, "module_id", "left").select("module_id", F.coalesce("blast_radius", F.lit(0)).alias("blast_radius"), F.coalesce("entries", F.array().cast(facts.schema["entries"].dataType)).alias("entries"))
+    named = shown.select("module_id", F.explode("entries").alias("entry")).join(entries.select(F.col("module_id").alias("entry"), "relative_path"), "entry").groupBy("module_id").agg(F.array_sort(F.collect_set("relative_path")).alias("affected_entry_points"))
+    return shown.drop("entries").join(named, "module_id", "left").withColumn("affected_entry_points", F.coalesce("affected_entry_points", F.array().cast("array<string>")))
+
+
+def blast_radii(modules: DataFrame, edges: DataFrame, project: str = "project_id") -> DataFrame:
+    """modules with blast_radius, by `dependent_facts` without entry points."""
+    counts = dependent_facts(modules.select(project, "module_id", F.lit("").alias("relative_path"), F.lit(False).alias("is_entry_point")), edges, project)
+    return modules.join(counts.select("module_id", "blast_radius"), "module_id")
 
 
 def blast_radius(modules: DataFrame, dependents: DataFrame, node: str = "module_id") -> DataFrame:
@@ -79,12 +119,20 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cyclic_components(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
-    """(module_id, component) of the modules on a cycle; a component's id is its least member.
+def cyclic_components(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id", project: str = "project_id") -> DataFrame:
+    """(module_id, component) of the modules on a cycle; a component's id is its least member. Edges stay within a project.
+
+    Each project is walked in a task of its own; those of more than `walks.LIMIT` edges are coloured by rounds of joins."""
+    small, large = walks.split_by_size(grouped(edges, project, source, target), "project_id")
+    members = walks.cyclic_members(small, "project_id", source, target).select("module_id", "component")
+    return members if large is None else members.unionByName(coloured_components(large, source, target))
 
-    By colours: nodes without a way in or out are trimmed, the least id that reaches a node is its colour, and what
-    reaches that id back within the colour is its component; these nodes leave and the rest goes on. No pairs of nodes
-    are ever made.
+
+def coloured_components(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """What `cyclic_components` gives, of one graph of any size.
+
+    Nodes without a way in or out are trimmed, the least id that reaches a node is its colour, and what reaches that id
+    back within the colour is its component; these nodes leave and the rest goes on. No pairs of nodes are ever made.
     """
     left = settled(edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("a"), F.col(target).alias("b")).distinct())
     kind = left.schema["a"].dataType.simpleString()
@@ -111,37 +159,40 @@ def cyclic_components(edges: DataFrame, source: str = "source_module_id", target
     return found.join(sizes, "component", "left_semi").select("module_id", "component")
 
 
-def _peeled(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Edges (a, b) without those that a few rounds show to lie on no cycle: of nodes that nothing leads to or that lead to nothing."""
-    for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-    return edges
-
-
-def cycles(edges: DataFrame, max_length: int | None = None, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
-    """length, path: all elementary cycles (of any length, or up to max_length), each once, from its least member and closed
-    with it. Paths grow by one edge a round, through larger ids than their first; each round's table is checkpointed.
-
-    The number of elementary cycles can be exponential in a dense component; `dfs_cycles` gives one for each back edge."""
-    kind = edges.schema[source].dataType.simpleString()
-    inner = settled(_peeled(edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("a"), F.col(target).alias("b")).distinct()))
+def cycles(edges: DataFrame, max_length: int, source: str = "source_module_id", target: str = "target_module_id", project: str = "project_id") -> DataFrame:
+    """length, path: all elementary cycles of up to max_length nodes, each once, from its least member and closed with it.
+
+    Inside a component only. A path grows through larger nodes than its first, and only to nodes from which the rest of
+    max_length leads back to the first: distances back, of bounded length, come first. Both take a join a step. The
+    number of elementary cycles grows fast with the length; `dfs_cycles` gives one for each back edge."""
+    own = settled(cyclic_components(edges, source, target, project))
+    ends = [own.select(F.col("module_id").alias(end), F.col("component").alias(f"_{end}")) for end in ("a", "b")]
+    pairs = edges.where(F.col(source) != F.col(target)).select(F.col(source).alias("a"), F.col(target).alias("b")).distinct()
+    inner = settled(pairs.join(ends[0], "a").join(ends[1], "b").where("_a = _b").select("a", "b"))
+    back = fresh = settled(inner.where("a > b").select(F.col("b").alias("first"), F.col("a").alias("node"), F.lit(1).alias("steps")))
+    for steps in range(2, max_length):
+        onward = fresh.join(inner.select("a", F.col("b").alias("node")), "node").where("a > first").select("first", F.col("a").alias("node")).distinct()
+        fresh = settled(onward.join(back, ["first", "node"], "left_anti").withColumn("steps", F.lit(steps)))
+        if fresh.isEmpty():
+            break
+        back = settled(back.unionByName(fresh))
+    kind = inner.schema["a"].dataType.simpleString()
     found = edges.sparkSession.createDataFrame([], f"length int, path array<{kind}>")
-    paths, length = inner.where("b > a").select(F.array("a", "b").alias("path"), F.col("a").alias("first"), F.col("b").alias("last")), 2
-    while max_length is None or length <= max_length:
-        paths = settled(paths)
+    step = inner.select(F.col("a").alias("last"), F.col("b").alias("node"))
+    paths = inner.where("b > a").select(F.col("a").alias("first"), F.col("b").alias("node"), F.array("a", "b").alias("path"))
+    for length in range(2, max_length + 1):
+        paths = settled(paths.join(back, ["first", "node"]).where(F.col("steps") <= max_length - length + 1))
         if paths.isEmpty():
             break
-        found = found.unionByName(paths.join(inner.select(F.col("a").alias("last"), F.col("b").alias("first")), ["last", "first"]).select(F.lit(length).alias("length"), F.concat("path", F.array("first")).alias("path")))
-        onward = paths.join(inner.select(F.col("a").alias("last"), "b"), "last").where(F.expr("b > first and not array_contains(path, b)"))
-        paths = onward.select(F.concat("path", F.array("b")).alias("path"), "first", F.col("b").alias("last"))
-        length += 1
+        found = found.unionByName(paths.where("steps = 1").select(F.lit(length).alias("length"), F.concat("path", F.array("first")).alias("path")))
+        onward = paths.select("first", F.col("node").alias("last"), "path").join(step, "last").where(F.expr("node > first and not array_contains(path, node)"))
+        paths = onward.select("first", "node", F.concat("path", F.array("node")).alias("path"))
     return found
 
 
-def cycle_counts(modules: DataFrame, edges: DataFrame, max_length: int | None = None, project: str = "project_id") -> DataFrame:
-    """project, cycle_count: elementary cycles by the project of their least member."""
-    firsts = cycles(edges, max_length).select(F.element_at("path", 1).alias("module_id"))
-    return firsts.join(modules.select("module_id", project), "module_id").groupBy(project).agg(F.count(F.lit(1)).alias("cycle_count"))
+def cycle_counts(edges: DataFrame, project: str = "project_id") -> DataFrame:
+    """project, cycle_count: the back edges of a depth-first walk, one cycle each (see `dfs_cycles`)."""
+    return walks.cycle_counts(edges.select(project, "source_module_id", "target_module_id"), project, "source_module_id", "target_module_id")
 
 
 def cycle_edges(edges: DataFrame, source: str = "source_module_id", target: str = "target_module_id") -> DataFrame:
@@ -151,48 +202,12 @@ def cycle_edges(edges: DataFrame, source: str = "source_module_id", target: str
 
 
 def dfs_cycles(edges: DataFrame, project: str = "project_id") -> DataFrame:
-    """project, path: one cycle for each back edge of a depth-first walk in id order, component by component: only edges inside
-    one are walked, so a task holds the largest component's edges at most. The walk keeps its own stack, so long chains are
-    no problem."""
-    kind = edges.schema["source_module_id"].dataType.simpleString()
-
-    def walk(table):
-        import pyarrow as pa
-
-        rows = table.to_pydict()
-        after: dict = {}
-        for a, b in sorted(zip(rows["source_module_id"], rows["target_module_id"], strict=True)):
-            if a != b:
-                after.setdefault(a, []).append(b)
-        done, found = set(), {}
-        for root in sorted(after):
-            if root in done:
-                continue
-            path, place, open_edges = [root], {root: 0}, [iter(dict.fromkeys(after[root]))]
-            done.add(root)
-            while path:
-                nxt = next(open_edges[-1], None)
-                if nxt is None:
-                    place.pop(path.pop())
-                    open_edges.pop()
-                elif nxt in place:
-                    ring = path[place[nxt] :]
-                    k = ring.index(min(ring))
-                    found[tuple([*ring[k:], *ring[:k], ring[k]])] = None
-                elif nxt not in done:
-                    done.add(nxt)
-                    place[nxt] = len(path)
-                    path.append(nxt)
-                    open_edges.append(iter(dict.fromkeys(after.get(nxt, ()))))
-        rings = [list(p) for p in sorted(found, key=lambda p: (len(p), p))]
-        ids = pa.list_(table.schema.field("source_module_id").type)
-        return pa.table({project: pa.array(rows[project][:1] * len(rings), table.schema.field(project).type), "path": pa.array(rings, ids)})
-
-    own = settled(cyclic_components(edges))
-    ends = [own.select(F.col("module_id").alias(f"{end}_module_id"), F.col("component").alias(f"_{end}")) for end in ("source", "target")]
-    inner = edges.select(project, "source_module_id", "target_module_id").join(ends[0], "source_module_id").join(ends[1], "target_module_id").where("_source = _target")
-    walked = inner.select(project, "source_module_id", "target_module_id", F.col("_source").alias("_component"))
-    return walked.groupBy(project, "_component").applyInArrow(walk, f"{project} {edges.schema[project].dataType.simpleString()}, path array<{kind}>")
+    """project, path: one cycle for each back edge of a depth-first walk over the whole project in id order, from its least
+    member and closed with it.
+
+    Which edges are back edges depends on the order of the one walk, so a project is one task's work, in memory linear in
+    its edges; projects are walked side by side. The walk keeps its own stack, so long chains are no problem."""
+    return walks.cycle_paths(edges.select(project, "source_module_id", "target_module_id"), project, "source_module_id", "target_module_id")
 
 
 def graph_edge_filter(edges: DataFrame, types: list[str] | None = None, include_external: bool = False) -> DataFrame:
@@ -236,35 +251,54 @@ def closure_and_self(modules: DataFrame, dependents: DataFrame) -> DataFrame:
     return dependents.select("module_id", "dependent").unionByName(modules.select("module_id", F.col("module_id").alias("dependent")))
 
 
-def affected_entry_points(modules: DataFrame, edges: DataFrame) -> DataFrame:
-    """module_id, affected_entry_points: sorted paths of the entry points among its dependents and itself. Only entry points
-    spread along the edges, so no pair of other modules is made."""
-    entries = modules.where("is_entry_point").select("module_id", "relative_path")
+def _spread_entries(modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """module_id, entries: the entry points among its dependents and itself. Only entry points spread along the edges, so no
+    pair of other modules is made."""
     links = settled(edges.select(F.col("source_module_id").alias("via"), F.col("target_module_id").alias("module_id")).distinct())
-    known = fresh = settled(entries.select(F.col("module_id").alias("entry"), "module_id"))
+    known = fresh = settled(modules.where("is_entry_point").select(F.col("module_id").alias("entry"), "module_id"))
     while not fresh.isEmpty():
         step = fresh.withColumnRenamed("module_id", "via").join(links, "via").select("entry", "module_id").distinct()
         fresh = settled(step.join(known, ["entry", "module_id"], "left_anti"))
         known = settled(known.unionByName(fresh))
-    found = known.join(entries.withColumnRenamed("module_id", "entry"), "entry").groupBy("module_id").agg(F.array_sort(F.collect_set("relative_path")).alias("affected_entry_points"))
-    return modules.select("module_id").join(found, "module_id", "left").withColumn("affected_entry_points", F.coalesce("affected_entry_points", F.array().cast("array<string>")))
+    found = known.groupBy("module_id").agg(F.collect_list("entry").alias("entries"))
+    return modules.select("module_id").join(found, "module_id", "left").withColumn("entries", F.coalesce("entries", F.array().cast(found.schema["entries"].dataType)))
+
+
+def affected_entry_points(modules: DataFrame, edges: DataFrame, project: str = "project_id") -> DataFrame:
+    """module_id, affected_entry_points: sorted paths of the entry points among its dependents and itself."""
+    return dependent_facts(modules, edges, project).select("module_id", "affected_entry_points")
 
 
-def module_graph(modules: DataFrame, edges: DataFrame, types: list[str] | None = None, include_external: bool = False, top: int = 5) -> dict[str, DataFrame]:
-    """The graph of each project: nodes (with degrees, complexity rating and whether they are external), edges, top
-    connected modules, orphans, entry points, elementary cycles and the summary of counts.
+def module_graph(modules: DataFrame, edges: DataFrame, symbols: DataFrame, warnings: DataFrame, types: list[str] | None = None, include_external: bool = False, top: int = 5) -> dict[str, DataFrame]:
+    """The graph of each project: nodes, edges, top connected modules, orphans, entry points, cycles (one for each back edge of
+    a walk in id order) and the summary of counts.
 
-    modules: project_id, module_id, relative_path, complexity, is_entry_point; edges: project_id, ends, type, resolved."""
+    modules: project_id, module_id, relative_path, language, parse_status, line_count, complexity, is_entry_point; edges:
+    project_id, ends, type, resolved, source_line; symbols and warnings (parse errors among them): module_id. External
+    targets are nodes only with include_external, and then their edges count for degrees; their language is that of the
+    module of least id that uses them."""
     shown = graph_edge_filter(edges, types, include_external)
-    inside = graph_edge_filter(edges, types)
-    rated = degrees(modules, inside).withColumn("complexity_rating", s.complexity_rating(F.col("complexity")))
-    outside = shown.where("not resolved").groupBy("project_id", "target_module_id").agg(F.count(F.lit(1)).alias("in_degree"))
+    inside = shown.where("resolved")
     text = lambda name: F.col(name).cast("string")
-    nodes = rated.select("project_id", text("module_id").alias("node_id"), F.col("relative_path").alias("label"), "in_degree", "out_degree", "complexity_rating", F.lit(False).alias("is_external")).unionByName(outside.select("project_id", F.concat(F.lit("ext:"), text("target_module_id")).alias("node_id"), text("target_module_id").alias("label"), "in_degree", F.lit(0).cast("long").alias("out_degree"), F.lit(None).cast("string").alias("complexity_rating"), F.lit(True).alias("is_external")))
-    drawn = shown.withColumn("target", F.when(F.col("resolved"), text("target_module_id")).otherwise(F.concat(F.lit("ext:"), text("target_module_id")))).select("project_id", text("source_module_id").alias("source"), "target", "type", "resolved")
-    rings = settled(cycles(inside))
-    counts = rings.select(F.element_at("path", 1).alias("module_id")).join(modules.select("module_id", "project_id"), "module_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("cycle_count"))
-    return {"nodes": nodes, "edges": drawn, "top_connected": top_connected(rated, top), "orphans": orphans(rated), "entry_points": entry_points(modules), "cycles": rings, "summary": graph_summary(rated, edges, counts)}
+    none = lambda kind: F.lit(None).cast(kind)
+    ends = shown.select(F.col("source_module_id").alias("module_id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(inside.select(F.col("target_module_id").alias("module_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    degree = ends.groupBy("module_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    rated = quality.node_metrics(modules, symbols, warnings).join(degree, "module_id", "left").fillna(0, ["in_degree", "out_degree"]).withColumn("complexity_rating", s.complexity_rating(F.col("complexity")))
+    own = rated.select(
+        "project_id", text("module_id").alias("node_id"), F.col("relative_path").alias("label"), F.lit("module").alias("kind"), "language", "parse_status", "line_count", F.col("complexity").alias("complexity_score"), "complexity_rating",
+        "warning_count", "symbol_count", "is_entry_point", F.lit(False).alias("is_external"), "in_degree", "out_degree",
+    )
+    users = shown.where("not resolved").join(modules.select(F.col("module_id").alias("source_module_id"), "language"), "source_module_id", "left")
+    outside = users.groupBy("project_id", text("target_module_id").alias("label")).agg(F.count(F.lit(1)).alias("in_degree"), F.min_by("language", "source_module_id").alias("language"))
+    kinds = {f.name: f.dataType for f in own.schema}
+    blank = {c: none(kinds[c]) for c in ("parse_status", "line_count", "complexity_score", "complexity_rating")} | {c: F.lit(0).cast(kinds[c]) for c in ("warning_count", "symbol_count", "out_degree")}
+    external = outside.withColumns(blank | {"node_id": F.concat(F.lit("ext:"), "label"), "kind": F.lit("external"), "is_entry_point": F.lit(False), "is_external": F.lit(True)}).select(own.columns)
+    target = F.when(F.col("resolved"), text("target_module_id")).otherwise(F.concat(F.lit("ext:"), text("target_module_id")))
+    named = s.edge_id(F.col("source_module_id"), F.col("target_module_id"), F.col("type"), F.col("source_line"))
+    drawn = shown.select("project_id", named.alias("id"), text("source_module_id").alias("source"), target.alias("target"), "type", "resolved", "source_line")
+    rings = settled(dfs_cycles(inside))
+    counts = rings.groupBy("project_id").agg(F.count(F.lit(1)).alias("cycle_count"))
+    return {"nodes": own.unionByName(external), "edges": drawn, "top_connected": top_connected(rated, top), "orphans": orphans(rated), "entry_points": entry_points(modules), "cycles": rings, "summary": graph_summary(rated, shown, counts)}
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, cycle_count: DataFrame, project: str = "project_id") -> DataFrame:

@@ -41,11 +41,10 @@ def impact_reasons(blast: Column, warnings: Column, rating: Column, is_entry: Co
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NOTHING)))
 
 
-def scored_modules(modules: DataFrame, edges: DataFrame, warnings: DataFrame, dependents: DataFrame | None = None) -> DataFrame:
-    """modules with warning_weight, warning_count, blast_radius, rating, raw_risk, risk_level. modules hold complexity."""
-    dependents = graph.transitive_dependents(edges) if dependents is None else dependents
+def scored_modules(modules: DataFrame, edges: DataFrame, warnings: DataFrame) -> DataFrame:
+    """modules with warning_weight, warning_count, blast_radius, affected_entry_points, rating, raw_risk, risk_level. modules hold complexity."""
     weights = quality.warning_weight(warnings, ["module_id"])
-    joined = graph.blast_radius(modules, dependents).join(weights, "module_id", "left").fillna(0, ["warning_weight", "warning_count"])
+    joined = modules.join(graph.dependent_facts(modules, edges), "module_id").join(weights, "module_id", "left").fillna(0, ["warning_weight", "warning_count"])
     rated = joined.withColumn("rating", s.complexity_rating(F.col("complexity")))
     raw = rated.withColumn("raw_risk", s.raw_risk(F.col("warning_weight"), F.col("rating"), F.col("blast_radius"), F.col("is_entry_point")))
     return raw.withColumn("risk_level", s.risk_level(F.col("raw_risk")))
@@ -53,10 +52,9 @@ def scored_modules(modules: DataFrame, edges: DataFrame, warnings: DataFrame, de
 
 def change_impact(modules: DataFrame, edges: DataFrame, warnings: DataFrame, test_files: DataFrame) -> DataFrame:
     """One row for each module: risk, blast radius, neighbours, entry points, tests and reasons."""
-    dependents = graph.settled(graph.transitive_dependents(edges))
-    scored = scored_modules(modules, edges, warnings, dependents)
+    scored = scored_modules(modules, edges, warnings)
     out = scored.withColumn("reasons", impact_reasons(F.col("blast_radius"), F.col("warning_count"), F.col("rating"), F.col("is_entry_point")))
-    for more in (graph.direct_neighbours(modules, edges), graph.affected_entry_points(modules, edges), tests_by_target(modules, test_files)):
+    for more in (graph.direct_neighbours(modules, edges), tests_by_target(modules, test_files)):
         out = out.join(more, "module_id")
     return out
 

@@ -6,7 +6,7 @@ from codecorpus.functions import scalars as s
 from codecorpus.operators import graph, quality
 from codecorpus.plans import migration as op
 from codecorpus.plans import testplan as tests
-from codecorpus.queries.graph import CLOSURE, RINGS
+from codecorpus.queries.graph import CLOSURE, WALK
 from codecorpus.queries.register import adder
 
 ALL: dict = {}
@@ -40,13 +40,13 @@ add(
     d AS (SELECT module_id, CASE WHEN len(r) > 0 THEN r ELSE ['No major static-analysis risk indicators were found.'] END AS r FROM c) SELECT module_id, CAST(unnest(range(len(r))) AS INT) AS pos, unnest(r) AS reason FROM d""",
 )
 add("j7_tests_by_target", "v_modules v_tests", lambda m, t: op.tests_by_target(m, t).withColumn("suggested_tests", F.array_join("suggested_tests", ",")), "SELECT module_id, CASE WHEN module_id % 3 = 0 THEN concat('tests/test_', module_id, '.py') ELSE concat('Generate tests for ', relative_path) END AS suggested_tests FROM v_modules")
-def _with_entries(m, e, scored):
-    return scored.join(graph.affected_entry_points(m, e).select("module_id", (F.size("affected_entry_points") > 0).alias("entries")), "module_id")
+def _with_entries(scored):
+    return scored.withColumn("entries", F.size("affected_entry_points") > 0)
 
 
 add(
     "w5_phase_files", "v_modules v_edges v_warnings",
-    lambda m, e, w: op.phase_files(_with_entries(m, e, _scored(m, e, w))).select("project_id", "phase", F.array_join("files", ",").alias("files")),
+    lambda m, e, w: op.phase_files(_with_entries(_scored(m, e, w))).select("project_id", "phase", F.array_join("files", ",").alias("files")),
     f"""{HEAD}, p AS (SELECT *, 1 AS phase, 5 AS most FROM t UNION ALL SELECT *, 2, 8 FROM t WHERE risk_level IN ('low', 'medium') AND warning_count > 0 UNION ALL SELECT *, 3, 8 FROM t WHERE blast_radius > 0 OR risk_level IN ('high', 'critical') UNION ALL SELECT *, 4, 8 FROM t WHERE is_entry_point OR module_id IN (SELECT r.b FROM r JOIN v_modules m ON m.module_id = r.a AND m.is_entry_point)),
     q AS (SELECT *, row_number() OVER (PARTITION BY project_id, phase ORDER BY rank) AS n FROM p) SELECT project_id, phase, string_agg(relative_path, ',' ORDER BY n) AS files FROM q WHERE n <= most GROUP BY 1, 2""",
 )
@@ -56,11 +56,7 @@ def _tests(t):
     return tests.test_rollup(t).select("project_id", "syntax_valid").join(t.groupBy("project_id").agg(F.count(F.lit(1)).alias("generated")), "project_id").select("project_id", "generated", "syntax_valid", F.when(F.col("generated") % 2 == 0, 80.0).alias("coverage"), F.when(F.col("generated") % 5 == 0, "failed").alias("job_state"))
 
 
-def _cycle_counts(m, e):
-    return graph.cycle_counts(m, e)
-
-
-READY = f"""d AS (SELECT DISTINCT source_module_id AS a, target_module_id AS b FROM v_edges), {RINGS}, kk AS (SELECT project_id, count(*) AS cycles FROM k JOIN v_modules ON module_id = a GROUP BY 1),
+READY = f"""{WALK}, kk AS (SELECT p AS project_id, count(*) AS cycles FROM k GROUP BY 1),
     m AS (SELECT project_id, count(*) AS n, count(*) FILTER (parse_status = 'complete') AS c, count(*) FILTER (parse_status = 'partial') AS p, count(*) FILTER (complexity > 10) AS h FROM v_modules GROUP BY 1),
     wt AS (SELECT project_id, CAST(sum(CASE severity WHEN 'risk' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM v_warnings JOIN v_modules USING (module_id) GROUP BY 1), e AS (SELECT project_id, count(*) AS edges FROM v_edges GROUP BY 1),
     t AS (SELECT project_id, count(*) AS g, count(*) FILTER (syntax_valid) AS v FROM v_tests GROUP BY 1),
@@ -70,7 +66,7 @@ READY = f"""d AS (SELECT DISTINCT source_module_id AS a, target_module_id AS b F
     o AS (SELECT *, CAST(round_even((analysis + complexity + coupling + maintainability + testability) * 2 / 10, 0) AS INT) AS overall FROM s)"""
 _STATUS = "CASE WHEN {0} >= 80 THEN 'Strong' WHEN {0} >= 60 THEN 'Ready with care' WHEN {0} >= 40 THEN 'Needs preparation' ELSE 'High risk' END"
 add(
-    "a9_readiness", "v_modules v_warnings v_edges v_tests", lambda m, w, e, t: op.readiness(m, w, e, _cycle_counts(m, e), _tests(t)),
+    "a9_readiness", "v_modules v_warnings v_edges v_tests", lambda m, w, e, t: op.readiness(m, w, e, graph.cycle_counts(e), _tests(t)),
     f"WITH RECURSIVE {READY} SELECT project_id, analysis, complexity, coupling, maintainability, testability, CASE WHEN g % 5 = 0 THEN 'Generation failed' WHEN g IS NULL THEN 'Not calculated' ELSE {_STATUS.format('testability')} END AS testability_status, overall, {_STATUS.format('overall')} AS status FROM o",
 )
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codecorpus.operators import graph, quality
 from codecorpus.plans import migration
 from codecorpus.plans import reports as op
-from codecorpus.queries.plan import _cycle_counts, _scored, _tests, _with_entries
+from codecorpus.queries.plan import _scored, _tests, _with_entries
 from codecorpus.queries.register import adder
 from codecorpus.sources import scan
 
@@ -62,5 +62,5 @@ add(
       UNION ALL SELECT project_id, 3, 0, concat('%% ', count(*), ' nodes, ', (SELECT count(*) FROM a WHERE a.project_id = n.project_id), ' edges') FROM n GROUP BY 1)
     SELECT project_id, string_agg(line, chr(10) ORDER BY s, o) AS report FROM l GROUP BY 1""",
 )
-add("k4_plan_report", "v_modules v_edges v_warnings v_tests", lambda m, e, w, t: op.plan_report(migration.readiness(m, w, e, _cycle_counts(m, e), _tests(t)), migration.top_priorities(scored := graph.settled(_scored(m, e, w))), migration.phase_files(_with_entries(m, e, scored))), None)
+add("k4_plan_report", "v_modules v_edges v_warnings v_tests", lambda m, e, w, t: op.plan_report(migration.readiness(m, w, e, graph.cycle_counts(e), _tests(t)), migration.top_priorities(scored := graph.settled(_scored(m, e, w))), migration.phase_files(_with_entries(scored))), None)
 add("k7_to_api_json", "v_modules", lambda m: scan.to_api_json(m.select("module_id", "language", "complexity"), ["module_id"]), "SELECT module_id, concat('{\"module_id\":', module_id, ',\"language\":\"', language, '\",\"complexity\":', complexity, '}') AS payload FROM v_modules")

@@ -21,12 +21,12 @@ VIEWS = {
         CAST(p_size AS INT) AS complexity, CAST(floor(p_retailprice) AS BIGINT) AS line_count, p_partkey % 40 = 0 AS is_entry_point,
         CASE WHEN p_size % 10 = 0 THEN 'failed' WHEN p_size % 10 = 5 THEN 'partial' ELSE 'complete' END AS parse_status FROM {part}""",
     "v_pairs": """SELECT DISTINCT pa.p_brand AS project_id, a.l_partkey AS source_module_id, b.l_partkey AS target_module_id, pb.p_brand AS target_project, CASE WHEN b.l_quantity >= 40 THEN 'require' ELSE 'import' END AS type
-        FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_quantity > b.l_quantity AND b.l_quantity >= 25 AND a.l_partkey <> b.l_partkey
+        FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_quantity > b.l_quantity AND a.l_partkey <> b.l_partkey
         JOIN {part} pa ON pa.p_partkey = a.l_partkey JOIN {part} pb ON pb.p_partkey = b.l_partkey""",
     "v_edges": """SELECT project_id, source_module_id, target_module_id, type, CAST(source_module_id % 90 + 1 AS INT) AS source_line FROM {v_pairs} WHERE project_id = target_project""",
     "v_all_edges": """SELECT project_id, source_module_id, target_module_id, type, CAST(source_module_id % 90 + 1 AS INT) AS source_line, project_id = target_project AS resolved FROM {v_pairs}""",
     "v_dense": """SELECT DISTINCT pa.p_brand AS project_id, a.l_partkey AS source_module_id, b.l_partkey AS target_module_id
-        FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_quantity > b.l_quantity AND a.l_partkey <> b.l_partkey AND b.l_quantity >= 5
+        FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_quantity > b.l_quantity AND a.l_partkey <> b.l_partkey
         JOIN {part} pa ON pa.p_partkey = a.l_partkey JOIN {part} pb ON pb.p_partkey = b.l_partkey AND pa.p_brand = pb.p_brand""",
     "v_warnings": """SELECT l_partkey AS module_id, concat('RULE_', l_linestatus) AS code, concat('line ', CAST(l_linenumber AS STRING)) AS message,
         CASE l_returnflag WHEN 'R' THEN 'risk' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity, CAST(l_linenumber AS INT) AS line, l_orderkey * 100 + l_linenumber AS ord FROM {lineitem}""",
