@@ -97,3 +97,12 @@ def test_queue_gives_least_rank_then_least_position():
     for x in items:
         q.push(*x)
     assert [q.pop() for _ in items] == sorted(items) and q.pop() is None
+
+
+def test_pre_tokens_are_those_of_the_pattern_given():
+    import regex
+
+    for pattern in (P.PATTERN, r"\p{L}|\s+|.", r" ?\p{L}{1,3}|[^\p{L}]"):
+        for text in [t for t in cases.TEXTS if t]:
+            assert bpe.pre_tokens(text[:5000], pattern) == regex.findall(pattern, text[:5000])
+    assert P.PATTERN == bpe.QUICK_PATTERN
