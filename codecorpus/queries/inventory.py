@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from codecorpus.functions import scalars as s
+from codecorpus.operators import graph
 from codecorpus.operators import inventory as op
 from codecorpus.queries.register import adder
 from codecorpus.shipping import shared_folder
@@ -15,8 +16,8 @@ add = adder(ALL)
 
 # paths of the files view, dressed up so that every rule has rows
 _ODD = "CASE CAST(doc_id % 9 AS INT) WHEN 1 THEN concat('node_modules/', relative_path) WHEN 2 THEN concat('src/.hidden/', relative_path) WHEN 3 THEN concat('lib/', relative_path, '.map') WHEN 4 THEN 'pkg/Yarn.lock' WHEN 5 THEN concat('src/../', relative_path) WHEN 6 THEN concat('../', relative_path) WHEN 7 THEN concat('/abs/', relative_path) ELSE relative_path END"
-_IGNORED = "(" + ", ".join(f"'{x}'" for x in op.IGNORED_FOLDERS) + ")"
-_LOCKS = "(" + ", ".join(f"'{x}'" for x in op.LOCK_FILES) + ")"
+_IGNORED = "('.git', 'node_modules', 'vendor', 'dist', 'build', 'coverage', '__pycache__', '.pytest_cache', '.mypy_cache', '.venv', 'venv', 'target')"
+_LOCKS = "('package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'pipfile.lock', 'poetry.lock', 'cargo.lock')"
 
 
 def _odd(files):
@@ -100,14 +101,19 @@ add(
 )
 
 
+_NAMED = "concat('d', CAST(doc_id AS {t}), CASE CAST(doc_id % 11 AS INT) WHEN 0 THEN '/__init__.py' WHEN 1 THEN '/_inner/_private.py' WHEN 2 THEN '/.eslintrc.js' WHEN 3 THEN '/node_modules/x/y.js' WHEN 4 THEN '/.git/hook.js' WHEN 5 THEN '/Build/out.py' WHEN 6 THEN '/a b/c=d/__main__.py' ELSE '/a/b/core.py' END)"
+
+
 def _tree(files):
-    """The files' texts as a tree of one folder for each project, in the shared folder, scanned again."""
+    """The files' texts as a tree in the shared folder, with names of all kinds, scanned again."""
     root = f"{shared_folder(files.sparkSession)}/tree-{uuid.uuid4().hex}"
-    files.select("project_id", "content").write.partitionBy("project_id").text(root)
-    return scan.scan_tree(files.sparkSession, root).groupBy("project_id").agg(F.sum("size_bytes").alias("bytes"))
+    scan.write_tree(files.selectExpr("project_id", f"{_NAMED.format(t='STRING')} AS relative_path", "content"), root)
+    found = graph.settled(scan.scan_tree(files.sparkSession, root).select("project_id", "relative_path", "size_bytes", F.sha2("content", 256).alias("digest")))
+    scan.delete_tree(files.sparkSession, root)
+    return found
 
 
-add("s1_scan_tree", "v_files", _tree, "SELECT concat('project_id=', project_id) AS project_id, CAST(sum(octet_length(encode(content)) + 1) AS BIGINT) AS bytes FROM v_files GROUP BY 1")
+add("s1_scan_tree", "v_files", _tree, f"SELECT project_id, {_NAMED.format(t='VARCHAR')} AS relative_path, CAST(octet_length(encode(coalesce(content, ''))) AS BIGINT) AS size_bytes, sha256(coalesce(content, '')) AS digest FROM v_files WHERE doc_id % 11 NOT IN (3, 4, 5)")
 
 
 def _reports(c):
@@ -128,7 +134,9 @@ def _written_twice(m):
     record = m.select("module_id", "complexity", "project_id")
     scan.write_by_project(record.withColumn("analyzer_version", F.lit(1)), path)
     scan.write_by_project(record.where("project_id like '%1'").withColumn("analyzer_version", F.lit(2)), path)
-    return m.sparkSession.read.parquet(path).select("project_id", "module_id", "complexity", "analyzer_version")
+    found = graph.settled(m.sparkSession.read.parquet(path).select("project_id", "module_id", "complexity", "analyzer_version"))
+    scan.delete_tree(m.sparkSession, path)
+    return found
 
 
 add("k1_write_analysis", "v_modules", _written_twice, "SELECT project_id, module_id, complexity, CASE WHEN project_id LIKE '%1' THEN 2 ELSE 1 END AS analyzer_version FROM v_modules")

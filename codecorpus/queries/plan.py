@@ -18,6 +18,9 @@ SCORED = """b AS (SELECT b AS module_id, count(*) AS blast FROM r WHERE a <> b G
     x AS (SELECT *, warning_weight + CASE rating WHEN 'critical' THEN 8 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 0 END + least(blast_radius, 10) + CASE WHEN is_entry_point THEN 5 ELSE 0 END AS raw_risk FROM c),
     i AS (SELECT *, CASE WHEN raw_risk >= 18 THEN 'critical' WHEN raw_risk >= 10 THEN 'high' WHEN raw_risk >= 4 THEN 'medium' ELSE 'low' END AS risk_level, CASE WHEN raw_risk >= 18 THEN 4 WHEN raw_risk >= 10 THEN 3 WHEN raw_risk >= 4 THEN 2 ELSE 1 END AS k FROM x),
     t AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY k DESC, blast_radius DESC, relative_path) AS INT) AS rank FROM i)"""
+#: Files of each phase, for the oracle; goes behind SCORED.
+PHASED = """p AS (SELECT *, 1 AS phase, 5 AS most FROM t UNION ALL SELECT *, 2, 8 FROM t WHERE risk_level IN ('low', 'medium') AND warning_count > 0 UNION ALL SELECT *, 3, 8 FROM t WHERE blast_radius > 0 OR risk_level IN ('high', 'critical') UNION ALL SELECT *, 4, 8 FROM t WHERE is_entry_point OR module_id IN (SELECT r.b FROM r JOIN v_modules m ON m.module_id = r.a AND m.is_entry_point)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY project_id, phase ORDER BY rank) AS n FROM p), ph AS (SELECT project_id, phase, string_agg(relative_path, ',' ORDER BY n) AS files FROM q WHERE n <= most GROUP BY 1, 2)"""
 HEAD = f"WITH RECURSIVE {CLOSURE}, {SCORED}"
 
 
@@ -47,8 +50,7 @@ def _with_entries(scored):
 add(
     "w5_phase_files", "v_modules v_edges v_warnings",
     lambda m, e, w: op.phase_files(_with_entries(_scored(m, e, w))).select("project_id", "phase", F.array_join("files", ",").alias("files")),
-    f"""{HEAD}, p AS (SELECT *, 1 AS phase, 5 AS most FROM t UNION ALL SELECT *, 2, 8 FROM t WHERE risk_level IN ('low', 'medium') AND warning_count > 0 UNION ALL SELECT *, 3, 8 FROM t WHERE blast_radius > 0 OR risk_level IN ('high', 'critical') UNION ALL SELECT *, 4, 8 FROM t WHERE is_entry_point OR module_id IN (SELECT r.b FROM r JOIN v_modules m ON m.module_id = r.a AND m.is_entry_point)),
-    q AS (SELECT *, row_number() OVER (PARTITION BY project_id, phase ORDER BY rank) AS n FROM p) SELECT project_id, phase, string_agg(relative_path, ',' ORDER BY n) AS files FROM q WHERE n <= most GROUP BY 1, 2""",
+    f"WITH RECURSIVE {CLOSURE}, {SCORED}, {PHASED} SELECT project_id, phase, files FROM ph",
 )
 
 
@@ -59,15 +61,15 @@ def _tests(t):
 READY = f"""{WALK}, kk AS (SELECT p AS project_id, count(*) AS cycles FROM k GROUP BY 1),
     m AS (SELECT project_id, count(*) AS n, count(*) FILTER (parse_status = 'complete') AS c, count(*) FILTER (parse_status = 'partial') AS p, count(*) FILTER (complexity > 10) AS h FROM v_modules GROUP BY 1),
     wt AS (SELECT project_id, CAST(sum(CASE severity WHEN 'risk' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM v_warnings JOIN v_modules USING (module_id) GROUP BY 1), e AS (SELECT project_id, count(*) AS edges FROM v_edges GROUP BY 1),
-    t AS (SELECT project_id, count(*) AS g, count(*) FILTER (syntax_valid) AS v FROM v_tests GROUP BY 1),
+    tt AS (SELECT project_id, count(*) AS g, count(*) FILTER (syntax_valid) AS v FROM v_tests GROUP BY 1),
     s AS (SELECT m.project_id, CAST(greatest(0, least(100, round_even(100 * (c + p * 0.5::DOUBLE) / n, 0))) AS INT) AS analysis, CAST(greatest(0, least(100, round_even(100 - h / n * 100, 0))) AS INT) AS complexity, CAST(greatest(0, least(100, round_even(100 - least(85.0::DOUBLE, coalesce(edges, 0) / n * 18 + coalesce(cycles, 0) * 12), 0))) AS INT) AS coupling,
       CAST(greatest(0, least(100, round_even(100 - least(85.0::DOUBLE, coalesce(weight, 0) * 3 / n), 0))) AS INT) AS maintainability,
-      CASE WHEN g IS NULL OR g % 5 = 0 THEN 35 ELSE CAST(greatest(0, least(100, round_even(CASE WHEN g % 2 = 0 THEN 80 ELSE 60 END * 0.6::DOUBLE + v / g * 40, 0))) AS INT) END AS testability, g FROM m LEFT JOIN wt USING (project_id) LEFT JOIN e USING (project_id) LEFT JOIN kk USING (project_id) LEFT JOIN t USING (project_id)),
+      CASE WHEN g IS NULL OR g % 5 = 0 THEN 35 ELSE CAST(greatest(0, least(100, round_even(CASE WHEN g % 2 = 0 THEN 80 ELSE 60 END * 0.6::DOUBLE + v / g * 40, 0))) AS INT) END AS testability, g FROM m LEFT JOIN wt USING (project_id) LEFT JOIN e USING (project_id) LEFT JOIN kk USING (project_id) LEFT JOIN tt USING (project_id)),
     o AS (SELECT *, CAST(round_even((analysis + complexity + coupling + maintainability + testability) * 2 / 10, 0) AS INT) AS overall FROM s)"""
-_STATUS = "CASE WHEN {0} >= 80 THEN 'Strong' WHEN {0} >= 60 THEN 'Ready with care' WHEN {0} >= 40 THEN 'Needs preparation' ELSE 'High risk' END"
+STATUS = "CASE WHEN {0} >= 80 THEN 'Strong' WHEN {0} >= 60 THEN 'Ready with care' WHEN {0} >= 40 THEN 'Needs preparation' ELSE 'High risk' END"
 add(
     "a9_readiness", "v_modules v_warnings v_edges v_tests", lambda m, w, e, t: op.readiness(m, w, e, graph.cycle_counts(e), _tests(t)),
-    f"WITH RECURSIVE {READY} SELECT project_id, analysis, complexity, coupling, maintainability, testability, CASE WHEN g % 5 = 0 THEN 'Generation failed' WHEN g IS NULL THEN 'Not calculated' ELSE {_STATUS.format('testability')} END AS testability_status, overall, {_STATUS.format('overall')} AS status FROM o",
+    f"WITH RECURSIVE {READY} SELECT project_id, analysis, complexity, coupling, maintainability, testability, CASE WHEN g % 5 = 0 THEN 'Generation failed' WHEN g IS NULL THEN 'Not calculated' ELSE {STATUS.format('testability')} END AS testability_status, overall, {STATUS.format('overall')} AS status FROM o",
 )
 
 # tests and coverage

@@ -1,12 +1,15 @@
 """Explanations and Markdown reports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codecorpus.operators import graph, quality
 from codecorpus.plans import migration
 from codecorpus.plans import reports as op
-from codecorpus.queries.plan import _scored, _tests, _with_entries
+from codecorpus.queries.plan import CLOSURE, PHASED, READY, SCORED, STATUS, _scored, _tests, _with_entries
 from codecorpus.queries.register import adder
+from codecorpus.shipping import shared_folder
 from codecorpus.sources import scan
 
 ALL: dict = {}
@@ -32,9 +35,9 @@ def _explained(m, y, w):
 
 
 add(
-    "f20_module_explanation", "v_modules v_symbols v_warnings", lambda m, y, w: _explained(m, y.where(F.col("kind") != "class"), w.where("severity <> 'info'")).select("module_id", "responsibility", "classes_functions_summary", "dependencies_summary", "entry_point_indicator", "warnings_summary"),
-    """WITH s AS (SELECT module_id, count(*) FILTER (kind = 'class') AS c, count(*) FILTER (kind = 'function') AS f FROM v_symbols WHERE kind <> 'class' GROUP BY 1), n AS (SELECT module_id, string_agg(name, ', ' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY CASE kind WHEN 'class' THEN 0 ELSE 1 END, ord, name) AS r FROM v_symbols WHERE kind = 'function') WHERE r <= 4 GROUP BY 1),
-    w AS (SELECT module_id, count(DISTINCT code) AS k, string_agg(DISTINCT code, ', ' ORDER BY code) AS codes FROM v_warnings WHERE severity <> 'info' GROUP BY 1)
+    "f20_module_explanation", "v_modules v_symbols v_warnings", lambda m, y, w: _explained(m, y, w).select("module_id", "responsibility", "classes_functions_summary", "dependencies_summary", "entry_point_indicator", "warnings_summary"),
+    """WITH s AS (SELECT module_id, count(*) FILTER (kind = 'class') AS c, count(*) FILTER (kind = 'function') AS f FROM v_symbols GROUP BY 1), n AS (SELECT module_id, string_agg(name, ', ' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY CASE kind WHEN 'class' THEN 0 ELSE 1 END, ord, name) AS r FROM v_symbols WHERE kind <> 'variable') WHERE r <= 4 GROUP BY 1),
+    w AS (SELECT module_id, count(DISTINCT code) AS k, string_agg(DISTINCT code, ', ' ORDER BY code) AS codes FROM v_warnings GROUP BY 1)
     SELECT module_id, CASE WHEN is_entry_point THEN concat('`', relative_path, '` is where this part of the program starts.') WHEN contains(relative_path, 'test') THEN concat('`', relative_path, '` contains tests or testing helpers.') WHEN contains(relative_path, 'util') OR contains(relative_path, 'helper') THEN concat('`', relative_path, '` provides reusable helper functions.') WHEN contains(relative_path, 'model') OR contains(relative_path, 'schema') THEN concat('`', relative_path, '` defines the project''s data structures.')
       WHEN contains(relative_path, 'api') OR contains(relative_path, 'route') OR contains(relative_path, 'controller') THEN concat('`', relative_path, '` handles API requests and routes.') WHEN names IS NOT NULL THEN concat('`', relative_path, '` contains the main logic for ', names, '.') ELSE concat('`', relative_path, '` contains ', upper(left(language, 1)), substr(language, 2), ' project logic.') END AS responsibility,
       concat('It contains ', coalesce(c, 0), ' classes and ', coalesce(f, 0), ' functions or methods.') AS classes_functions_summary, concat('It uses ', complexity, ' dependencies and exposes ', complexity + 1, ' items.') AS dependencies_summary,
@@ -54,13 +57,39 @@ _PROJECTS = """m AS (SELECT project_id, count(*) AS n, CAST(sum(line_count) AS B
       coalesce(concat('The program appears to start in ', CASE WHEN entries IS NULL THEN NULL ELSE entries END || '.'), 'x') AS e0, CASE WHEN entries IS NOT NULL THEN concat('The program appears to start in ', entries, '.') ELSE 'No clear starting file was found; this may be a library used by another program.' END AS entry_points_summary, concat('Important files: ', major, '.') AS major_modules_summary,
       concat('The files have ', coalesce(a, 0), ' internal connection(s) and use ', coalesce(b, 0), ' external dependency reference(s).') AS dependencies_summary, CASE langs WHEN 'javascript,python' THEN 'The project combines Python with JavaScript code.' WHEN 'python' THEN 'The project is organized as Python modules that share functions and data.' ELSE 'The project is organized as JavaScript modules that import and export code.' END AS architecture FROM m LEFT JOIN en USING (project_id) JOIN g USING (project_id) LEFT JOIN e USING (project_id))"""
 add("f21_project_explanation", "v_modules v_all_edges", lambda m, e: _projects(m, e).select("project_id", "languages_summary", "entry_points_summary", "major_modules_summary", "dependencies_summary", "architecture"), f"WITH {_PROJECTS} SELECT project_id, languages_summary, entry_points_summary, major_modules_summary, dependencies_summary, architecture FROM x")
-add("k2_explanation_report", "v_modules v_all_edges", lambda m, e: op.explanation_report(_projects(m, e), m), f"WITH {_PROJECTS} SELECT project_id, concat('# ', project_id, chr(10), languages_summary, chr(10), entry_points_summary, chr(10), major_modules_summary, chr(10), dependencies_summary, chr(10), (SELECT string_agg(concat('- ', relative_path, ' (', line_count, ' lines)'), chr(10) ORDER BY relative_path) FROM v_modules v WHERE v.project_id = x.project_id)) AS report FROM x")
+
+
+def _files(lines):
+    """The reports as files in the shared folder, read again."""
+    spark = lines.sparkSession
+    root = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    op.write_reports(lines, root, "report.md")
+    found = graph.settled(scan.scan_tree(spark, root).select("project_id", F.col("content").cast("string").alias("report")))
+    scan.delete_tree(spark, root)
+    return found
+
+
+add("k2_explanation_report", "v_modules v_all_edges", lambda m, e: _files(op.explanation_report(_projects(m, e), m)), f"WITH {_PROJECTS} SELECT project_id, concat('# ', project_id, chr(10), languages_summary, chr(10), entry_points_summary, chr(10), major_modules_summary, chr(10), dependencies_summary, chr(10), (SELECT string_agg(concat('- ', relative_path, ' (', line_count, ' lines)'), chr(10) ORDER BY relative_path) FROM v_modules v WHERE v.project_id = x.project_id)) AS report FROM x")
 add(
-    "k3_mermaid_report", "v_modules v_edges", lambda m, e: op.mermaid_report(m, e.select("project_id", "source_module_id", "target_module_id", "type")),
+    "k3_mermaid_report", "v_modules v_edges", lambda m, e: _files(op.mermaid_report(m, e.select("project_id", "source_module_id", "target_module_id", "type"))),
     """WITH n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY relative_path, module_id) - 1 AS k FROM v_modules), a AS (SELECT e.project_id, x.k AS a, y.k AS b, e.type FROM v_edges e JOIN n x ON x.module_id = e.source_module_id JOIN n y ON y.module_id = e.target_module_id),
     l AS (SELECT project_id, 0 AS s, 0 AS o, 'graph TD' AS line FROM n GROUP BY 1 UNION ALL SELECT project_id, 1, k, concat('  N', k, '["', relative_path, '"]') FROM n UNION ALL SELECT project_id, 2, row_number() OVER (PARTITION BY project_id ORDER BY a, b, type), concat('  N', a, ' -->|', type, '| N', b) FROM a
       UNION ALL SELECT project_id, 3, 0, concat('%% ', count(*), ' nodes, ', (SELECT count(*) FROM a WHERE a.project_id = n.project_id), ' edges') FROM n GROUP BY 1)
     SELECT project_id, string_agg(line, chr(10) ORDER BY s, o) AS report FROM l GROUP BY 1""",
 )
-add("k4_plan_report", "v_modules v_edges v_warnings v_tests", lambda m, e, w, t: op.plan_report(migration.readiness(m, w, e, graph.cycle_counts(e), _tests(t)), migration.top_priorities(scored := graph.settled(_scored(m, e, w))), migration.phase_files(_with_entries(scored))), None)
+
+
+def _plan(m, e, w, t):
+    scored = graph.settled(_scored(m, e, w))
+    return _files(op.plan_report(migration.readiness(m, w, e, graph.cycle_counts(e), _tests(t)), migration.top_priorities(scored), migration.phase_files(_with_entries(scored))))
+
+
+add(
+    "k4_plan_report", "v_modules v_edges v_warnings v_tests", _plan,
+    f"""WITH RECURSIVE {CLOSURE}, {SCORED}, {PHASED}, {READY},
+    line AS (SELECT project_id, 0 AS part, 0 AS place, concat('# Readiness ', overall, '/100: ', {STATUS.format('overall')}) AS line FROM o
+      UNION ALL SELECT project_id, 1, rank, concat(rank, '. ', relative_path, ' (', risk_level, ')') FROM t WHERE rank <= 6
+      UNION ALL SELECT project_id, 2, phase, concat('## ', CASE phase WHEN 1 THEN 'Build the safety net' WHEN 2 THEN 'Apply low-risk improvements' WHEN 3 THEN 'Untangle shared modules' ELSE 'Modernize entry points' END, ': ', replace(files, ',', ', ')) FROM ph)
+    SELECT project_id, string_agg(line, chr(10) ORDER BY part, place) AS report FROM line GROUP BY 1""",
+)
 add("k7_to_api_json", "v_modules", lambda m: scan.to_api_json(m.select("module_id", "language", "complexity"), ["module_id"]), "SELECT module_id, concat('{\"module_id\":', module_id, ',\"language\":\"', language, '\",\"complexity\":', complexity, '}') AS payload FROM v_modules")
