@@ -52,20 +52,22 @@ JAVASCRIPT_REWRITES = (
 REVIEW = " Review behavior before merging."
 SYNTAX_REVIEW = "The proposal did not pass static syntax validation; do not apply it automatically."
 DEPRECATED_MODULES = ("imp", "optparse", "cgi", "asyncore", "smtpd", "nntplib", "telnetlib", "pipes", "audioop", "formatter", "spwd", "aifc", "sunau")
+# {} in a message is what the pattern's group holds
 WARNINGS = (
-    Warn("DEPRECATED_MODULE", "warning", r"^\s*(?:import|from)\s+(?:" + "|".join(DEPRECATED_MODULES) + r")\b", "Deprecated standard-library module.", "python"),
-    Warn("WILDCARD_IMPORT", "warning", r"^\s*from\s+\S+\s+import\s+\*", "Wildcard import.", "python"),
-    Warn("EVAL_EXEC_USAGE", "risk", r"(?:^|[^.\w])(?:eval|exec)\s*\(", "Dynamic evaluation.", "python"),
-    Warn("LEGACY_PYTHON2_CONSTRUCT", "warning", r"\b(?:xrange|raw_input)\s*\(|\.(?:iteritems|iterkeys|itervalues)\s*\(", "Python 2 construct.", "python"),
-    Warn("LEGACY_PYTHON2_PRINT", "warning", r"^\s*print\s+[\"']", "Python 2 print statement.", "python"),
-    Warn("BARE_EXCEPT", "warning", r"^\s*except\s*:", "Bare except.", "python"),
-    Warn("MUTABLE_DEFAULT_ARG", "warning", r"\bdef\s+\w+\s*\([^)]*=\s*[\[{]", "Mutable default argument.", "python"),
-    Warn("VAR_USAGE", "warning", r"^var\s", "Top-level var.", "javascript"),
-    Warn("COMMONJS_USAGE", "info", r"^\s*(?:const|let|var)\s+[\w{}, ]+\s*=\s*require\(", "CommonJS require.", "javascript"),
-    Warn("COMMONJS_EXPORTS", "info", r"module\.exports|^exports\.", "CommonJS exports.", "javascript"),
-    Warn("CALLBACK_HEAVY", "warning", r"\((?:[^()]*[,\s])?(?:cb|callback|next|done)\s*(?:,[^()]*)?\)\s*(?:=>|\{)", "Callback parameter.", "javascript"),
-    Warn("LOOSE_EQUALITY", "warning", r" [=!]= ", "Loose equality.", "javascript", r" [=!]== "),
-    Warn("EVAL_EXEC_USAGE", "risk", r"(?:^|[^.\w])(?:eval|Function)\s*\(", "Dynamic evaluation; new Function() counts as well.", "javascript"),
+    Warn("DEPRECATED_MODULE", "warning", r"^\s*(?:import|from)\s+(" + "|".join(DEPRECATED_MODULES) + r")\b", "Use of deprecated Python module '{}'.", "python"),
+    Warn("WILDCARD_IMPORT", "warning", r"^\s*from\s+(\S+)\s+import\s+\*", "Wildcard import 'from {} import *' hampers static analysis.", "python"),
+    Warn("EVAL_EXEC_USAGE", "risk", r"(?:^|[^.\w])(eval|exec)\s*\(", "Use of '{}()' presents severe security and static-analysis risks.", "python"),
+    Warn("LEGACY_PYTHON2_CONSTRUCT", "warning", r"\b(xrange|raw_input)\s*\(", "Use of Python 2 built-in '{}'. Replace with Python 3 equivalent.", "python"),
+    Warn("LEGACY_PYTHON2_CONSTRUCT", "warning", r"\.(iteritems|iterkeys|itervalues)\s*\(", "Use of Python 2 built-in '{}'. Replace with Python 3 equivalent.", "python"),
+    Warn("LEGACY_PYTHON2_PRINT", "warning", r"^\s*print\s+[\"']", "Python 2 print statement without parentheses.", "python"),
+    Warn("BARE_EXCEPT", "warning", r"^\s*except\s*:", "Bare 'except:' handler catches SystemExit and KeyboardInterrupt. Use 'except Exception:'.", "python"),
+    Warn("MUTABLE_DEFAULT_ARG", "warning", r"\bdef\s+\w+\s*\((?:[^)]*?[\s,(*])??(\w+)\s*(?::[^=)]*)?=\s*[\[{]", "Parameter '{}' has a mutable default argument.", "python"),
+    Warn("VAR_USAGE", "warning", r"^var\s", "Use of 'var' keyword. Prefer block-scoped 'const' or 'let'.", "javascript"),
+    Warn("COMMONJS_USAGE", "info", r"^\s*(?:const|let|var)\s+[\w{}, ]+\s*=\s*require\(\s*[\"']?([^\"')]*)", "Use of CommonJS require('{}'). Prefer ES module import syntax.", "javascript"),
+    Warn("COMMONJS_EXPORTS", "info", r"module\.exports|^exports\.", "Use of CommonJS module.exports assignment. Prefer ES module export syntax.", "javascript"),
+    Warn("CALLBACK_HEAVY", "warning", r"\((?:[^()]*[,\s])?(cb|callback|next|done)\s*(?:,[^()]*)?\)\s*(?:=>|\{)", "Parameter '{}': callback pattern instead of Async/Await or Promises.", "javascript"),
+    Warn("LOOSE_EQUALITY", "warning", r" [=!]= ", "Loose equality operator ('==' or '!=') used. Prefer strict ('===' or '!==').", "javascript", r" [=!]== "),
+    Warn("EVAL_EXEC_USAGE", "risk", r"(?:^|[^.\w])(eval|Function)\s*\(", "Use of '{}()' presents severe security and static-analysis risks.", "javascript"),
 )
 # ------------------------------------------------------------------------------------------------------------------
 
@@ -179,13 +181,17 @@ def review_lines(rewrites: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scan_warnings(line_rows: DataFrame, keys: list[str], rules: tuple[Warn, ...] = WARNINGS) -> DataFrame:
-    """keys, line_no, code, severity, message of each line and rule that it meets; one pass over the lines."""
+    """keys, line_no, code, severity, message (with its subject) of each line and rule that it meets; one pass over the lines."""
 
     def met(r: Warn) -> Column:
         hit = F.rlike("line", F.lit(r.pattern))
         return hit & ~F.rlike("line", F.lit(r.unless)) if r.unless else hit
 
-    found = F.filter(F.array(*[F.when(met(r), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"))) for r in rules]), lambda x: x.isNotNull())
+    def message(r: Warn) -> Column:
+        before, named, behind = r.message.partition("{}")
+        return F.concat(F.lit(before), F.regexp_extract("line", r.pattern, 1), F.lit(behind)) if named else F.lit(before)
+
+    found = F.filter(F.array(*[F.when(met(r), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), message(r).alias("message"))) for r in rules]), lambda x: x.isNotNull())
     return line_rows.select(*keys, "line_no", F.explode(found).alias("w")).select(*keys, "line_no", "w.*")
 
 

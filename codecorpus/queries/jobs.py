@@ -20,7 +20,7 @@ def _analyses(j):
 _P = "p AS (SELECT project_id, max(job_id) AS content_hash FROM v_jobs GROUP BY 1)"
 add("j5_cache_probe", "v_jobs", lambda j: op.cache_probe(_projects(j), _analyses(j), "2"), f"WITH {_P} SELECT *, CASE WHEN project_id % 3 <> 0 AND project_id % 2 = 0 AND project_id % 5 <> 0 THEN 'hit' ELSE 'miss' END AS cache FROM p")
 add("j5_work_list", "v_jobs", lambda j: op.work_list(_projects(j), _analyses(j), "2"), f"WITH {_P} SELECT * FROM p WHERE NOT (project_id % 3 <> 0 AND project_id % 2 = 0 AND project_id % 5 <> 0)")
-add("j6_stale_language", "v_modules", lambda m: op.stale_language(m, m.where("module_id % 2 = 0").withColumn("language", F.when(F.col("module_id") % 50 == 0, "typescript").otherwise(F.col("language")))), "SELECT project_id, bool_or(module_id % 50 = 0) AS stale FROM v_modules GROUP BY 1")
+add("j6_stale_language", "v_modules", lambda m: op.stale_language(m, m.withColumn("language", F.when(F.col("module_id") % 50 == 0, "typescript").otherwise(F.col("language")))), "SELECT project_id, bool_or(module_id % 50 = 0) AS stale FROM v_modules GROUP BY 1")
 add("j14_active_job", "v_jobs", lambda j: op.active_job(j.select("project_id", "source_type").distinct(), j), "SELECT project_id, source_type, arg_max(job_id, (created_at, job_id)) FILTER (state IN ('queued', 'analyzing')) AS reused_job FROM v_jobs GROUP BY 1, 2")
 add("w10_latest_job", "v_jobs", op.latest_job, "SELECT project_id, source_type, arg_max(job_id, (created_at, job_id)) AS job_id, arg_max(state, (created_at, job_id)) AS state FROM v_jobs GROUP BY 1, 2")
 add("w9_recent_projects", "v_jobs", lambda j: op.recent(j, 12).select("job_id", "created_at"), "SELECT job_id, created_at FROM v_jobs ORDER BY created_at DESC, job_id DESC LIMIT 12")

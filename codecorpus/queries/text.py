@@ -118,10 +118,30 @@ add("k5_review_lines", "v_lines", lambda v: op.review_lines(op.syntax_gate(op.re
 add("p8_changed_files", "v_lines", lambda v: op.changed_files(op.rewrite(code(v), op.PYTHON_REWRITES)).select("file_id"), f"WITH c AS ({CODE}) SELECT file_id FROM c WHERE {_ALL_PYTHON} <> text")
 add("p11_rewritable_files", "v_files", lambda f: f.select("doc_id", s.classify_language(F.col("relative_path")).alias("language")).where(F.col("language").isin("python", "javascript", "typescript")), "SELECT doc_id, CASE WHEN relative_path LIKE '%.py' THEN 'python' WHEN relative_path LIKE '%.js' THEN 'javascript' ELSE 'typescript' END AS language FROM v_files WHERE relative_path LIKE '%.py' OR relative_path LIKE '%.js' OR relative_path LIKE '%.ts'")
 add("lines_frame", "v_files", lambda f: op.lines(f, ["doc_id"]).select("doc_id", "line_no", F.md5("line").alias("digest")), "SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS line_no, md5(unnest(l[:n])) AS digest FROM (SELECT doc_id, string_split(content, chr(10)) AS l, len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) OR content = '' THEN 1 ELSE 0 END AS n FROM v_files)")
-for _i, _w in enumerate(op.WARNINGS, 1):
+#: What the oracle expects of each warning rule: language, code, severity, pattern, message ({} is the pattern's group), unless. Written out, so that a wrong rule shows.
+EXPECTED_WARNINGS = (
+    ("python", "DEPRECATED_MODULE", "warning", "^\\s*(?:import|from)\\s+(imp|optparse|cgi|asyncore|smtpd|nntplib|telnetlib|pipes|audioop|formatter|spwd|aifc|sunau)\\b", "Use of deprecated Python module '{}'.", None),
+    ("python", "WILDCARD_IMPORT", "warning", "^\\s*from\\s+(\\S+)\\s+import\\s+[*]", "Wildcard import 'from {} import *' hampers static analysis.", None),
+    ("python", "EVAL_EXEC_USAGE", "risk", "(?:^|[^.\\w])(eval|exec)\\s*[(]", "Use of '{}()' presents severe security and static-analysis risks.", None),
+    ("python", "LEGACY_PYTHON2_CONSTRUCT", "warning", "(?:\\b|[.])(xrange|raw_input|iteritems|iterkeys|itervalues)\\s*[(]", "Use of Python 2 built-in '{}'. Replace with Python 3 equivalent.", None),
+    ("python", "LEGACY_PYTHON2_PRINT", "warning", "^\\s*print\\s+[\"']", "Python 2 print statement without parentheses.", None),
+    ("python", "BARE_EXCEPT", "warning", "^\\s*except\\s*:", "Bare 'except:' handler catches SystemExit and KeyboardInterrupt. Use 'except Exception:'.", None),
+    ("python", "MUTABLE_DEFAULT_ARG", "warning", "\\bdef\\s+\\w+\\s*[(][^)]*\\b(\\w+)\\s*=\\s*[{\\[]", "Parameter '{}' has a mutable default argument.", None),
+    ("javascript", "VAR_USAGE", "warning", "^var\\s", "Use of 'var' keyword. Prefer block-scoped 'const' or 'let'.", None),
+    ("javascript", "COMMONJS_USAGE", "info", "^\\s*(?:const|let|var)\\s+[^=]+=\\s*require[(]['\"]([^'\"]*)", "Use of CommonJS require('{}'). Prefer ES module import syntax.", None),
+    ("javascript", "COMMONJS_EXPORTS", "info", "module[.]exports|^exports[.]", "Use of CommonJS module.exports assignment. Prefer ES module export syntax.", None),
+    ("javascript", "CALLBACK_HEAVY", "warning", "[(](?:[^()]*[,\\s])?(cb|callback|next|done)\\s*(?:,[^()]*)?[)]\\s*(?:=>|[{])", "Parameter '{}': callback pattern instead of Async/Await or Promises.", None),
+    ("javascript", "LOOSE_EQUALITY", "warning", " [=!]= ", "Loose equality operator ('==' or '!=') used. Prefer strict ('===' or '!==').", " [=!]== "),
+    ("javascript", "EVAL_EXEC_USAGE", "risk", "(?:^|[^.\\w])(eval|Function)\\s*[(]", "Use of '{}()' presents severe security and static-analysis risks.", None),
+)
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+for _lang, _code, _severity, _pattern, _message, _unless in EXPECTED_WARNINGS:
+    _rules = tuple(w for w in op.WARNINGS if (w.language, w.code) == (_lang, _code))
+    _before, _named, _behind = _message.partition("{}")
+    _text = f"concat({_quoted(_before)}, regexp_extract(line, {_quoted(_pattern)}, 1), {_quoted(_behind)})" if _named else _quoted(_message)
     add(
-        f"l_{_w.language[:2]}_{_w.code.lower()}", "v_lines", lambda v, w=_w: op.scan_warnings(v, ["file_id"], (w,)).withColumn("line_no", F.col("line_no").cast("long")),
-        f"SELECT file_id, line_no, '{_w.code}' AS code, '{_w.severity}' AS severity, '{_w.message}' AS message FROM v_lines WHERE regexp_matches(line, '{_duck(_w.pattern)}')" + (f" AND NOT regexp_matches(line, '{_duck(_w.unless)}')" if _w.unless else ""),
+        f"l_{_lang[:2]}_{_code.lower()}", "v_lines", lambda v, rules=_rules: op.scan_warnings(v, ["file_id"], rules).withColumn("line_no", F.col("line_no").cast("long")),
+        f"SELECT file_id, line_no, '{_code}' AS code, '{_severity}' AS severity, {_text} AS message FROM v_lines WHERE regexp_matches(line, {_quoted(_pattern)})" + (f" AND NOT regexp_matches(line, {_quoted(_unless)})" if _unless else ""),
     )
 add("l8_high_complexity", "v_symbols", lambda y: facts.complexity_warnings(y.withColumn("start_line", (F.col("ord") % 90).cast("int")), ["module_id", "ord"]), "SELECT module_id, ord, 'HIGH_COMPLEXITY' AS code, concat('Function ', chr(39), name, chr(39), ' has high cyclomatic complexity (', complexity, ').') AS message, CAST(ord % 90 AS INT) AS line, 'warning' AS severity FROM v_symbols WHERE complexity > 10 AND kind = 'function'")
 add("l9_syntax_error", "v_lines", lambda v: facts.syntax_warnings(facts.python_facts(by_line(v), ["file_id", "line_no"]), ["file_id", "line_no"]), f"SELECT file_id, line_no, 'SYNTAX_ERROR' AS code, 'Python parser could not fully parse this file.' AS message, CAST(1 AS INT) AS line, 'risk' AS severity FROM v_lines WHERE NOT ({VALID})")
