@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codecorpus.operators.javascript import javascript_facts
+
 # -- fixed values --------------------------------------------------------------------------------------------------
 ENTRY_FILES = ("index.js", "index.jsx", "index.ts", "index.tsx", "index.mjs", "index.cjs", "main.js", "main.jsx", "server.js", "app.js", "cli.js")
 CALL_WORDS = ("if", "for", "while", "switch", "catch", "return", "function", "def", "class", "and", "or", "not", "in", "elif", "with", "except", "print", "lambda", "async", "await", "typeof", "new")
@@ -18,8 +20,38 @@ def stripped(line: Column, comment: str = "#") -> Column:
     return F.regexp_replace(F.regexp_replace(line, CODE, "\"\""), comment + ".*$" if comment == "#" else "//.*$", "")
 
 
+def _outside_bodies(line_rows: DataFrame, keys: list[str], wanted: str) -> DataFrame:
+    """keys, line_no, line of the wanted lines that stand in no body of a def. One sorted pass over a file's heads
+    and wanted lines: a head's body ends with the next line of code that is indented no deeper."""
+    import pyarrow as pa
+
+    indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
+    code = line_rows.where(~F.rlike("line", F.lit(r"^\s*(#.*)?$"))).select(*keys, "line_no", "line", indent.alias("_indent"), F.rlike("line", F.lit(r"^\s*(?:async\s+)?def\s")).alias("_head"), F.rlike("line", F.lit(wanted)).alias("_wanted"))
+    n = len(keys)
+
+    def run(batches):
+        file, bodies = None, []
+        for batch in batches:
+            keep = []
+            for i, (*own, depth, head, hit) in enumerate(zip(*[batch.column(k).to_pylist() for k in (*range(n), n + 2, n + 3, n + 4)], strict=True)):
+                if own != file:
+                    file, bodies = own, []
+                while bodies and bodies[-1] >= depth:
+                    bodies.pop()
+                if hit and not bodies:
+                    keep.append(i)
+                if head:
+                    bodies.append(depth)
+            yield batch.take(pa.array(keep, pa.int64())).select(list(range(n + 2)))
+
+    types = ", ".join(f"`{c}` {code.schema[c].dataType.simpleString()}" for c in (*keys, "line_no", "line"))
+    return code.repartition(*keys).sortWithinPartitions(*keys, "line_no").mapInArrow(run, types)
+
+
 def python_imports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """module_name, imported_symbols, is_relative, source_line: one row for each alias of `import`, one for each `from`."""
+    """module_name, imported_symbols, is_relative, source_line: one row for each alias of `import`, one for each `from`. What
+    stands in the body of a def doesn't count. Columns other than the keys, line_no and line are ignored."""
+    line_rows = _outside_bodies(line_rows, keys, r"^\s*(?:import|from)\s")
     plain = F.regexp_extract("line", r"^\s*import\s+(.+?)\s*(?:#.*)?$", 1)
     one = line_rows.where(plain != "").select(*keys, "line_no", F.explode(F.split(plain, r"\s*,\s*")).alias("part"))
     one = one.select(*keys, F.regexp_extract("part", r"^([\w.]+)", 1).alias("module_name"), F.array(F.coalesce(F.nullif(F.regexp_extract("part", r"\bas\s+(\w+)", 1), F.lit("")), F.regexp_extract("part", r"^([\w.]+)", 1))).alias("imported_symbols"), F.lit(False).alias("is_relative"), F.col("line_no").alias("source_line"))
@@ -29,35 +61,15 @@ def python_imports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     return one.unionByName(two)
 
 
-def _statements(line_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, _line, _text of each import or export that names its source, its lines joined: from the line that begins it
-    to the first one with a quoted name."""
-    own = line_rows.select(*keys, F.col("line_no").alias("_line"), F.col("line").alias("_text"))
-    begins = F.rlike("_text", F.lit(r"^\s*(?:import\b(?!\s*[(.])|export\s*(?:type\s*)?[{*])"))
-    in_order = Window.partitionBy(*keys).orderBy("_line")
-    marked = own.withColumn("_nth", F.sum(begins.cast("int")).over(in_order)).where("_nth > 0")
-    ends = F.min(F.when(F.rlike("_text", F.lit(r"""['"][^'"]+['"]""")), F.col("_line"))).over(Window.partitionBy(*keys, "_nth"))
-    inside = marked.withColumn("_end", ends).where("_line <= _end")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_text"))), lambda x: x["_text"]), " ")
-    return inside.groupBy(*keys, "_nth").agg(F.min("_line").alias("_line"), joined.alias("_text")).drop("_nth")
-
-
 def javascript_imports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """module_name, import_kind (import or require), imported_symbols, is_relative, source_line.
+    """module_name, import_kind (import or require), imported_symbols, is_relative, source_line, from tokens.
 
-    An import's symbols are its clause as it stands; a require's is the variable. Statements may run over lines; of
-    exports, those that name a source count. Columns other than the keys, line_no and line are ignored.
+    An import's symbols are its clause as it stands; a require's is the variable. Only statements of the top level count;
+    they may run over lines or share one. Of exports, those that name a source count. Columns other than the keys, line_no
+    and line are ignored.
     """
-    found = _statements(line_rows, keys)
-    head = r"""^\s*(?:import|export)\s*(?:type\s+)?([^'";]*?)\s*\bfrom\s*['"]([^'"]+)['"]"""
-    bare = F.regexp_extract("_text", r"""^\s*import\s*['"]([^'"]+)['"]""", 1)
-    named = F.regexp_extract("_text", head, 2)
-    clause = F.regexp_replace(F.regexp_extract("_text", head, 1), r"\s+", " ")
-    none = F.array().cast("array<string>")
-    es = found.select(*keys, F.coalesce(F.nullif(named, F.lit("")), F.nullif(bare, F.lit(""))).alias("module_name"), F.lit("import").alias("import_kind"), F.when(clause != "", F.array(clause)).otherwise(none).alias("imported_symbols"), F.col("_line").alias("source_line")).where("module_name is not null")
-    call = r"""^\s*(?:export\s+)?(?:const|let|var)\s+([^=]+?)\s*=\s*require\(\s*['"]([^'"]+)['"]"""
-    cjs = line_rows.where(F.rlike("line", F.lit(call))).select(*keys, F.regexp_extract("line", call, 2).alias("module_name"), F.lit("require").alias("import_kind"), F.array(F.regexp_extract("line", call, 1)).alias("imported_symbols"), F.col("line_no").alias("source_line"))
-    return es.unionByName(cjs).withColumn("is_relative", F.startswith("module_name", F.lit(".")))
+    found = javascript_facts(line_rows, keys).where("_kind in ('import', 'require')")
+    return found.select(*keys, F.col("_name").alias("module_name"), F.col("_kind").alias("import_kind"), F.col("_symbols").alias("imported_symbols"), F.col("_line").alias("source_line"), F.startswith("_name", F.lit(".")).alias("is_relative"))
 
 
 def python_symbols(line_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,50 +117,34 @@ def python_symbols(line_rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def javascript_symbols(line_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """kind, name, is_async, start_line, depth of functions, classes and variables; depth counts open braces before the line."""
-    code = stripped(F.col("line"), "//")
-    delta = F.regexp_count(code, F.lit(r"\{")) - F.regexp_count(code, F.lit(r"\}"))
-    before = F.coalesce(F.sum(delta).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fn, arrow = r"\b(async\s+)?function\s*\*?\s+(\w+)", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(async\s+)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)"
-    cls, var = r"\bclass\s+(\w+)", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)"
-    get = lambda p, i=1: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
-    kind = F.when(get(fn, 2).isNotNull() | get(arrow).isNotNull(), "function").when(get(cls).isNotNull(), "class").when(get(var).isNotNull(), "variable")
-    rows = line_rows.withColumns({"depth": before, "kind": kind, "name": F.coalesce(get(fn, 2), get(arrow), get(cls), get(var)), "is_async": get(fn, 1).isNotNull() | get(arrow, 2).isNotNull()})
-    return rows.where("kind is not null").select(*keys, "kind", "name", "is_async", F.col("line_no").alias("start_line"), "depth")
+    """kind (function, method, constructor, class, variable), name, qualified_name, is_async, start_line, end_line, depth,
+    parameters, complexity, from tokens; depth counts the braces around it. Columns other than the keys, line_no and line
+    are ignored."""
+    found = javascript_facts(line_rows, keys).where("_kind in ('function', 'method', 'constructor', 'class', 'variable')")
+    return found.select(*keys, F.col("_kind").alias("kind"), F.col("_name").alias("name"), F.col("_qualified_name").alias("qualified_name"), F.col("_is_async").alias("is_async"), F.col("_line").alias("start_line"), F.col("_end_line").alias("end_line"), F.col("_depth").alias("depth"), F.col("_parameters").alias("parameters"), F.col("_complexity").alias("complexity"))
 
 
 def javascript_exports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """name, kind, source_line of what a file exports.
+    """name, kind, source_line of what a file exports, from tokens.
 
     Kinds: function, class, variable, default; `export { a as b }` gives variables by their new names, `export * from`
-    one of kind all. Plain declarations of classes at the top level count as exports too. Clauses of one line.
+    one of kind all. Plain declarations of functions and classes at the top level count as exports too. Columns other than
+    the keys, line_no and line are ignored.
     """
-    line = F.col("line")
-    default = F.rlike(line, F.lit(r"^\s*export\s+default\b"))
-    function = F.regexp_extract(line, r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", 1)
-    nameless = F.rlike(line, F.lit(r"^\s*export\s+default\s+(?:async\s+)?function\s*\*?\s*\("))
-    arrow = F.regexp_extract(line, r"^\s*export\s+(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)", 1)
-    variable = F.regexp_extract(line, r"^\s*export\s+(?:const|let|var)\s+(\w+)", 1)
-    own_class = F.regexp_extract(line, r"^(?:export\s+(?:default\s+)?)?class\s+(\w+)", 1)
-    value = F.regexp_extract(line, r"^\s*export\s+default\s+(\w+)\s*;?\s*$", 1)
-    dotted = F.regexp_extract(line, r"^\s*(?:module\.)?exports\.(\w+)\s*=", 1)
-    clause = F.regexp_extract(line, r"^\s*export\s*(?:type\s*)?\{([^}]*)\}", 1)
-    listed = F.transform(F.filter(F.transform(F.split(clause, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(F.regexp_extract(x, r"(\w+)$", 1).alias("name"), F.lit("variable").alias("kind")))
-    one = lambda name, kind: F.array(F.struct(name.alias("name"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind")))
-    found = (
-        F.when(function != "", one(function, F.when(default, "default").otherwise("function")))
-        .when(nameless, one(F.lit("default"), "default"))
-        .when(arrow != "", one(arrow, "function"))
-        .when(variable != "", one(variable, "variable"))
-        .when(own_class != "", one(own_class, "class"))
-        .when(value != "", one(value, "default"))
-        .when(default, one(F.lit("default"), "default"))
-        .when(dotted != "", one(dotted, "variable"))
-        .when(F.rlike(line, F.lit(r"^\s*module\.exports\s*=")), one(F.lit("default"), "default"))
-        .when(F.rlike(line, F.lit(r"^\s*export\s*\*")), one(F.lit("*"), "all"))
-        .otherwise(listed)
-    )
-    return line_rows.select(*keys, F.col("line_no").alias("source_line"), F.explode(found).alias("_export")).select(*keys, "_export.name", "_export.kind", "source_line")
+    found = javascript_facts(line_rows, keys).where(F.startswith("_kind", F.lit("export_")))
+    return found.select(*keys, F.col("_name").alias("name"), F.substring("_kind", 8, 20).alias("kind"), F.col("_line").alias("source_line"))
+
+
+def javascript_calls(line_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """caller (the innermost function around it, or ''), target_name, source_line of each call, from tokens: definitions, and
+    what stands in strings, templates and comments, are none; code inside templates is."""
+    found = javascript_facts(line_rows, keys).where("_kind = 'call'")
+    return found.select(*keys, F.col("_qualified_name").alias("caller"), F.col("_name").alias("target_name"), F.col("_line").alias("source_line"))
+
+
+def javascript_points(line_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, complexity: 1 and a whole file's branch points, from tokens."""
+    return javascript_facts(line_rows, keys).where("_kind = 'points'").select(*keys, F.col("_complexity").alias("complexity"))
 
 
 def calls(line_rows: DataFrame, keys: list[str], comment: str = "#") -> DataFrame:
@@ -290,7 +286,7 @@ def _python_facts(text: str) -> list[tuple]:
             out.append(("docstring", doc, x.lineno, None, None, name))
         out.extend(("decorator", _dotted(d), d.lineno, None, None, name) for d in x.decorator_list)
 
-    def visit(node: ast.AST, prefix: str) -> None:
+    def visit(node: ast.AST, prefix: str, lazy: bool) -> None:
         for x in ast.iter_child_nodes(node):
             inner = prefix
             if isinstance(x, functions):
@@ -308,6 +304,8 @@ def _python_facts(text: str) -> list[tuple]:
                 inner = f"{prefix}{x.name}."
                 out.append(("class", prefix + x.name, x.lineno, x.end_lineno, None, ",".join(filter(None, map(_dotted, x.bases)))))
                 symbol(x, prefix + x.name)
+            elif isinstance(x, (ast.Import, ast.ImportFrom)) and lazy:
+                continue  # imports in functions' bodies aren't the module's
             elif isinstance(x, ast.Import):
                 for a in x.names:
                     out.append(("import", a.name, x.lineno, None, None, a.asname or a.name))
@@ -335,10 +333,10 @@ def _python_facts(text: str) -> list[tuple]:
                 out.append(("entry_point", "__main__", x.lineno, None, None, ""))
             if isinstance(node, ast.Module) and isinstance(x, (*functions, ast.ClassDef)):
                 out.append(("export", x.name, x.lineno, None, None, "class" if isinstance(x, ast.ClassDef) else "function"))
-            visit(x, inner)
+            visit(x, inner, lazy or isinstance(x, functions))
 
     try:
-        visit(tree, "")
+        visit(tree, "", False)
     except RecursionError:  # nested deeper than the walk can go
         return [("error", "RecursionError", 1, None, None, None), *_token_facts(text)]
     return out

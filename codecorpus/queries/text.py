@@ -181,6 +181,35 @@ add("x6_calls", "v_lines", lambda v: facts.calls(v, ["file_id"]).select("file_id
 add("x7_parameters", "v_lines", lambda v: facts.signatures(v, ["file_id"]).select("file_id", "name", F.col("line_no").cast("long").alias("line_no"), F.col("parameters")[0]["name"].alias("first")), "SELECT file_id, regexp_extract(line, '^(?:function|def) (\\w+)', 1) AS name, line_no, CASE WHEN starts_with(line, 'def') THEN 'a' ELSE 'cb' END AS first FROM v_lines WHERE regexp_matches(line, '^(function|def) ')")
 add("x8_entry_points", "v_lines", lambda v: facts.entry_points(v.withColumn("relative_path", F.when(F.col("file_id") % 7 == 0, "src/Index.js").otherwise("a.py")), ["file_id"]), "SELECT file_id, file_id % 7 = 0 AS is_entry_point FROM v_lines GROUP BY file_id")
 add("x9_decision_points", "v_lines", lambda v: v.groupBy("file_id").agg(F.sum(facts.decision_points(F.col("line"))).alias("points")), "SELECT file_id, CAST(sum(CASE WHEN line LIKE 'for i%' OR line LIKE 'except V%' OR line = '    except:' OR line LIKE 'if %' THEN 1 ELSE 0 END) AS BIGINT) AS points FROM v_lines GROUP BY file_id")
+#: Facts of each kind of script; @ is its number. Written out for the oracle.
+_SCRIPTS = {
+    "imports": "(1, 'm@', 'import', 'a', 3), (1, './b@', 'import', '{b}', 3), (2, 'all@', 'import', '*', 7)",
+    "symbols": """(0, 'class', 'K@', 1, 9, false, 0), (0, 'constructor', 'K@.constructor', 2, 4, false, 1), (0, 'method', 'K@.run', 5, 5, true, 1), (0, 'method', 'K@.v', 6, 8, false, 1), (1, 'variable', 't@', 1, 2, false, 0), (3, 'function', 'f@', 1, 3, true, 0),
+      (4, 'variable', 'r@', 1, 1, false, 0), (4, 'variable', 'k@', 1, 1, false, 0), (5, 'function', 'g@', 1, 4, false, 0), (5, 'function', 'inner@', 3, 3, false, 1)""",
+    "exports": "(0, 'K@', 'class', 1), (2, 'a@', 'variable', 1), (2, 'd@', 'variable', 1), (2, '*', 'all', 7), (3, 'default', 'default', 4), (4, 'default', 'default', 2), (5, 'g@', 'function', 1), (5, 'g@', 'variable', 5)",
+    "calls": "(0, 'K@.run', 'go@', 5), (1, '', 'pick@', 2), (3, 'f@', 'h@', 2), (3, '', 'f@', 4), (4, '', 'test', 1), (4, '', 'one@', 3), (5, 'g@', 'a', 2), (5, 'g@', 'w@', 2)",
+    "parameters": "(0, 'K@.constructor', 'a|b=2'), (0, 'K@.run', 'cb'), (0, 'K@.v', ''), (3, 'f@', 'x|{y}={}'), (5, 'g@', 'a|cb'), (5, 'inner@', '')",
+    "complexity": "(0, 'K@.constructor', 1), (0, 'K@.run', 3), (0, 'K@.v', 1), (3, 'f@', 3), (5, 'g@', 5), (5, 'inner@', 1)",
+}
+
+
+def _script_sql(name: str, columns: dict[str, str]) -> str:
+    shown = ", ".join(f"replace({c}, '@', CAST(n AS VARCHAR)) AS {c}" if kind == "text" else f"CAST({c} AS {kind}) AS {c}" for c, kind in columns.items())
+    return f"SELECT file_id, seq, {shown} FROM v_scripts s JOIN (VALUES {_SCRIPTS[name]}) AS f(k, {', '.join(columns)}) ON f.k = s.kind"
+
+
+def _scripts(v):
+    return op.lines(v, ["file_id", "seq"])
+
+
+_KEYS = ["file_id", "seq"]
+_own = lambda v: facts.javascript_symbols(_scripts(v), _KEYS)
+add("x2_javascript_statements", "v_scripts", lambda v: facts.javascript_imports(_scripts(v), _KEYS).select(*_KEYS, "module_name", "import_kind", F.array_join("imported_symbols", ",").alias("symbols"), "source_line"), _script_sql("imports", {"module_name": "text", "import_kind": "text", "symbols": "text", "source_line": "BIGINT"}))
+add("x4_javascript_members", "v_scripts", lambda v: _own(v).select(*_KEYS, "kind", "qualified_name", "start_line", "end_line", "is_async", "depth"), _script_sql("symbols", {"kind": "VARCHAR", "qualified_name": "text", "start_line": "BIGINT", "end_line": "BIGINT", "is_async": "BOOLEAN", "depth": "INT"}).replace("CAST(kind AS VARCHAR)", "f.kind"))
+add("x5_javascript_clauses", "v_scripts", lambda v: facts.javascript_exports(_scripts(v), _KEYS), _script_sql("exports", {"name": "text", "kind": "VARCHAR", "source_line": "BIGINT"}).replace("CAST(kind AS VARCHAR)", "f.kind"))
+add("x6_javascript_calls", "v_scripts", lambda v: facts.javascript_calls(_scripts(v), _KEYS), _script_sql("calls", {"caller": "text", "target_name": "text", "source_line": "BIGINT"}))
+add("x7_javascript_parameters", "v_scripts", lambda v: _own(v).where("parameters is not null").select(*_KEYS, "qualified_name", F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit("="), p["default"]), F.lit("")))), "|").alias("parameters")), _script_sql("parameters", {"qualified_name": "text", "parameters": "text"}))
+add("x9_javascript_complexity", "v_scripts", lambda v: _own(v).where("kind in ('function', 'method', 'constructor')").select(*_KEYS, "qualified_name", "complexity"), _script_sql("complexity", {"qualified_name": "text", "complexity": "INT"}))
 #: What each kind of line holds by itself: by the syntax tree if it parses, else by its tokens. Written out for the oracle.
 _FACTS = (
     ("line = 'import imp'", "('import', 'imp', 'imp'), ('warning', 'DEPRECATED_MODULE', 'imp')"),

@@ -50,6 +50,15 @@ VIEWS = {
         WHEN 9 THEN concat('const m', CAST(l_suppkey AS STRING), ' = require(', chr(39), './m', CAST(l_suppkey AS STRING), chr(39), ');') WHEN 10 THEN concat('module.exports = {{ a', CAST(l_suppkey AS STRING), ' }};')
         WHEN 11 THEN 'z = d.iterkeys()' WHEN 12 THEN 'z = d.itervalues ()' WHEN 13 THEN 'if isinstance(s, basestring): s = unicode(s)' WHEN 14 THEN 'def g(a, b=[], c=1):' WHEN 15 THEN 'exports.q = 1;'
         ELSE concat('function f', CAST(l_suppkey AS STRING), '(cb) {{ eval("', CAST(l_suppkey AS STRING), '"); }}') END AS line FROM {lineitem}""",
+    "v_scripts": """SELECT file_id, seq, kind, n, replace(replace(replace(replace(CASE kind
+          WHEN 0 THEN 'class K@ extends B {{~  constructor(a, b = 2) {{~    super(a);~  }}~  async run(cb) {{ if (cb && a) {{ return go@(cb); }} }}~  get v() {{~    return 1;~  }}~}}'
+          WHEN 1 THEN 'const t@ = `import q from "zzz"~function no() {{}} §{{pick@(1)}}`;~import a from "m@"; import {{b}} from ^./b@^;'
+          WHEN 2 THEN 'export {{~  a@,~  c as d@~}};~// import x from "no"~/* eval(1)~*/ export * from "all@";'
+          WHEN 3 THEN 'const f@ = async (x, {{y}} = {{}}) => {{~  do {{ x ? h@(x) : y; }} while (x);~}};~module.exports = {{ run(cb) {{ return f@(cb); }} }};'
+          WHEN 4 THEN 'const r@ = /["^`{{]/g.test(s), k@ = 4 / 2 / n;~export default function () {{~  switch (k) {{ case 1: one@(); break; default: }}~}}'
+          ELSE 'function g@(a, cb) {{~  try {{ a(); }} catch (e) {{ for (const i of a) {{ while (i || cb) {{ w@(i); }} }} }}~  function inner@() {{}}~}}~exports.g@ = g@;' END,
+        '@', CAST(n AS STRING)), '~', chr(10)), '^', chr(39)), '§', '$') AS content
+        FROM (SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq, CAST(l_partkey % 6 AS INT) AS kind, l_suppkey AS n FROM {lineitem})""",
     "v_urls": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('https://github.com/owner', CAST(page_id % 7 AS STRING), '/repo-', CAST(page_id AS STRING), CASE WHEN page_id % 2 = 0 THEN '.git' ELSE '' END) WHEN page_id % 31 = 1 THEN concat('https://user:pw@github.com/a/b', CAST(page_id AS STRING)) ELSE url END AS url FROM {pages}""",
 }
 
