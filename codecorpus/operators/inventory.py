@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +65,37 @@ def hash_files(df: DataFrame, path: str = "relative_path", content: str = "conte
     return hashed.withColumn("entry_hash", F.sha2(F.concat_ws(":", F.col(path), F.col("sha256_hash")), 256))
 
 
+def content_hashes(files: DataFrame, project: str = "project_id", path: str = "relative_path") -> DataFrame:
+    """project, content_hash: SHA-256 of the entry hashes in path order, one after the other.
+
+    A digest is sequential, so a project's sorted hashes are one task's stream; the task holds none of them."""
+    kind = files.schema[project].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, digest, types = None, None, None
+        for batch in batches:
+            names, digests = [], []
+            types = batch.schema.field(0).type
+            for name, entry in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or name != own:
+                    if digest is not None:
+                        names.append(own)
+                        digests.append(digest.hexdigest())
+                    own, digest = name, hashlib.sha256()
+                digest.update((entry or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, types), pa.array(digests, pa.string())], ["_project", "content_hash"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([own], types), pa.array([digest.hexdigest()], pa.string())], ["_project", "content_hash"])
+
+    in_order = files.select(F.col(project).alias("_project"), F.col(path).alias("_path"), "entry_hash").repartition("_project").sortWithinPartitions("_project", "_path", "entry_hash")
+    return in_order.select("_project", "entry_hash").mapInArrow(run, f"_project {kind}, content_hash string").withColumnRenamed("_project", project)
+
+
 def project_rollup(files: DataFrame, project: str = "project_id", path: str = "relative_path", language: str = "language", lines: str = "line_count") -> DataFrame:
     """Files, lines, languages and a content hash of each project; the hash takes entry hashes in path order."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(path, "entry_hash"))), lambda x: x["entry_hash"])
-    return files.groupBy(project).agg(
-        F.count(F.lit(1)).alias("total_files"), F.sum(lines).alias("total_lines"), F.array_sort(F.collect_set(language)).alias("detected_languages"), F.sha2(F.array_join(listed, ""), 256).alias("content_hash")
-    )
+    counts = files.groupBy(project).agg(F.count(F.lit(1)).alias("total_files"), F.sum(lines).alias("total_lines"), F.array_sort(F.collect_set(language)).alias("detected_languages"))
+    hashes = content_hashes(files, project, path).withColumnRenamed(project, "_project")
+    return counts.join(hashes, counts[project].eqNullSafe(hashes["_project"])).drop("_project")
 
 
 def project_limits(projects: DataFrame, rollup: DataFrame, project: str = "project_id", max_lines: int = MAX_LINES) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codecorpus.operators import search as index
+
 # -- fixed values --------------------------------------------------------------------------------------------------
 ACTIVE = ("queued", "extracting", "analyzing", "generating")
 INTERRUPTIBLE = ("queued", "extracting", "analyzing")
@@ -69,24 +71,32 @@ def file_inventory(files: DataFrame, project: str = "project_id") -> DataFrame:
     return own.join(counts, own[project].eqNullSafe(counts["_project"])).drop("_project")
 
 
-def search(rows: DataFrame, query: str, *columns: str) -> DataFrame:
-    """Rows of which a column holds the query, whatever its case; an empty query keeps all. Array columns match by element."""
-    q = query.strip().lower()
-    if not q:
-        return rows
-    met = F.lit(False)
-    for c in columns:
-        array = rows.schema[c].dataType.typeName() == "array"
-        met = met | (F.exists(c, lambda x: F.contains(F.lower(x), F.lit(q))) if array else F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False)))
-    return rows.where(met)
+def search(rows: DataFrame, query: str, *columns: str, key: str | None = None, postings: str | None = None) -> DataFrame:
+    """Rows of which a column holds the query, whatever its case; an empty query keeps all. Array columns match by element. With
+    `postings` (of these columns, by key) only the rows that these name are looked at."""
+    if postings:
+        return index.search_postings(rows, key, query, columns, postings)
+    return rows.where(index.holds(rows, query, columns)) if query.strip() else rows
+
+
+def module_texts(modules: DataFrame, symbols: DataFrame) -> DataFrame:
+    """module_id, texts: a module's path and the names of its functions and classes, as `search_modules` looks through them."""
+    names = symbols.where(F.col("kind").isin("function", "class")).groupBy("module_id").agg(F.collect_set("name").alias("_names"))
+    own = modules.select("module_id", "relative_path").join(names, "module_id", "left")
+    return own.select("module_id", F.concat(F.array("relative_path"), F.coalesce("_names", F.array().cast("array<string>"))).alias("texts"))
 
 
-def search_modules(modules: DataFrame, symbols: DataFrame, query: str, language: str = "all") -> DataFrame:
-    """Modules whose path, or the name of a function or class of which, holds the query."""
+def search_modules(modules: DataFrame, symbols: DataFrame, query: str, language: str = "all", postings: str | None = None) -> DataFrame:
+    """Modules whose path, or the name of a function or class of which, holds the query; with `postings` (of `module_texts`, by
+    module_id) only the modules that these name are read further."""
+    own = modules if language == "all" else modules.where(F.col("language") == language)
+    found = index.candidates(modules.sparkSession, postings, query) if postings else None
+    if found is not None:
+        near = found.withColumnRenamed("key", "module_id")
+        own, symbols = own.join(near, "module_id", "left_semi"), symbols.join(near, "module_id", "left_semi")
     q = F.lit(query.strip().lower())
     named = symbols.where(F.col("kind").isin("function", "class") & F.contains(F.lower("name"), q)).select("module_id", F.lit(True).alias("_named")).distinct()
-    found = modules.join(named, "module_id", "left").where(F.contains(F.lower("relative_path"), q) | F.col("_named")).drop("_named")
-    return found if language == "all" else found.where(F.col("language") == language)
+    return own.join(named, "module_id", "left").where(F.contains(F.lower("relative_path"), q) | F.col("_named")).drop("_named")
 
 
 def project_metadata(projects: DataFrame, project_id, hidden: tuple[str, ...] = ("workspace_id",), project: str = "project_id") -> DataFrame:

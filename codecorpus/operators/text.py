@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions import scalars as s
+from codecorpus.operators.diff import line_differences
 from codecorpus.operators.inventory import BREAKS
 
 
@@ -72,11 +73,15 @@ WARNINGS = (
 # ------------------------------------------------------------------------------------------------------------------
 
 
+def line_array(text: Column | str) -> Column:
+    """The lines of a text. An empty text has none; a break at the end begins none."""
+    parts = F.split(text, BREAKS)
+    return F.when((F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
 def lines(files: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
     """keys, line_no from 1, line of every text. An empty text has no lines; a break at the end begins none."""
-    parts = F.split(text, BREAKS)
-    whole = F.when((F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return files.select(*keys, F.posexplode(whole).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return files.select(*keys, F.posexplode(line_array(text)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def rewrite(files: DataFrame, rules: tuple[Rewrite, ...], text: str = "content") -> DataFrame:
@@ -148,11 +153,9 @@ def syntax_gate(rewrites: DataFrame, language: Column | str = "python") -> DataF
 
 
 def line_diff(files: DataFrame, keys: list[str], before: str = "content", after: str = "modern") -> DataFrame:
-    """keys, line_no, op (changed, added, removed), before, after of the lines that differ at their number."""
-    a = lines(files, keys, before).withColumnRenamed("line", "before")
-    b = lines(files, keys, after).withColumnRenamed("line", "after")
-    both = a.join(b, [*keys, "line_no"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
-    return both.withColumn("op", F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed"))
+    """keys, line_no, after_no, op (changed, added, removed), before, after: lines that differ once the texts are aligned by the
+    lines that stand once in both, so that an inserted line is one added line. See `diff.line_differences`."""
+    return line_differences(files, keys, line_array(before), line_array(after))
 
 
 def rewrite_rollup(rewrites: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,9 +1,15 @@
 """Jobs, caches, lists and searches."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from codecorpus.operators import graph
 from codecorpus.operators import jobs as op
+from codecorpus.operators import search as index
 from codecorpus.queries.register import adder
+from codecorpus.shipping import shared_folder
+from codecorpus.sources import scan
 
 ALL: dict = {}
 add = adder(ALL)
@@ -29,6 +35,23 @@ add("f22_job_error", "v_jobs", lambda j: op.recover_interrupted(j).select("job_i
 add("o5_job_progress", "v_jobs", lambda j: op.job_progress(j).select("job_id", "stage", "progress"), "SELECT job_id, CASE state WHEN 'completed' THEN 'Completed' WHEN 'queued' THEN 'Queued' ELSE 'Analyzing' END AS stage, CAST(CASE state WHEN 'completed' THEN 100 WHEN 'queued' THEN 25 ELSE 75 END AS INT) AS progress FROM v_jobs")
 add("p1_project_metadata", "v_jobs", lambda j: op.project_metadata(j.withColumn("workspace_id", F.lit("w")), 37), "SELECT * FROM v_jobs WHERE project_id = 37")
 add("p2_file_inventory", "v_files", lambda f: op.file_inventory(f).select("doc_id", "project_id", "file_count"), "SELECT doc_id, project_id, count(*) OVER (PARTITION BY project_id) AS file_count FROM v_files")
-add("p4_search_modules", "v_modules v_symbols", lambda m, y: op.search_modules(m, y, "FN_1", "python").select("module_id"), "SELECT module_id FROM v_modules WHERE language = 'python' AND (contains(lower(relative_path), 'fn_1') OR module_id IN (SELECT module_id FROM v_symbols WHERE kind IN ('function', 'class') AND contains(name, 'fn_1')))")
+
+
+def _posted(rows, key, columns, find):
+    """What find(path) gives with the postings of rows in the shared folder."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    index.write_postings(rows, key, columns, path)
+    found = graph.settled(find(path))
+    scan.delete_tree(spark, path)
+    return found
+
+
+def _languages(j):
+    return j.withColumn("languages", F.array("state"))
+
+
+add("p4_search_modules", "v_modules v_symbols", lambda m, y: _posted(op.module_texts(m, y), "module_id", ("texts",), lambda path: op.search_modules(m, y, "FN_1", "python", path).select("module_id")), "SELECT module_id FROM v_modules WHERE language = 'python' AND (contains(lower(relative_path), 'fn_1') OR module_id IN (SELECT module_id FROM v_symbols WHERE kind IN ('function', 'class') AND contains(name, 'fn_1')))")
 add("p5_search_impacts", "v_modules", lambda m: op.search(m, " Bl ", "relative_path").select("module_id"), "SELECT module_id FROM v_modules WHERE contains(lower(relative_path), 'bl')")
-add("p6_search_projects", "v_jobs", lambda j: op.search(j.withColumn("languages", F.array("state")), "queue", "source_type", "languages").select("job_id"), "SELECT job_id FROM v_jobs WHERE contains(lower(source_type), 'queue') OR contains(state, 'queue')")
+add("p5_search_postings", "v_modules", lambda m: _posted(m, "module_id", ("relative_path",), lambda path: op.search(m, " blue/", "relative_path", key="module_id", postings=path).select("module_id")), "SELECT module_id FROM v_modules WHERE contains(lower(relative_path), 'blue/')")
+add("p6_search_projects", "v_jobs", lambda j: _posted(_languages(j), "job_id", ("source_type", "languages"), lambda path: op.search(_languages(j), "queue", "source_type", "languages", key="job_id", postings=path).select("job_id")), "SELECT job_id FROM v_jobs WHERE contains(lower(source_type), 'queue') OR contains(state, 'queue')")
