@@ -43,34 +43,87 @@ NOTICES = {
     "do what the fuck you want to public license": "wtfpl",
     "server side public license": "sspl",
     "business source license": "busl",
+    "gplv2": "gpl",
+    "gplv3": "gpl",
+    "lgplv2": "lgpl",
+    "lgplv3": "lgpl",
+    "agplv3": "agpl",
+    "gnu gpl": "gpl",
+    "gnu lgpl": "lgpl",
+    "gnu agpl": "agpl",
+    "gpl version 2": "gpl",
+    "gpl version 3": "gpl",
+    "apache 2 0 license": "apache",
+    "apache 2 0 licensed": "apache",
+    "apache 2 licensed": "apache",
+    "mit licensed": "mit",
+    "isc licensed": "isc",
+    "bsd licensed": "bsd",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "zlib license": "zlib",
+    "mpl 2 0": "mpl",
 }
 TAG = "spdx license identifier"
-#: Families of identifiers in expressions: the name alone, or followed by a version or variant (`-2.0-only`, `+`, `v3`, `-3-clause`).
-FAMILIES = ("mit", "apache", "agpl", "lgpl", "gpl", "bsd", "mpl", "epl", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by", "cc0", "isc", "unlicense", "zlib")
+#: Families of identifiers in expressions, each by all of its identifiers.
+_GNU = r"(?:-?v?[0-9]+(?:\.[0-9]+)*)?(?:-only|-or-later|\+)?"
+FAMILIES = {
+    "mit": r"mit(?:-[0-9]+|-advertising|-cmu|-enna|-feh|-festival|-khronos-old|-modern-variant|-open-group|-testregex|-wu)?",
+    "apache": r"apache(?:-?v?[0-9]+(?:\.[0-9]+)*)?\+?",
+    "agpl": "agpl" + _GNU,
+    "lgpl": "lgpl" + _GNU,
+    "gpl": "gpl" + _GNU,
+    "bsd": r"0bsd|bsd(?:-[0-9]-clause(?:-[a-z0-9]+)*)?",
+    "mpl": r"mpl(?:-[0-9.]+)?\+?(?:-no-copyleft-exception)?",
+    "epl": r"epl(?:-[0-9.]+)?\+?",
+    "cc-by-nc": r"cc-by-nc(?:-[0-9.]+(?:-[a-z]+)?|-sa(?:-[0-9.]+)?(?:-[a-z]+)?|-nd(?:-[0-9.]+)?(?:-[a-z]+)?)?",
+    "cc-by-nd": r"cc-by-nd(?:-[0-9.]+(?:-[a-z]+)?)?",
+    "cc-by-sa": r"cc-by-sa(?:-[0-9.]+(?:-[a-z]+)?)?",
+    "cc-by": r"cc-by(?:-[0-9.]+(?:-[a-z]+)?)?",
+    "cc0": r"cc0(?:-[0-9.]+)?",
+    "isc": r"isc(?:-veillard)?",
+    "unlicense": r"unlicense",
+    "zlib": r"zlib(?:-acknowledgement)?",
+}
+#: Families and single identifiers (without version) that ask for no more than notices.
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib"}
+PERMISSIVE_IDS = frozenset("afl artistic beerware blueoak bsl curl fsfap fsful hpnd icu ijg libpng libtiff ms-pl mulanpsl ncsa ntp openssl pddl php postgresql psf python tcl unicode-3 unicode-dfs upl vim w3c wtfpl x11 xfree86 xnet zpl".split())
+_version = re.compile(r"(?:-v?[0-9][0-9.]*)+\+?$")
+#: What may stand behind `with`: exceptions, by their last words.
+_exception = re.compile(r"(?:[a-z0-9.+]+-)*exception(?:-[0-9.]+)?|linux-syscall-note|gpl-cc-1\.0|shl-2\.[01]|additionref-[a-z0-9.-]+")
 PRECEDENCE = {"or": 1, "and": 2}
 #: SPDX identifiers that have neither a digit nor a hyphen, so that only their names tell them from prose.
 BARE = frozenset("aal abstyles adsl afmparse aladdin aml ampas apafml barr beerware blessing caldera catharon clartistic clips crossword crystalstacker cube curl diffmark dotseqn dsdp dtoa dvipdfm entessa epics etalab eurosym fsfap fsful ftl furuseth fwlw giftware glide glulxe gnuplot gtkbook haskellreport hdparm hpnd htmltidy icu ijg imagemagick imatix intel ipa jam jpnic jplicense json kastrup leptonica libpng libtiff lsof magaz mailprio maketindex miros motosoto mtll mup naist naumen ncsa netcdf newsletr ngpl nlpl nokia noweb nrl ntp oclc ogtsl oldap openpbs openssl padl php pixar plexus postgresql psfrag psutils python qhull radvd rdisc ruby saxpath scea schemereport sendmail sissl sleepycat smppl snia snprintf softsurfer soundex spl swl swrule symlinks tcl tgppl threeparttable tmate tosl ttwl ucar ulem unixcrypt upl vim vostrom wsuipa wtfpl xerox xfig xinetd xlock xnet xpp xskat xzoom zed zeeff".split())
-_identifier = re.compile(r"(?=[^-0-9]*[-0-9])(?=[^a-z]*[a-z])[a-z0-9][a-z0-9._+:-]*")
-_family = re.compile(f"({'|'.join(sorted(map(re.escape, FAMILIES), key=len, reverse=True))})(?=$|[-+.0-9]|v[0-9])")
+#: An unknown identifier has a version, or names itself a reference; one with a hyphen alone only where a whole line is an expression.
+_identifier = re.compile(r"(?=[^a-z]*[a-z])[a-z0-9][a-z0-9._+-]*-v?[0-9][a-z0-9._+-]*|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+_hyphened = re.compile(r"(?=[^a-z]*[a-z])[a-z0-9][a-z0-9._+]*(?:-[a-z0-9._+]+)+")
+_family = re.compile("|".join(f"(?P<_{i}>{p})" for i, p in enumerate(FAMILIES.values())))
+_names = list(FAMILIES)
 _word = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _rest = re.compile(rb"[ \t]*:?[ \t]*([^\r\n]*)")
-_token = re.compile(r"[()]|[^\s()]+")
+_token = re.compile(r"[()]|(?<=[a-z0-9.+])/(?=[a-z0-9(])|[^\s()/]+|/")
 
 _to_space = bytes(0x20 if c.NOT_ALNUM[b] else b for b in c.LOWER)
 
 
-def licence(token: str) -> str | None:
+def licence(token: str, loose: bool = False) -> str | None:
     """The family of an identifier, an unknown identifier's own name, None for what isn't one."""
-    family = _family.match(token)
-    return family[1] if family else (token if token in BARE or _identifier.fullmatch(token) else None)
+    family = _family.fullmatch(token)
+    if family:
+        return _names[int(family.lastgroup[1:])]
+    return token if token in BARE or _identifier.fullmatch(token) or loose and _hyphened.fullmatch(token) else None
+
+
+def permissive(name: str) -> bool:
+    return name in PERMISSIVE or _version.sub("", name) in PERMISSIVE_IDS
 
 
-def parse(text: str) -> tuple[tuple[set[str], bool] | None, bool]:
+def parse(text: str, loose: bool = False) -> tuple[tuple[set[str], bool] | None, bool]:
     """The longest beginning of a text that is an expression (None if there is none), and whether it is the whole text. One pass.
 
-    Operands and operators go through a shunting yard: `with` binds closest, then `and`, then `or`; parentheses group.
-    Unknown identifiers are operands too, and not permissive.
+    Operands and operators go through a shunting yard: `with` binds closest, then `and`, then `or`; parentheses group, and a
+    slash between two identifiers is an `or`. Behind `with` stands an exception, or the expression ends before it. Unknown
+    identifiers are operands too, and not permissive; `loose` takes any hyphenated name for one.
     """
     names: list[str] = []  # of all operands so far
     values: list[bool] = []
@@ -98,9 +151,11 @@ def parse(text: str) -> tuple[tuple[set[str], bool] | None, bool]:
     operand, exception = True, False
     for m in _token.finditer(text.lower()):
         token, whole = m[0], False
-        bare = token.rstrip(".,;:*/->\"'")
+        bare = token.rstrip(".,;:*->\"'")
+        if token == "/":
+            token = bare = "or"
         if exception:  # only loosens the licence that it stands with
-            if token in "()" or token in PRECEDENCE or token == "with" or not bare:
+            if not _exception.fullmatch(bare):
                 break
             exception = False
             complete()
@@ -109,10 +164,10 @@ def parse(text: str) -> tuple[tuple[set[str], bool] | None, bool]:
             opened += 1
             continue
         elif operand and token not in PRECEDENCE and token not in (")", "with"):
-            if not bare or not (name := licence(bare)):
+            if not bare or not (name := licence(bare, loose)):
                 break
             names.append(name)
-            values.append(name in PERMISSIVE)
+            values.append(permissive(name))
             operand = False
             complete()
         elif not operand and token == "with":
@@ -139,13 +194,14 @@ def parse(text: str) -> tuple[tuple[set[str], bool] | None, bool]:
 
 def expression(text: str) -> tuple[set[str], bool] | None:
     """The licences that an expression names, and whether it can be met by permissive ones alone; None if it isn't one."""
-    found, whole = parse(text)
+    found, whole = parse(text, True)
     return found if whole else None
 
 
 def leading_expression(line: str) -> tuple[set[str], bool] | None:
-    """The longest beginning of a line that is an expression: prose may follow a tag."""
-    return parse(line)[0]
+    """The longest beginning of a line that is an expression: prose may follow a tag. A hyphenated name without a version is an
+    identifier only if the whole line is an expression."""
+    return expression(line) or parse(line)[0]
 
 
 @functools.cache

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 import xxhash
 
 from codecorpus.llm import hash_tree, licences
@@ -183,3 +184,21 @@ def test_expressions_against_their_truth_tables():
         labels, free = licences.expression(text)
         assert free == eval(truth), text
         assert labels == {licences.licence(n) for n in re.findall(r"[a-z0-9.-]+", text) if n not in ("and", "or")}
+
+
+@pytest.mark.parametrize(
+    "line,labels,free",
+    [
+        ("MIT-style terms apply", "", None), ("mit-based", "mit-based", False), ("gpl-compatible with all", "", None), ("gpl-compatible", "gpl-compatible", False), ("Apache-2.0/MIT", "apache,mit", True), ("GPL-2.0-only/MIT", "gpl,mit", True), ("0BSD", "bsd", True), ("WTFPL", "wtfpl", True),
+        ("GPL-2.0 WITH Classpath-exception-2.0", "gpl", False), ("GPL-2.0 WITH great ideas", "gpl", False), ("MIT WITH Linux-syscall-note AND GPL-2.0-only", "gpl,mit", False), ("MIT with LLVM-exception OR GPL-3.0+", "gpl,mit", True), ("BSL-1.0 OR GPL-3.0", "bsl-1.0,gpl", True), ("Artistic-2.0", "artistic-2.0", True),
+        ("CDDL-1.0", "cddl-1.0", False), ("(MIT)/(GPL-2.0)", "gpl,mit", True), ("MIT */", "mit", True), ("MIT // see LICENSE", "mit", True), ("CC-BY-NC-SA-4.0", "cc-by-nc", False), ("LicenseRef-Own", "licenseref-own", False), ("Apache 2.0", "apache", True), ("LGPL-2.1-or-later", "lgpl", False),
+    ],
+)
+def test_identifiers_are_taken_whole(line, labels, free):
+    got = licences.scan(f"// SPDX-License-Identifier: {line}\n".encode())
+    assert (got["labels"], got["permissive"]) == (labels, free)
+
+
+@pytest.mark.parametrize("text,labels", [("under the GPLv3.", "gpl"), ("the GNU GPL version 3", "gpl"), ("Apache 2.0 licensed code", "apache"), ("MIT-licensed", "mit"), ("BSD 3-Clause", "bsd"), ("a gplv4 world", ""), ("we admit licensed users", "")])
+def test_prose_names_licences(text, labels):
+    assert licences.scan(text.encode())["labels"] == labels
