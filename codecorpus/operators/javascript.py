@@ -488,6 +488,31 @@ FACT = {"kind": pa.string(), "name": pa.string(), "qualified_name": pa.string(),
 SCHEMA = "_kind string, _name string, _qualified_name string, _symbols array<string>, _is_async boolean, _line bigint, _end_line bigint, _depth int, _parameters array<struct<name:string,annotation:string,default:string>>, _complexity int"
 
 
+def _batch(found: list[list[dict]], own: list[pa.Array], keys: list[str], base: int = 0) -> pa.RecordBatch:
+    """Facts of texts as rows behind their keys; base: the number of the line before the first."""
+    flat = [r for rows in found for r in rows]
+    at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+    lines = {"line", "end_line"}
+    return pa.RecordBatch.from_arrays([*[x.take(at) for x in own], *[pa.array([r[c] + base if c in lines else r[c] for r in flat], t) for c, t in FACT.items()]], [*keys, *[f"_{c}" for c in FACT]])
+
+
+def _rows(text: str) -> list[dict]:
+    found = Facts(text)
+    found.add("points", "", 1, complexity=found.points + 1)
+    return found.rows
+
+
+def javascript_text_facts(files: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
+    """What `javascript_facts` gives, of whole texts: no shuffle. A null text is the empty one."""
+    kinds = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([_rows("\n".join((t or "").splitlines())) for t in batch.column(len(keys)).to_pylist()], batch.columns[: len(keys)], keys)
+
+    return files.select(*keys, text).mapInArrow(run, f"{kinds}, {SCHEMA}")
+
+
 def javascript_facts(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys and _kind, _name, _qualified_name, _symbols, _is_async, _line, _end_line, _depth, _parameters, _complexity of each fact.
 
@@ -502,12 +527,7 @@ def javascript_facts(line_rows: DataFrame, keys: list[str]) -> DataFrame:
         own, held, last = None, [], 0
 
         def facts(types) -> pa.RecordBatch:
-            found = Facts("\n".join(held))
-            found.add("points", "", 1, complexity=found.points + 1)
-            rows = found.rows
-            first = [pa.array([v] * len(rows), t) for v, t in zip(own, types, strict=True)]
-            lines = {"line", "end_line"}
-            return pa.RecordBatch.from_arrays([*first, *[pa.array([r[c] + base if c in lines else r[c] for r in rows], t) for c, t in FACT.items()]], [*keys, *[f"_{c}" for c in FACT]])
+            return _batch([_rows("\n".join(held))], [pa.array([v], t) for v, t in zip(own, types, strict=True)], keys, base)
 
         base, types = 0, []
         for batch in batches:

@@ -59,6 +59,14 @@ VIEWS = {
           ELSE 'function g@(a, cb) {{~  try {{ a(); }} catch (e) {{ for (const i of a) {{ while (i || cb) {{ w@(i); }} }} }}~  function inner@() {{}}~}}~exports.g@ = g@;' END,
         '@', CAST(n AS STRING)), '~', chr(10)), '^', chr(39)), '§', '$') AS content
         FROM (SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq, CAST(l_partkey % 6 AS INT) AS kind, l_suppkey AS n FROM {lineitem})""",
+    "v_code": """SELECT concat('p', CAST(block % 25 AS STRING)) AS project_id, concat('pkg/mod_', CAST(block AS STRING), CASE WHEN block % 2 = 0 THEN '.py' ELSE '.js' END) AS relative_path, block, CAST(block % 2 AS INT) AS script, seq, kind, m,
+        replace(replace(replace(CASE WHEN block % 2 = 0 THEN CASE kind WHEN 0 THEN 'from pkg.mod_# import f_@' WHEN 1 THEN 'def f_@(a, b=1):~    return a + b' WHEN 2 THEN 'x_@ = g(@)' WHEN 3 THEN 'class K_@:~    def m(self): return @' WHEN 4 THEN 'def h_@(a, b=[]):~    return eval(a)'
+            WHEN 5 THEN 'try:~    h(@)~except:~    pass' WHEN 6 THEN 'd = {{}}~for k in xrange(@): d.iteritems()' ELSE 'import imp as imp_@' END
+          ELSE CASE kind WHEN 0 THEN 'import {{ a_@ }} from "./mod_#.js";' WHEN 1 THEN 'function f_@(cb) {{~  if (cb == null) {{ return g(@); }}~}}' WHEN 2 THEN 'var v_@ = require("./mod_#");' WHEN 3 THEN 'class C_@ {{~  m(a) {{ return a || @; }}~}}' WHEN 4 THEN 'const a_@ = (x) => x ? @ : 0;'
+            WHEN 5 THEN 'exports.x_@ = eval("@");' WHEN 6 THEN 'let s_@ = `import q from "z"`;' ELSE 'module.exports = {{ q: @ }};' END END,
+        '@', CAST(n AS STRING)), '#', CAST(m AS STRING)), '~', chr(10)) AS piece
+        FROM (SELECT block, CAST(row_number() OVER (PARTITION BY block ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS seq, CAST(l_partkey % 8 AS INT) AS kind, l_suppkey AS n, CAST(l_partkey % 200 AS BIGINT) AS m
+          FROM (SELECT *, CAST(floor(l_orderkey / 50) AS BIGINT) AS block FROM {lineitem}))""",
     "v_urls": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('https://github.com/owner', CAST(page_id % 7 AS STRING), '/repo-', CAST(page_id AS STRING), CASE WHEN page_id % 2 = 0 THEN '.git' ELSE '' END) WHEN page_id % 31 = 1 THEN concat('https://user:pw@github.com/a/b', CAST(page_id AS STRING)) ELSE url END AS url FROM {pages}""",
 }
 
