@@ -218,7 +218,7 @@ def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         both = rows.join(F.broadcast(sites), ["host", "path"])
     else:  # a site may hold any share of the rows: they meet its mean in parts
         salted = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "_salt"])
+        both = rows.withColumn("_salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "_salt"])
     # without the document itself, at both levels
     host = (F.col("hs") - p + F.col("hk") * F.col("all")) / (F.col("hn") - 1 + F.col("hk"))
     site = (F.col("s") - p + F.col("k") * host) / (F.col("n") - 1 + F.col("k"))

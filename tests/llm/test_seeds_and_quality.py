@@ -124,3 +124,37 @@ def test_substituted_words_as_by_the_rule_alone(spark):
     docs = cases.table(spark, [(d, t, *[None] * 7) for d, t in texts])
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in spaced_seeds.leaks(docs, bench, light=True).collect()} == want and len(want) > 150
+
+
+def test_posteriors_follow_from_the_evidence(spark, monkeypatch):
+    """Shrinkage at both levels, without the document itself, worked out again from the evidence that the query returns."""
+    r = random.Random(8)
+    rows = [(i if i % 7 else None, f"{'good prose about things. ' * (i % 4)}{'%%% ' * (i % 3)}x{i}", f"l{r.choice('abc')}", f"s{r.choice('ppppq')}", None, None, None, None, None) for i in range(400)]
+    rows += [(900, "alone", "lz", "sz", None, None, None, None, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    got = quality.score(cases.table(spark, rows), labels).collect()
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)  # by salted parts
+    salted = quality.score(cases.table(spark, rows), labels).collect()
+    assert sorted((x.host, x.path, round(x.posterior, 9)) for x in got) == sorted((x.host, x.path, round(x.posterior, 9)) for x in salted)
+
+    def shrunk(sites, up):
+        n = {k: len(v) for k, v in sites.items()}
+        within = sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in sites.values()) / max(1, sum(x - 1 for x in n.values()))
+        total = sum(n.values())
+        between = sum(n[k] * (sum(v) / n[k] - up[k]) ** 2 for k, v in sites.items()) / total - len(sites) * within / total
+        strength = min(1000.0, max(1.0, within / max(between, 1e-9)))
+        return strength, {k: (sum(v) + strength * up[k]) / (n[k] + strength) for k, v in sites.items()}
+
+    hosts, paths = {}, {}
+    for x in got:
+        hosts.setdefault(x.host, []).append(x.evidence)
+        paths.setdefault((x.host, x.path), []).append(x.evidence)
+    everything = sum(x.evidence for x in got) / len(got)
+    hk, means = shrunk(hosts, dict.fromkeys(hosts, everything))
+    k, _ = shrunk(paths, {p: means[p[0]] for p in paths})
+    for x in got:
+        h, p, e = hosts[x.host], paths[x.host, x.path], x.evidence
+        host = (sum(h) - e + hk * everything) / (len(h) - 1 + hk)
+        site = (sum(p) - e + k * host) / (len(p) - 1 + k)
+        odds = e / (1 - e) * site / (1 - site) / (everything / (1 - everything))
+        assert abs(x.site - site) < 1e-6 and abs(x.posterior - odds / (1 + odds)) < 1e-6 and x.keep == (x.posterior >= quality.REJECT_BELOW - 1e-9)
