@@ -25,6 +25,9 @@ def _outside_bodies(line_rows: DataFrame, keys: list[str], wanted: str) -> DataF
     and wanted lines: a head's body ends with the next line of code that is indented no deeper."""
     import pyarrow as pa
 
+    from codecorpus.shipping import ship
+
+    ship(line_rows.sparkSession)
     indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
     code = line_rows.where(~F.rlike("line", F.lit(r"^\s*(#.*)?$"))).select(*keys, "line_no", "line", indent.alias("_indent"), F.rlike("line", F.lit(r"^\s*(?:async\s+)?def\s")).alias("_head"), F.rlike("line", F.lit(wanted)).alias("_wanted"))
     n = len(keys)
@@ -78,6 +81,9 @@ def python_symbols(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     Columns other than the keys, line_no and line are ignored."""
     head = r"^\s*(async\s+)?(def|class)\s+(\w+)"
     name = r"^([A-Za-z_]\w*)\s*(?::[^=]+)?=[^=]"
+    from codecorpus.shipping import ship
+
+    ship(line_rows.sparkSession)
     code = line_rows.where(~F.rlike("line", F.lit(r"^\s*(#.*)?$"))).select(*keys, "line_no", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("indent"), F.regexp_extract("line", head, 2).alias("_head"), F.regexp_extract("line", name, 1).alias("_own"), F.regexp_extract("line", head, 3).alias("_name"), (F.regexp_extract("line", head, 1) != "").alias("is_async"))
     kinds = [code.schema[k].dataType.simpleString() for k in keys]
     types = f"{', '.join(f'`{k}` {t}' for k, t in zip(keys, kinds, strict=True))}, line_no {code.schema['line_no'].dataType.simpleString()}, kind string, name string, is_async boolean, indent int, end_line {code.schema['line_no'].dataType.simpleString()}"

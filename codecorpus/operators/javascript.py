@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from codecorpus.shipping import ship
+
 # -- fixed values --------------------------------------------------------------------------------------------------
 BRANCHES = ("if", "for", "while", "do", "catch", "case")
 LOGICAL = ("&&", "||", "??")
@@ -504,6 +506,7 @@ def _rows(text: str) -> list[dict]:
 
 def javascript_text_facts(files: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
     """What `javascript_facts` gives, of whole texts: no shuffle. A null text is the empty one."""
+    ship(files.sparkSession)
     kinds = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -520,6 +523,7 @@ def javascript_facts(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     export_variable, export_default, export_all, function, method, constructor, class, variable, call (qualified_name: the
     innermost function around it, or ''), points (complexity: the whole file's branch points and 1). Lines that are
     missing from line_rows are empty ones. Columns other than the keys, line_no and line are ignored."""
+    ship(line_rows.sparkSession)
     kinds = ", ".join(f"`{k}` {line_rows.schema[k].dataType.simpleString()}" for k in keys)
     n = len(keys)
 

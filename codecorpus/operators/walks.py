@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codecorpus.shipping import ship
+
 #: Edges of a project that one task takes where there is a distributed way for larger ones.
 LIMIT = 2_000_000
 #: Bytes of the bit sets that a task holds at a time.
@@ -199,6 +201,7 @@ def split_by_size(edges: DataFrame, project: str, limit: int | None = None) -> t
 
 def _walked(edges: DataFrame, project: str, source: str, target: str, walk, schema: str) -> DataFrame:
     """walk(nodes, targets, sources, targets of rows) of each project's graph yields columns after the project's; edges without a project go."""
+    ship(edges.sparkSession)
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
