@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +39,28 @@ def javascript_candidates(name: Column, source_path: Column) -> Column:
     return F.when(F.startswith(name, F.lit(".")), F.array(*[F.concat(base, F.lit(x)) for x in SUFFIXES])).otherwise(F.array().cast("array<string>"))
 
 
-def resolve(imports: DataFrame, modules: DataFrame, candidates: Column, keys: list[str]) -> DataFrame:
-    """imports with target_id, the first candidate that is a module of the project, or null. imports: project_id and keys that name a row."""
-    spread = imports.select(*keys, "project_id", F.posexplode(candidates).alias("priority", "candidate"))
-    paths = modules.select("project_id", F.col("relative_path").alias("candidate"), F.col("module_id").alias("target_id"))
-    hits = spread.join(paths, ["project_id", "candidate"]).groupBy(*keys).agg(F.min_by("target_id", "priority").alias("target_id"))
-    return imports.join(hits, keys, "left")
+def resolve(imports: DataFrame, modules: DataFrame, candidates: Callable[[Column, Column], Column], source_path: str, name: str) -> DataFrame:
+    """imports with target_id, the first candidate that is a module of the project, or null.
+
+    What an import means depends on its project, its source's folder and its name, so each such triple is looked up once,
+    however many files hold it. Columns of imports may have any other names."""
+    near = imports.withColumns({"_project": F.col("project_id"), "_folder": folder(F.col(source_path)), "_name": F.col(name)})
+    asked = near.select("_project", "_folder", "_name").distinct()
+    somewhere = F.when(F.col("_folder") == "", "_").otherwise(F.concat("_folder", F.lit("/_")))
+    spread = asked.select("_project", "_folder", "_name", F.posexplode(candidates(F.col("_name"), somewhere)).alias("_priority", "_candidate"))
+    paths = modules.select(F.col("project_id").alias("_project"), F.col("relative_path").alias("_candidate"), F.col("module_id").alias("target_id"))
+    hits = spread.join(paths, ["_project", "_candidate"]).groupBy("_project", "_folder", "_name").agg(F.min_by("target_id", "_priority").alias("target_id"))
+    return near.join(hits, ["_project", "_folder", "_name"], "left").drop("_project", "_folder", "_name")
 
 
-def resolve_python_imports(imports: DataFrame, modules: DataFrame, keys: list[str], source_path: str = "relative_path", name: str = "module_name") -> DataFrame:
-    return resolve(imports, modules, python_candidates(F.col(name), F.col(source_path)), keys)
+def resolve_python_imports(imports: DataFrame, modules: DataFrame, keys: list[str] | None = None, source_path: str = "relative_path", name: str = "module_name") -> DataFrame:
+    """See `resolve`; keys isn't needed any more."""
+    return resolve(imports, modules, python_candidates, source_path, name)
 
 
-def resolve_javascript_imports(imports: DataFrame, modules: DataFrame, keys: list[str], source_path: str = "relative_path", name: str = "module_name") -> DataFrame:
-    return resolve(imports, modules, javascript_candidates(F.col(name), F.col(source_path)), keys)
+def resolve_javascript_imports(imports: DataFrame, modules: DataFrame, keys: list[str] | None = None, source_path: str = "relative_path", name: str = "module_name") -> DataFrame:
+    """See `resolve`; keys isn't needed any more."""
+    return resolve(imports, modules, javascript_candidates, source_path, name)
 
 
 def build_edges(resolved: DataFrame, kind: str = "import_kind") -> DataFrame:
