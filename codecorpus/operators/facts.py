@@ -10,6 +10,9 @@ from codecorpus.operators.javascript import javascript_facts
 # -- fixed values --------------------------------------------------------------------------------------------------
 ENTRY_FILES = ("index.js", "index.jsx", "index.ts", "index.tsx", "index.mjs", "index.cjs", "main.js", "main.jsx", "server.js", "app.js", "cli.js")
 CALL_WORDS = ("if", "for", "while", "switch", "catch", "return", "function", "def", "class", "and", "or", "not", "in", "elif", "with", "except", "print", "lambda", "async", "await", "typeof", "new")
+# messages of warnings; {} is the subject, then the score
+TOO_COMPLEX = "Function '{}' has high cyclomatic complexity ({})."
+NOT_PARSED = "Python parser could not fully parse this file."
 # ------------------------------------------------------------------------------------------------------------------
 
 CODE = r"(?s)\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
@@ -229,13 +232,14 @@ def docstrings(line_rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def complexity_warnings(symbols: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
     """keys, code, message, line, severity of the functions whose complexity is above `most`. symbols: keys, kind, name, complexity, start_line."""
-    message = F.concat(F.lit("Function '"), "name", F.lit("' has high cyclomatic complexity ("), F.col("complexity").cast("string"), F.lit(")."))
+    before, between, behind = TOO_COMPLEX.split("{}")
+    message = F.concat(F.lit(before), "name", F.lit(between), F.col("complexity").cast("string"), F.lit(behind))
     return symbols.where((F.col("complexity") > most) & F.col("kind").isin("function", "method", "constructor")).select(*keys, F.lit("HIGH_COMPLEXITY").alias("code"), message.alias("message"), F.col("start_line").alias("line"), F.lit("warning").alias("severity"))
 
 
 def syntax_warnings(fact_rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, code, message, line, severity of the files that `python_facts` couldn't parse."""
-    return fact_rows.where("kind = 'error'").select(*keys, F.lit("SYNTAX_ERROR").alias("code"), F.lit("Python parser could not fully parse this file.").alias("message"), "line", F.lit("risk").alias("severity"))
+    return fact_rows.where("kind = 'error'").select(*keys, F.lit("SYNTAX_ERROR").alias("code"), F.lit(NOT_PARSED).alias("message"), "line", F.lit("risk").alias("severity"))
 
 
 FACTS = "kind string, name string, line int, end_line int, complexity int, detail string"
