@@ -140,3 +140,27 @@ def test_odd_edges(spark):
     assert {tuple(r) for r in graph.cyclic_components(e.where("project_id is not null")).collect()} == {("b", "b"), ("c", "b")}
     none = edges(spark, [])
     assert graph.dfs_cycles(none).count() == graph.cyclic_components(none).count() == graph.transitive_dependents(none).count() == graph.cycles(none, 4).count() == 0
+
+
+def test_pieces_of_pairs_and_lists_stay_small(spark, monkeypatch):
+    """A component whose members all reach each other comes in pieces too; the lists of entry points as well."""
+    monkeypatch.setattr(walks, "PIECE", 500)
+    monkeypatch.setattr(walks, "LISTED", 300)
+    ring = [(f"{i:03d}", f"{(i + 1) % 100:03d}") for i in range(100)]
+    sources, targets = [a for a, _ in ring], [b for _, b in ring]
+    sizes = [len(a) for a, _ in walks.Reach(walks.numbered(sources, targets)[1]).pairs()]
+    assert sum(sizes) == 100 * 99 and max(sizes) <= 2 * 500
+    asked = [f"{i:03d}" for i in range(110)]
+    labels = [None] * 100 + [f"{x}.py" if i % 10 == 0 else None for i, x in enumerate(asked)]
+    rows = sources + asked, targets + [None] * len(asked)
+    pieces = list(walks._facts(True)(*walks.numbered(*rows), *rows, labels))
+    assert max(len(p[3].flatten()) for p in pieces) <= 300 and sum(len(p[0]) for p in pieces) == 110
+    got = {x: (n, k, e) for p in pieces for x, n, k, e in zip(*p[:3], p[3].to_pylist(), strict=True)}
+    assert got["007"] == (99, 10, [f"{i:03d}.py" for i in range(0, 100, 10)]) and got["100"] == (0, 1, ["100.py"]) and got["105"] == (0, 0, [])
+
+
+def test_entry_points_of_one_path_count_once(spark):
+    m = spark.createDataFrame([("p", "a", "x.py", True), ("p", "b", "x.py", True), ("p", "c", "c.py", False), (None, "d", "d.py", False)], "project_id string, module_id string, relative_path string, is_entry_point boolean")
+    e = edges(spark, [("p", "a", "c"), ("p", "b", "c")])
+    assert {r.module_id: (r.blast_radius, r.entry_count, r.affected_entry_points) for r in graph.dependent_facts(m, e).collect()} == {"a": (0, 1, ["x.py"]), "b": (0, 1, ["x.py"]), "c": (2, 1, ["x.py"]), "d": (0, 0, [])}
+    assert {r.module_id: r.entry_count for r in graph.dependent_facts(m, e, listed=False).collect()} == {"a": 1, "b": 1, "c": 1, "d": 0}
