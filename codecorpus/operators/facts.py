@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codecorpus.operators.javascript import javascript_facts
+from codecorpus.operators.javascript import EXPORTS, SYMBOLS, javascript_facts
 
 # -- fixed values --------------------------------------------------------------------------------------------------
 ENTRY_FILES = ("index.js", "index.jsx", "index.ts", "index.tsx", "index.mjs", "index.cjs", "main.js", "main.jsx", "server.js", "app.js", "cli.js")
@@ -74,7 +74,7 @@ def javascript_imports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     they may run over lines or share one. Of exports, those that name a source count. Columns other than the keys, line_no
     and line are ignored.
     """
-    found = javascript_facts(line_rows, keys).where("_kind in ('import', 'require')")
+    found = javascript_facts(line_rows, keys, ("import", "require"))
     return found.select(*keys, F.col("_name").alias("module_name"), F.col("_kind").alias("import_kind"), F.col("_symbols").alias("imported_symbols"), F.col("_line").alias("source_line"), F.startswith("_name", F.lit(".")).alias("is_relative"))
 
 
@@ -129,7 +129,7 @@ def javascript_symbols(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     """kind (function, method, constructor, class, variable), name, qualified_name, is_async, start_line, end_line, depth,
     parameters, complexity, from tokens; depth counts the braces around it. Columns other than the keys, line_no and line
     are ignored."""
-    found = javascript_facts(line_rows, keys).where("_kind in ('function', 'method', 'constructor', 'class', 'variable')")
+    found = javascript_facts(line_rows, keys, SYMBOLS)
     return found.select(*keys, F.col("_kind").alias("kind"), F.col("_name").alias("name"), F.col("_qualified_name").alias("qualified_name"), F.col("_is_async").alias("is_async"), F.col("_line").alias("start_line"), F.col("_end_line").alias("end_line"), F.col("_depth").alias("depth"), F.col("_parameters").alias("parameters"), F.col("_complexity").alias("complexity"))
 
 
@@ -140,20 +140,20 @@ def javascript_exports(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     one of kind all. Plain declarations of functions and classes at the top level count as exports too. Columns other than
     the keys, line_no and line are ignored.
     """
-    found = javascript_facts(line_rows, keys).where(F.startswith("_kind", F.lit("export_")))
+    found = javascript_facts(line_rows, keys, EXPORTS)
     return found.select(*keys, F.col("_name").alias("name"), F.substring("_kind", 8, 20).alias("kind"), F.col("_line").alias("source_line"))
 
 
 def javascript_calls(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     """caller (the innermost function around it, or ''), target_name, source_line of each call, from tokens: definitions, and
     what stands in strings, templates and comments, are none; code inside templates is."""
-    found = javascript_facts(line_rows, keys).where("_kind = 'call'")
+    found = javascript_facts(line_rows, keys, ("call",))
     return found.select(*keys, F.col("_qualified_name").alias("caller"), F.col("_name").alias("target_name"), F.col("_line").alias("source_line"))
 
 
 def javascript_points(line_rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, complexity: 1 and a whole file's branch points, from tokens."""
-    return javascript_facts(line_rows, keys).where("_kind = 'points'").select(*keys, F.col("_complexity").alias("complexity"))
+    return javascript_facts(line_rows, keys, ("points",)).select(*keys, F.col("_complexity").alias("complexity"))
 
 
 def calls(line_rows: DataFrame, keys: list[str], comment: str = "#") -> DataFrame:

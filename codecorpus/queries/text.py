@@ -198,16 +198,12 @@ def _script_sql(name: str, columns: dict[str, str]) -> str:
     return f"SELECT file_id, seq, {shown} FROM v_scripts s JOIN (VALUES {_SCRIPTS[name]}) AS f(k, {', '.join(columns)}) ON f.k = s.kind"
 
 
-def _scripts(v):
-    return op.lines(v, ["file_id", "seq"])
-
-
 _KEYS = ["file_id", "seq"]
-_own = lambda v: facts.javascript_symbols(_scripts(v), _KEYS)
-add("x2_javascript_statements", "v_scripts", lambda v: facts.javascript_imports(_scripts(v), _KEYS).select(*_KEYS, "module_name", "import_kind", F.array_join("imported_symbols", ",").alias("symbols"), "source_line"), _script_sql("imports", {"module_name": "text", "import_kind": "text", "symbols": "text", "source_line": "BIGINT"}))
+_own = lambda v: facts.javascript_symbols(v, _KEYS)
+add("x2_javascript_statements", "v_scripts", lambda v: facts.javascript_imports(v, _KEYS).select(*_KEYS, "module_name", "import_kind", F.array_join("imported_symbols", ",").alias("symbols"), "source_line"), _script_sql("imports", {"module_name": "text", "import_kind": "text", "symbols": "text", "source_line": "BIGINT"}))
 add("x4_javascript_members", "v_scripts", lambda v: _own(v).select(*_KEYS, "kind", "qualified_name", "start_line", "end_line", "is_async", "depth"), _script_sql("symbols", {"kind": "VARCHAR", "qualified_name": "text", "start_line": "BIGINT", "end_line": "BIGINT", "is_async": "BOOLEAN", "depth": "INT"}).replace("CAST(kind AS VARCHAR)", "f.kind"))
-add("x5_javascript_clauses", "v_scripts", lambda v: facts.javascript_exports(_scripts(v), _KEYS), _script_sql("exports", {"name": "text", "kind": "VARCHAR", "source_line": "BIGINT"}).replace("CAST(kind AS VARCHAR)", "f.kind"))
-add("x6_javascript_calls", "v_scripts", lambda v: facts.javascript_calls(_scripts(v), _KEYS), _script_sql("calls", {"caller": "text", "target_name": "text", "source_line": "BIGINT"}))
+add("x5_javascript_clauses", "v_scripts", lambda v: facts.javascript_exports(v, _KEYS), _script_sql("exports", {"name": "text", "kind": "VARCHAR", "source_line": "BIGINT"}).replace("CAST(kind AS VARCHAR)", "f.kind"))
+add("x6_javascript_calls", "v_scripts", lambda v: facts.javascript_calls(v, _KEYS), _script_sql("calls", {"caller": "text", "target_name": "text", "source_line": "BIGINT"}))
 add("x7_javascript_parameters", "v_scripts", lambda v: _own(v).where("parameters is not null").select(*_KEYS, "qualified_name", F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit("="), p["default"]), F.lit("")))), "|").alias("parameters")), _script_sql("parameters", {"qualified_name": "text", "parameters": "text"}))
 add("x9_javascript_complexity", "v_scripts", lambda v: _own(v).where("kind in ('function', 'method', 'constructor')").select(*_KEYS, "qualified_name", "complexity"), _script_sql("complexity", {"qualified_name": "text", "complexity": "INT"}))
 #: What each kind of line holds by itself: by the syntax tree if it parses, else by its tokens. Written out for the oracle.

@@ -106,3 +106,44 @@ def test_python_imports_of_bodies_dont_count(spark):
     df = spark.createDataFrame([(1, source)], "file int, content string")
     assert sorted(r.module_name for r in facts.python_imports(text.lines(df, ["file"]), ["file"]).collect()) == ["a", "b", "c", "e", "f"]
     assert sorted(r.name for r in facts.python_facts(df, ["file"]).where(F.col("kind") == "import").collect()) == ["a", "b", "c", "e", "f"]
+
+
+def test_files_share_batches_and_kinds_are_read_alone(spark):
+    """Whole texts, lines, chosen kinds and remembered copies give the same; few batches leave a task."""
+    from codecorpus.operators import javascript as j
+
+    texts = ["import a from 'a';\nconst f = (x) => g(x);", "export { a as b } from './c';", "x = 1;", "", "function q() {}\r\nclass K { m() { return q(); } }", "const r = require('r');\n" * 3]
+    texts = [texts[i % 6] + (f"\nh{i}();" if i % 4 == 0 else "") for i in range(300)]
+    whole = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    rows = spark.createDataFrame([(i, k + 1, x) for i, t in enumerate(texts) for k, x in enumerate(t.splitlines())], "id int, line_no int, line string")
+    shown = lambda df: sorted(map(str, df.collect()))
+    for kinds in (("import", "require"), j.EXPORTS, j.SYMBOLS, ("call",)):
+        want = shown(j.javascript_text_facts(whole, ["id"]).where(j_in(kinds)))
+        assert want and shown(j.javascript_facts(whole, ["id"], kinds)) == want == shown(j.javascript_facts(rows, ["id"], kinds))
+        assert [r for t in texts for r in j.reader(kinds)(t.replace("\r", ""))] == [r for t in texts for r in j._rows(t.replace("\r", "")) if r["kind"] in kinds]
+    batches = []
+    real, j._batch = j._batch, lambda *x: batches.append(1) or real(*x)
+    try:
+        run = captured(j, rows)  # the function that Spark would run, on lines of 300 files in one batch
+        assert sum(b.num_rows for b in run(iter([pa_batch(rows)]))) == j.javascript_facts(rows, ["id"]).count() and len(batches) == 1
+    finally:
+        j._batch = real
+
+
+def j_in(kinds):
+    return "_kind in ({})".format(", ".join(f"'{k}'" for k in kinds))
+
+
+def pa_batch(rows):
+    import pyarrow as pa
+
+    found = sorted(map(tuple, rows.collect()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int32()), pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found])], ["id", "line_no", "line"])
+
+
+def captured(j, rows):
+    """What javascript_facts gives to mapInArrow."""
+    from unittest import mock
+
+    with mock.patch("pyspark.sql.classic.dataframe.DataFrame.mapInArrow", lambda self, run, schema: run):
+        return j.javascript_facts(rows, ["id"])
