@@ -279,3 +279,14 @@ def test_names_of_long_call_chains_are_whole():
     chain = "q" + "".join(f".filter(column_{i}=value_{i})" for i in range(20))
     names = [x[1] for x in facts._python_facts(f"a = {chain}.first()\nb = {chain}.last()\n") if x[0] == "call"]
     assert f"{chain}.first" in names and f"{chain}.last" in names and len(set(names)) == 22
+
+
+def test_first_values_whose_order_is_open_come_by_value(spark):
+    """Rows of one place, in whatever order they are read."""
+    from codecorpus.operators import quality
+
+    rows = [("m", "function", n, o) for n, o in (("c", 1), ("b", 1), ("a", 1), ("e", 0), ("d", 2))] + [("m", "class", n, 5) for n in "zy"]
+    for given in (rows, rows[::-1]):
+        y = spark.createDataFrame(given, "module_id string, kind string, name string, ord int").coalesce(1)
+        assert [r.name for r in quality.first_n(y, 5, ["module_id"], ["ord"], "name").collect()] == [["e", "a", "b", "c", "d"]]
+        assert [r.name for r in quality.top_symbol_names(y).collect()] == [["y", "z", "e", "a"]]
