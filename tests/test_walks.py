@@ -164,3 +164,16 @@ def test_entry_points_of_one_path_count_once(spark):
     e = edges(spark, [("p", "a", "c"), ("p", "b", "c")])
     assert {r.module_id: (r.blast_radius, r.entry_count, r.affected_entry_points) for r in graph.dependent_facts(m, e).collect()} == {"a": (0, 1, ["x.py"]), "b": (0, 1, ["x.py"]), "c": (2, 1, ["x.py"]), "d": (0, 0, [])}
     assert {r.module_id: r.entry_count for r in graph.dependent_facts(m, e, listed=False).collect()} == {"a": 1, "b": 1, "c": 1, "d": 0}
+
+
+def test_cycles_of_a_module_graph_arent_checkpointed(spark, monkeypatch):
+    """Paths of cycles may be as long as a project; edges are what several parts read."""
+    kept = []
+    real = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: kept.append(set(df.columns)) or real(df))
+    m = spark.createDataFrame([("p", x, f"{x}.py", "python", "complete", 1, 1, False) for x in "abc"], "project_id string, module_id string, relative_path string, language string, parse_status string, line_count int, complexity int, is_entry_point boolean")
+    e = spark.createDataFrame([("p", a, b, "import", True, 1) for a, b in ("ab", "bc", "ca", "ba")], "project_id string, source_module_id string, target_module_id string, type string, resolved boolean, source_line int")
+    none = m.select("module_id").where("false")
+    g = graph.module_graph(m, e, none, none)
+    assert kept and not any("path" in c for c in kept)
+    assert sorted(r.path for r in g["cycles"].collect()) == [["a", "b", "a"], ["a", "b", "c", "a"]] and g["summary"].first().cycle_count == 2
