@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -376,23 +378,32 @@ def _token_facts(text: str) -> list[tuple]:
     return out
 
 
-def python_facts(files: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
-    """keys, kind, name, line, end_line, complexity, detail: exact facts of Python texts, in parallel over the files.
+def python_facts(files: DataFrame, keys: list[str], text: str = "content", errors_only: bool = False) -> DataFrame:
+    """keys, kind, name, line, end_line, complexity, detail: exact facts of Python texts, in parallel over the files; with
+    errors_only those of kind error, for which texts are parsed but their trees not read. Lines and small files recur, so a
+    worker remembers what it found in some.
 
     Kinds: import, export, class, function, method, constructor, variable, call, docstring, decorator, entry_point,
     warning, error. A text that doesn't parse has an error and what its tokens show. A null text is the empty one.
     """
     import pyarrow as pa
 
+    from codecorpus.operators.text import REMEMBERED, REMEMBERED_LENGTH, parses
     from codecorpus.shipping import ship
 
     ship(files.sparkSession)
     names = [x.split()[0] for x in FACTS.split(",")]
     schema = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
 
+    def facts_of(t):
+        if errors_only:
+            return [] if parses(t) else [f for f in _python_facts(t) if f[0] == "error"]
+        return _python_facts(t)
+
     def run(batches):
+        remembered = lru_cache(REMEMBERED)(facts_of)
         for batch in batches:
-            found = [_python_facts(t or "") for t in batch.column(len(keys)).to_pylist()]
+            found = [remembered(t) if len(t) <= REMEMBERED_LENGTH else facts_of(t) for t in (t or "" for t in batch.column(len(keys)).to_pylist())]
             row = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
             flat = [x for f in found for x in f]
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]

@@ -144,7 +144,7 @@ for _lang, _code, _severity, _pattern, _message, _unless in EXPECTED_WARNINGS:
         f"SELECT file_id, line_no, '{_code}' AS code, '{_severity}' AS severity, {_text} AS message FROM v_lines WHERE regexp_matches(line, {_quoted(_pattern)})" + (f" AND NOT regexp_matches(line, {_quoted(_unless)})" if _unless else ""),
     )
 add("l8_high_complexity", "v_symbols", lambda y: facts.complexity_warnings(y.withColumn("start_line", (F.col("ord") % 90).cast("int")), ["module_id", "ord"]), "SELECT module_id, ord, 'HIGH_COMPLEXITY' AS code, concat('Function ', chr(39), name, chr(39), ' has high cyclomatic complexity (', complexity, ').') AS message, CAST(ord % 90 AS INT) AS line, 'warning' AS severity FROM v_symbols WHERE complexity > 10 AND kind = 'function'")
-add("l9_syntax_error", "v_lines", lambda v: facts.syntax_warnings(facts.python_facts(by_line(v), ["file_id", "line_no"]), ["file_id", "line_no"]), f"SELECT file_id, line_no, 'SYNTAX_ERROR' AS code, 'Python parser could not fully parse this file.' AS message, CAST(1 AS INT) AS line, 'risk' AS severity FROM v_lines WHERE NOT ({VALID})")
+add("l9_syntax_error", "v_lines", lambda v: facts.syntax_warnings(facts.python_facts(by_line(v), ["file_id", "line_no"], errors_only=True), ["file_id", "line_no"]), f"SELECT file_id, line_no, 'SYNTAX_ERROR' AS code, 'Python parser could not fully parse this file.' AS message, CAST(1 AS INT) AS line, 'risk' AS severity FROM v_lines WHERE NOT ({VALID})")
 add("w2_dedup_warnings", "v_warnings", lambda w: op.dedup_warnings(w, ["module_id"]), "SELECT module_id, code, line, message, arg_max(severity, (ord, severity)) AS severity FROM v_warnings GROUP BY ALL")
 add("x1_python_imports", "v_lines", lambda v: facts.python_imports(v, ["file_id"]).select("file_id", "module_name", F.array_join("imported_symbols", ",").alias("symbols"), "is_relative", F.col("source_line").cast("long").alias("source_line")), "SELECT file_id, CASE WHEN line = 'import imp' THEN 'imp' ELSE 'os' END AS module_name, CASE WHEN line = 'import imp' THEN 'imp' ELSE '*' END AS symbols, false AS is_relative, line_no AS source_line FROM v_lines WHERE line IN ('import imp', 'from os import *')")
 def _modules(v):

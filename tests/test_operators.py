@@ -290,3 +290,18 @@ def test_first_values_whose_order_is_open_come_by_value(spark):
         y = spark.createDataFrame(given, "module_id string, kind string, name string, ord int").coalesce(1)
         assert [r.name for r in quality.first_n(y, 5, ["module_id"], ["ord"], "name").collect()] == [["e", "a", "b", "c", "d"]]
         assert [r.name for r in quality.top_symbol_names(y).collect()] == [["y", "z", "e", "a"]]
+
+
+def test_python_parses_each_different_line_once_and_takes_the_text_alone(spark):
+    """Recurring texts give what different ones give; only the text goes to Python, not the columns beside it."""
+    texts = ["x = 1", "def f(:", None, "for i in xrange(3): pass", "x = 1", "def f(:"] * 3
+    df = spark.createDataFrame([(i, t, ["a" * 9]) for i, t in enumerate(texts)], "id int, content string, other array<string>")
+    got = text.syntax_gate(text.rewrite(df, text.PYTHON_REWRITES))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert [r.syntax_valid for r in got.orderBy("id").collect()] == [True, False, True, True, True, False] * 3
+    whole, errors = (facts.python_facts(df, ["id"], errors_only=x) for x in (False, True))
+    shown = lambda d: sorted(map(str, d.collect()))
+    assert shown(errors) == shown(whole.where("kind = 'error'")) and len(shown(errors)) == 6
+    each = [f for i, t in enumerate(texts) for f in facts._python_facts(t or "")]
+    assert whole.count() == len(each)
