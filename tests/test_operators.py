@@ -305,3 +305,16 @@ def test_python_parses_each_different_line_once_and_takes_the_text_alone(spark):
     assert shown(errors) == shown(whole.where("kind = 'error'")) and len(shown(errors)) == 6
     each = [f for i, t in enumerate(texts) for f in facts._python_facts(t or "")]
     assert whole.count() == len(each)
+
+
+@pytest.mark.parametrize("view", ["v_all_edges", "v_dense"])
+def test_a_task_of_a_self_join_takes_a_bounded_number_of_rows(spark, monkeypatch, view):
+    from codecorpus.queries import views
+
+    sf = "/root/testdata/sf0.001"
+    whole = views.frame(spark, sf, view)
+    monkeypatch.setattr(views, "JOINED_ROWS", 500)
+    parts = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    dealt = views.frame(spark, sf, view)
+    assert f", {parts}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
