@@ -10,9 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecorpus.shipping import dealt
+
 GRAM = 3
+#: Records whose trigrams one task finds, about.
+RECORDS = 1 << 14
 #: Folders of postings; trigrams of a query that are looked up, the rarest.
 BUCKETS, LOOKED_UP = 64, 4
+#: Files that a bucket is dealt over at most.
+PARTS = 4
 
 
 def grams(text: Column) -> Column:
@@ -35,12 +41,13 @@ def bucket(gram: Column) -> Column:
 
 def write_postings(rows: DataFrame, key: str, columns: tuple[str, ...], path: str) -> None:
     """Postings (bucket, gram, key) under path/postings and counts (gram, n) under path/counts, of texts and arrays of texts."""
-    all_grams = F.array_distinct(F.flatten(F.transform(_texts(rows, columns), grams)))
-    found = rows.select(F.col(key).alias("key"), F.explode(all_grams).alias("gram")).distinct().withColumn("bucket", bucket(F.col("gram")))
+    # a key's texts come together first, so that its trigrams are told apart in its own row
+    own = dealt(rows.select(F.col(key).alias("key"), _texts(rows, columns).alias("texts")), RECORDS, "key").groupBy("key").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+    found = own.select("key", F.explode(F.array_distinct(F.flatten(F.transform("texts", grams)))).alias("gram")).withColumn("bucket", bucket(F.col("gram")))
     # a frequent gram is dealt over several files of its bucket
-    spread = found.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4)))
-    spread.repartition("bucket", "part").sortWithinPartitions("bucket", "gram").drop("part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    found.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).sort("gram").write.mode("overwrite").parquet(f"{path}/counts")
+    spread = found.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    spread.repartition(BUCKETS * PARTS, "bucket", "part").sortWithinPartitions("bucket", "gram").drop("part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).sort("gram").write.mode("overwrite").parquet(f"{path}/counts")
 
 
 def candidates(spark: SparkSession, path: str, query: str) -> DataFrame | None:

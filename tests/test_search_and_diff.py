@@ -84,3 +84,24 @@ def test_content_hashes_of_many_projects(spark):
     got = {r.project_id: (r.total_files, r.total_lines, r.detected_languages, r.content_hash) for r in inventory.project_rollup(df).collect()}
     digest = lambda p: hashlib.sha256("".join(e for q, _, e, _, _ in rows if q == p).encode()).hexdigest()
     assert got == {p: (150, 300, ["python"], digest(p)) for p in ("p", "q", None)} | {"one": (1, 1, [], digest("one"))}
+
+
+def test_postings_are_made_in_pieces_of_bounded_size(spark, tmp_path, monkeypatch):
+    dealt, made = search.dealt, []
+    monkeypatch.setattr(search, "RECORDS", 10)
+    monkeypatch.setattr(search, "dealt", lambda rows, each, *columns: made.append(dealt(rows, each, *columns)) or made[-1])
+    df = spark.createDataFrame([(i % 100, f"name {i % 7}") for i in range(200)], "id int, name string")  # a key stands in two rows
+    search.write_postings(df, "id", ("name",), str(tmp_path))
+    assert made[0].rdd.getNumPartitions() == 20
+    found = spark.read.parquet(f"{tmp_path}/postings")
+    assert found.count() == found.distinct().count() == df.select("id", F.explode(search.grams(F.col("name")))).distinct().count()
+    assert {r.gram: r.n for r in spark.read.parquet(f"{tmp_path}/counts").collect()}["nam"] == 100
+
+
+def test_names_of_modules_are_collected_in_pieces_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "SYMBOLS", 10)
+    symbols = spark.createDataFrame([(i % 7, "function", f"f{i % 14}") for i in range(100)], "module_id int, kind string, name string")
+    modules = spark.range(7).selectExpr("cast(id as int) AS module_id", "'p' AS relative_path")
+    found = jobs.module_texts(modules, symbols)
+    assert "hashpartitioning(module_id#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+    assert {(r.module_id, tuple(sorted(r.texts))) for r in found.collect()} == {(i, tuple(sorted(("p", f"f{i}", f"f{i + 7}")))) for i in range(7)}
