@@ -147,3 +147,33 @@ def captured(j, rows):
 
     with mock.patch("pyspark.sql.classic.dataframe.DataFrame.mapInArrow", lambda self, run, schema: run):
         return j.javascript_facts(rows, ["id"])
+
+
+@pytest.mark.parametrize("text", ["a = 'x  ", "  ", "b(\n\n) ", "c ?.d ?.5 ?? e\\\n ", "'f\\\ng' h", "i\x1c j @k #l …"])
+def test_plain_tokens_are_those_of_the_whole_reader(text):
+    plain, whole = (javascript.Tokens.__new__(javascript.Tokens) for _ in range(2))
+    for t in (plain, whole):
+        t.source, t.kind, t.text, t.line, t.start, t.end = text, [], [], [], [], []
+    whole._read(text)
+    assert plain._read_plain(text)
+    assert vars(plain) == vars(whole)
+    assert not plain._read_plain("m / n") and not plain._read_plain("`o`") and plain._read_plain("'/p`'")
+
+
+def test_equal_texts_come_together_and_each_row_has_its_facts(spark):
+    texts = [f"import {{a}} from './m{i % 5}';\nfunction f{i % 5}(cb) {{ return cb(); }}" if i % 6 else None for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string").repartition(7)
+    want = {(i, r["kind"], r["name"], r["line"]) for i, t in enumerate(texts) for r in javascript._rows(t or "")}
+    for recurring in (True, False):
+        found = javascript.javascript_text_facts(df, ["id"], recurring=recurring)
+        assert {(r.id, r._kind, r._name, r._line) for r in found.collect()} == want
+    at = javascript.javascript_facts(df, ["id"]).withColumn("part", F.spark_partition_id()).where("_kind = 'import'")
+    assert at.groupBy("_name").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
+
+
+def test_only_what_may_import_is_looked_at(monkeypatch):
+    seen = []
+    monkeypatch.setattr(javascript.Facts, "_at", lambda self, i: seen.append(self.t.text[i]))
+    javascript.reader(("import", "require"))("import a from 'b'; var c = 1; function d() {}")
+    javascript.reader(("import", "require"))("exports.e = 1;")
+    assert seen == ["import"]
