@@ -78,9 +78,11 @@ def _open(lines):
 
 
 def _gated(v):
-    python = op.syntax_gate(op.rewrite(by_line(v), op.PYTHON_REWRITES)).select(F.lit("python").alias("language"), "syntax_valid", "warnings")
-    script = op.syntax_gate(op.rewrite(_open(v), op.JAVASCRIPT_REWRITES[:1]), "javascript").select(F.lit("javascript").alias("language"), "syntax_valid", "warnings")
-    return python.unionByName(script).groupBy("language", "syntax_valid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("warnings")).alias("warnings"))
+    """Lines recur, so each different one is rewritten and judged once, and counts as often as it stands."""
+    lines = by_line(v).groupBy("content").agg(F.count(F.lit(1)).alias("times"))
+    python = op.syntax_gate(op.rewrite(lines, op.PYTHON_REWRITES)).select(F.lit("python").alias("language"), "syntax_valid", "warnings", "times")
+    script = op.syntax_gate(op.rewrite(_open(v), op.JAVASCRIPT_REWRITES[:1]), "javascript").select(F.lit("javascript").alias("language"), "syntax_valid", "warnings", F.lit(1).cast("long").alias("times"))
+    return python.unionByName(script).groupBy("language", "syntax_valid").agg(F.sum("times").alias("n"), F.sum(F.size("warnings") * F.col("times")).alias("warnings"))
 
 
 def _sum(*conditions):

@@ -105,3 +105,29 @@ def test_names_of_modules_are_collected_in_pieces_of_bounded_size(spark, monkeyp
     found = jobs.module_texts(modules, symbols)
     assert "hashpartitioning(module_id#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
     assert {(r.module_id, tuple(sorted(r.texts))) for r in found.collect()} == {(i, tuple(sorted(("p", f"f{i}", f"f{i + 7}")))) for i in range(7)}
+
+
+def test_lines_that_differ_in_place_are_not_aligned(spark, monkeypatch):
+    r = random.Random(3)
+    pick = lambda letters: r.choice(letters)
+    olds = [[pick("abcde") for _ in range(r.randint(0, 6))] for _ in range(2000)]
+    news = [[x if r.random() < 0.5 else pick("abcdexyz") for x in a] if r.random() < 0.7 else [pick("abcxyz") for _ in range(r.randint(0, 6))] for a in olds]
+    simple, row, place = diff.in_place(diff.pa.array(olds, diff.pa.list_(diff.pa.string())), diff.pa.array(news, diff.pa.list_(diff.pa.string())))
+    got = {}
+    for i, k in zip(row.tolist(), place.tolist(), strict=True):
+        got.setdefault(i, []).append(("changed", k, k))
+    assert simple.sum() > 1000
+    assert all(got.get(i, []) == list(diff.differences(a, b)) for i, (a, b) in enumerate(zip(olds, news, strict=True)) if simple[i])
+    null = diff.pa.array([None, ["a", None], ["a"]], diff.pa.list_(diff.pa.string()))
+    assert diff.in_place(null, diff.pa.array([[], ["a", "b"], None], null.type))[0].tolist() == [True, False, False]
+
+
+def test_recurring_lines_are_judged_once(spark):
+    from codecorpus.queries import text as queries
+
+    lines = spark.createDataFrame([(i, 1, "x = d.iteritems()" if i % 2 else "    except:") for i in range(400)], "file_id int, line_no int, line string")
+    found = {(r.language, r.syntax_valid): (r.n, r.warnings) for r in queries._gated(lines).collect()}
+    assert found == {("python", True): (200, 200), ("python", False): (200, 200), ("javascript", True): (400, 0)}
+    plan = queries._gated(lines)._jdf.queryExecution().executedPlan().toString()
+    judged, grouped = plan.index("ArrowEvalPython"), plan.index("keys=[content#")
+    assert judged < grouped  # lines meet in groups below the parser
