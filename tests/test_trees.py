@@ -86,3 +86,30 @@ def test_lines_stream_into_one_file_a_project(spark, tmp_path, monkeypatch):
         own = sorted((i % 2, i) for i in range(300) if i % 3 == p)
         assert (tmp_path / f"t/p{p}/report.md").read_text() == "\n".join(f"line {i}" for _, i in own)
     assert (tmp_path / "t/p9/report.md").read_text() == "alone"
+
+
+@pytest.mark.parametrize("most", ["MOST_LISTED", "MOST_HELD"])
+@pytest.mark.parametrize("wanted", [2, 5, 64])
+def test_large_folders_are_dealt_among_tasks_by_name(tree, monkeypatch, most, wanted):
+    monkeypatch.setattr(trees, most, 2)
+    for root in (tree, tree / "p1"):  # many projects, and many entries in one
+        reader = trees.TreeReader({"path": str(root), "partitions": str(wanted)})
+        parts = reader.partitions()
+        found = ["/".join(filter(None, (b.column(0)[i].as_py(), b.column(1)[i].as_py()))) for p in parts for b in reader.read(p) for i in range(b.num_rows)]
+        assert sorted(found) == sorted(p if root == tree else p[3:] for p in NAMES if root == tree or p.startswith("p1/"))
+        assert most != "MOST_LISTED" or len(parts) == wanted
+    reader = trees.TreeReader({"path": str(tree), "partitions": str(wanted)})
+    reader.projects = {"_p2", ""}
+    found = [b.column(1)[i].as_py() for p in reader.partitions() for b in reader.read(p) for i in range(b.num_rows)]
+    assert sorted(found) == ["__init__.py", "root.py"]
+
+
+def test_a_commit_is_told_of_lists_not_of_files(tmp_path):
+    import pickle
+
+    batch = trees.pa.RecordBatch.from_pydict({"project_id": ["p"] * 500, "relative_path": [f"{i}/x.py" for i in range(500)], "content": ["1"] * 500})
+    writer = trees.TreeWriter({"path": str(tmp_path)})
+    messages = [writer.write(iter([batch])), writer.write(iter([]))]
+    assert len(pickle.dumps(messages)) < 1000
+    writer.commit(messages)
+    assert sorted(os.listdir(tmp_path)) == ["p"] and len(os.listdir(tmp_path / "p")) == 500
