@@ -318,3 +318,27 @@ def test_a_task_of_a_self_join_takes_a_bounded_number_of_rows(spark, monkeypatch
     dealt = views.frame(spark, sf, view)
     assert f", {parts}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_whole_analysis_reads_its_files_once(spark):
+    from codecorpus.plans import analysis
+
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(_):
+        read.add(1)
+        yield ("p", "a.py", "import b\ndef f(x):\n    return g(x)\nfor k in xrange(3): d.iteritems()\n")
+        yield ("p", "b.js", "var a = b == c;\nexports.q = eval('1');\n")
+
+    files = spark.createDataFrame(spark.sparkContext.parallelize([0], 1).mapPartitions(rows), "project_id string, relative_path string, content string")
+    tables = analysis.analyze(files)
+    assert [tables[t].count() for t in ("modules", "edges", "impacts", "explanations")] == [2, 1, 2, 2] and tables["diffs"].count() > 1
+    assert read.value == 1
+
+
+def test_python_facts_of_rare_trees():
+    text = "match x:\n    case True:\n        a.b.c(1)\n    case {'k': [y, *_], **r} if q(y):\n        (a + b).d[f(1)]()\nglobal z\nasync def f(a: t(1) = u(2), *b, c=[], **d) -> v(3):\n    return f'{w(4)!r:>{n(5)}}', {**e, 1: lambda: h(6)}, [i for i in j(7) if i or k]\n"
+    want = ["a.b.c", "q", "(a + b).d[f(1)]", "f", "t", "u", "v", "w", "n", "h", "j"]
+    found = facts._python_facts(text)
+    assert sorted(f[1] for f in found if f[0] == "call") == sorted(want) == sorted(ast.unparse(x.func) for x in ast.walk(ast.parse(text)) if isinstance(x, ast.Call))
+    assert [f[4] for f in found if f[0] == "function"] == [4]
