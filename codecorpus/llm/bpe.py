@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import base64
 import functools
-import heapq
 import re
+import struct
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -44,32 +45,31 @@ def pre_tokens(text: str, pattern: str) -> list[str]:
 class RankQueue:
     """Positions in buckets by rank; the least rank first, and in it the least position."""
 
-    WORD = 256
+    #: Of each place in a word, its bit.
+    BITS = [1 << k for k in range(256)]
 
     def __init__(self, ranks: int):
-        self.words = [0] * (ranks // self.WORD + 1)
+        self.words = [0] * (ranks // 256 + 1)
+        self.tops = [1 << k for k in range(len(self.words))]
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
+        if rank in self.buckets:
+            heappush(self.buckets[rank], position)
             return
         self.buckets[rank] = [position]
-        word = rank >> 8
-        self.words[word] |= 1 << (rank & 255)
-        self.top |= 1 << word
+        self.words[rank >> 8] |= self.BITS[rank & 255]
+        self.top |= self.tops[rank >> 8]
 
     def pop(self) -> tuple[int, int] | None:
         if not self.top:
             return None
         word = (self.top & -self.top).bit_length() - 1
         bits = self.words[word]
-        bit = (bits & -bits).bit_length() - 1
-        rank = word << 8 | bit
+        rank = word << 8 | (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
+        position = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
             self.words[word] = bits = bits & (bits - 1)
@@ -79,45 +79,73 @@ class RankQueue:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """The ids of one pre-token: the pair of least rank is merged, the leftmost first, until no pair has a rank."""
-    if (whole := ranks.get(piece)) is not None:
+    """The ids of one pre-token: the pair of least rank is merged, the leftmost first, until no pair has a rank.
+
+    The queue, which is empty before and after, is filled and emptied in place: a call for each push and pop would take
+    longer than they do."""
+    get = ranks.get
+    if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
+    words, tops, buckets, bits = queue.words, queue.tops, queue.buckets, queue.BITS
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # parts begin at i and end at after[i]
-    pair = [-1] * (n + 1)  # rank of the pair that begins at i
-    get = ranks.get
-    for i in range(n - 1):
-        if (r := get(piece[i : i + 2])) is not None:
-            pair[i] = r
-            queue.push(r, i)
-    while (least := queue.pop()) is not None:
-        rank, i = least
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that begins at i
+    pair.append(-1)
+    top = 0
+    for i, r in enumerate(pair):
+        if r >= 0:
+            if r in buckets:
+                buckets[r].append(i)  # in order, so a heap
+            else:
+                buckets[r] = [i]
+                words[r >> 8] |= bits[r & 255]
+                top |= tops[r >> 8]
+    while top:
+        word = (top & -top).bit_length() - 1
+        held = words[word]
+        rank = word << 8 | (held & -held).bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            words[word] = held = held & (held - 1)
+            if not held:
+                top &= top - 1
         if pair[i] != rank:
             continue
         gone = after[i]
         after[i] = end = after[gone]
-        pair[gone] = -1
+        pair[gone] = pair[i] = -1
+        left = before[i]
         if end < n:
             before[end] = i
-            if (r := get(piece[i : after[end]])) is not None:
+            r = get(piece[i : after[end]], -1)
+            if r >= 0:
                 pair[i] = r
-                queue.push(r, i)
-            else:
-                pair[i] = -1
-        else:
-            pair[i] = -1
-        left = before[i]
+                if r in buckets:
+                    heappush(buckets[r], i)
+                else:
+                    buckets[r] = [i]
+                    words[r >> 8] |= bits[r & 255]
+                    top |= tops[r >> 8]
         if left >= 0:
-            if (r := get(piece[left:end])) is not None:
-                if pair[left] != r:
-                    pair[left] = r
-                    queue.push(r, left)
-            else:
-                pair[left] = -1
+            r = get(piece[left:end], -1)
+            if r != pair[left]:
+                pair[left] = r
+                if r >= 0:
+                    if r in buckets:
+                        heappush(buckets[r], left)
+                    else:
+                        buckets[r] = [left]
+                        words[r >> 8] |= bits[r & 255]
+                        top |= tops[r >> 8]
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        out.append(ranks[piece[i:end]])
+        i = end
     return out
 
 
@@ -134,18 +162,24 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        memo, out = self.memo, []
-        for piece in pre_tokens(text, self.pattern):
-            ids = memo.get(piece)
-            if ids is None:
-                ids = np.array(merge(piece.encode(), self.ranks, self.queue), "<u4").tobytes()
-                if len(memo) >= MEMO:
-                    memo.clear()
-                if len(piece) <= 64:
-                    memo[piece] = ids
-            out.append(ids)
+        memo, pieces = self.memo, pre_tokens(text, self.pattern)
+        out = list(map(memo.get, pieces))
+        if not all(out):  # a piece has an id at least
+            for k, ids in enumerate(out):
+                if ids is None:
+                    out[k] = memo.get(pieces[k]) or self.first(pieces[k])
         return b"".join(out)
 
+    def first(self, piece: str) -> bytes:
+        """The ids of a pre-token that isn't remembered."""
+        found = merge(piece.encode(), self.ranks, self.queue)
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        if len(piece) <= 64:
+            self.memo[piece] = ids
+        return ids
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -106,3 +106,17 @@ def test_pre_tokens_are_those_of_the_pattern_given():
         for text in [t for t in cases.TEXTS if t]:
             assert bpe.pre_tokens(text[:5000], pattern) == regex.findall(pattern, text[:5000])
     assert P.PATTERN == bpe.QUICK_PATTERN
+
+
+def test_merging_calls_nothing_for_each_push_and_leaves_the_queue_empty():
+    import sys
+
+    own, calls = bpe.encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), []
+    piece = "".join(random.Random(7).choice("abcde") for _ in range(300)).encode()
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        ids = bpe.merge(piece, own.ranks, own.queue)
+    finally:
+        sys.setprofile(None)
+    assert calls == ["merge"] and b"".join(own.vocabulary[i] for i in ids) == piece
+    assert own.queue.pop() is None and not own.queue.buckets and not any(own.queue.words)
