@@ -60,11 +60,11 @@ add("f21_project_explanation", "v_modules v_all_edges", lambda m, e: _projects(m
 
 
 def _files(lines):
-    """The reports as files in the shared folder, read again."""
+    """The reports as files in the shared folder, read again: all of them, of any size and under any folder's name."""
     spark = lines.sparkSession
     root = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
     op.write_reports(lines, root, "report.md")
-    found = graph.settled(scan.scan_tree(spark, root).select("project_id", F.col("content").cast("string").alias("report")))
+    found = graph.settled(scan.scan_tree(spark, root, max_bytes=(1 << 63) - 1, ignored=(), hidden_folders=True).select("project_id", F.col("content").cast("string").alias("report")))
     scan.delete_tree(spark, root)
     return found
 
